@@ -1,9 +1,11 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from gridspark.llm import decontam, quality, sharding
+from gridspark.llm import decontam, langid, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op3_language_id": langid.op3,
+    "op4_toxicity": toxicity.op4,
     "op7_benchmark_decontamination": decontam.op7,
     "op8_sharding": sharding.op8,
 }
