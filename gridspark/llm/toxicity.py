@@ -9,6 +9,7 @@ score comes from a logistic calibration of the combined evidence.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ from gridspark.llm.common import folded_table, table
 
 #: About so many labelled documents are learnt from (a documented bound); all are when there are fewer.
 FIT_DOCS = 20_000
-#: Strength of the Dirichlet prior, in words; a feature needs MIN_COUNT documents and MIN_Z to count.
-PRIOR, MIN_DOCS, MIN_Z = 50.0, 5, 3.0
-PREFIXES = (4, 5, 6, 7, 8, 9)
+#: Strength of the Dirichlet prior, in documents; a feature needs MIN_DOCS documents and MIN_Z to count.
+PRIOR, MIN_DOCS, MIN_Z = 10.0, 4, 3.0
+PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: A passage is significant below this p-value.
 ALPHA = 0.05
 FOLDED = folded_table(b"abcdefghijklmnopqrstuvwxyz")
@@ -33,8 +34,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def features(w: bytes) -> list[bytes]:
-    """The word and its beginnings of 4 to 9 bytes (marked by a star)."""
-    return [w, *(w[:k] + b"*" for k in PREFIXES if len(w) > k)]
+    """The word and its beginnings of 3 to 9 bytes (marked by a star)."""
+    return [w, *(w[:k] + b"*" for k in PREFIXES if len(w) >= k)]
 
 
 def segments(scores: list[tuple[int, float]], n: int, step: float) -> list[tuple[int, int, float]]:
@@ -82,14 +83,16 @@ class Model:
         return best
 
     def scan(self, text: str | None, memo: dict) -> tuple[list, int]:
-        ws, scored = words(text), []
+        """The segments and the number of words; a word that comes again in the text adds nothing new."""
+        ws, scored, seen = words(text), [], set()
         for i, w in enumerate(ws):
             v = memo.get(w)
             if v is None:
                 if len(memo) > 500_000:
                     memo.clear()
                 v = memo[w] = self.word(w)
-            if v:
+            if v and w not in seen:
+                seen.add(w)
                 scored.append((i, v))
         return segments(scored, len(ws), self.step), len(ws)
 
@@ -140,14 +143,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_docs:
 
     def counted(batches):
         for b in batches:
-            n: dict[tuple, list] = {}
+            n: dict[bytes, list] = {}
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = words(t)
-                in_doc: dict[bytes, int] = {}
-                for w in ws:
-                    for f in features(w):
-                        in_doc[f] = in_doc.get(f, 0) + 1
-                in_doc[b""] = len(ws)
+                kinds = set(words(t))
+                in_doc = Counter(f for w in kinds for f in features(w))
+                in_doc[b""] = len(kinds)
                 for f, c in in_doc.items():
                     have = n.setdefault(f, [0, 0, 0, 0])
                     have[y] += 1
@@ -155,6 +155,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_docs:
             keys = list(n)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([n[k][i] for k in keys], pa.int64()) for i in range(4))], names=["f", "d0", "d1", "c0", "c1"])
 
+    # d: documents that have the feature, c: different words in them that have it, by label.
     sums = rows.mapInArrow(counted, "f binary, d0 long, d1 long, c0 long, c1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "c0", "c1")))
     total = sums.where(F.octet_length("f") == 0).first()
     if not total or not total["d0"] or not total["d1"]:
@@ -164,11 +165,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_docs:
         return m
     n0, n1 = float(total["c0"]), float(total["c1"])
     mean = (F.col("c0") + F.col("c1")) / F.lit(n0 + n1)
-    a0, a1 = F.col("c0") + PRIOR * mean + 1e-3, F.col("c1") + PRIOR * mean + 1e-3
-    delta = F.log(a1 / (F.lit(n1 + PRIOR) - a1)) - F.log(a0 / (F.lit(n0 + PRIOR) - a0))
-    # Occurrences in one text hang together, so the variance counts documents.
-    var = 1 / (F.col("d1") + PRIOR * mean + 0.1) + 1 / (F.col("d0") + PRIOR * mean + 0.1)
-    kept = sums.where((F.octet_length("f") > 0) & (F.col("d0") + F.col("d1") >= MIN_DOCS)).select("f", F.least(F.greatest(delta, F.lit(-8.0)), F.lit(8.0)).alias("d"), F.abs(delta / F.sqrt(var)).alias("z"), "c0")
+    prior = PRIOR * mean * F.lit((n0 + n1) / float(total["d0"] + total["d1"]))  # as much as PRIOR documents hold
+    a0, a1 = F.col("c0") + prior, F.col("c1") + prior
+    delta = F.log(a1 / n1) - F.log(a0 / n0)
+    # Words of one document hang together, so the variance counts documents.
+    z = F.abs(delta) / F.sqrt(1 / (F.col("d1") + prior) + 1 / (F.col("d0") + prior))
+    kept = sums.where((F.octet_length("f") > 0) & (F.col("d0") + F.col("d1") >= MIN_DOCS)).select("f", F.least(F.greatest(delta, F.lit(-6.0)), F.lit(6.0)).alias("d"), z.alias("z"))
     kept = kept.where((F.col("z") >= MIN_Z) & (F.abs("d") > 0.7))
     got = kept.collect()
     m = Model({bytes(r["f"]): (float(r["d"]), float(r["z"])) for r in got}, 0.0)
@@ -184,10 +186,23 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_docs:
     sample = rows.mapInArrow(positive, "y int, n long, s array<double>").collect()  # a few numbers for each of about fit_docs rows
     m.lam, m.k = _extreme_value([r for r in sample if r["y"] == 0])
     x = np.array([m.evidence([(0, 0, s) for s in r["s"]], r["n"])[:2] for r in sample])
-    m.cal = tuple(_logistic(x, np.array([r["y"] for r in sample], dtype=float)))
+    y = np.array([r["y"] for r in sample], dtype=float)
+    w = _logistic(x, y)
+    w[0] -= _best_cut(w[0] + x @ w[1:], y)
+    m.cal = tuple(float(v) for v in w)
     return m
 
 
+def _best_cut(logit: np.ndarray, y: np.ndarray) -> float:
+    """Where cutting gives the best F1 on the sample, midway between neighbours: the score of one half is put there."""
+    order = np.argsort(-logit, kind="stable")
+    l, hits = logit[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(l) + 1) + y.sum())
+    ends = np.flatnonzero(np.concatenate((l[1:] < l[:-1], [True])))
+    k = ends[f1[ends].argmax()]
+    return float((l[k] + l[k + 1]) / 2) if k + 1 < len(l) else float(l[k]) - 1.0
+
+
 def _extreme_value(clean: list) -> tuple[float, float]:
     """lambda and K from clean texts: their segment scores above 1 decay as exp(-lambda s) at a rate K per word."""
     n = sum(r["n"] for r in clean) or 1
