@@ -1,15 +1,19 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from gridspark.llm import decontam, langid, quality, sharding, toxicity
+from gridspark.llm import decontam, langid, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op3_language_id": langid.op3,
     "op4_toxicity": toxicity.op4,
+    "op5_url_filters": urls.op5,
     "op7_benchmark_decontamination": decontam.op7,
     "op8_sharding": sharding.op8,
+    "op9_warc": warc.op9,
 }
 ORACLE = {
     "op1_quality_rules": quality.SQL,
+    "op5_url_filters": urls.SQL,
     "op7_benchmark_decontamination": decontam.SQL,
+    "op9_warc": warc.SQL,
 }
