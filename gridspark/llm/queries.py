@@ -1,9 +1,10 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from gridspark.llm import decontam, langid, quality, sharding, toxicity, urls, warc
+from gridspark.llm import decontam, langid, mixing, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_mixing": mixing.op2,
     "op3_language_id": langid.op3,
     "op4_toxicity": toxicity.op4,
     "op5_url_filters": urls.op5,
