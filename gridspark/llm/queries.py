@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from gridspark.llm import decontam, langid, mixing, quality, sharding, toxicity, urls, warc
+from gridspark.llm import decontam, langid, mixing, ngram_join, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_benchmark_decontamination": decontam.op7,
     "op8_sharding": sharding.op8,
     "op9_warc": warc.op9,
+    "op10_ngram_jaccard_join": ngram_join.op10,
 }
 ORACLE = {
     "op1_quality_rules": quality.SQL,
     "op5_url_filters": urls.SQL,
     "op7_benchmark_decontamination": decontam.SQL,
     "op9_warc": warc.SQL,
+    "op10_ngram_jaccard_join": ngram_join.SQL,
 }
