@@ -1,8 +1,67 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near duplicates, benchmark decontamination, mixing, sharding.
 
-STAGES: list = []
+Each stage takes all that its predecessor kept and returns a DataFrame, which is written as Parquet and read again as the
+next stage's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspark.llm import decontam, langid, mixing, ngram_join, sharding
+from gridspark.llm.common import fresh_path, table
+
+#: A document stays if its language covers at least this share of its letters; `und` documents go.
+MIN_LANGUAGE_SHARE = 0.5
+#: Words in a block of the mix.
+MIX_BLOCK = 512
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters most of which one language covers."""
+    out = langid.identify(docs, langid.fit(docs), out="__language")
+    return out.where((F.col("__language.lang") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SHARE)).drop("__language")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least doc_id; rows without a doc_id, and texts without words, stay."""
+    found = ngram_join.near_duplicates(docs)
+    gone = found.where("component_id < doc_id").select("doc_id", F.col("class").alias("__class")).distinct()
+    return ngram_join.without(docs, gone)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontam.find_overlaps(docs, table(spark, sf_dir, "benchmark"), out="__hits").where(F.size("__hits.spans") == 0).drop("__hits")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: runs of documents' words, as often as the mix takes them."""
+    return mixing.mix_documents(docs, block=MIX_BLOCK)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture in shards: docs' columns plus shard and slot."""
+    keyed = docs.withColumn("__t", F.xxhash64("text"))
+    return sharding.shuffle_into_shards(keyed, ["doc_id", "n_chars", "__t"]).drop("__t")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+#: No SQL: language models, seeded draws and permutations are beyond it. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -298,3 +298,27 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) m USING (doc_id)
 """
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows named in gone (doc_id, __class); of rows equal in both, one of which stands for its group, one stays.
+
+    The join carries ids only where gone is small enough to broadcast (PICK_ROWS), else rows meet in a shuffle by doc_id. A row's class
+    is made again from its text only where its doc_id is listed.
+    """
+    if gone.sparkSession is not docs.sparkSession:
+        raise ValueError("both tables must belong to one session")
+    gone = cut(gone)
+    listed = gone.groupBy(doc_id).agg(F.collect_set("__class").alias("__gone"))
+    marked = docs.join(F.broadcast(listed) if gone.count() <= PICK_ROWS else listed, doc_id, "left")
+    at_text, at_gone = marked.columns.index(text), marked.columns.index("__gone")
+
+    def mapped(batches):
+        make = Shingler()
+        with np.errstate(over="ignore"):
+            for b in batches:
+                texts, lists = b.column(at_text), b.column(at_gone)
+                stay = [not g.is_valid or not len(s := make(t.cast(pa.binary()).as_py() if t.is_valid else None)) or set_hash(s) not in set(g.as_py()) for t, g in zip(texts, lists, strict=True)]
+                yield b.filter(pa.array(stay, pa.bool_()))
+
+    return marked.mapInArrow(mapped, marked.schema).select(*docs.columns)

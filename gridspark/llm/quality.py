@@ -65,13 +65,18 @@ def clean_lines(docs: DataFrame, text: str = "text", out: str = "quality") -> Da
     A null or empty text has no words, so base_failed is true and kept false; repeated rows are judged alike, each in its
     own row; an empty table stays empty; other columns pass through.
     """
-    m = docs.withColumn(out, measure(F.col(text)))
-    q = F.col(out)
-    n, rep = q["word"]["n_words"], q["word"]["n_repeat_words"]
-    kept_chars = F.length(F.array_join(q["line"]["kept_lines"], "")).cast("long")
-    failed = (n < 20) | (rep * 100 > n * 30)
-    kept = ~failed & (kept_chars * 100 >= q["line"]["line_chars"] * MIN_KEPT)
-    return m.withColumn(out, F.struct(n.alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["line"]["n_dup_lines"].alias("n_dup_lines"), rep.alias("n_repeat_words"), failed.alias("base_failed"), F.array_join(q["line"]["kept_lines"], "\n").alias("cleaned_text"), F.try_divide(kept_chars, q["line"]["line_chars"]).alias("kept_share"), kept.alias("kept")))
+
+    def judged(q: Column) -> Column:
+        n, rep, line = q["word"]["n_words"], q["word"]["n_repeat_words"], q["line"]
+        kept_chars = F.length(F.array_join(line["kept_lines"], "")).cast("long")
+        failed = (n < 20) | (rep * 100 > n * 30)
+        return F.struct(
+            n.alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), line["n_dup_lines"].alias("n_dup_lines"), rep.alias("n_repeat_words"), failed.alias("base_failed"),
+            F.array_join(line["kept_lines"], "\n").alias("cleaned_text"), F.try_divide(kept_chars, line["line_chars"]).alias("kept_share"),
+            (~failed & (kept_chars * 100 >= line["line_chars"] * MIN_KEPT)).alias("kept"),
+        )
+
+    return docs.withColumn(out, let(measure(F.col(text)), judged))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

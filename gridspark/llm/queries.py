@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from gridspark.llm import decontam, langid, mixing, ngram_join, quality, sharding, toxicity, urls, warc
+from gridspark.llm import decontam, langid, mixing, ngram_join, pii, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language_id": langid.op3,
     "op4_toxicity": toxicity.op4,
     "op5_url_filters": urls.op5,
+    "op6_pii": pii.op6,
     "op7_benchmark_decontamination": decontam.op7,
     "op8_sharding": sharding.op8,
     "op9_warc": warc.op9,
