@@ -1,5 +1,10 @@
 """All queries over the driver tables by name, each with its SQL."""
 
+from gridspark.plans import q_scalar
+
 QUERIES: dict = {}
 ORACLE: dict = {}
-FLAGSHIP = None
+for part in (q_scalar,):
+    QUERIES |= part.Q
+    ORACLE |= part.S
+FLAGSHIP = QUERIES["s2_mosaic"]
