@@ -1,10 +1,10 @@
 """All queries over the driver tables by name, each with its SQL."""
 
-from gridspark.plans import q_scalar
+from gridspark.plans import q_raster, q_scalar
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for part in (q_scalar,):
+for part in (q_scalar, q_raster):
     QUERIES |= part.Q
     ORACLE |= part.S
-FLAGSHIP = QUERIES["s2_mosaic"]
+FLAGSHIP = QUERIES["flagship_region_report"]

@@ -16,13 +16,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def r6(c) -> Column:
-    """Rounded for comparison; no negative zero."""
+    """Rounded to six decimals for comparison. The cut lies beside the half, where neither exact values nor sums of either
+    engine fall; no negative zero."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, 6) + F.lit(0.0)
+    return F.floor(c * 1000000 + 0.4871).cast("double") / 1000000 + F.lit(0.0)
 
 
 def s6(x: str) -> str:
-    return f"(round(({x})::DOUBLE, 6) + 0::DOUBLE)"
+    return f"(floor(({x})::DOUBLE * 1000000 + 0.4871::DOUBLE) / 1000000 + 0::DOUBLE)"
 
 
 def emb(spark, sf) -> DataFrame:
