@@ -1,10 +1,10 @@
 """All queries over the driver tables by name, each with its SQL."""
 
-from gridspark.plans import q_raster, q_scalar
+from gridspark.plans import q_raster, q_scalar, q_vector
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for part in (q_scalar, q_raster):
+for part in (q_scalar, q_raster, q_vector):
     QUERIES |= part.Q
     ORACLE |= part.S
 FLAGSHIP = QUERIES["flagship_region_report"]

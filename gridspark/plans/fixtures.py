@@ -95,7 +95,7 @@ def edges(spark, sf) -> DataFrame:
 
 
 FIX = f"""
-WITH emb AS (SELECT vec_id::INT AS row, (i - 1)::INT AS col, round(embedding[i]::DOUBLE * 1000, 3) AS value FROM embeddings, range(1, 65) t(i)),
+WITH RECURSIVE emb AS (SELECT vec_id::INT AS row, (i - 1)::INT AS col, round(embedding[i]::DOUBLE * 1000, 3) AS value FROM embeddings, range(1, 65) t(i)),
 li AS (SELECT (l_orderkey % 128)::INT AS row, (l_partkey % 128)::INT AS col, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (count(*) * 10000) - 500 AS value FROM lineitem GROUP BY 1, 2),
 cover AS (SELECT (l_orderkey % 128)::INT AS row, (l_partkey % 128)::INT AS col, {list(CLASSES)}[(min(l_suppkey) % 12 + 1)::INT]::INT AS class_id FROM lineitem GROUP BY 1, 2),
 reg AS (SELECT n_name AS name, r_name AS label, least(-90::DOUBLE + (n_nationkey // 5) * 36 + 41, 90::DOUBLE) AS north, -90::DOUBLE + (n_nationkey // 5) * 36 AS south,
