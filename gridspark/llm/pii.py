@@ -131,6 +131,7 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, trust: fl
         graph = cut(graph.where("seed = 1").unionByName(new))
     trusted = graph.where("seed = 0 and worth > 0").select("kind", "value").distinct()
     learnt = others.join(trusted, ["kind", "value"]).groupBy("__row").agg(F.collect_set(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("__learnt"))  # one text's spans
+    learnt = cut(learnt)  # so that both sides of the join are plain exchanges, whose skewed partitions Spark can split
     out = rows.drop("__tokens").join(learnt, "__row", "left")
     order = lambda k: F.array_position(F.array(*(F.lit(x) for x in KINDS)), k)
     span = lambda kind, s, learnt: F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(learnt).alias("learnt"))
