@@ -26,22 +26,22 @@ def fold(i: Column, n: int, border: str) -> Column:
     return F.when(k < n, k).otherwise(2 * n - 2 - k)
 
 
-def pass_along(cells: DataFrame, axis: str, n: int, weights: list[float], border: str = "reflect", value: str = "value") -> DataFrame:
+def pass_along(cells: DataFrame, axis: str, n: int, weights: list[float], border: str = "reflect", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
     """One pass of a separable kernel: out[i] = sum_k w[k] v[fold(i + k)], as a scatter from each source to the outputs that read it."""
     r = len(weights) // 2
     other = "col" if axis == "row" else "row"
     # Output i reads fold(i + k). The few outputs near a border are found by testing k over the kernel and its reflections.
     taps = F.array(*(F.struct(F.lit(k - r).alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights)))
     images = [F.col(axis)] + ([-1 - F.col(axis), 2 * n - 1 - F.col(axis)] if border == "reflect" else [-F.col(axis), 2 * n - 2 - F.col(axis)])
-    src = cells.select(other, F.col(value).alias("__v"), F.explode(F.array_distinct(F.array(*images))).alias("__at")).where(f"__at >= {-r} and __at < {n + r}")
-    out = src.select(other, "__v", "__at", F.explode(taps).alias("t")).select(other, (F.col("__at") - F.col("t.k")).cast("int").alias(axis), (F.col("t.w") * F.col("__v")).alias("__p"))
-    return out.where(f"{axis} >= 0 and {axis} < {n}").groupBy("row", "col").agg(F.sum("__p").alias(value))
+    src = cells.select(*by, other, F.col(value).alias("__v"), F.explode(F.array_distinct(F.array(*images))).alias("__at")).where(f"__at >= {-r} and __at < {n + r}")
+    out = src.select(*by, other, "__v", "__at", F.explode(taps).alias("t")).select(*by, other, (F.col("__at") - F.col("t.k")).cast("int").alias(axis), (F.col("t.w") * F.col("__v")).alias("__p"))
+    return out.where(f"{axis} >= 0 and {axis} < {n}").groupBy(*by, "row", "col").agg(F.sum("__p").alias(value))
 
 
-def smooth(cells: DataFrame, shape: tuple[int, int], sigma: float) -> DataFrame:
-    """Gaussian smoothing of a complete grid, borders reflected. The kernel may be at most as wide as the grid is long."""
+def smooth(cells: DataFrame, shape: tuple[int, int], sigma: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Gaussian smoothing of a complete grid, borders reflected; `by` keeps several grids apart. The kernel may be at most as wide as the grid is long."""
     w = gaussian_weights(sigma)
-    return pass_along(pass_along(cells, "row", shape[0], w), "col", shape[1], w)
+    return pass_along(pass_along(cells, "row", shape[0], w, by=by), "col", shape[1], w, by=by)
 
 
 def high_pass(cells: DataFrame, shape: tuple[int, int], sigma: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +108,13 @@ def jet(t: Column) -> list[Column]:
     return [unit(1.5 - F.abs(4 * t - k)) for k in (3, 2, 1)]
 
 
+def rainbow(t: Column) -> list[Column]:
+    """Hue from blue to red at full saturation and half lightness."""
+    h = 0.66 * (1 - t) * 6
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return [unit(F.abs(h - 3) - 1), unit(2 - F.abs(h - 2)), unit(2 - F.abs(h - 4))]
+
+
 def hot(t: Column) -> list[Column]:
     return [F.least(F.lit(1.0), F.greatest(F.lit(0.0), 3 * t - k)) for k in (0, 1, 2)]
 
@@ -228,7 +237,7 @@ def row_projection(cells: DataFrame, box: tuple, shape: tuple[int, int], kind: s
     return gather_rows(cells, rows.where((src >= 0) & (src <= shape[0] - 1)).select("row", F.inline(two)).where("w > 0"))
 
 
-def cosine(cells: DataFrame, box: tuple, shape: tuple[int, int]) -> DataFrame:
+def cosine(cells: DataFrame, box: tuple, shape: tuple[int, int], nearest: bool = False) -> DataFrame:
     """Each row shrinks or grows to int(n cos(lat) / mean cos) columns, centred; what is wider than the grid is cropped."""
     m, n = shape
     rows = cells.sparkSession.range(m).select(F.col("id").cast("int").alias("row")).withColumn("c", F.cos(F.radians(_latitude(F.col("row"), box, m))))
@@ -238,9 +247,30 @@ def cosine(cells: DataFrame, box: tuple, shape: tuple[int, int]) -> DataFrame:
     keys = r.withColumn("col", F.explode(F.sequence(F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("width"), F.lit(n)) - 1)))
     at = F.when(F.col("width") > 1, (F.col("col") - F.col("start")) / F.nullif(F.col("width") - 1, F.lit(0)) * (n - 1)).otherwise(0.0)
     at = F.round(at, 9)
+    source = cells.select("row", F.col("col").alias("src"), "value")
+    if nearest:  # classes are picked, never mixed
+        return keys.select("row", "col", F.bround(at, 0).cast("int").alias("src")).join(source, ["row", "src"]).select(*KEY, "value")
     lo = F.floor(at).cast("int")
     e = keys.select("row", "col", F.inline(F.array(F.struct(lo.alias("src"), (1 - (at - lo)).alias("w")), F.struct((lo + 1).alias("src"), (at - lo).alias("w"))))).where("w > 0")
-    return e.join(cells.select("row", F.col("col").alias("src"), "value"), ["row", "src"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return e.join(source, ["row", "src"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def aligned(mask: DataFrame, classes: DataFrame, box: tuple, shape: tuple[int, int]) -> DataFrame:
+    """(row, col, water, class_id): a mask projected bilinearly and cut at one half, classes projected to the nearest, both on the mask's cells."""
+    m = cosine(mask, box, shape).select(*KEY, (F.col("value") > 0.5 + 1e-9).cast("int").alias("water"))
+    return m.join(cosine(classes, box, shape, nearest=True).withColumnRenamed("value", "class_id"), KEY, "left")
+
+
+def rotate(cells: DataFrame, shape: tuple[int, int], degrees: float) -> DataFrame:
+    """Turned about the centre: each output cell reads its place in the source, bilinearly; outside there is no value."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    cy, cx = (shape[0] - 1) / 2, (shape[1] - 1) / 2
+    y, x = F.col("row") - cy, F.col("col") - cx
+    at = _keys(cells, shape).withColumn("y", F.round(y * c - x * s + cy, 9)).withColumn("x", F.round(y * s + x * c + cx, 9)).where(f"y >= 0 and y <= {shape[0] - 1} and x >= 0 and x <= {shape[1] - 1}")
+    two = lambda a: F.array(F.struct(F.floor(a).cast("int").alias("i"), (1 - (F.col(a) - F.floor(a))).alias("w")), F.struct((F.floor(a) + 1).cast("int").alias("i"), (F.col(a) - F.floor(a)).alias("w")))
+    e = at.select("row", "col", F.explode(two("y")).alias("a"), two("x").alias("bs")).select("row", "col", "a", F.explode("bs").alias("b"))
+    e = e.select("row", "col", F.col("a.i").alias("__r"), F.col("b.i").alias("__c"), (F.col("a.w") * F.col("b.w")).alias("w")).where("w > 0")
+    return e.join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), "value"), ["__r", "__c"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 def sinusoidal(cells: DataFrame, box: tuple, shape: tuple[int, int]) -> DataFrame:
