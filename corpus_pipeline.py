@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import decontam, langid, mixing, ngram_join, sharding
-from gridspark.llm.common import fresh_path, table
+from gridspark.llm.common import cut, fresh_path, table
 
 #: A document stays if its language covers at least this share of its letters; `und` documents go.
 MIN_LANGUAGE_SHARE = 0.5
@@ -26,9 +26,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id; rows without a doc_id, and texts without words, stay."""
-    found = ngram_join.near_duplicates(docs)
+    found = cut(ngram_join.near_duplicates(docs))
     gone = found.where("component_id < doc_id").select("doc_id", F.col("class").alias("__class")).distinct()
-    return ngram_join.without(docs, gone)
+    left = ngram_join.without(docs, gone)
+    # Rows that repeat both the doc_id and the words of the document that stays are seldom; only they are compared again.
+    again = cut(found.where("component_id = doc_id and class is not null").groupBy("doc_id", "class").count().where("count > 1").select("doc_id").distinct())
+    if again.isEmpty():
+        return left
+    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(twice.select(left.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,9 +150,9 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", b
     taken in several rounds come several times, at most three. Null and wordless texts take no room in the mix and go.
     """
     n = F.coalesce(F.size(words_of(F.col(text))), F.lit(0))
-    rows = docs.withColumn("__size", F.greatest(n, F.lit(0)).cast("long")).withColumn("__t", F.xxhash64(text)).where("__size > 0")
+    rows = docs.withColumn("__size", F.greatest(n, F.lit(0)).cast("long")).withColumn("__text_hash", F.xxhash64(text)).where("__size > 0")
     keys = [c for c, kind in docs.dtypes if c != text and kind in ("bigint", "int", "string")]
-    placed, drawn = plan_mix(rows, source, "__size", [*keys, "__t"], block=block, **options)
+    placed, drawn = plan_mix(rows, source, "__size", [*keys, "__text_hash"], block=block, **options)
     narrow = pieces_of(placed.select("__source", "__from", "__size"), "__size", block)
     got = narrow.join(drawn.select("__source", "__block", "__epoch"), ["__source", "__block"])
     # Consecutive blocks of one round are joined into runs, within the document and round.
@@ -160,10 +160,10 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", b
     runs = got.withColumn("__new", F.when(F.lag("__hi").over(w).eqNullSafe(F.col("__lo")), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
     spans = runs.groupBy("__source", "__from", "__epoch", "__run").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     per_doc = spans.groupBy("__source", "__from").agg(F.collect_list(F.struct("__epoch", "__lo", "__hi")).alias("__runs"))  # at most 3 rounds of the document's own blocks
-    out = placed.join(per_doc, ["__source", "__from"]).withColumn("__r", F.explode("__runs"))
-    part = let(words_of(F.col(text)), lambda ws: F.array_join(F.slice(ws, (F.col("__r.__lo") + 1).cast("int"), (F.col("__r.__hi") - F.col("__r.__lo")).cast("int")), " "))
-    cut_text = F.when(F.col("__r.__hi") - F.col("__r.__lo") == F.col("__size"), F.col(text)).otherwise(part)
-    out = out.withColumn(text, cut_text)
+    whole = lambda r: (r["__hi"] - r["__lo"]) == F.col("__size")
+    part = lambda ws, r: F.array_join(F.slice(ws, (r["__lo"] + 1).cast("int"), (r["__hi"] - r["__lo"]).cast("int")), " ")
+    texts = let(words_of(F.col(text)), lambda ws: F.transform("__runs", lambda r: F.when(whole(r), F.col(text)).otherwise(part(ws, r))))
+    out = placed.join(per_doc, ["__source", "__from"]).withColumn("__texts", texts).withColumn("__t", F.explode("__texts")).drop(text).withColumnRenamed("__t", text)
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast("long"))
     return out.select(*docs.columns)

@@ -39,6 +39,7 @@ def test_run_and_edges(spark, sf):
     for _, stage in cp.STAGES:
         stage(spark, odd, sf).collect()
         stage(spark, odd.where("false"), sf).collect()
+    assert cp.near_duplicates(spark, odd, sf).where("doc_id = 3").count() == 1
     left = ngram_join.without(odd, spark.createDataFrame([(3, ngram_join.set_hash(ngram_join.Shingler()(b"x y z")))], "doc_id long, __class long"))
     assert left.where("doc_id = 3").count() == 0 and left.count() == 3
     assert odd.select(F.count("*")).first()[0] == 5
