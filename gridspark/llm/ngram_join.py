@@ -1,6 +1,6 @@
 """Near-duplicate join on word shingles by parity sketches.
 
-A document's set of shingles is XOR-hashed two ways. A bit sketch (1024 parities) has a Hamming distance that never exceeds the
+A document's set of shingles is XOR-hashed two ways. A bit sketch (two to four parities per shingle) has a Hamming distance that never exceeds the
 size of the symmetric difference, so pairs beyond the distance that the similarity allows are dropped unread. For candidates,
 each size band deals the universe of shingles into parts; a part's word is the XOR of its shingles' hashes. Sets that differ
 in at most D shingles differ in at most D parts, so by the pigeonhole principle the first D + 1 non-empty words of either
@@ -11,12 +11,13 @@ least member (a star), sketches and then exact sets verify the links; only membe
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import cut, table
@@ -25,9 +26,14 @@ from gridspark.llm.graph import components
 WIDTH = 5
 #: Similarity of at least NUM / DEN: the symmetric difference is at most (DEN - NUM) / (DEN + NUM) of both sizes' sum.
 NUM, DEN = 3, 4
-BITS = 1024
-#: A shingle is common from this share of the documents on (and 3 at least): there are at most (mean size / share) such.
-COMMON = 0.002
+LEAST_BITS = 256
+#: A shingle is common when a task's batches hold it COMMON times in sum, counting those with two or more; of these the most frequent,
+#: COMMON_MOST at most, are broadcast. They only change the order of the words.
+COMMON, COMMON_MOST = 12, 2_000_000
+#: Leaders tried in large buckets.
+LEADERS = 4
+#: Candidates in one bucket are compared in blocks of so many.
+BLOCK = 2048
 #: So many ids at most are broadcast to pick candidates' texts; with more the texts are joined by a shuffle.
 PICK_ROWS = 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -41,27 +47,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text whose words are hashed together, and what lies between words.
+CHUNK, GAP = 1 << 16, re.compile(rb"[\x20\x09-\x0D]")
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: 64-bit values of bytes, and which bytes belong to words.
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * FACTORS[1])
+IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+
+
 class Shingler:
-    """Sets of shingles as sorted arrays of 64-bit hashes; word hashes are remembered up to a bound."""
+    """Sets of shingles as sorted arrays of 64-bit hashes.
+
+    Words are hashed together: running sums of byte values times powers of an odd base give each word's polynomial hash.
+    Words of over 64 bytes, for which sums modulo 2^64 are weak, are hashed one by one.
+    """
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
+        n = 2 * CHUNK
+        self.power = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, BASE)))).astype(np.uint64)
+        self.inverse = np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, np.uint64(pow(int(BASE), -1, 2**64)))))).astype(np.uint64)
+
+    def _words(self, low: bytes) -> np.ndarray:
+        """Hashes of the words of at most 2 CHUNK bytes."""
+        b = np.frombuffer(low, np.uint8)
+        n = len(b)
+        inside = np.zeros(n + 2, bool)
+        inside[1:-1] = IN_WORD[b]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(BYTE[b] * self.power[:n], out=sums[1:])
+        h = mix((sums[end] - sums[start]) * self.inverse[start])
+        for k in np.flatnonzero(end - start > 64):
+            h[k] = xxhash.xxh3_64_intdigest(low[start[k] : end[k]])
+        return h
+
+    def _hashes(self, low: bytes) -> np.ndarray:
+        """Word hashes of a text of any length, read in pieces that end between words."""
+        out, at = [], 0
+        while at < len(low):
+            end = len(low)
+            if end - at > CHUNK:
+                gap = GAP.search(low, at + CHUNK)
+                end = gap.start() if gap else end
+            piece = low[at:end]
+            at = end
+            if len(piece) > 2 * CHUNK:  # it ends with a word of over CHUNK bytes
+                head = piece.rsplit(None, 1)
+                out += [self._words(head[0])] * (len(head) > 1) + [np.array([xxhash.xxh3_64_intdigest(head[-1])], np.uint64)]
+            else:
+                out.append(self._words(piece))
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        ws = text.translate(LOWER).split() if text else []
-        if not ws:
+        h = self._hashes(text.translate(LOWER)) if text else ()
+        if not len(h):
             return np.empty(0, np.uint64)
-        memo = self.memo
-        if len(memo) > 400_000:
-            memo.clear()
-        for w in set(ws).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
-        width = min(WIDTH, len(ws))
-        s = np.full(len(ws) - width + 1, width, np.uint64)
-        for k in range(width):
-            s = mix(s + h[k : k + len(s)] * FACTORS[k]) if k == width - 1 else s + h[k : k + len(s)] * FACTORS[k]
-        return np.unique(s)
+        width = min(WIDTH, len(h))
+        m = len(h) - width + 1
+        s = h[:m] * FACTORS[0] + np.uint64(width)
+        for k in range(1, width):
+            s += h[k : k + m] * FACTORS[k]
+        s = mix(s)
+        s.sort()
+        return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -69,10 +119,22 @@ def set_hash(s: np.ndarray) -> int:
     return int((mix(s + np.uint64(0x51ED2701)).sum(dtype=np.uint64) + np.uint64(len(s)) * FACTORS[1]).astype(np.int64))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """BITS parities as signed 64-bit words."""
-    odd = np.bincount(((s >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes in a power of two of at least 2 n (and 256) cells. A sketch of twice the cells folds to one of
+    half by XOR of its halves, so sketches of different sizes compare."""
+    cells = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else LEAST_BITS
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches at the smaller one's size: never more than the symmetric difference of the sets."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
 
 
 def band(n: int) -> int:
@@ -80,7 +142,7 @@ def band(n: int) -> int:
     return (n - 1).bit_length()
 
 
-def bucket_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+def bucket_keys(s: np.ndarray, common: np.ndarray, tiers: np.ndarray) -> np.ndarray:
     """The keys of the buckets that the set joins: for its own band, and for that of the largest set it may be linked with.
 
     Of the n // 3 + 1 words (the symmetric difference with a set of up to 4 n / 3 shingles is at most n / 3) in part order all
@@ -88,24 +150,27 @@ def bucket_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """
     n = len(s)
     need = n // 3 + 1
-    at = np.searchsorted(common, s)
-    often = common[np.minimum(at, len(common) - 1)] == s if len(common) else np.zeros(n, bool)
+    # The part is the hash's leading bits below the shingle's tier, so that parts of rare shingles come first.
+    tier = np.zeros(n, np.uint64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        tier = np.where(common[at] == s, tiers[at], np.uint64(0))
+    order = np.argsort(tier, kind="stable")
+    s, late = s[order], tier[order] << np.uint64(50)
     keys = []
     for b in range(band(n), band(n * DEN // NUM) + 1):
-        part = (mix(s + FACTORS[2]) & np.uint64((1 << b) - 1)) | (often.astype(np.uint64) << np.uint64(40))
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        word = np.bitwise_xor.reduceat(s[order], first)[:need]
-        keys.append(mix(word ^ mix(p[first][:need] + np.uint64(b + 1) * FACTORS[3])))
+        part = (s >> np.uint64(64 - b) if b else np.zeros(n, np.uint64)) | late
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        word = np.bitwise_xor.reduceat(s, first)[:need]
+        keys.append(mix(word ^ mix(part[first[:need]] + np.uint64(b + 1) * FACTORS[3])))
         if len(first) < need:
             keys.append(mix(s + np.uint64(b + 1) * FACTORS[4]))
-    return np.unique(np.concatenate(keys)).view(np.int64)
+    return np.concatenate(keys).view(np.int64)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
     """Per document (i, n, h, k): id, set size, set hash, sketch; and rows (h = shingle, n = documents in the batch that have it, i = -1, k
-    null) of shingles common in a batch. A shingle in a share of all documents is in that share of some batch."""
+    null) of shingles that stand in two or more documents of a batch."""
 
     def mapped(batches):
         make = Shingler()
@@ -122,26 +187,41 @@ def _narrow(docs: DataFrame) -> DataFrame:
                         seen.add(h[-1])
                         sets.append(s)
                 u, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-                often = c >= max(3, COMMON * len(sets))
+                often = c >= 2
                 u, c = u[often].view(np.int64), c[often]
-                yield _batch(ids, n, h, np.concatenate(k), np.full(len(n), False))
+                yield _batch(ids, n, h, pa.array(k, pa.binary()), False)
                 if len(u):
-                    yield _batch(pa.nulls(len(u), pa.int64()), c, u, np.empty(0, np.int64), np.full(len(u), True))
+                    yield _batch(pa.nulls(len(u), pa.int64()), c, u, pa.nulls(len(u), pa.binary()), True)
+
+    return docs.mapInArrow(mapped, "i long, n long, h long, k binary, often boolean")
 
-    return docs.mapInArrow(mapped, "i long, n long, h long, k array<long>, often boolean")
 
+def _batch(ids, n, h, k, often: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(h, pa.int64()), k, pa.array(np.full(len(n), often))], names=["i", "n", "h", "k", "often"])
 
-def _batch(ids, n, h, k, often) -> pa.RecordBatch:
-    width = 0 if often[0] else BITS // 64
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * width), pa.array(k, pa.int64()))
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(h, pa.int64()), lists, pa.array(often)], names=["i", "n", "h", "k", "often"])
+
+def _common(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles (h, n summed) as sorted hashes and tiers (the binary logarithm of how often they were counted)."""
+    n = often.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("h", F.floor(F.log2("n")).cast("int").alias("tier"))
+    n = cut(n)
+    least, total = 0, 0
+    for r in sorted(n.groupBy("tier").count().collect(), reverse=True):
+        total += r["count"]
+        least = r["tier"]
+        if total > COMMON_MOST:
+            least += 1
+            break
+    got = n.where(F.col("tier") >= least).toPandas()
+    h, tier = got["h"].to_numpy(np.int64).view(np.uint64), got["tier"].to_numpy(np.uint64)
+    order = np.argsort(h)
+    return h[order], tier[order]
 
 
 def _buckets(docs: DataFrame, common) -> DataFrame:
     """(key, h) of every different set in a task: copies within the task are left out before anything is shuffled."""
 
     def mapped(batches):
-        make, seen, often = Shingler(), set(), common.value
+        make, seen, often = Shingler(), set(), common.value  # hashes in order, and their tiers
         with np.errstate(over="ignore"):
             for b in batches:
                 hs, ks = [], []
@@ -151,7 +231,7 @@ def _buckets(docs: DataFrame, common) -> DataFrame:
                         continue
                     seen.add(h)
                     hs.append(h)
-                    ks.append(bucket_keys(s, often))
+                    ks.append(bucket_keys(s, *often))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ks]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ks) if ks else np.empty(0, np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), lists], names=["h", "keys"])
@@ -192,22 +272,126 @@ def _stars(buckets: DataFrame, parts: int) -> DataFrame:
                 held_k, held_h, member[at[-1] :] = k[at[-1] :], h[at[-1] :], False
             i = np.flatnonzero(member)
             yield batch(k[i], lead[of[i]], h[i], big[of[i]])
+            # In one of eight large buckets the next few members lead as well, for links within large groups of near copies.
+            rank = np.arange(len(k)) - at[of]
+            for nth in range(1, LEADERS):
+                j = np.flatnonzero(big[of] & (rank > nth) & (k & 7 == 0))
+                if len(j):
+                    yield batch(k[j], h[at[of[j]] + nth], h[j], np.zeros(len(j), bool))
         if len(held_k) == 2:
             yield batch(held_k[:1], held_h[:1], held_h[1:], np.array([False]))
 
     return buckets.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(mapped, "key long, a long, b long")
 
 
-def _hamming(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, c) whose sizes and sketches allow the similarity, with the ids that stand for both sets. Sizes are compared
+    before sketches are joined."""
+    side = lambda x: classes.select(F.col("h").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(NUM * F.greatest("na", "nb") <= DEN * F.least("na", "nb"))
+    of = lambda x: classes.select(F.col("h").alias(x), F.col("k").alias(f"k{x}"))
+    drawn = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ra", "rb", "c", (F.col("na") + F.col("nb")).alias("n"), "ka", "kb")
+
+    def mapped(batches):
+        for b in batches:
+            n, ka, kb = (b.column(k).to_pylist() for k in (5, 6, 7))
+            keep = [(DEN + NUM) * distance(x, y) <= (DEN - NUM) * z for x, y, z in zip(ka, kb, n, strict=True)]
+            yield b.select(["a", "b", "ra", "rb", "c"]).filter(pa.array(keep, pa.bool_()))
 
+    return drawn.mapInArrow(mapped, "a long, b long, ra long, rb long, c long")
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and sketches allow the similarity, with the ids that stand for both sets."""
-    a = classes.select(F.col("h").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    b = classes.select(F.col("h").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    found = pairs.join(a, "a").join(b, "b").where(NUM * F.greatest("na", "nb") <= DEN * F.least("na", "nb"))
-    return found.where((DEN + NUM) * _hamming("ka", "kb") <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b", "ra", "rb")
+
+def _far_pairs(big: DataFrame, root: DataFrame, classes: DataFrame, parts: int, tried: DataFrame | None = None) -> DataFrame:
+    """(a, b, ra, rb): members of one bucket in different components whose sizes and sketches allow the similarity.
+
+    In each bucket, members outside its most frequent component are held in blocks of about BLOCK while all its members stream past, so
+    no pair is made that the sketches rule out. Pairs (a, b) of `tried` are left out.
+    """
+    member = big.select("key", F.col("b").alias("h")).union(big.select("key", F.col("a").alias("h")).distinct())
+    known = cut(member.join(root.select(F.col("node").alias("h"), "root"), "h"))
+    most = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("all"), F.max("c").alias("c"))
+    most = most.where("roots > 1").select("key", "main", F.ceil((F.col("all") - F.col("c")) / BLOCK).cast("int").alias("blocks"))
+    placed = known.join(most, "key").withColumn("odd", F.col("root") != F.col("main"))
+    held = placed.where("odd").select("key", F.pmod("h", "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "h", "root", "odd")
+    every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "h", "root", "odd")
+    # What was tried travels with the held members only: every pair has one of them.
+    if tried is None:
+        held = held.withColumn("tried", F.lit(None).cast("array<long>"))
+    else:
+        both = tried.select(F.col("a").alias("h"), F.col("b").alias("o")).union(tried.select("b", "a"))
+        held = held.join(cut(both.groupBy("h").agg(F.collect_set("o").alias("tried"))), "h", "left")
+    rows = held.unionByName(every.withColumn("tried", F.lit(None).cast("array<long>"))).join(classes.select("h", "rep", "n", "k"), "h")
+    rows = rows.select("key", "block", "side", "h", "root", "odd", "rep", "n", "k", "tried")
+
+    def mapped(batches):
+        at, held = None, None
+        for b in batches:
+            out = []
+            for key, block, side, h, root_, odd, rep, n, k, past in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, block) != at:
+                    at, held = (key, block), []
+                if not side:
+                    held.append((h, root_, rep, n, k, frozenset(past or ())))
+                    continue
+                if isinstance(held, list):
+                    held = Block(held)
+                for x, r, before in held.near(h, root_, n, k):
+                    if (odd and h > x) or h in before:  # two held members meet both ways, and once is enough
+                        continue
+                    out.append((h, x, rep, r) if h < x else (x, h, r, rep))
+            out = list(dict.fromkeys(out))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["a", "b", "ra", "rb"])
+
+    return rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side").mapInArrow(mapped, "a long, b long, ra long, rb long").distinct()
+
+
+class Block:
+    """Some sets' sketches, compared with one other at a time; folded copies are made when first needed."""
+
+    def __init__(self, rows: list):
+        self.h, self.root, self.rep, self.n = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        self.tried = [r[5] for r in rows]
+        self.k = [np.frombuffer(r[4], np.uint8) for r in rows]
+        self.size = np.array([len(k) for k in self.k])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def _at(self, size: int) -> np.ndarray:
+        if size not in self.folded:
+            out = np.zeros((len(self.k), size), np.uint8)
+            for i, k in enumerate(self.k):
+                while len(k) > size:
+                    k = k[: len(k) // 2] ^ k[len(k) // 2 :]
+                if len(k) == size:
+                    out[i] = k
+            self.folded[size] = out.view(np.uint64)
+        return self.folded[size]
+
+    def near(self, h: int, root: int, n: int, k: bytes) -> list[tuple]:
+        """(hash, id, tried) of the sets of other components that sizes and sketches don't rule out."""
+        y = np.frombuffer(k, np.uint8)
+        fit = (self.root != root) & (self.h != h) & (NUM * np.maximum(self.n, n) <= DEN * np.minimum(self.n, n))
+        found = []
+        for size in np.unique(np.minimum(self.size[fit], len(y))):
+            z = y
+            while len(z) > size:
+                z = z[: len(z) // 2] ^ z[len(z) // 2 :]
+            i = np.flatnonzero(fit & (np.minimum(self.size, len(y)) == size))
+            d = np.bitwise_count(self._at(int(size))[i] ^ z.view(np.uint64)).sum(1)
+            i = i[(DEN + NUM) * d.astype(np.int64) <= (DEN - NUM) * (self.n[i] + n)]
+            found += [(int(self.h[q]), int(self.rep[q]), self.tried[q]) for q in i]
+        return found
+
+
+def _apart(root: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose roots differ."""
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b")
+
+
+def _grow(root: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after the links (a, b) have joined their components."""
+    over = components(_apart(root, links).select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(root.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -260,23 +444,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     narrow = cut(_narrow(rows))
     sets = narrow.where("not often")
     classes = cut(sets.where("n > 0 and i is not null").groupBy("h").agg(F.min("i").alias("rep"), F.max("n").alias("n"), F.first("k").alias("k")))
-    total = classes.count()
-    common = narrow.where("often").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, COMMON * total)).select("h").toPandas()["h"]
-    held = spark.sparkContext.broadcast(np.sort(common.to_numpy(dtype=np.int64).view(np.uint64)))
+    held = spark.sparkContext.broadcast(_common(narrow.where("often")))
     stars = cut(_stars(_buckets(rows, held), parts))
-    first = _verified(_plausible(stars.select("a", "b").distinct(), classes), rows)
-    root = cut(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    # In larger buckets, members still apart from the least member are paired with the members of other components.
-    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    big = stars.where("key is not null").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"r{c}": F.coalesce(f"r{c}", c) for c in "ab"})
-    big = big.join(classes.select(F.col("h").alias("b"), "n"), "b")
-    odd = big.where("ra <> rb").select("key", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("n").alias("nx"))
-    apart = odd.join(big.select("key", "b", "rb", "n"), "key").where((F.col("rx") != F.col("rb")) & (NUM * F.greatest("n", "nx") <= DEN * F.least("n", "nx")))
-    second = _verified(_plausible(apart.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct(), classes), rows)
-    both = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v"))
-    over = components(both)
-    final = classes.select("h", "rep").join(root.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    final = final.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).select("h", "rep", "root")
+    # Most members join their component by the pair that shares most words; other pairs are read only while they would join two.
+    pairs = cut(_plausible(stars.groupBy("a", "b").agg(F.count("*").alias("c")), classes))
+    best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "ra", "rb"), F.struct("c", -F.col("ra"))).alias("m")).select("m.a", "b", "m.ra", "m.rb")
+    root = _grow(classes.select(F.col("h").alias("node"), F.col("h").alias("root")), _verified(best, rows))
+    root = _grow(root, _verified(_apart(root, pairs).select("a", "b", "ra", "rb"), rows))
+    # In larger buckets, members of different components are compared.
+    # First by one of eight buckets, which finds most pairs once instead of many times; then by all, without the pairs tried.
+    big = stars.where("key is not null")
+    some = cut(_far_pairs(big.where(F.col("key").bitwiseAND(F.lit(7)) == 0), root, classes, parts))
+    root = _grow(root, _verified(some, rows))
+    root = _grow(root, _verified(_far_pairs(big, root, classes, parts, some), rows))
+    final = classes.join(root.withColumnRenamed("node", "h"), "h").select("h", "rep", "root")
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = final.join(least, "root").select("h", "component_id")
     out = sets.where("n > 0 and i is not null").join(of_class, "h").select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("h").alias("class"), "component_id")
@@ -289,7 +470,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, w[i:i + 4] AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
@@ -301,7 +483,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id FRO
 
 
 def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows named in gone (doc_id, __class); of rows equal in both, one of which stands for its group, one stays.
+    """docs without the rows named in gone (doc_id, __class).
 
     The join carries ids only where gone is small enough to broadcast (PICK_ROWS), else rows meet in a shuffle by doc_id. A row's class
     is made again from its text only where its doc_id is listed.

@@ -377,6 +377,6 @@ def test_every_linked_pair_shares_a_bucket():
                 same = len(np.intersect1d(a, b))
                 if len(b) and 4 * same >= 3 * (len(a) + len(b) - same):
                     common = np.sort(rng.choice(a, n // 3, replace=False))
-                    assert np.intersect1d(ngram_join.bucket_keys(a, common), ngram_join.bucket_keys(b, common)).size
-                    x = ngram_join.sketch(a) ^ ngram_join.sketch(b)
-                    assert sum(int(v & (2**64 - 1)).bit_count() for v in x.tolist()) <= len(a) + len(b) - 2 * same
+                    tiers = rng.integers(3, 9, len(common)).astype(np.uint64)
+                    assert np.intersect1d(ngram_join.bucket_keys(a, common, tiers), ngram_join.bucket_keys(b, common, tiers)).size
+                    assert ngram_join.distance(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(a) + len(b) - 2 * same
