@@ -42,9 +42,10 @@ def segments(scores: list[tuple[int, float]], n: int, step: float) -> list[tuple
     """All maximal-scoring segments of n words in one pass, where words outside `scores` (position, value) score -step.
 
     Each candidate keeps the running sum before and after it; one whose left sum is not below an earlier one's opens a new
-    candidate, one whose right sum exceeds it is merged with what lies between.
+    candidate, one whose right sum exceeds it is merged with what lies between. A candidate also keeps the place of the nearest
+    earlier one with a lower left sum, so that the search steps over the others and stays linear.
     """
-    out: list[list] = []  # start, end, sum before, sum after
+    out: list[list] = []  # start, end, sum before, sum after, place of the nearest earlier one whose sum before is lower
     total, last = 0.0, -1
     for at, v in scores:
         total -= step * (at - last - 1)
@@ -54,16 +55,17 @@ def segments(scores: list[tuple[int, float]], n: int, step: float) -> list[tuple
             continue
         cur = [at, at + 1, total, total + v]
         total += v
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= cur[2]:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= cur[3]:
-                out.append(cur)
+                out.append([*cur, j])
                 break
-            cur = [out[j][0], cur[1], out[j][2], cur[3]]
+            cur, before = [out[j][0], cur[1], out[j][2], cur[3]], out[j][4]
             del out[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in out]
+            j = before
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in out]
 
 
 class Model:
@@ -83,16 +85,15 @@ class Model:
         return best
 
     def scan(self, text: str | None, memo: dict) -> tuple[list, int]:
-        """The segments and the number of words; a word that comes again in the text adds nothing new."""
-        ws, scored, seen = words(text), [], set()
+        """The segments of the text, in which every occurrence of a word counts, and the number of words."""
+        ws, scored = words(text), []
         for i, w in enumerate(ws):
             v = memo.get(w)
             if v is None:
                 if len(memo) > 500_000:
                     memo.clear()
                 v = memo[w] = self.word(w)
-            if v and w not in seen:
-                seen.add(w)
+            if v:
                 scored.append((i, v))
         return segments(scored, len(ws), self.step), len(ws)
 

@@ -168,6 +168,13 @@ def test_maximal_segments():
         assert [round(s, 6) for *_, s in brute_segments(dense)] == [s for *_, s in got]
 
 
+def test_toxicity_scores_every_occurrence():
+    model = toxicity.Model({b"bad": (2.0, 9.0)}, 0.0)
+    rude = "bad bad bad bad bad"
+    assert [(a, b) for a, b, _ in model.scan(f"{rude} {'fine ' * 2000}{rude}", {})[0]] == [(0, 5), (2005, 2010)]
+    assert [round(s, 6) for *_, s in model.scan(f"{rude} {'fine ' * 2000}{rude}", {})[0]] == [10.0, 10.0]
+
+
 def test_toxicity_edges_and_held_out(spark, sf, edge):
     none = toxicity.fit(spark.createDataFrame([], "text string, label int"))
     assert all(0 <= r["toxicity"]["score"] < 0.5 for r in toxicity.find_toxic(edge, none).collect())
