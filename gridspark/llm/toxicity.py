@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import folded_table, table
+from gridspark.llm.common import cut, folded_table, table
 
 #: About so many labelled documents are learnt from (a documented bound); all are when there are fewer.
 FIT_DOCS = 20_000
@@ -177,16 +177,25 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_docs:
     m = Model({bytes(r["f"]): (float(r["d"]), float(r["z"])) for r in got}, 0.0)
     held = rows.sparkSession.sparkContext.broadcast(m)
 
-    def positive(batches):
+    def scanned(batches):
         model, memo = held.value, {}
         for b in batches:
-            raw = [(t, y, *model.scan(t, memo)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            tops = [sorted((s for _, _, s in f), reverse=True)[:40] for _, _, f, _ in raw]
-            yield pa.RecordBatch.from_arrays([pa.array([y for _, y, _, _ in raw], pa.int32()), pa.array([n for *_, n in raw], pa.int64()), pa.array(tops, pa.list_(pa.float64()))], names=["y", "n", "s"])
+            raw = [(y, *model.scan(t, memo)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _, _ in raw], pa.int32()), pa.array([n for *_, n in raw], pa.int64()), pa.array([[s for *_, s in f] for _, f, _ in raw], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
-    sample = rows.mapInArrow(positive, "y int, n long, s array<double>").collect()  # a few numbers for each of about fit_docs rows
-    m.lam, m.k = _extreme_value([r for r in sample if r["y"] == 0])
-    x = np.array([m.evidence([(0, 0, s) for s in r["s"]], r["n"])[:2] for r in sample])
+    found = cut(rows.mapInArrow(scanned, "y int, n long, s array<double>"))
+    high = F.filter("s", lambda v: v > 1.0)
+    m.lam, m.k = _extreme_value(*found.where("y = 0").agg(F.sum("n"), F.sum(F.size(high)), F.sum(F.aggregate(high, F.lit(0.0), lambda t, v: t + v))).first())
+    fitted = rows.sparkSession.sparkContext.broadcast(m)
+
+    def weighed(batches):
+        model = fitted.value
+        for b in batches:
+            got = [model.evidence([(0, 0, v) for v in s], n)[:2] for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64())], names=["y", "best", "total"])
+
+    sample = found.mapInArrow(weighed, "y int, best double, total double").collect()  # three numbers for each of about fit_docs rows
+    x = np.array([(r["best"], r["total"]) for r in sample])
     y = np.array([r["y"] for r in sample], dtype=float)
     w = _logistic(x, y)
     w[0] -= _best_cut(w[0] + x @ w[1:], y)
@@ -204,12 +213,11 @@ def _best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float((l[k] + l[k + 1]) / 2) if k + 1 < len(l) else float(l[k]) - 1.0
 
 
-def _extreme_value(clean: list) -> tuple[float, float]:
-    """lambda and K from clean texts: their segment scores above 1 decay as exp(-lambda s) at a rate K per word."""
-    n = sum(r["n"] for r in clean) or 1
-    s = np.array([v for r in clean for v in r["s"] if v > 1.0])
-    lam = 1.0 if len(s) < 20 else float(np.clip(1 / max(s.mean() - 1.0, 1e-3), 0.3, 2.0))
-    return lam, max(len(s), 1) / n * math.exp(lam)
+def _extreme_value(words: int | None, n: int | None, total: float | None) -> tuple[float, float]:
+    """lambda and K from so many words of clean texts, whose n segment scores above 1 sum to total and decay as exp(-lambda s) at a rate K per word."""
+    n = n or 0
+    lam = 1.0 if n < 20 else float(np.clip(1 / max(total / n - 1.0, 1e-3), 0.3, 2.0))
+    return lam, max(n, 1) / (words or 1) * math.exp(lam)
 
 
 FOUND = "struct<score:double,passages:array<struct<start:int,end:int,score:double,p:double>>>"

@@ -175,6 +175,17 @@ def test_toxicity_scores_every_occurrence():
     assert [round(s, 6) for *_, s in model.scan(f"{rude} {'fine ' * 2000}{rude}", {})[0]] == [10.0, 10.0]
 
 
+def test_toxicity_fit_counts_all_segments(spark):
+    # A clean text of 300 segments besides texts of one or none: K is the number of segments of all clean texts per word.
+    burst, gap = "trottel", "ja " * 400
+    docs = [(f"{burst} {gap}" * 300, 0)] + [(f"gut {i} {chr(97 + i % 26)}{chr(97 + i // 26)}", 0) for i in range(60)] + [(f"so ein {burst} x{chr(97 + i)}", 1) for i in range(26)]
+    model = toxicity.fit(spark.createDataFrame(docs, "text string, label int"))
+    found = [model.scan(t, {}) for t, y in docs if y == 0]
+    high = [s for f, _ in found for *_, s in f if s > 1.0]
+    assert len(high) > 250
+    assert model.k == pytest.approx(len(high) / sum(n for _, n in found) * np.exp(model.lam))
+
+
 def test_toxicity_edges_and_held_out(spark, sf, edge):
     none = toxicity.fit(spark.createDataFrame([], "text string, label int"))
     assert all(0 <= r["toxicity"]["score"] < 0.5 for r in toxicity.find_toxic(edge, none).collect())
