@@ -3,7 +3,9 @@
 Four base expressions find e-mail addresses, IP addresses, card and phone numbers. These seeds induce lexical patterns: the word to the left
 of an identifier, per kind. Patterns and instances form a bipartite graph that Spark scores in rounds: a pattern is worth
 the share of trusted among its different instances, an untrusted instance (a token of the kind's shape that the base expressions do not
-accept) is worth the noisy-or of its patterns, and instances above the threshold become trusted. DataFrame expressions only.
+accept) is worth the noisy-or of its patterns, and instances above the threshold become trusted. A pattern counts once it has LEAST_SEEDS
+different trusted instances, seeds or discovered ones, and rounds go on
+until no instance is newly trusted and worth no longer grows. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ SHAPES = {
     "card": r"^[0-9](-?[0-9]){11,18}$",
     "phone": r"^\(?[0-9]{2,4}\)?[-.][0-9]{2,4}([-.][0-9]{2,4}){1,3}$",
 }
-ROUNDS, TRUST, LEAST_SEEDS, SMOOTH = 3, 0.9, 3, 2.0
+TRUST, LEAST_SEEDS, SMOOTH = 0.9, 3, 2.0
+#: Rounds end when the worth of all discovered instances together grows by no more than this.
+SETTLED = 1e-6
 STEP = 256
 
 
@@ -99,7 +103,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def extract(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:
+def extract(docs: DataFrame, text: str = "text", trust: float = TRUST) -> DataFrame:
     """docs' columns but the text, plus base (spans by kind) and all_spans: array<struct<kind, start, end, learnt>>, sorted by kind as
     listed, then start. A null text counts as empty; equal texts get equal spans; a text without digits and @ has none; an
     empty table stays empty; column names that begin with __ are taken.
@@ -123,12 +127,14 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, trust: fl
     known = seeds.withColumn("worth", F.lit(1.0)).withColumn("seed", F.lit(1))
     open_ = others.select("kind", "left", "value").distinct()
     graph = cut(known.unionByName(open_.withColumn("worth", F.lit(0.0)).withColumn("seed", F.lit(0))))
-    for _ in range(rounds):
-        patterns = graph.groupBy("kind", "left").agg(F.sum("worth").alias("w"), F.count("*").alias("c"), F.sum("seed").alias("seeds"))
-        patterns = patterns.where(F.col("seeds") >= LEAST_SEEDS).select("kind", "left", (F.col("w") / (F.col("c") + SMOOTH)).alias("p"))
+    had, now = -1.0, 0.0
+    while now > had + SETTLED:  # worth only grows, and by TRUST at least where an instance is newly trusted
+        patterns = graph.groupBy("kind", "left").agg(F.sum("worth").alias("w"), F.count("*").alias("c"), F.count_distinct(F.when(F.col("worth") > 0, F.col("value"))).alias("support"))
+        patterns = patterns.where(F.col("support") >= LEAST_SEEDS).select("kind", "left", (F.col("w") / (F.col("c") + SMOOTH)).alias("p"))
         graded = graph.where("seed = 0").join(patterns, ["kind", "left"], "left").groupBy("kind", "value").agg((1 - F.exp(F.sum(F.ln(1 - F.least(F.coalesce("p", F.lit(0.0)), F.lit(0.999)))))).alias("g"))
         new = graph.where("seed = 0").drop("worth").join(graded, ["kind", "value"]).select("kind", "left", "value", F.when(F.col("g") >= trust, F.col("g")).otherwise(0.0).alias("worth"), "seed")
         graph = cut(graph.where("seed = 1").unionByName(new))
+        had, now = now, graph.where("seed = 0").agg(F.coalesce(F.sum("worth"), F.lit(0.0))).first()[0]
     trusted = graph.where("seed = 0 and worth > 0").select("kind", "value").distinct()
     learnt = others.join(trusted, ["kind", "value"]).groupBy("__row").agg(F.collect_set(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("__learnt"))  # one text's spans
     learnt = cut(learnt)  # so that both sides of the join are plain exchanges, whose skewed partitions Spark can split

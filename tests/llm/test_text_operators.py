@@ -241,6 +241,22 @@ def test_pii_base_equals_contract(spark, sf, edge):
     assert pii.extract(edge.where("false")).count() == 0
 
 
+def test_pii_learns_in_two_hops(spark):
+    # Local numbers are learnt after "telephone:", which has seeds; only they make "hotline:" a pattern, which has none, and
+    # in that round no instance is newly trusted: the last number is found one round later.
+    seeds = [(i, f"our telephone: +1 (555) 010-{1000 + i} at noon") for i in range(400)]
+    local = [f"555-020-{1000 + i}" for i in range(30)]
+    first = [(1000 + i, f"our telephone: {v} at noon") for i, v in enumerate(local)]
+    second = [(2000 + i, f"their hotline: {v} at noon") for i, v in enumerate(local)]
+    last = (3000, "their hotline: 555-030-9999 at noon")
+    none = (3001, "their version: 555-040-9999 at noon")
+    docs = spark.createDataFrame([*seeds, *first, *second, last, none], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["all_spans"] if s["learnt"]] for r in pii.extract(docs).collect()}
+    assert all(got[i] for i, _ in [*first, *second])
+    start = last[1].index("555")
+    assert got[3000] == [("phone", start, start + 12)] and not got[3001]
+
+
 def test_pii_learns_from_context(spark):
     seeds = [(i, f"Please call our office, telephone: +1 (555) 010-{1000 + i} at noon") for i in range(40)]
     new = [(100, "ring us, telephone: 555-010-7777 today"), (101, "the score was 555-010-7777 points... no, version 555-010-8888")]
