@@ -26,15 +26,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id; rows without a doc_id, and texts without words, stay."""
-    found = cut(ngram_join.near_duplicates(docs))
-    gone = found.where("component_id < doc_id").select("doc_id", F.col("class").alias("__class")).distinct()
+    found = cut(ngram_join.grouped(docs))
+    # Of the rows that share the least doc_id of a component, those of its least class stay.
+    stay = found.where("component_id = doc_id and class is not null")
+    twice = cut(stay.groupBy("doc_id", "root").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1"))
+    other = stay.join(twice, ["doc_id", "root"]).where("class <> least").select("doc_id", F.col("class").alias("__class"))
+    gone = found.where("component_id < doc_id").select("doc_id", F.col("class").alias("__class")).union(other).distinct()
     left = ngram_join.without(docs, gone)
-    # Rows that repeat both the doc_id and the words of the document that stays are seldom; only they are compared again.
-    again = cut(found.where("component_id = doc_id and class is not null").groupBy("doc_id", "class").count().where("count > 1").select("doc_id").distinct())
-    if again.isEmpty():
+    if twice.isEmpty():
         return left
-    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(twice.select(left.columns))
+    # Rows that share the doc_id and the class are seldom; only they are compared again: the least row by its text's hash stays.
+    again = twice.select("doc_id").distinct()
+    rows = cut(ngram_join.with_class(left.join(again, "doc_id", "left_semi").select(left.columns)))
+    one = rows.where("__class is not null").groupBy("doc_id", "__class").agg(F.min(F.struct(F.xxhash64("text").alias("__text"), *left.columns)).alias("__row"))
+    kept = one.select(*(F.col(f"__row.{c}") for c in left.columns)).unionByName(rows.where("__class is null").drop("__class"))
+    return left.join(again, "doc_id", "left_anti").unionByName(kept)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

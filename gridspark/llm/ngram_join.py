@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.llm.common import cut, table
 from gridspark.llm.graph import components
@@ -438,6 +439,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     and are linked with nothing; a row with a null doc_id takes no part in links and has a null component_id; rows that
     repeat a doc_id stay rows of their own; an empty table gives an empty result. Other columns don't matter.
     """
+    return grouped(docs, doc_id, text).drop("root")
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_duplicates with root, a class that stands for the component: components whose least doc_id is the same differ in it."""
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t"))
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
@@ -459,9 +465,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     root = _grow(root, _verified(_far_pairs(big, root, classes, parts, some), rows))
     final = classes.join(root.withColumnRenamed("node", "h"), "h").select("h", "rep", "root")
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = final.join(least, "root").select("h", "component_id")
-    out = sets.where("n > 0 and i is not null").join(of_class, "h").select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("h").alias("class"), "component_id")
-    rest = sets.where("n = 0 or i is null").select("i", "n", F.when(F.col("n") > 0, F.col("h")), "i")
+    of_class = final.join(least, "root").select("h", "component_id", "root")
+    out = sets.where("n > 0 and i is not null").join(of_class, "h").select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("h").alias("class"), "component_id", "root")
+    rest = sets.where("n = 0 or i is null").select("i", "n", F.when(F.col("n") > 0, F.col("h")), "i", F.lit(None).cast("long"))
     return out.union(rest)
 
 
@@ -504,3 +510,17 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str
                 yield b.filter(pa.array(stay, pa.bool_()))
 
     return marked.mapInArrow(mapped, marked.schema).select(*docs.columns)
+
+
+def with_class(docs: DataFrame, text: str = "text", out: str = "__class") -> DataFrame:
+    """docs plus the class of each row's text as near_duplicates gives it; null for a text without words."""
+    at = docs.columns.index(text)
+
+    def mapped(batches):
+        make = Shingler()
+        with np.errstate(over="ignore"):
+            for b in batches:
+                sets = [make(t.cast(pa.binary()).as_py() if t.is_valid else None) for t in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, out])
+
+    return docs.mapInArrow(mapped, T.StructType([*docs.schema, T.StructField(out, T.LongType())]))

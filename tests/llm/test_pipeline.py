@@ -43,3 +43,17 @@ def test_run_and_edges(spark, sf):
     left = ngram_join.without(odd, spark.createDataFrame([(3, ngram_join.set_hash(ngram_join.Shingler()(b"x y z")))], "doc_id long, __class long"))
     assert left.where("doc_id = 3").count() == 0 and left.count() == 3
     assert odd.select(F.count("*")).first()[0] == 5
+
+
+def test_one_row_of_a_component_with_repeated_ids(spark, sf):
+    base = [f"w{i}" for i in range(200)]
+    near = " ".join([*base[:-1], "other"])  # links with the text, but is another class
+    text = " ".join(base)
+    far = " ".join(f"v{i}" for i in range(50))  # another component under the same doc_id
+    rows = [(1, text), (1, text.upper()), (1, text.replace(" ", "  ")), (1, text), (1, near), (2, near), (1, far), (1, far.upper()), (1, ""), (1, ""), (None, text)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, sf).collect()]
+    assert len([t for i, t in got if i == 1 and t.lower().startswith("w")]) == 1
+    assert len([t for i, t in got if i == 1 and t.lower().startswith("v")]) == 1
+    assert got.count((1, "")) == 2 and (None, text) in got and len(got) == 5
+    assert sorted(got, key=str) == sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs.orderBy(F.desc("text")), sf).collect()), key=str)
