@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,30 @@ def ordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("north", F.greatest(x, y)).withColumn("south", F.least(x, y)).where(x.isNotNull() & y.isNotNull() & (x != y))
 
 
+#: Keys drawn for each range of unique_names.
+RANGE_SAMPLE = 50
+
+
 def unique_names(df: DataFrame, base: str, order: str) -> DataFrame:
-    """name: base for the first row of its base, then base_2, base_3, ..."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return df.withColumn("name", F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), n)))
+    """name: base for the first row of its base, then base_2, base_3, ...
+
+    Rows are numbered within (base, range of keys) after the counts of the base's ranges before it, so that a frequent base is
+    many tasks. The ranges' bounds come from a bounded number of keys, drawn by their hash.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.col(order).alias("k")).where("k is not null").distinct()
+    drawn = [r["k"] for r in keys.orderBy(F.xxhash64("k")).limit(parts * RANGE_SAMPLE).orderBy("k").collect()]
+    bounds = sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
+    kind = df.schema[order].dataType
+    # How many bounds lie below the key; none below a null, which comes first.
+    at = reduce(lambda t, b: t + F.coalesce((F.col(order) > F.lit(b).cast(kind)).cast("int"), F.lit(0)), bounds, F.lit(0))
+    rows = df.withColumn("__range", at)
+    counts = rows.groupBy(F.col(base).alias("__base"), F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__base").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    counts = counts.select("__base", "__of", F.coalesce(before, F.lit(0)).alias("__before"))
+    n = F.row_number().over(Window.partitionBy(base, "__range").orderBy(order)) + F.col("__before")
+    named = rows.join(counts, F.col(base).eqNullSafe(F.col("__base")) & (F.col("__range") == F.col("__of")))
+    return named.withColumn("__at", n).select(*df.columns, F.when(F.col("__at") == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), "__at")).alias("name"))
 
 
 def legacy_regions(df: DataFrame, json: str) -> DataFrame:

@@ -156,3 +156,18 @@ def test_reach_store_prunes(spark, sf, tmp_path):
     assert "PushedFilters: [IsNotNull(max_x)" in plan and "tier" in plan.split("PartitionFilters")[1][:80]
     want = scan.within_box(scan.with_cover(fixtures.rivers(spark, sf)), (38.0, -35.0, 55.0, -20.0)).where("ord_stra >= 3")
     assert df.count() == want.count()
+
+
+def test_unique_names_of_all_orders_in_ranges(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("base"))
+    want, seen = {}, {}
+    for r in sorted(o.collect(), key=lambda r: r["k"]):
+        n = seen[r["base"]] = seen.get(r["base"], 0) + 1
+        want[r["k"]] = r["base"] if n == 1 else f"{r['base']}_{n}"
+    out = scan.unique_names(o, "base", "k")
+    assert {r["k"]: r["name"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(base" in plan and "__range" in plan.split("row_number()")[1].split("ASC")[0]
+    odd = spark.createDataFrame([("b", None), (None, 1), (None, 2), ("b", 5)], "base string, k long")
+    assert sorted((r["k"] or 0, r["name"]) for r in scan.unique_names(odd, "base", "k").where("base = 'b'").collect()) == [(0, "b"), (5, "b_2")]
+    assert scan.unique_names(odd, "base", "k").count() == 4 and scan.unique_names(odd.where("false"), "base", "k").count() == 0
