@@ -5,8 +5,10 @@ size of the symmetric difference, so pairs beyond the distance that the similari
 each size band deals the universe of shingles into parts; a part's word is the XOR of its shingles' hashes. Sets that differ
 in at most D shingles differ in at most D parts, so by the pigeonhole principle the first D + 1 non-empty words of either
 one hold a common word: documents meet in a join on (band, part, word). Shingles found in very many documents go to parts of their
-own that come last, so passages shared by many documents seldom make words. Each bucket first links its members to its
-least member (a star), sketches and then exact sets verify the links; only members whose components still differ are paired.
+own that come last, so passages shared by many documents seldom make words. A bucket first makes a star of its members, within
+each map task and then over the tasks' least members, and sketches and exact sets verify the star's links. Only buckets whose members are still in
+different components are read again: in blocks of bounded size, members with a plausible partner are found by sketches, then
+compared by their sets where they lie, and a block gives no more links than join its components.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ LEAST_BITS = 256
 COMMON, COMMON_MOST = 12, 2_000_000
 #: Leaders tried in large buckets.
 LEADERS = 4
-#: Candidates in one bucket are compared in blocks of so many.
-BLOCK = 2048
+#: Keys that a map task holds before it makes stars, and members of a bucket from which it does.
+HELD_KEYS, STAR = 1 << 20, 4
+#: Rows in an Arrow batch of keys.
+ROWS = 1 << 17
+#: Members of one bucket are held for comparison in blocks of about so many shingles (8 bytes each).
+BLOCK = 1 << 19
 #: So many ids at most are broadcast to pick candidates' texts; with more the texts are joined by a shuffle.
 PICK_ROWS = 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -219,32 +225,50 @@ def _common(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _buckets(docs: DataFrame, common) -> DataFrame:
-    """(key, h) of every different set in a task: copies within the task are left out before anything is shuffled."""
+    """(key, h, lead) of every different set in a task: copies within the task are left out before anything is shuffled.
+
+    A bucket with STAR members or more in one task sends on only its least one, with lead = h; each other member's row is a
+    pair with lead as its partner. In all other rows lead is null.
+    """
+
+    def stars(k: np.ndarray, h: np.ndarray):
+        order = np.lexsort((h, k))
+        k, h = k[order], h[order]
+        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        n = np.diff(np.concatenate((at, [len(k)])))
+        lead, none = np.repeat(h[at], n), np.repeat(n < STAR, n)
+        for i in range(0, len(k), ROWS):
+            j = slice(i, i + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(k[j]), pa.array(h[j]), pa.array(lead[j], mask=none[j])], names=["key", "h", "lead"])
 
     def mapped(batches):
         make, seen, often = Shingler(), set(), common.value  # hashes in order, and their tiers
+        ks, hs, held = [], [], 0
         with np.errstate(over="ignore"):
             for b in batches:
-                hs, ks = [], []
                 for t in b.column(0):
                     s = make(t.as_py())
                     if not len(s) or (h := set_hash(s)) in seen:
                         continue
                     seen.add(h)
-                    hs.append(h)
                     ks.append(bucket_keys(s, *often))
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ks]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ks) if ks else np.empty(0, np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), lists], names=["h", "keys"])
+                    hs.append(np.full(len(ks[-1]), h))
+                    held += len(ks[-1])
+                    if held >= HELD_KEYS:
+                        yield from stars(np.concatenate(ks), np.concatenate(hs))
+                        ks, hs, held = [], [], 0
+            if held:
+                yield from stars(np.concatenate(ks), np.concatenate(hs))
 
-    return docs.select("t").mapInArrow(mapped, "h long, keys array<long>").select(F.explode("keys").alias("key"), "h")
+    return docs.select("t").mapInArrow(mapped, "key long, h long, lead long")
 
 
 def _stars(buckets: DataFrame, parts: int) -> DataFrame:
-    """(key, a, b): in every bucket the least member a with each other member b; key is null where the bucket has only these two.
+    """(key, a, b): in every bucket the least member a with each other member b, or a member's lead with it; key is null where the
+    bucket has only these two.
 
-    Buckets are streamed in order of (key, h); of a bucket that is still open two rows at most are held, so even a very large
-    one takes no memory.
+    Rows of a bucket meet in order of (key, h), at most a few from each map task; of a bucket that is still open two rows at most are held.
+    Pairs that the map tasks made pass through, spread by their member.
     """
     none = np.empty(0, np.int64)
 
@@ -252,25 +276,32 @@ def _stars(buckets: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64(), mask=~known), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
 
     def mapped(batches):
-        held_k = held_h = none
-        opened = None  # key, least member and last member of a bucket of three or more that may go on
+        held_k = held_h = held_w = none
+        opened = None  # key, least member and last member of a large bucket that may go on
         for rows in batches:
-            k, h = np.concatenate((held_k, rows.column(0).to_numpy())), np.concatenate((held_h, rows.column(1).to_numpy()))
+            k, h, lead = (rows.column(c).fill_null(0).to_numpy() for c in range(3))
+            leads = np.array(rows.column(2).is_valid())
+            pair = leads & (lead != h)
+            if pair.any():
+                yield batch(k[pair], lead[pair], h[pair], np.ones(int(pair.sum()), bool))
+            k, h, w = np.concatenate((held_k, k[~pair])), np.concatenate((held_h, h[~pair])), np.concatenate((held_w, 1 + leads[~pair].astype(np.int64)))
             if not len(k):
                 continue
             new = np.concatenate(([not (opened and (k[0], h[0]) == (opened[0], opened[2]))], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
-            k, h = k[new], h[new]
+            k, h, w = k[new], h[new], w[new]
             if not len(k):
                 continue
             start = np.concatenate(([True], k[1:] != k[:-1]))
             at, of = np.flatnonzero(start), np.cumsum(start) - 1
-            lead, big, member = h[at], np.diff(np.concatenate((at, [len(k)]))) >= 3, ~start
+            # A lead stands for others too, so that its bucket is large with one more row.
+            lead, big, member = h[at], np.add.reduceat(w, at) >= 3, ~start
             if opened and k[0] == opened[0]:
                 lead[0], big[0], member[0] = opened[1], True, True
-            held_k = held_h = none
+            held_k = held_h = held_w = none
+            last = slice(at[-1], None)
             opened = (k[-1], lead[-1], h[-1]) if big[-1] else None
             if not opened:
-                held_k, held_h, member[at[-1] :] = k[at[-1] :], h[at[-1] :], False
+                held_k, held_h, held_w, member[last] = k[last], h[last], w[last], False
             i = np.flatnonzero(member)
             yield batch(k[i], lead[of[i]], h[i], big[of[i]])
             # In one of eight large buckets the next few members lead as well, for links within large groups of near copies.
@@ -282,7 +313,8 @@ def _stars(buckets: DataFrame, parts: int) -> DataFrame:
         if len(held_k) == 2:
             yield batch(held_k[:1], held_h[:1], held_h[1:], np.array([False]))
 
-    return buckets.repartition(parts, "key").sortWithinPartitions("key", "h").mapInArrow(mapped, "key long, a long, b long")
+    place = F.when(F.col("lead").isNull() | (F.col("lead") == F.col("h")), F.col("key")).otherwise(F.col("h"))
+    return buckets.repartition(parts, place).sortWithinPartitions(F.col("key"), F.col("h"), F.col("lead").desc()).mapInArrow(mapped, "key long, a long, b long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -302,58 +334,119 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return drawn.mapInArrow(mapped, "a long, b long, ra long, rb long, c long")
 
 
-def _far_pairs(big: DataFrame, root: DataFrame, classes: DataFrame, parts: int, tried: DataFrame | None = None) -> DataFrame:
-    """(a, b, ra, rb): members of one bucket in different components whose sizes and sketches allow the similarity.
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, s): the sets of the classes (h, i), i a row's id, once each; s holds 8 bytes a shingle, in order."""
+    few = F.broadcast(ids) if ids.count() <= PICK_ROWS else ids
 
-    In each bucket, members outside its most frequent component are held in blocks of about BLOCK while all its members stream past, so
-    no pair is made that the sketches rule out. Pairs (a, b) of `tried` are left out.
+    def mapped(batches):
+        make, seen = Shingler(), set()
+        with np.errstate(over="ignore"):
+            for b in batches:
+                hs, ss = [], []
+                for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if h not in seen and set_hash(s := make(t.as_py())) == h:  # else another row with the same id
+                        seen.add(h)
+                        hs.append(h)
+                        ss.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ss, pa.binary())], names=["h", "s"])
+
+    return docs.join(few, "i").select("h", "t").mapInArrow(mapped, "h long, s binary").groupBy("h").agg(F.first("s").alias("s"))
+
+
+def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+    """(a, b): links of members of one bucket that join different components.
+
+    In each bucket, members outside its most frequent component are held in blocks of about BLOCK shingles while all its members stream
+    past. The first pass keeps the members with a partner in another component that sizes and sketches allow; the second holds
+    their sets, compares them and joins components as it goes, so a block gives fewer links than it has members.
     """
     member = big.select("key", F.col("b").alias("h")).union(big.select("key", F.col("a").alias("h")).distinct())
-    known = cut(member.join(root.select(F.col("node").alias("h"), "root"), "h"))
-    most = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("all"), F.max("c").alias("c"))
-    most = most.where("roots > 1").select("key", "main", F.ceil((F.col("all") - F.col("c")) / BLOCK).cast("int").alias("blocks"))
+    known = cut(member.join(root.select(F.col("node").alias("h"), "root"), "h").join(classes.select("h", "n"), "h"))
+    most = known.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("key").agg(F.max_by(F.struct("root", "n"), F.struct("c", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+    most = most.where("roots > 1").select("key", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
     placed = known.join(most, "key").withColumn("odd", F.col("root") != F.col("main"))
-    held = placed.where("odd").select("key", F.pmod("h", "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "h", "root", "odd")
-    every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "h", "root", "odd")
-    # What was tried travels with the held members only: every pair has one of them.
-    if tried is None:
-        held = held.withColumn("tried", F.lit(None).cast("array<long>"))
-    else:
-        both = tried.select(F.col("a").alias("h"), F.col("b").alias("o")).union(tried.select("b", "a"))
-        held = held.join(cut(both.groupBy("h").agg(F.collect_set("o").alias("tried"))), "h", "left")
-    rows = held.unionByName(every.withColumn("tried", F.lit(None).cast("array<long>"))).join(classes.select("h", "rep", "n", "k"), "h")
-    rows = rows.select("key", "block", "side", "h", "root", "odd", "rep", "n", "k", "tried")
+    held = placed.where("odd").select("key", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "h", "root", "n")
+    every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "h", "root", "n")
+    rows = held.unionByName(every).join(classes.select("h", "k"), "h").select("key", "block", "side", "h", "root", "n", "k")
+    names = ["key", "block", "side", "h", "root"]
 
-    def mapped(batches):
+    def plausible(batches):
         at, held = None, None
+
+        def marked():
+            if isinstance(held, Block):
+                yield from ((*at, 0, int(held.h[i]), int(held.root[i])) for i in np.flatnonzero(held.marked))
+
         for b in batches:
             out = []
-            for key, block, side, h, root_, odd, rep, n, k, past in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, block, side, h, root_, n, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, block) != at:
+                    out += marked()
                     at, held = (key, block), []
                 if not side:
-                    held.append((h, root_, rep, n, k, frozenset(past or ())))
+                    held.append((h, root_, n, np.frombuffer(k, np.uint8)))
                     continue
                 if isinstance(held, list):
                     held = Block(held)
-                for x, r, before in held.near(h, root_, n, k):
-                    if (odd and h > x) or h in before:  # two held members meet both ways, and once is enough
+                near = held.near(h, root_, n, np.frombuffer(k, np.uint8))
+                if len(near):
+                    held.marked[near] = True
+                    out.append((*at, 1, h, root_))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*marked(), strict=True)] or [pa.array([], pa.int64())] * 5, names=names)
+
+    dealt = lambda df: df.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side")
+    few = cut(dealt(rows).mapInArrow(plausible, ", ".join(f"{c} long" for c in names)))
+    sets = _sets(docs, cut(few.select("h").distinct().join(classes.select("h", F.col("rep").alias("i")), "h")))
+
+    def linked(batches):
+        at, held, top = None, None, {}
+
+        def find(x):
+            while x in top:
+                x = top[x]
+            return x
+
+        with np.errstate(over="ignore"):
+            for b in batches:
+                out = []
+                for key, block, side, h, root_, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (key, block) != at:
+                        at, held, top = (key, block), [], {}
+                    s = np.frombuffer(s, np.uint64)
+                    k = np.frombuffer(sketch(s), np.uint8)
+                    if not side:
+                        held.append((h, root_, len(s), k, s))
                         continue
-                    out.append((h, x, rep, r) if h < x else (x, h, r, rep))
-            out = list(dict.fromkeys(out))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["a", "b", "ra", "rb"])
+                    if isinstance(held, list):
+                        held = Block(held)
+                    own = find(root_)
+                    for i in held.near(h, own, len(s), k):
+                        other = int(held.root[i])
+                        if other != own and similar(held.s[i], s):
+                            out.append((h, int(held.h[i])))
+                            top[other] = own
+                            held.root[held.root == other] = own
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(2)], names=["a", "b"])
+
+    return dealt(few.join(sets, "h").select(*names, "s")).mapInArrow(linked, "a long, b long")
+
 
-    return rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side").mapInArrow(mapped, "a long, b long, ra long, rb long").distinct()
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets in order reach the similarity."""
+    same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return DEN * same >= NUM * (len(x) + len(y) - same)
 
 
 class Block:
     """Some sets' sketches, compared with one other at a time; folded copies are made when first needed."""
 
     def __init__(self, rows: list):
-        self.h, self.root, self.rep, self.n = (np.array([r[c] for r in rows], np.int64) for c in range(4))
-        self.tried = [r[5] for r in rows]
-        self.k = [np.frombuffer(r[4], np.uint8) for r in rows]
-        self.size = np.array([len(k) for k in self.k])
+        self.h, self.root, self.n = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+        self.k = [r[3] for r in rows]
+        self.s = [r[4] for r in rows] if rows and len(rows[0]) > 4 else []
+        self.size = np.array([len(k) for k in self.k], np.int64)
+        self.marked = np.zeros(len(rows), bool)
         self.folded: dict[int, np.ndarray] = {}
 
     def _at(self, size: int) -> np.ndarray:
@@ -367,20 +460,20 @@ class Block:
             self.folded[size] = out.view(np.uint64)
         return self.folded[size]
 
-    def near(self, h: int, root: int, n: int, k: bytes) -> list[tuple]:
-        """(hash, id, tried) of the sets of other components that sizes and sketches don't rule out."""
-        y = np.frombuffer(k, np.uint8)
+    def near(self, h: int, root: int, n: int, y: np.ndarray) -> np.ndarray:
+        """Places of the sets of other components that sizes and sketches don't rule out, nearest first."""
         fit = (self.root != root) & (self.h != h) & (NUM * np.maximum(self.n, n) <= DEN * np.minimum(self.n, n))
-        found = []
+        found, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for size in np.unique(np.minimum(self.size[fit], len(y))):
             z = y
             while len(z) > size:
                 z = z[: len(z) // 2] ^ z[len(z) // 2 :]
             i = np.flatnonzero(fit & (np.minimum(self.size, len(y)) == size))
-            d = np.bitwise_count(self._at(int(size))[i] ^ z.view(np.uint64)).sum(1)
-            i = i[(DEN + NUM) * d.astype(np.int64) <= (DEN - NUM) * (self.n[i] + n)]
-            found += [(int(self.h[q]), int(self.rep[q]), self.tried[q]) for q in i]
-        return found
+            d = np.bitwise_count(self._at(int(size))[i] ^ z.view(np.uint64)).sum(1).astype(np.int64)
+            close = (DEN + NUM) * d <= (DEN - NUM) * (self.n[i] + n)
+            found.append(i[close])
+            far.append(d[close])
+        return np.concatenate(found)[np.argsort(np.concatenate(far), kind="stable")]
 
 
 def _apart(root: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -422,10 +515,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 out = []
                 for a, b, ta, tb in zip(*(c.to_pylist() if k < 2 else c for k, c in enumerate(rows.columns)), strict=True):
                     x, y = of(a, ta), of(b, tb)
-                    if x is not None and y is not None:
-                        same = len(np.intersect1d(x, y, assume_unique=True))
-                        if DEN * same >= NUM * (len(x) + len(y) - same):
-                            out.append((a, b))
+                    if x is not None and y is not None and similar(x, y):
+                        out.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return cut(both.mapInArrow(mapped, "a long, b long").distinct())
@@ -458,11 +549,10 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     root = _grow(classes.select(F.col("h").alias("node"), F.col("h").alias("root")), _verified(best, rows))
     root = _grow(root, _verified(_apart(root, pairs).select("a", "b", "ra", "rb"), rows))
     # In larger buckets, members of different components are compared.
-    # First by one of eight buckets, which finds most pairs once instead of many times; then by all, without the pairs tried.
+    # First in one of eight buckets, which finds most links once instead of many times; then in all that are not yet one component.
     big = stars.where("key is not null")
-    some = cut(_far_pairs(big.where(F.col("key").bitwiseAND(F.lit(7)) == 0), root, classes, parts))
-    root = _grow(root, _verified(some, rows))
-    root = _grow(root, _verified(_far_pairs(big, root, classes, parts, some), rows))
+    for some in (big.where(F.col("key").bitwiseAND(F.lit(7)) == 0), big):
+        root = _grow(root, _far_links(some, root, classes, rows, parts))
     final = classes.join(root.withColumnRenamed("node", "h"), "h").select("h", "rep", "root")
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = final.join(least, "root").select("h", "component_id", "root")

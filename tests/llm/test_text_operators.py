@@ -400,6 +400,27 @@ def test_join_equals_brute_force(spark, edge):
     assert ngram_join.near_duplicates(edge.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("star", [4, 10**9])
+def test_join_of_a_large_group_of_near_copies(spark, monkeypatch, star):
+    """Most of 2,000 copies of one text link with many others, some only with a few or none; blocks hold a few members each."""
+    rng = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for i in range(2000):
+        t = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            t[at] = f"c{rng.integers(0, 40)}"
+        docs.append((int(rng.integers(0, 10**6)), " ".join(t)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    calls, far = [], ngram_join._far_links
+    monkeypatch.setattr(ngram_join, "_far_links", lambda *a: calls.append(x := ngram_join.cut(far(*a))) or x)
+    monkeypatch.setattr(ngram_join, "STAR", star)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2000)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.near_duplicates(df).collect())
+    assert got == brute_join(docs)
+    assert len(calls) == 2 and sum(x.count() for x in calls) < 2 * len(docs)
+
+
 def test_every_linked_pair_shares_a_bucket():
     rng = np.random.default_rng(4)
     with np.errstate(over="ignore"):
