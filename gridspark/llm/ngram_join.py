@@ -39,6 +39,8 @@ LEADERS = 4
 HELD_KEYS, STAR = 1 << 20, 4
 #: Rows in an Arrow batch of keys.
 ROWS = 1 << 17
+#: Of the buckets that a member shares with others, it carries so many least keys.
+LOW = 8
 #: Members of one bucket are held for comparison in blocks of about so many shingles (8 bytes each).
 BLOCK = 1 << 19
 #: So many ids at most are broadcast to pick candidates' texts; with more the texts are joined by a shuffle.
@@ -233,10 +235,12 @@ def _buckets(docs: DataFrame, common) -> DataFrame:
 
     def stars(k: np.ndarray, h: np.ndarray):
         order = np.lexsort((h, k))
-        k, h = k[order], h[order]
-        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        by = k[order]
+        at = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
         n = np.diff(np.concatenate((at, [len(k)])))
-        lead, none = np.repeat(h[at], n), np.repeat(n < STAR, n)
+        # Rows stay in the texts' order, which compresses better than that of the keys.
+        lead, none = np.empty(len(k), np.int64), np.empty(len(k), bool)
+        lead[order], none[order] = np.repeat(h[order][at], n), np.repeat(n < STAR, n)
         for i in range(0, len(k), ROWS):
             j = slice(i, i + ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(k[j]), pa.array(h[j]), pa.array(lead[j], mask=none[j])], names=["key", "h", "lead"])
@@ -358,7 +362,9 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
 
     In each bucket, members outside its most frequent component are held in blocks of about BLOCK shingles while all its members stream
     past. The first pass keeps the members with a partner in another component that sizes and sketches allow; the second holds
-    their sets, compares them and joins components as it goes, so a block gives fewer links than it has members.
+    their sets, compares them and joins components as it goes, so a block gives fewer links than it has members. Two that meet in many
+    buckets count in one: each carries its LOW least keys, and the first of these that both have is theirs (where they have none
+    in common, every bucket is).
     """
     member = big.select("key", F.col("b").alias("h")).union(big.select("key", F.col("a").alias("h")).distinct())
     known = cut(member.join(root.select(F.col("node").alias("h"), "root"), "h").join(classes.select("h", "n"), "h"))
@@ -367,11 +373,12 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
     placed = known.join(most, "key").withColumn("odd", F.col("root") != F.col("main"))
     held = placed.where("odd").select("key", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "h", "root", "n")
     every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "h", "root", "n")
-    rows = held.unionByName(every).join(classes.select("h", "k"), "h").select("key", "block", "side", "h", "root", "n", "k")
+    low = placed.groupBy("h").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW).alias("low"))
+    rows = held.unionByName(every).join(classes.select("h", "k").join(low, "h"), "h").select("key", "block", "side", "h", "root", "n", "k", "low")
     names = ["key", "block", "side", "h", "root"]
 
     def plausible(batches):
-        at, held = None, None
+        at, held, less = None, None, []
 
         def marked():
             if isinstance(held, Block):
@@ -379,16 +386,19 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
 
         for b in batches:
             out = []
-            for key, block, side, h, root_, n, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, block, side, h, root_, n, k, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, block) != at:
                     out += marked()
-                    at, held = (key, block), []
+                    at, held, less = (key, block), [], []
+                before = frozenset(x for x in keys if x < key)
                 if not side:
                     held.append((h, root_, n, np.frombuffer(k, np.uint8)))
+                    less.append(before)
                     continue
                 if isinstance(held, list):
                     held = Block(held)
                 near = held.near(h, root_, n, np.frombuffer(k, np.uint8))
+                near = near[[before.isdisjoint(less[i]) for i in near]] if before and len(near) else near
                 if len(near):
                     held.marked[near] = True
                     out.append((*at, 1, h, root_))
