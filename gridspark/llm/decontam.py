@@ -95,10 +95,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """docs plus a column `out` with n_words, the merged word spans hit and the items with an occurring window.
 
     A null or wordless text has no words and no hits; a benchmark text that is null or wordless gives no windows, an
-    empty benchmark hits nothing; equal item texts all count; a null item_id hits words but is not listed. Input columns
-    pass through whatever their names, only `out` is taken.
+    empty benchmark hits nothing; equal item texts all count; a null item_id hits words but is not listed; equal documents get equal results.
+    Texts of any length are searched whole, one at a time. Input columns pass through; one named like `out` is replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop(out)
     picked = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
     size = picked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-size // PASS_BYTES))
@@ -180,7 +181,7 @@ def brute(doc: bytes | None, items: list[tuple]) -> tuple[int, int, list]:
                 if w[j : j + m] == v[i : i + m]:
                     hit.update(range(j, j + m))
                     found.add(item)
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(x for x in found if x is not None)
 
 
 __all__ = ["find_overlaps", "digest", "op7", "SQL", "brute"]

@@ -20,11 +20,14 @@ FIT_DOCS = 20_000
 #: Trigrams are hashed to so many cells per language: the model's proven size is languages x CELLS.
 CELLS = 1 << 16
 PENALTY = 12.0
+#: Letters, or words, of one text that are worked on together.
+CHUNK = 1 << 16
 #: Code points at which a script starts; what lies between two starts is one script.
 SCRIPT_STARTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"),
     (0x0980, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
     (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"),
+    (0x20000, "han"), (0x32400, "other"),
 )
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 STARTS = np.array([a for a, _ in SCRIPT_STARTS])
@@ -32,33 +35,37 @@ SCRIPT_AT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 
 
 class Text:
-    """A text's words of letters as arrays: where they start and end in cells, the trigrams' cells, and the scripts."""
+    """A text's words of letters as arrays: where they start and end in code points, the trigrams' cells, and the scripts."""
 
     def __init__(self, text: str):
-        low = text.lower()
-        c = np.frombuffer(low.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-        letter = LETTER(c)
-        c = np.where(letter, c, 32)
-        padded = np.concatenate(([32], c, [32]))
-        self.cells = (((padded[:-2] * 1000003) ^ padded[1:-1]) * 1000003 ^ padded[2:]) * 0x9E3779B1 >> 12 & (CELLS - 1)
+        c = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int32)
+        kind, low = tables()
+        letter = kind[c] > 0
+        self.letters = letter
         edge = np.flatnonzero(np.diff(np.concatenate(([0], letter.view(np.int8), [0]))))
         self.start, self.end = edge[::2], edge[1::2]
-        self.script = SCRIPT_AT[np.searchsorted(STARTS, c[self.start], side="right") - 1]
-        self.letters = letter
-
-
-def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x10000)])
+        self.script = kind[c[self.start]].astype(np.int64) - 1
+        padded = np.full(len(c) + 2, 32, np.int64)
+        padded[1:-1] = np.where(letter, low[c], 32)
+        self.cells = (((padded[:-2] * 1000003) ^ padded[1:-1]) * 1000003 ^ padded[2:]) * 0x9E3779B1 >> 12 & (CELLS - 1)
 
 
-_TABLE: np.ndarray | None = None
+_TABLES: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def LETTER(c: np.ndarray) -> np.ndarray:
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _letters()
-    return np.where(c < 0x10000, _TABLE[np.minimum(c, 0xFFFF)], (c >= 0x20000) & (c < 0x30000))
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: its script's number plus one if it is a letter, else 0; and its lower case where that is one code point."""
+    global _TABLES
+    if _TABLES is None:
+        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        script = SCRIPT_AT[np.searchsorted(STARTS, np.arange(0x110000), side="right") - 1]
+        low = np.arange(0x110000, dtype=np.int32)
+        for i in np.flatnonzero(letter):
+            x = chr(i).lower()
+            if len(x) == 1:
+                low[i] = ord(x)
+        _TABLES = np.where(letter, script + 1, 0).astype(np.uint8), low
+    return _TABLES
 
 
 class Model:
@@ -74,10 +81,22 @@ class Model:
         self.prior = np.log((docs + 1) / (docs.sum() + len(langs)))
 
     def words(self, t: Text) -> np.ndarray:
-        """Per-word scores: the trigrams' log-likelihoods summed, -inf for languages that don't use the word's script."""
-        sums = np.vstack((np.zeros(len(self.langs)), np.cumsum(self.logp[t.cells], axis=0, dtype=np.float64)))
-        s = sums[t.end] - sums[t.start]
-        return np.where(self.uses[t.script], s, s - 50.0 * (t.end - t.start)[:, None])
+        """Per-word scores: the trigrams' log-likelihoods summed, less 50 a letter for languages that don't use the word's script.
+
+        Letters are summed in chunks, so that a very long text takes memory for its words alone.
+        """
+        s = np.empty((len(t.start), len(self.langs)))
+        a = 0
+        while a < len(t.start):
+            b = max(a + 1, int(np.searchsorted(t.end, t.start[a] + CHUNK, side="right")))
+            at, size = t.start[a], t.end[b - 1] - t.start[a]
+            sums = np.zeros((size + 1, len(self.langs)))
+            np.cumsum(self.logp[t.cells[at : at + size]], axis=0, out=sums[1:])
+            s[a:b] = sums[t.end[a:b] - at] - sums[t.start[a:b] - at]
+            a = b
+        off = ~self.uses[t.script]
+        s -= 50.0 * (t.end - t.start)[:, None] * off
+        return s
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """Each word's language on the best path, where a switch costs PENALTY.
@@ -93,12 +112,13 @@ class Model:
             return np.full(len(s), best)
         n, k = s.shape
         back = np.empty((n, k), dtype=np.int16)
-        v = (s[0] + self.prior).tolist()
-        rows, own = s.tolist(), range(k)
+        v, own = (s[0] + self.prior).tolist(), range(k)
         for i in range(1, n):
+            if (i - 1) % CHUNK == 0:
+                rows = s[i : i + CHUNK].tolist()
             top = max(own, key=v.__getitem__)
             jump = v[top] - PENALTY
-            row, nxt = rows[i], []
+            row, nxt = rows[(i - 1) % CHUNK], []
             for j in own:
                 if v[j] >= jump:
                     back[i, j] = j
@@ -131,7 +151,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int =
     """Learns from about fit_docs rows, drawn by a hash of the text, that have both a text and a language.
 
     Only sums come to the driver: languages x (CELLS + scripts) numbers at most. Without any such row the model knows no
-    language and labels everything `und`.
+    language and labels everything `und`. Texts without letters and empty ones add nothing, texts of any length count whole, copies count
+    as often as they are drawn; other columns don't matter.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
     n = rows.count()
@@ -167,8 +188,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     """docs plus a struct `out`: lang, score (share of the letters in that language's spans), spans by code points.
 
     A null text or one without letters is `und` with score 0 and no spans; equal texts get equal results; ties go to the
-    language first in code-point order; an empty table stays empty; other columns pass through.
+    language first in code-point order; an empty table stays empty. Texts of any length are read whole, one at a time. Other columns
+    pass through; one named like `out` is replaced.
     """
+    docs = docs.drop(out)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
 

@@ -4,7 +4,8 @@ Each source is one long stream of words, packed into blocks of fixed length. A s
 target; how many slots of each source an output shard gets is a multinomial draw (conditioned on the sources' slot totals, so
 that the targets are met exactly: shard after shard, multivariate hypergeometric). Slot j of a source takes block perm(j mod blocks), where
 perm is the source's own pseudorandom permutation of indices (a keyed Feistel network with cycle walking), and slots meet
-blocks in a join by (source, block). All keys are fine-grained, so a source with a third of all rows is spread evenly.
+blocks in a join by (source, block). All keys are fine-grained, so a source with a third of all rows is spread evenly. All is planned on
+keys and sizes; texts are joined at the end. The driver holds one row per source.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import cut, let, table, words_of
+from gridspark.llm.common import cut, table, words_of
 from gridspark.llm.sharding import matrix
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Words in a block of the query; a training run takes its context length.
 BLOCK = 32
-SHARDS, BUCKETS = 16, 512
+SHARDS = 16
+#: Rows that one window puts into a source's stream, about, and slots that one task expands.
+BUCKET_ROWS, SPREAD = 20_000, 1 << 16
 
 
 def targets(sizes: list[int], weights=WEIGHTS, most: int = MAX_EPOCHS) -> list[float]:
@@ -80,46 +83,45 @@ def _row_key(columns: list[str]) -> Column:
     return F.xxhash64(F.lit("mix"), *[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
 
-def plan_mix(docs: DataFrame, source: str, size: str, key: list[str], weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK, shards: int = SHARDS, buckets: int = BUCKETS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def plan_mix(docs: DataFrame, source: str, size: str, key: list[str], weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK, shards: int = SHARDS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(placed, drawn): placed is docs plus __source (index), __from (the row's first word in its source's stream),
     source_size and target; drawn has one row per slot: (__shard, __slot, __source, __block, __epoch).
 
-    Reruns agree: streams are ordered by hashes of `key`, draws are seeded. A row of size 0 takes no room; a null source is a
-    source of its own, last in order; an empty table gives no slots.
+    docs is read several times and should be narrow and cut. Reruns agree: streams are ordered by hashes of `key`, draws are seeded; rows
+    equal in key are interchangeable. A row of size 0 takes no room; a null source is a source of its own, last in order; an empty table
+    gives no slots. The streams' hash buckets, and the tasks that expand slots, follow the input.
     """
     spark = docs.sparkSession
-    b = F.pmod(F.shiftrightunsigned("__h", 9), F.lit(buckets)).cast("int")
-    rows = docs.withColumn("__h", _row_key(key)).withColumn("__bucket", b)
-    sums = rows.groupBy(F.col(source).alias("__name"), "__bucket").agg(F.sum(size).alias("n")).collect()  # sources x buckets rows
-    names = sorted({r["__name"] for r in sums}, key=lambda s: (s is None, [ord(c) for c in s or ""]))
-    index = {s: i for i, s in enumerate(names)}
-    per = np.zeros((len(names), buckets), dtype=np.int64)
-    for r in sums:
-        per[index[r["__name"]], r["__bucket"]] = r["n"]
-    sizes = per.sum(1).tolist()
+    found = docs.groupBy(F.col(source).alias("__name")).agg(F.sum(size).alias("n"), F.count("*").alias("rows")).collect()  # one row per source
+    found.sort(key=lambda r: (r["__name"] is None, [ord(c) for c in r["__name"] or ""]))
+    sizes = [int(r["n"] or 0) for r in found]
     goal = targets(sizes, weights, most)
-    starts = np.cumsum(per, axis=1) - per
-    rows_of = [(s, i, k, int(starts[i, k]), int(sizes[i]), float(goal[i])) for s, i in index.items() for k in range(buckets)]
-    offsets = spark.createDataFrame(rows_of, "__name string, __source int, __bucket int, __start long, source_size long, target double")
+    of = [(r["__name"], i, -(-r["rows"] // BUCKET_ROWS), n, float(g)) for i, (r, n, g) in enumerate(zip(found, sizes, goal, strict=True))]
+    sources = spark.createDataFrame(of, "__name string, __source int, __buckets long, source_size long, target double")
+    rows = docs.withColumn("__h", _row_key(key)).join(sources, F.col(source).eqNullSafe(F.col("__name"))).drop("__name")
+    rows = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 9), F.col("__buckets"))).drop("__buckets")
+    sums = rows.groupBy("__source", "__bucket").agg(F.sum(size).alias("__n"))
+    ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("__source", "__bucket", ahead(Window.partitionBy("__source").orderBy("__bucket")).alias("__start"))
     within = Window.partitionBy("__source", "__bucket").orderBy("__h", *key)
     before = F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = rows.join(F.broadcast(offsets.withColumnRenamed("__bucket", "__b2")), F.col(source).eqNullSafe(F.col("__name")) & (F.col("__bucket") == F.col("__b2"))).drop("__name", "__b2")
-    placed = joined.withColumn("__from", F.col("__start") + before).drop("__start")
+    placed = rows.withColumn("__before", before).join(offsets, ["__source", "__bucket"]).withColumn("__from", F.col("__start") + F.col("__before")).drop("__start", "__before")
     blocks = [-(-s // block) for s in sizes]
     # A full round of a source is all its blocks, the last of which may be short; the rest of the target is in full blocks.
     slots = [min(most * n, n * int(g // s) + round((g % s) / block)) if s else 0 for s, n, g in zip(sizes, blocks, goal, strict=True)]
     total = sum(slots)
     draws = matrix([total // shards + (k < total % shards) for k in range(shards)], slots, seed) if slots else np.zeros((shards, 0), dtype=np.int64)
     ahead = np.cumsum(draws, axis=0) - draws
-    runs = [(k, i, int(ahead[k, i]), int(draws[k, i]), blocks[i]) for k in range(shards) for i in range(len(names)) if draws[k, i]]
-    spread = 1 << 16  # slots a row of the slot table is cut into, so that tasks expand bounded runs
+    runs = [(k, i, int(ahead[k, i]), int(draws[k, i]), blocks[i]) for k in range(shards) for i in range(len(of)) if draws[k, i]]
     runs = spark.createDataFrame(runs, "__shard int, __source int, __ahead long, __n long, __blocks long")
-    runs = runs.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / F.lit(spread)).cast("long"))))
-    runs = runs.repartition("__shard", "__source", "__c").withColumn("__slot", F.explode(F.sequence(F.col("__c") * spread, F.least((F.col("__c") + 1) * spread, F.col("__n")) - 1)))
+    runs = runs.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / F.lit(SPREAD)).cast("long"))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SPREAD))
+    runs = runs.repartition(tasks, "__shard", "__source", "__c").withColumn("__slot", F.explode(F.sequence(F.col("__c") * SPREAD, F.least((F.col("__c") + 1) * SPREAD, F.col("__n")) - 1)))
     j = F.col("__ahead") + F.col("__slot")
     salt = F.xxhash64(F.lit(f"{seed}:source"), "__source")
     drawn = runs.select("__shard", "__slot", "__source", _permuted(F.pmod(j, F.col("__blocks")), F.col("__blocks"), salt).alias("__block"), F.floor(j / F.col("__blocks")).cast("int").alias("__epoch"))
-    return placed, drawn
+    # Slots are many more than the runs they come from, so joins with them are never broadcasts.
+    return placed, drawn.hint("merge")
 
 
 def pieces_of(placed: DataFrame, size: str, block: int) -> DataFrame:
@@ -135,11 +137,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source"), F.coalesce(F.size(words_of(text)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("h"))
     docs = cut(docs.withColumn("size", F.when(F.col("size") < 0, 0).otherwise(F.col("size"))))
     placed, drawn = plan_mix(docs, "source", "size", ["doc_id", "h"])
+    placed = cut(placed)
     # (source, first word) tells rows with words apart.
     times = drawn.groupBy("__source", "__block").agg(F.count("*").alias("__t"))
     pieces = pieces_of(placed.select("__source", "__from", "size"), "size", BLOCK)
-    taken = pieces.join(times, ["__source", "__block"]).groupBy("__source", "__from").agg(F.sum((F.col("__hi") - F.col("__lo")) * F.col("__t")).alias("taken"))
-    full = placed.where("size > 0").join(taken, ["__source", "__from"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.join(times.hint("merge"), ["__source", "__block"]).groupBy("__source", "__from").agg(F.sum((F.col("__hi") - F.col("__lo")) * F.col("__t")).alias("taken"))
+    full = placed.where("size > 0").join(taken.hint("merge"), ["__source", "__from"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return full.unionByName(none)
 
@@ -147,23 +150,34 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", block: int = 512, n_chars: str | None = "n_chars", **options) -> DataFrame:
     """The mixture as rows of docs' columns: each row is a run of a document's words that one round of the mix takes, in
     consecutive blocks, words parted by single spaces (whole documents keep their text as it is). Documents that no slot takes go, documents
-    taken in several rounds come several times, at most three. Null and wordless texts take no room in the mix and go.
+    taken in several rounds come several times, at most three. Null and wordless texts take no room in the mix and go. Rows
+    that repeat in full each take their own room; ties in the order of a stream do not occur but among them. A very long text is split into
+    words where a run is cut from it, one text at a time. Columns whose names begin with __ are taken.
+
+    Runs are planned on keys and sizes alone; texts move once, to meet their runs.
     """
-    n = F.coalesce(F.size(words_of(F.col(text))), F.lit(0))
-    rows = docs.withColumn("__size", F.greatest(n, F.lit(0)).cast("long")).withColumn("__text_hash", F.xxhash64(text)).where("__size > 0")
     keys = [c for c, kind in docs.dtypes if c != text and kind in ("bigint", "int", "string")]
-    placed, drawn = plan_mix(rows, source, "__size", [*keys, "__text_hash"], block=block, **options)
+    wide = docs.withColumn("__text_hash", F.xxhash64(text)).withColumn("__key", _row_key([*keys, "__text_hash"]))
+    size = F.greatest(F.coalesce(F.size(words_of(F.col(text))), F.lit(0)), F.lit(0)).cast("long")
+    rows = cut(wide.select("__key", "__text_hash", F.col(source).alias("__name_of"), size.alias("__size")).where("__size > 0"))
+    placed, drawn = plan_mix(rows, "__name_of", "__size", ["__key", "__text_hash"], block=block, **options)
+    placed = cut(placed.select("__key", "__text_hash", "__source", "__from", "__size"))
     narrow = pieces_of(placed.select("__source", "__from", "__size"), "__size", block)
-    got = narrow.join(drawn.select("__source", "__block", "__epoch"), ["__source", "__block"])
+    got = narrow.join(drawn.select("__source", "__block", "__epoch").hint("merge"), ["__source", "__block"])
     # Consecutive blocks of one round are joined into runs, within the document and round.
     w = Window.partitionBy("__source", "__from", "__epoch").orderBy("__lo")
     runs = got.withColumn("__new", F.when(F.lag("__hi").over(w).eqNullSafe(F.col("__lo")), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
     spans = runs.groupBy("__source", "__from", "__epoch", "__run").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
-    per_doc = spans.groupBy("__source", "__from").agg(F.collect_list(F.struct("__epoch", "__lo", "__hi")).alias("__runs"))  # at most 3 rounds of the document's own blocks
-    whole = lambda r: (r["__hi"] - r["__lo"]) == F.col("__size")
-    part = lambda ws, r: F.array_join(F.slice(ws, (r["__lo"] + 1).cast("int"), (r["__hi"] - r["__lo"]).cast("int")), " ")
-    texts = let(words_of(F.col(text)), lambda ws: F.transform("__runs", lambda r: F.when(whole(r), F.col(text)).otherwise(part(ws, r))))
-    out = placed.join(per_doc, ["__source", "__from"]).withColumn("__texts", texts).withColumn("__t", F.explode("__texts")).drop(text).withColumnRenamed("__t", text)
+    spans = cut(spans.join(placed, ["__source", "__from"]).select("__key", "__text_hash", "__lo", "__hi", "__size"))
+    # A row's key meets one text: of rows that repeat in full one brings the text for the runs of all.
+    both = ["__key", "__text_hash"]
+    twice = cut(rows.groupBy(*both).count().where("count > 1").select(*both))
+    if not twice.isEmpty():
+        one = wide.join(twice, both, "left_semi").groupBy(*both).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+        wide = wide.join(twice, both, "left_anti").unionByName(one.select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns), *both))
+    out = wide.join(spans, both)
+    part = F.array_join(F.slice(words_of(F.col(text)), (F.col("__lo") + 1).cast("int"), (F.col("__hi") - F.col("__lo")).cast("int")), " ")
+    out = out.withColumn(text, F.when(F.col("__hi") - F.col("__lo") == F.col("__size"), F.col(text)).otherwise(part))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast("long"))
     return out.select(*docs.columns)

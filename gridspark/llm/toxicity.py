@@ -133,14 +133,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_docs:
     """Learns from about fit_docs rows, drawn by a hash of the text, whose label is 0 or 1; null texts are left out.
 
     Spark counts features per class; those of at least MIN_DOCS documents and significant come to the driver, so the model
-    is bounded by the sample. Without both classes the model finds nothing and every score is the base rate.
+    is bounded by the sample. Without both classes the model finds nothing and every score is the base rate. Texts are read whole,
+    one at a time; other columns don't matter.
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("t is not null and y in (0, 1)")
     size = rows.count()
     if size > fit_docs:
         rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / size))
-    # Each equal text counts once per label, so that groups of copies don't weigh more than one text.
-    rows = rows.distinct()
+    # Each equal text counts once per label, so that groups of copies don't weigh more than one text. The sample is drawn once and kept.
+    rows = cut(rows.distinct())
 
     def counted(batches):
         for b in batches:
@@ -227,8 +228,10 @@ def find_toxic(docs: DataFrame, model: Model, text: str = "text", out: str = "to
     """docs plus a struct `out`: score (0 to 1) and the significant passages (word positions, raw score, p-value).
 
     Null, empty and wordless texts get the score of a text without evidence and no passages; equal texts get equal
-    results; an empty table stays empty; other columns pass through.
+    results, also where passages tie; an empty table stays empty. Texts of any length are searched whole, one at a time. Other columns pass through;
+    one named like `out` is replaced.
     """
+    docs = docs.drop(out)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p", pa.float64())])
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(passage))])

@@ -7,10 +7,10 @@ log-likelihood difference per character against a threshold calibrated on the tr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import lower_ascii, table
+from gridspark.llm.common import cut, lower_ascii, table
 
 #: (verdict, host, path): the longest rule that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -20,7 +20,8 @@ PATH = r"^(?s:.*?)://[^/?#]*([^?#]*)"
 SIGNS = r"./:?#=&_%~@+-"
 ORDER = 3
 #: So many different grams are possible, which bounds the broadcast model.
-MAX_GRAMS = (26 + 1 + len(SIGNS) + 3) ** (ORDER + 1)
+SIZE = 26 + 1 + len(SIGNS) + 3
+MAX_GRAMS = SIZE ** (ORDER + 1)
 
 
 def host_of(url: Column) -> Column:
@@ -50,39 +51,44 @@ def grams_of(url: Column) -> Column:
 def gram_ratios(grams: DataFrame) -> DataFrame:
     """From (gram, a, r), counts in allowed and blocked urls, to (gram, ratio) = log p_allow - log p_block of its last character.
 
-    All sums run over at most MAX_GRAMS rows.
+    From order to order, the counts of the grams' endings are summed, and joined with their contexts' sums and with the shorter ending's
+    probabilities. Both of these have at most MAX_GRAMS / the alphabet's size rows, 80 thousand, whatever the input, and are broadcast.
     """
-    out = grams
-    size = len(SIGNS) + 30
-    for c in ("a", "r"):
-        p = None
-        for k in range(ORDER + 1):
-            tail = F.expr(f"right(gram, {k + 1})")
-            ctx = F.expr(f"substring(right(gram, {k + 1}), 1, {k})")
-            out = out.withColumn(f"n_{c}{k}", F.sum(c).over(Window.partitionBy(tail))).withColumn(f"first_{c}{k}", (F.row_number().over(Window.partitionBy(tail).orderBy("gram")) == 1) & (F.col(f"n_{c}{k}") > 0))
-            w = Window.partitionBy(ctx)
-            out = out.withColumn(f"all_{c}{k}", F.sum(c).over(w)).withColumn(f"kinds_{c}{k}", F.sum(F.col(f"first_{c}{k}").cast("long")).over(w))
-            n, total, kinds = F.col(f"n_{c}{k}"), F.col(f"all_{c}{k}"), F.col(f"kinds_{c}{k}")
-            below = F.lit(1.0 / size) if p is None else F.col(p)
-            out = out.withColumn(f"p_{c}{k}", F.when(total + kinds > 0, (n + kinds * below) / (total + kinds)).otherwise(below))
-            p = f"p_{c}{k}"
-    top = ORDER
-    return out.select("gram", (F.ln(f"p_a{top}") - F.ln(f"p_r{top}")).alias("ratio"))
+    both = ("a", "r")
+    tails = [grams.select(F.col("gram").alias("tail"), *both)]
+    for k in range(ORDER, 0, -1):
+        tails.insert(0, tails[0].groupBy(F.expr(f"right(tail, {k})").alias("tail")).agg(*(F.sum(c).alias(c) for c in both)))
+    below = None
+    for k, t in enumerate(tails):
+        t = t.withColumn("ctx", F.expr(f"substring(tail, 1, {k})"))
+        ctx = t.groupBy("ctx").agg(*(F.sum(c).alias(f"all_{c}") for c in both), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in both))
+        t = t.join(F.broadcast(ctx), "ctx")
+        if below is None:
+            t = t.select("*", *(F.lit(1.0 / SIZE).alias(f"below_{c}") for c in both))
+        else:
+            t = t.withColumn("short", F.expr(f"right(tail, {k})")).join(F.broadcast(below), "short")
+        n, total, kinds, less = ({c: F.col(name.format(c)) for c in both} for name in ("{}", "all_{}", "kinds_{}", "below_{}"))
+        p = [F.when(total[c] + kinds[c] > 0, (n[c] + kinds[c] * less[c]) / (total[c] + kinds[c])).otherwise(less[c]).alias(f"below_{c}") for c in both]
+        below = t.select(F.col("tail").alias("short"), *p)
+    return below.select(F.col("short").alias("gram"), (F.ln("below_a") - F.ln("below_r")).alias("ratio"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, host: str = "host", path: str = "path", rule: str = "rule", verdict: str = "verdict", score: str = "url_score") -> DataFrame:
     """pages plus host, path, rule, verdict and the score (null where a rule decides).
 
     A null url or one without :// has an empty host and path; without a rule it is judged by its characters (null: none, so
-    score 0). Equal urls get equal verdicts. When no url is allowed or none blocked by a rule, all others are allowed. An
-    empty table stays empty; other columns pass through, names that begin with __ are taken.
+    score 0); a very long url is judged by all its characters. Equal urls get equal verdicts, ties with the threshold are allowed. When no url is allowed or none blocked by a rule, all others are allowed. An
+    empty table stays empty; other columns pass through, those named like an added column are replaced, names that begin with __ are taken.
     """
+    pages = pages.drop(*({host, path, rule, verdict, score} - {url}))
     u = F.col(url).cast("string")
     seen = pages.select(F.coalesce(u, F.lit("")).alias("__u")).groupBy("__u").agg(F.count("*").alias("__n"))
+    # A url has some sixty grams: they are made in as many tasks as shuffles have, however few bytes the urls take.
+    seen = cut(seen.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__u"))
     seen = seen.withColumn("__v", rule_of(host_of(F.col("__u")), path_of(F.col("__u")), rules)["verdict"])
     pieces = seen.select("__u", "__n", "__v", F.explode(grams_of(F.col("__u"))).alias("gram"))
     counts = pieces.groupBy("gram").agg(*(F.sum(F.when(F.col("__v") == v, F.col("__n")).otherwise(0)).alias(c) for c, v in (("a", "allow"), ("r", "block"))))
-    ratios = gram_ratios(counts)  # at most MAX_GRAMS rows by the alphabet's size
+    ratios = gram_ratios(cut(counts))  # at most MAX_GRAMS rows by the alphabet's size, whatever the input: 3.4 million
     scored = pieces.join(F.broadcast(ratios), "gram").groupBy("__u", "__n", "__v").agg(F.avg("ratio").alias(score))
     stat = lambda f, v: f(F.when(F.col("__v") == v, F.col(score)))
     ma, mr, sa, sr = stat(F.avg, "allow"), stat(F.avg, "block"), stat(F.stddev_pop, "allow"), stat(F.stddev_pop, "block")

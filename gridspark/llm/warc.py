@@ -1,9 +1,11 @@
 """WARC archives: a writer of one gzip member per record and a sequential reader.
 
-Writing: payloads are hashed where they are read; per digest only (digest, largest page id) is aggregated and joined back, so a
-revisit's payload never has to be kept. Each task turns its rows into gzip members and Spark's own committer writes the
-archive files, so a retried task leaves no double records, on any store that Spark can write. Reading: each archive is
-decompressed member by member in small steps, framed by Content-Length, and every response's digest is verified.
+Writing: payloads are hashed where they are read; of the digests only those that occur twice or more are joined back with their largest page
+id, so payloads stay where they are while such digests are few. Each task turns its rows into gzip members and rolls its archives at about ROLL
+bytes; Spark's own committer writes the files, so a retried task leaves no double records, on any store that Spark can write. Spark writes
+binary rows to files only as lines of text: a member's last byte, which is zero, is left to stand as the line end, and the cast to string takes
+the bytes as they are. Reading: each archive is decompressed member by member in small steps, framed by Content-Length, and every
+response's digest is verified.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import fresh_path, table
+from gridspark.llm.common import cut, fresh_path, table
 
 STEP = 64 << 10
 LEVEL = 3
 EMPTY_MEMBER_LEVEL = 1
+#: Bytes of members after which a task begins another archive; a reader holds one archive at a time.
+ROLL = 128 << 20
+#: So many repeated digests (20 bytes and an id each) at most are broadcast; with more they meet the payloads in a shuffle.
+PICK_ROWS = 400_000
 
 
 def digest32(payload: bytes) -> str:
@@ -51,16 +57,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The decompressed members of a gzip stream, decompressed in steps; empty ones are skipped."""
+    """The decompressed members of a gzip stream, inflated in steps of at most STEP bytes; empty ones are skipped."""
     z, out = zlib.decompressobj(31), bytearray()
     for chunk in chunks:
         while chunk:
-            out += z.decompress(chunk)
-            chunk = z.unused_data
+            out += z.decompress(chunk, STEP)
+            chunk = z.unconsumed_tail
             if z.eof:
+                chunk = z.unused_data
                 if out:
                     yield bytes(out)
                 z, out = zlib.decompressobj(31), bytearray()
+        while not z.eof and (more := z.decompress(b"", STEP)):
+            out += more
     if out:
         raise ValueError("the archive ends within a member")
 
@@ -85,22 +94,30 @@ def parse(data: bytes) -> dict:
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes one record per row under path. A null html is an empty payload; of equal payloads that with the largest page_id
-    is the response (rows that repeat it are responses too) and the others revisit it; a null page_id counts as smallest. An
-    empty table gives archives without records; other columns are not stored."""
+    is the response (rows that repeat it are responses too) and the others revisit it; a null page_id counts as smallest. A very long
+    payload is a record like others. An empty table gives archives without records; other columns are not stored."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("i"), F.col(url).cast("string").alias("u"), body.alias("p")).withColumn("h", F.sha1("p"))
-    firsts = rows.groupBy("h").agg(F.max("i").alias("first"))
-    typed = rows.join(firsts, "h").select("i", F.when(F.col("i").eqNullSafe(F.col("first")), F.col("p")).alias("p"), F.octet_length("p").alias("n"), "h", "u", "first")
+    again = cut(rows.groupBy("h").agg(F.max("i").alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first", F.lit(True).alias("again")))
+    typed = rows.join(F.broadcast(again) if again.count() <= PICK_ROWS else again, "h", "left")
+    response = F.col("again").isNull() | F.col("i").eqNullSafe(F.col("first"))
+    typed = typed.select("i", F.when(response, F.col("p")).alias("p"), F.octet_length("p").alias("n"), "h", "u", "first")
 
     def packed(batches):
+        archive = held = 0
         for b in batches:
-            out = []
-            for i, p, n, h, u, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                d = base64.b32encode(bytes.fromhex(h)).decode("ascii")
-                out.append(record(i, u, p if p is not None else b"\0" * n, d, p is not None, first)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            out, at = [], []
+            for i, p, n, h, u, first in zip(*b.columns, strict=True):
+                d = base64.b32encode(bytes.fromhex(h.as_py())).decode("ascii")
+                out.append(record(i.as_py(), u.as_py(), p.as_py() if p.is_valid else b"\0" * n.as_py(), d, p.is_valid, first.as_py())[:-1])
+                at.append(archive)
+                held += len(out[-1])
+                if held >= ROLL:
+                    archive, held = archive + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["archive", "value"])
 
-    typed.mapInArrow(packed, "value binary").select(F.col("value").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", "\0").text(path)
+    members_ = typed.mapInArrow(packed, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))
+    members_.write.mode("errorifexists").partitionBy("archive").option("lineSep", "\0").text(path)
 
 
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -110,7 +127,7 @@ KIND = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """All records of the archives under path, one archive per task at a time, in small batches. A damaged archive fails the read.
 
-    payload=False leaves the payloads out once they are verified.
+    payload=False leaves the payloads out once they are verified. A path without archives gives no records.
     """
 
     def unpacked(batches):
@@ -130,7 +147,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                 if held:
                     yield pa.RecordBatch.from_pylist(held, KIND)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(unpacked, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(unpacked, RECORD)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
