@@ -1,8 +1,11 @@
 import hashlib
+import math
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridspark.llm import decontam, langid, mixing, ngram_join, pii, quality, queries, sharding, toxicity, urls, warc
@@ -111,6 +114,86 @@ def test_mix_documents_edges(spark, edge):
     assert mixing.mix_documents(src.where("text = ''"), block=64).count() == 0
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark over a row of strings, longs, booleans (and ints given as np.int32); nulls add nothing."""
+    h = 42
+    for v in values:
+        if v is None:
+            continue
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", int(v)) if isinstance(v, (bool, np.int32)) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (h >> 63 << 64)
+
+
+def null_first(v):
+    return (v is not None, v if v is not None else 0)
+
+
+def brute_mix(rows, block, shards, bucket_rows, seed=11):
+    """rows (key, source, size), key a tuple of longs, to {row number: [(shard, epoch, lo, hi) of every piece a slot takes]}, in plain loops."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    streams, sizes = [], []
+    for name in names:
+        own = [(i, k, n) for i, (k, s, n) in enumerate(rows) if s == name]
+        buckets = -(-len(own) // bucket_rows)
+        h = {i: spark_hash("mix", *[x for v in k for x in (v is None, v)]) for i, k, _ in own}
+        own.sort(key=lambda r: ((h[r[0]] % 2**64 >> 9) % buckets, h[r[0]], *map(null_first, r[1])))
+        streams.append([(i, w) for i, _, n in own for w in range(n)])
+        sizes.append(len(streams[-1]))
+    goal = mixing.targets(sizes)
+    blocks = [-(-n // block) for n in sizes]
+    slots = [min(3 * b, b * int(g // n) + round((g % n) / block)) if n else 0 for n, b, g in zip(sizes, blocks, goal)]
+    draws = sharding.matrix([sum(slots) // shards + (k < sum(slots) % shards) for k in range(shards)], slots, seed)
+    taken = {i: [] for i in range(len(rows))}
+    for s, stream in enumerate(streams):
+        j = 0
+        for shard in range(shards):
+            for _ in range(draws[shard, s]):
+                with np.errstate(over="ignore"):
+                    b = int(mixing.permute(np.array([j % blocks[s]]), np.array([blocks[s]]), np.array([spark_hash(f"{seed}:source", np.int32(s))]))[0])
+                at = {}
+                for i, w in stream[b * block : (b + 1) * block]:
+                    lo, hi = at.get(i, (w, w))
+                    at[i] = (min(lo, w), max(hi, w + 1))
+                for i, (lo, hi) in at.items():
+                    taken[i].append((shard, j // blocks[s], lo, hi))
+                j += 1
+    return taken
+
+
+def test_mix_equals_brute_force(spark, monkeypatch, edge):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(mixing, "SPREAD", 5)
+    rng = np.random.default_rng(3)
+    rows = [((i, int(rng.integers(0, 9))), str(rng.choice(["a", "b", "é", "big"], p=[0.2, 0.2, 0.1, 0.5])) if i % 17 else None, int(rng.integers(0, 60)) * int(rng.random() < 0.9)) for i in range(200)]
+    df = spark.createDataFrame([(*k, s, n) for k, s, n in rows], "i long, j long, source string, size long")
+    placed, drawn = mixing.plan_mix(df, "source", "size", ["i", "j"], block=16, shards=5)
+    pieces = mixing.pieces_of(placed, "size", 16).join(drawn, ["__source", "__block"])
+    got = {}
+    for r in pieces.collect():
+        got.setdefault(r["i"], []).append((r["__shard"], r["__epoch"], r["__lo"], r["__hi"]))
+    want = brute_mix(rows, 16, 5, 7)
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x}
+
+
+def test_mixed_documents_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [(i, "  ".join(f"w{i}x{k}" for k in range(int(rng.integers(0, 80)))), "ab"[i % 2] if i % 5 else None) for i in range(60)] + [(7, "same row", "a")] * 3
+    want = []
+    keys = [((spark_hash("mix", False, i, s is None, s, False, spark_hash(t)), spark_hash(t)), s, len(t.split())) for i, t, s in docs if t.split()]
+    kept = [d for d in docs if d[1].split()]
+    for i, pieces in brute_mix(keys, 32, mixing.SHARDS, mixing.BUCKET_ROWS).items():
+        words, runs = kept[i][1].split(), []
+        for _, epoch, lo, hi in sorted(pieces, key=lambda p: (p[1], p[2])):
+            if runs and runs[-1][0] == epoch and runs[-1][2] == lo:
+                runs[-1][2] = hi
+            else:
+                runs.append([epoch, lo, hi])
+        want += [(kept[i][0], kept[i][1] if b - a == len(words) else " ".join(words[a:b]), kept[i][2]) for _, a, b in runs]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert sorted(map(str, map(tuple, mixing.mix_documents(df, block=32).collect()))) == sorted(map(str, want))
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
@@ -361,6 +444,44 @@ def test_shards_are_exact_uniform_and_repeatable(spark, sf, edge):
     assert sorted(r[1] for r in sharding.shuffle_into_shards(same, ["x"], shards=7).groupBy("shard").count().collect()) == [142] + [143] * 6
 
 
+def test_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 500)) if i % 9 else None, f"t{rng.integers(0, 40)}" if i % 7 else None) for i in range(700)]
+    parts, shards, n = sharding.PARTS, 5, len(rows)
+    buckets, buckets2 = (-(-n // (k * 3)) for k in (parts, shards))
+    keyed = [(spark_hash("7:deal", *[x for v in r for x in (v is None, v)]), r) for r in rows]
+    by_part = [sorted((x for x in keyed if x[0] % parts == p), key=lambda x: ((x[0] % 2**64 >> 20) % buckets, x[0])) for p in range(parts)]
+    ends = np.cumsum(sharding.matrix([len(x) for x in by_part], [n // shards + (s < n % shards) for s in range(shards)], 7), axis=1)
+    dealt = [[] for _ in range(shards)]
+    for p, own in enumerate(by_part):
+        for rank, (_, r) in enumerate(own, 1):
+            k2 = spark_hash("7:settle", np.int32(p), rank)
+            dealt[int((ends[p] < rank).sum())].append(((k2 % 2**64 >> 20) % buckets2, k2, p, rank, r))
+    want = sorted((str(x[4]), s, slot) for s, own in enumerate(dealt) for slot, x in enumerate(sorted(own, key=lambda x: x[:4])))
+    df = spark.createDataFrame(rows, "a long, b string").repartition(3)
+    got = sorted((str((r["a"], r["b"])), r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(df, ["a", "b"], shards=shards).collect())
+    assert got == want
+
+
+def test_hypergeometric_draws_keep_their_law_at_any_size(monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 10**13
+    one = np.mean([sharding.hypergeometric(rng, n // 24, n - n // 24, 1) for _ in range(4000)])
+    assert abs(one - 1 / 24) < 0.015
+    x = np.array([sharding.hypergeometric(rng, n // 24, n - n // 24, n // 64) for _ in range(2000)], float)
+    var = (n // 64) / 24 * 23 / 24 * 63 / 64
+    assert abs(x.mean() - n / 64 / 24) < 4 * (var / 2000) ** 0.5 and 0.85 < x.var() / var < 1.15
+    # Under the limit, the same code without numpy's generator.
+    monkeypatch.setattr(sharding, "URN", 0)
+    for good, bad, k in ((5, 7, 4), (100, 300, 50), (300, 100, 350), (3000, 5000, 2000), (1, 10, 11)):
+        x = np.array([sharding.hypergeometric(rng, good, bad, k) for _ in range(6000)])
+        p = {v: math.comb(good, v) * math.comb(bad, k - v) / math.comb(good + bad, k) for v in range(max(0, k - bad), min(good, k) + 1)}
+        often = [v for v in p if 6000 * p[v] > 5]
+        chi = sum(((x == v).sum() - 6000 * p[v]) ** 2 / (6000 * p[v]) for v in often)
+        assert set(x) <= set(p) and chi < len(often) + 5 * (2 * len(often)) ** 0.5
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 
