@@ -234,13 +234,13 @@ def _buckets(docs: DataFrame, common) -> DataFrame:
     """
 
     def stars(k: np.ndarray, h: np.ndarray):
-        order = np.lexsort((h, k))
+        order = np.argsort(k)
         by = k[order]
         at = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
         n = np.diff(np.concatenate((at, [len(k)])))
         # Rows stay in the texts' order, which compresses better than that of the keys.
         lead, none = np.empty(len(k), np.int64), np.empty(len(k), bool)
-        lead[order], none[order] = np.repeat(h[order][at], n), np.repeat(n < STAR, n)
+        lead[order], none[order] = np.repeat(np.minimum.reduceat(h[order], at), n), np.repeat(n < STAR, n)
         for i in range(0, len(k), ROWS):
             j = slice(i, i + ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(k[j]), pa.array(h[j]), pa.array(lead[j], mask=none[j])], names=["key", "h", "lead"])
@@ -373,44 +373,57 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
     placed = known.join(most, "key").withColumn("odd", F.col("root") != F.col("main"))
     held = placed.where("odd").select("key", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "h", "root", "n")
     every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "h", "root", "n")
-    low = placed.groupBy("h").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW).alias("low"))
+    none = F.array_repeat(F.lit(2**63 - 1), LOW)
+    low = placed.groupBy("h").agg(F.slice(F.concat(F.array_sort(F.collect_set("key")), none), 1, LOW).alias("low"))
     rows = held.unionByName(every).join(classes.select("h", "k").join(low, "h"), "h").select("key", "block", "side", "h", "root", "n", "k", "low")
     names = ["key", "block", "side", "h", "root"]
 
     def plausible(batches):
-        at, held, less = None, None, []
+        at, held, parts_ = None, None, []
+
+        def batch(key, block, side, h, root_):
+            n = len(h)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(n, key), np.full(n, block), np.full(n, side), h, root_)], names=names)
 
         def marked():
-            if isinstance(held, Block):
-                yield from ((*at, 0, int(held.h[i]), int(held.root[i])) for i in np.flatnonzero(held.marked))
+            if held is not None and held.marked.any():
+                yield batch(*at, 0, held.h[held.marked], held.root[held.marked])
 
         for b in batches:
-            out = []
-            for key, block, side, h, root_, n, k, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (key, block) != at:
-                    out += marked()
-                    at, held, less = (key, block), [], []
-                before = frozenset(x for x in keys if x < key)
-                if not side:
-                    held.append((h, root_, n, np.frombuffer(k, np.uint8)))
-                    less.append(before)
+            key, block, side, h, root_, n = (b.column(c).to_numpy() for c in range(6))
+            low = b.column(7).flatten().to_numpy().reshape(-1, LOW)
+            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]), [True])))
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if (key[i], block[i]) != at:
+                    yield from marked()
+                    at, held, parts_ = (key[i], block[i]), None, []
+                m = i + int(np.searchsorted(side[i:j], 1))
+                rows = lambda a, z: Block(h[a:z], root_[a:z], n[a:z], [np.frombuffer(x.as_buffer(), np.uint8) for x in b.column(6).slice(a, z - a)], low=low[a:z])
+                if m > i:
+                    parts_.append(rows(i, m))
+                if m == j:
                     continue
-                if isinstance(held, list):
-                    held = Block(held)
-                near = held.near(h, root_, n, np.frombuffer(k, np.uint8))
-                near = near[[before.isdisjoint(less[i]) for i in near]] if before and len(near) else near
-                if len(near):
-                    held.marked[near] = True
-                    out.append((*at, 1, h, root_))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*marked(), strict=True)] or [pa.array([], pa.int64())] * 5, names=names)
+                if held is None:
+                    held = Block.joined(parts_)
+                y = rows(m, j)
+                yes = np.zeros(j - m, bool)
+                for a, z, near in held.plausible(y):
+                    p, q = np.nonzero(near)
+                    if len(p):
+                        first = held.first(at[0], y, p + a, q)
+                        p, q = p[first], q[first]
+                        yes[p + a] = True
+                        held.marked[q] = True
+                if yes.any():
+                    yield batch(*at, 1, y.h[yes], y.root[yes])
+        yield from marked()
 
     dealt = lambda df: df.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "side")
     few = cut(dealt(rows).mapInArrow(plausible, ", ".join(f"{c} long" for c in names)))
     sets = _sets(docs, cut(few.select("h").distinct().join(classes.select("h", F.col("rep").alias("i")), "h")))
 
     def linked(batches):
-        at, held, top = None, None, {}
+        at, rows, held, top = None, [], None, {}
 
         def find(x):
             while x in top:
@@ -422,16 +435,17 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
                 out = []
                 for key, block, side, h, root_, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if (key, block) != at:
-                        at, held, top = (key, block), [], {}
+                        at, rows, held, top = (key, block), [], None, {}
                     s = np.frombuffer(s, np.uint64)
-                    k = np.frombuffer(sketch(s), np.uint8)
+                    row = (h, find(root_), len(s), np.frombuffer(sketch(s), np.uint8), s)
                     if not side:
-                        held.append((h, root_, len(s), k, s))
+                        rows.append(row)
                         continue
-                    if isinstance(held, list):
-                        held = Block(held)
-                    own = find(root_)
-                    for i in held.near(h, own, len(s), k):
+                    if held is None:
+                        held = Block.of(rows)
+                    own = row[1]
+                    ((_, _, near),) = held.plausible(Block.of([row]))
+                    for i in np.flatnonzero(near[0]):
                         other = int(held.root[i])
                         if other != own and similar(held.s[i], s):
                             out.append((h, int(held.h[i])))
@@ -449,17 +463,30 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 class Block:
-    """Some sets' sketches, compared with one other at a time; folded copies are made when first needed."""
-
-    def __init__(self, rows: list):
-        self.h, self.root, self.n = (np.array([r[c] for r in rows], np.int64) for c in range(3))
-        self.k = [r[3] for r in rows]
-        self.s = [r[4] for r in rows] if rows and len(rows[0]) > 4 else []
-        self.size = np.array([len(k) for k in self.k], np.int64)
-        self.marked = np.zeros(len(rows), bool)
+    """Some members of a bucket: hashes, roots, sizes, sketches, and for some uses sets or least keys; folded sketches are made when first needed."""
+
+    #: Words of sketches that are compared together.
+    WORDS = 1 << 21
+
+    def __init__(self, h, root, n, k: list, s=None, low=None):
+        self.h, self.root, self.n, self.k, self.s, self.low = np.asarray(h, np.int64), np.array(root, np.int64), np.asarray(n, np.int64), k, s, low
+        self.size = np.array([len(x) for x in k], np.int64)
+        self.marked = np.zeros(len(k), bool)
         self.folded: dict[int, np.ndarray] = {}
 
-    def _at(self, size: int) -> np.ndarray:
+    @classmethod
+    def of(cls, rows: list) -> Block:
+        return cls(*([r[c] for r in rows] for c in range(5)))
+
+    @classmethod
+    def joined(cls, parts: list[Block]) -> Block:
+        if len(parts) == 1:
+            return parts[0]
+        one = lambda name: np.concatenate([getattr(p, name) for p in parts])
+        return cls(one("h"), one("root"), one("n"), [x for p in parts for x in p.k], low=one("low"))
+
+    def at(self, size: int) -> np.ndarray:
+        """All sketches of at least that size, folded to it; shorter ones are zero."""
         if size not in self.folded:
             out = np.zeros((len(self.k), size), np.uint8)
             for i, k in enumerate(self.k):
@@ -470,20 +497,35 @@ class Block:
             self.folded[size] = out.view(np.uint64)
         return self.folded[size]
 
-    def near(self, h: int, root: int, n: int, y: np.ndarray) -> np.ndarray:
-        """Places of the sets of other components that sizes and sketches don't rule out, nearest first."""
-        fit = (self.root != root) & (self.h != h) & (NUM * np.maximum(self.n, n) <= DEN * np.minimum(self.n, n))
-        found, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for size in np.unique(np.minimum(self.size[fit], len(y))):
-            z = y
-            while len(z) > size:
-                z = z[: len(z) // 2] ^ z[len(z) // 2 :]
-            i = np.flatnonzero(fit & (np.minimum(self.size, len(y)) == size))
-            d = np.bitwise_count(self._at(int(size))[i] ^ z.view(np.uint64)).sum(1).astype(np.int64)
-            close = (DEN + NUM) * d <= (DEN - NUM) * (self.n[i] + n)
-            found.append(i[close])
-            far.append(d[close])
-        return np.concatenate(found)[np.argsort(np.concatenate(far), kind="stable")]
+    def plausible(self, y: Block):
+        """(a, z, matrix) for slices of y's rows: which of them and of the held ones are of different components and not ruled out by
+        sizes and sketches."""
+        sizes = np.unique(np.concatenate((self.size, y.size)))
+        step = max(1, self.WORDS // (len(self.h) * int(sizes[-1]) // 8 + 1))
+        for a in range(0, len(y.h), step):
+            j = slice(a, a + step)
+            n = y.n[j, None]
+            near = (y.root[j, None] != self.root) & (y.h[j, None] != self.h) & (NUM * np.maximum(n, self.n) <= DEN * np.minimum(n, self.n))
+            if near.any():
+                less = np.minimum(y.size[j, None], self.size)
+                most = (DEN - NUM) * (n + self.n)
+                for size in sizes.tolist() if len(sizes) > 1 else [int(sizes[0])]:
+                    at = near if len(sizes) == 1 else near & (less == size)
+                    p, q = np.flatnonzero(at.any(1)), np.flatnonzero(at.any(0))
+                    if len(p):
+                        d = np.bitwise_count(y.at(size)[j][p][:, None] ^ self.at(size)[q]).sum(2, dtype=np.int64)
+                        box = np.ix_(p, q)
+                        near[box] &= ((DEN + NUM) * d <= most[box]) | ~at[box]
+            yield a, a + step, near
+
+    def first(self, key: int, y: Block, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which of the pairs (row p of y, held q) have no key below `key` among those that both carry."""
+        out = np.ones(len(p), bool)
+        for a in range(0, len(p), 1 << 14):
+            j = slice(a, a + (1 << 14))
+            u, v = y.low[p[j]], self.low[q[j]]
+            out[j] = ~((u[:, :, None] == v[:, None, :]) & (u < key)[:, :, None]).any((1, 2))
+        return out
 
 
 def _apart(root: DataFrame, pairs: DataFrame) -> DataFrame:
