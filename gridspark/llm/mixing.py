@@ -25,7 +25,7 @@ MAX_EPOCHS = 3
 BLOCK = 32
 SHARDS = 16
 #: Rows that one window puts into a source's stream, about, and slots that one task expands.
-BUCKET_ROWS, SPREAD = 20_000, 1 << 16
+BUCKET_ROWS, SPREAD = 2_000, 1 << 16
 
 
 def targets(sizes: list[int], weights=WEIGHTS, most: int = MAX_EPOCHS) -> list[float]:
