@@ -1,14 +1,53 @@
-"""Neighbourhood operators as scatter and aggregate: each cell is sent to the keys that need it, with a weight; borders fold indices.
+"""Neighbourhood operators.
 
-Separable kernels take two passes, rows then columns, with fan-out 2 r + 1 each and map-side combining.
+Wide kernels work on tiles with halos: a cell goes to its tile and to those within the kernel's radius, once, and each tile is convolved
+as an array in Arrow batches; the grid's borders are reflected. Small ones scatter and aggregate: each cell is sent to the keys that
+need it, with a weight.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Cells along a tile's side, at least; four radii where the kernel is wide.
+TILE = 256
+
+
+def tiled(cells: DataFrame, shape: tuple[int, int], r: int, apply, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, value): apply(array) gives the inner part of a tile from the tile and r cells around it, where cells without a value are NaN and
+    the grid's borders are reflected (d c b a | a b c d). Values that come out as NaN are left out."""
+    side = max(TILE, 4 * r)
+    own = lambda c, n: F.sequence(F.floor(F.greatest(F.col(c) - r, F.lit(0)) / side).cast("int"), F.floor(F.least(F.col(c) + r, F.lit(n - 1)) / side).cast("int"))
+    spread = cells.select(*by, "row", "col", F.col("value").cast("double").alias("value"), F.explode(own("row", shape[0])).alias("__tr"), own("col", shape[1]).alias("__tcs")).withColumn("__tc", F.explode("__tcs")).drop("__tcs")
+    keys = [*by, "__tr", "__tc"]
+    schema = T.StructType([*(spread.schema[c] for c in by), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+    def worked(key, table):
+        at = [int(k.as_py()) * side for k in key[-2:]]
+        end = [min(a + side, n) for a, n in zip(at, shape, strict=True)]
+        lo, hi = [max(a - r, 0) for a in at], [min(b + r, n) for b, n in zip(end, shape, strict=True)]
+        grid = np.full([b - a for a, b in zip(lo, hi, strict=True)], np.nan)
+        grid[table["row"].to_numpy() - lo[0], table["col"].to_numpy() - lo[1]] = table["value"].to_numpy()
+        # Reflection may run over a short grid more than once; numpy pads it as often as it takes.
+        grid = np.pad(grid, [(r - (a - b), r - (d - c)) for a, b, c, d in zip(at, lo, end, hi, strict=True)], mode="symmetric")
+        out = apply(grid)
+        i, j = np.nonzero(~np.isnan(out))
+        columns = [*(pa.array([k.as_py()] * len(i), table.schema.field(c).type) for k, c in zip(key, by, strict=False)), pa.array((i + at[0]).astype(np.int32)), pa.array((j + at[1]).astype(np.int32)), pa.array(out[i, j])]
+        return pa.Table.from_arrays(columns, names=[f.name for f in schema])
+
+    return spread.groupBy(*keys).applyInArrow(worked, schema)
+
+
+def along(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """One pass of a kernel down the rows of a padded array; a cell near one without a value has none."""
+    n = len(grid) - len(weights) + 1
+    return sum(w * grid[k : k + n] for k, w in enumerate(weights))
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -40,8 +79,23 @@ def pass_along(cells: DataFrame, axis: str, n: int, weights: list[float], border
 
 def smooth(cells: DataFrame, shape: tuple[int, int], sigma: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Gaussian smoothing of a complete grid, borders reflected; `by` keeps several grids apart. The kernel may be at most as wide as the grid is long."""
-    w = gaussian_weights(sigma)
-    return pass_along(pass_along(cells, "row", shape[0], w, by=by), "col", shape[1], w, by=by)
+    w = np.array(gaussian_weights(sigma))
+    return tiled(cells, shape, len(w) // 2, lambda grid: along(along(grid, w).T, w).T, by)
+
+
+def median(cells: DataFrame, shape: tuple[int, int], size: int) -> DataFrame:
+    """Median of the size x size neighbourhood of every cell, borders reflected, cells without a value left out."""
+    r = size // 2
+
+    def middle(grid: np.ndarray) -> np.ndarray:
+        windows = np.lib.stride_tricks.sliding_window_view(grid, (size, size))
+        flat = np.sort(windows.reshape(*windows.shape[:2], -1), axis=2)  # NaN comes last
+        n = (~np.isnan(flat)).sum(2)
+        pick = lambda k: np.take_along_axis(flat, np.clip(k, 0, size * size - 1)[..., None], 2)[..., 0]
+        out = (pick((n - 1) // 2) + pick(n // 2)) / 2
+        return np.where((n > 0) & ~np.isnan(grid[r : r + out.shape[0], r : r + out.shape[1]]), out, np.nan)
+
+    return tiled(cells, shape, r, middle)
 
 
 def high_pass(cells: DataFrame, shape: tuple[int, int], sigma: float) -> DataFrame:
@@ -66,11 +120,6 @@ def square(r: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
 
 
-def median(cells: DataFrame, shape: tuple[int, int], size: int) -> DataFrame:
-    """Median of the size x size neighbourhood's cells (at borders: of those that exist)."""
-    return neighbours(cells, shape, square(size // 2), []).groupBy("row", "col").agg(F.percentile("value", F.lit(0.5)).alias("value"))
-
-
 def _extreme(cells: DataFrame, shape: tuple[int, int], r: int, how: str) -> DataFrame:
     rows = neighbours(cells, shape, [(k, 0) for k in range(-r, r + 1)], [])
     f = F.min if how == "min" else F.max

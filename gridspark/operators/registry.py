@@ -63,12 +63,23 @@ def merge(current: DataFrame, changes: DataFrame, key: str, seq: str, put: str)
     return out.select(key, *(F.when(F.col("__c").isNotNull(), F.col(f"__c.{c}")).otherwise(F.col(c)).alias(c) for c in cols))
 
 
+def newest(entries: DataFrame, most: int) -> DataFrame:
+    """The newest `most` entries of each namespace with their rank n. They are cut down within hash parts first, so that no task ranks a whole namespace."""
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cached_at"), F.desc("event_id")))
+    some = entries.withColumn("__part", F.pmod(F.xxhash64("event_id"), F.lit(parts))).withColumn("n", rank("namespace", "__part")).where(F.col("n") <= most)
+    return some.drop("__part").withColumn("n", rank("namespace")).where(F.col("n") <= most)
+
+
 def prune(entries: DataFrame, now: Column, most: int) -> DataFrame:
-    """All entries with why they go: stale past their namespace's time, excess beyond the newest `most` fresh ones, else null."""
+    """All entries with why they go: stale past their namespace's time, excess beyond the newest `most` fresh ones, else null.
+
+    An entry is in excess if it comes after the last one of the newest `most`, a row per namespace."""
     t = _rows(entries, list(TTL.items()), "namespace string, __ttl long")
     aged = entries.join(t, "namespace").withColumn("__fresh", F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("cached_at").cast("timestamp")) <= F.col("__ttl") * 1000000)
-    n = F.row_number().over(Window.partitionBy("namespace", "__fresh").orderBy(F.desc("cached_at"), F.desc("event_id")))
-    return aged.withColumn("why", F.when(~F.col("__fresh"), "stale").when(n > most, "excess")).drop("__ttl", "__fresh")
+    last = newest(aged.where("__fresh").select("namespace", "cached_at", "event_id"), most).where(F.col("n") == most).select("namespace", F.struct("cached_at", "event_id").alias("__last"))
+    out = aged.join(F.broadcast(last), "namespace", "left")  # a row per namespace of TTL
+    return out.withColumn("why", F.when(~F.col("__fresh"), "stale").when(F.struct("cached_at", "event_id") < F.col("__last"), "excess")).drop("__ttl", "__fresh", "__last")
 
 
 def by_continent(regions: DataFrame) -> DataFrame:
@@ -79,11 +90,13 @@ def by_continent(regions: DataFrame) -> DataFrame:
     return r.groupBy("continent").agg(F.array_sort(F.collect_list("name")).alias("names")).withColumn("position", F.when(at > 0, at).otherwise(len(CONTINENT_ORDER) + 1).cast("int"))
 
 
-def cache_status(entries: DataFrame, recent: int) -> DataFrame:
-    """Per namespace: entries, bytes and the most recent ids; the ranks are cut before anything is collected."""
-    n = F.row_number().over(Window.partitionBy("namespace").orderBy(F.desc("cached_at"), F.desc("event_id")))
-    top = entries.withColumn("n", n).where(F.col("n") <= recent).groupBy("namespace").agg(F.array_sort(F.collect_list(F.struct("n", "event_id"))).alias("t"))
-    return entries.groupBy("namespace").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("bytes")).join(top, "namespace").select("namespace", "entries", "bytes", F.array_join(F.transform("t", lambda x: x["event_id"].cast("string")), ",").alias("recent"))
+def cache_status(entries: DataFrame, recent: int, now: Column | None = None) -> DataFrame:
+    """Per namespace: entries, bytes and the most recent ids with, where now is given, their ages in whole seconds; the ranks are cut before anything is collected."""
+    age = F.lit(None).cast("long") if now is None else (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("cached_at").cast("timestamp")))
+    top = newest(entries, recent).groupBy("namespace").agg(F.array_sort(F.collect_list(F.struct("n", "event_id", age.alias("age")))).alias("t"))
+    both = entries.groupBy("namespace").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("bytes")).join(top, "namespace")
+    listed = lambda c: F.array_join(F.transform("t", lambda x: x[c].cast("string")), ",")
+    return both.select("namespace", "entries", "bytes", listed("event_id").alias("recent"), *([] if now is None else [listed("age").alias("ages")]))
 
 
 def with_settings(regions: DataFrame, settings: DataFrame) -> DataFrame:

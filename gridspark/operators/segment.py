@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators import components, focal, vector
+from gridspark.operators import components, focal, raster, vector, zonal
 
 #: Reference colours, 0 to 1. Fixed values.
 COLOURS = ((0.2, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 0.0, 0.0), (0.5, 0.5, 0.5))
@@ -33,8 +33,9 @@ def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float, lea
     d = d.join(F.broadcast(d.groupBy("k").agg(F.avg("value").alias("m"))), "k").select("k", "row", "col", F.greatest("value", "m").alias("value"))
     s = focal.smooth(d, shape, sigma, by=("k",)).withColumnRenamed("value", "__s")
     h = d.join(s, ["k", "row", "col"]).select("k", "row", "col", F.greatest(F.col("value") - F.col("__s"), F.lit(0.0)).alias("value"))
-    stats = h.groupBy("k").agg(F.percentile("value", F.lit(0.5)).alias("med"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    c = h.join(F.broadcast(stats), "k")
+    stats = h.groupBy("k").agg(F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    middle = zonal.percentiles(h, [0.5], by=("k",)).select("k", F.col("p")[0].alias("med"))
+    c = h.join(F.broadcast(stats), "k").join(F.broadcast(middle), "k")
     top, bottom = F.col("med") + 3 * F.col("sd"), F.col("med") - 3 * F.col("sd")
     clip = lambda x: F.least(F.greatest(x, bottom), top)
     t = F.try_divide(clip(F.col("value")) - clip(F.col("lo")), F.nullif(clip(F.col("hi")) - clip(F.col("lo")), F.lit(0.0)))
@@ -50,12 +51,11 @@ def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float, lea
 def bright_lines(cells: DataFrame, shape: tuple[int, int], sigma: float, least: int) -> DataFrame:
     """Cells of bright lines: clipped to two standard deviations about the median, high-passed, median filtered, above the
     median by one standard deviation, in objects of at least `least` cells."""
-    from gridspark.operators import raster
-
-    s = raster.with_stats(cells, med=F.percentile("value", F.lit(0.5)), sd=F.stddev_pop("value"))
+    middle = lambda df: df.crossJoin(F.broadcast(zonal.percentiles(df, [0.5]).select(F.col("p")[0].alias("med"))))
+    s = raster.with_stats(middle(cells), sd=F.stddev_pop("value"))
     c = s.select("row", "col", F.least(F.greatest("value", F.col("med") - 2 * F.col("sd")), F.col("med") + 2 * F.col("sd")).alias("value"))
     m = raster.clip(focal.median(focal.high_pass(c, shape, sigma), shape, 3), low=0)
-    t = raster.with_stats(m, med=F.percentile("value", F.lit(0.5)), sd=F.stddev_pop("value"))
+    t = raster.with_stats(middle(m), sd=F.stddev_pop("value"))
     return large_objects(t.where("value > med + sd"), shape[1], least)
 
 
@@ -63,7 +63,7 @@ def equalise(cells: DataFrame, knots: int = 15) -> DataFrame:
     """Positive values mapped to 0..100 by linear interpolation between quantile knots that crowd at the ends (logistic)."""
     xs = [100 * k / (knots - 1) for k in range(knots)]
     ps = [1 / (1 + math.exp(-(x - 50) / 8)) for x in xs]
-    q = cells.where("value > 0").agg(F.percentile("value", F.array(*map(F.lit, ps))).alias("q"))
+    q = zonal.percentiles(cells.where("value > 0"), ps).select(F.col("p").alias("q"))
     s = cells.join(F.broadcast(q))
     v, out = F.col("value"), F.lit(xs[-1])
     for k in reversed(range(knots - 1)):

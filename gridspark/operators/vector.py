@@ -88,14 +88,27 @@ def burn_polygons(seg: DataFrame, shape: tuple[int, int], keep: list[str]) -> Da
 
 
 def burn_lines(seg: DataFrame, shape: tuple[int, int], distance: Column, keep: list[str]) -> DataFrame:
-    """(keep, row, col) of the cells whose centre lies within a distance of a segment, each once per kept key."""
-    s = seg.withColumn("__d", distance)
-    span = lambda a, b, top: F.sequence(F.greatest(F.floor(F.least(a, b) - F.col("__d") - 0.5), F.lit(0)), F.least(F.ceil(F.greatest(a, b) + F.col("__d") - 0.5), F.lit(top - 1)))
-    inside = (F.greatest("x1", "x2") + F.col("__d") >= 0) & (F.least("x1", "x2") - F.col("__d") <= shape[1]) & (F.greatest("y1", "y2") + F.col("__d") >= 0) & (F.least("y1", "y2") - F.col("__d") <= shape[0])
-    c = s.where(inside).withColumn("row", F.explode(span("y1", "y2", shape[0]).cast("array<int>"))).withColumn("col", F.explode(span("x1", "x2", shape[1]).cast("array<int>")))
-    px, py, dx, dy = F.col("col") + 0.5 - F.col("x1"), F.col("row") + 0.5 - F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(px * dx + py * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0))), F.lit(0.0))))
-    near = F.pow(px - t * dx, F.lit(2)) + F.pow(py - t * dy, F.lit(2)) <= F.col("__d") * F.col("__d")
+    """(keep, row, col) of the cells whose centre lies within a distance of a segment, each once per kept key.
+
+    A segment meets the rows within its distance, and in a row only the columns beside the part of it that is near that row, so a
+    diagonal of n cells tries some n cells and not n squared.
+    """
+    d, dx, dy = F.col("__d"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    span = lambda a, b, top: F.sequence(F.greatest(F.floor(a - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(b - 0.5), F.lit(top - 1)).cast("int"))
+    inside = (F.greatest("x1", "x2") + d >= 0) & (F.least("x1", "x2") - d <= shape[1]) & (F.greatest("y1", "y2") + d >= 0) & (F.least("y1", "y2") - d <= shape[0])
+    s = seg.withColumn("__d", distance).where(inside).withColumn("row", F.explode(span(F.least("y1", "y2") - d, F.greatest("y1", "y2") + d, shape[0])))
+    y = F.col("row") + 0.5 - F.col("y1")
+    unit = lambda t: F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    flat = F.nullif(dy, F.lit(0.0))
+    ends = [F.try_divide(y - d, flat), F.try_divide(y + d, flat)]
+    ta, tb = F.coalesce(unit(F.least(*ends)), F.lit(0.0)), F.coalesce(unit(F.greatest(*ends)), F.lit(1.0))
+    s = s.withColumn("__ta", F.when(dy == 0, 0.0).otherwise(ta)).withColumn("__tb", F.when(dy == 0, 1.0).otherwise(tb))
+    xa, xb = F.col("x1") + F.col("__ta") * dx, F.col("x1") + F.col("__tb") * dx
+    s = s.withColumn("__l", F.least(xa, xb) - d).withColumn("__r", F.greatest(xa, xb) + d).where(f"__r >= 0 and __l <= {shape[1]}")
+    c = s.withColumn("col", F.explode(span(F.col("__l"), F.col("__r"), shape[1])))
+    px, py = F.col("col") + 0.5 - F.col("x1"), F.col("row") + 0.5 - F.col("y1")
+    t = unit(F.coalesce(F.try_divide(px * dx + py * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0))), F.lit(0.0)))
+    near = F.pow(px - t * dx, F.lit(2)) + F.pow(py - t * dy, F.lit(2)) <= d * d
     return c.where(near & F.expr(f"row between 0 and {shape[0] - 1} and col between 0 and {shape[1] - 1}")).select(*keep, "row", "col").distinct()
 
 
@@ -109,10 +122,17 @@ def embed_lines(seg: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, seg: DataFrame, poly: str, side: float) -> DataFrame:
-    """(point columns, poly) where the point lies inside, by counting crossings. Points and edges meet on bands of y, not all with all."""
+    """(point columns, poly) where the point lies inside, by counting crossings. Points first meet the polygons whose bounding boxes hold them, on bins
+    of both axes; only such pairs meet the polygon's edges on the point's band of y."""
     band = lambda c: F.floor(c / side)
+    steps = lambda lo, hi: F.explode(F.sequence(band(F.col(lo)), band(F.col(hi))))
+    low, high = (lambda c: F.min(F.least(f"{c}1", f"{c}2"))), (lambda c: F.max(F.greatest(f"{c}1", f"{c}2")))
+    boxes = seg.groupBy(poly).agg(low("x").alias("__x0"), high("x").alias("__x1"), low("y").alias("__y0"), high("y").alias("__y1"))
+    boxes = boxes.withColumn("__bx", steps("__x0", "__x1")).withColumn("__b", steps("__y0", "__y1"))
+    near = points.withColumn("__bx", band(F.col("x"))).withColumn("__b", band(F.col("y"))).join(boxes, ["__bx", "__b"])
+    near = near.where("x between __x0 and __x1 and y between __y0 and __y1").select(*points.columns, poly, "__b")
     e = seg.withColumn("__b", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
-    j = points.withColumn("__b", band(F.col("y"))).join(e, "__b")
+    j = near.join(e, [poly, "__b"])
     cross = ((F.col("y1") <= F.col("y")) & (F.col("y") < F.col("y2"))) | ((F.col("y2") <= F.col("y")) & (F.col("y") < F.col("y1")))
     right = F.col("x") < F.col("x1") + F.try_divide(F.col("y") - F.col("y1"), F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))) * (F.col("x2") - F.col("x1"))
     return j.where(cross & right).groupBy(*points.columns, poly).agg(F.count("*").alias("__n")).where("__n % 2 = 1").drop("__n")
@@ -147,12 +167,21 @@ def runs(cells: DataFrame) -> DataFrame:
     return g.groupBy("row", "__g").agg(F.min("col").alias("first"), F.max("col").alias("last"), F.count("*").alias("n")).drop("__g")
 
 
+#: Columns in a block on which runs of neighbouring rows meet.
+RUN_BLOCK = 64
+
+
 def run_links(r: DataFrame, width: int) -> DataFrame:
-    """Edges between runs of neighbouring rows that touch (4-neighbours); a run's id is row * width + first. Loops keep single runs."""
+    """Edges between runs of neighbouring rows that touch (4-neighbours); a run's id is row * width + first. Loops keep single runs.
+
+    Runs meet on (row, block of columns); a pair counts in the block where their common columns begin.
+    """
     ident = F.col("row").cast("long") * width + F.col("first")
-    a = r.select(ident.alias("u"), (F.col("row") + 1).alias("row"), F.col("first").alias("fa"), F.col("last").alias("la"))
-    b = r.select(ident.alias("v"), "row", F.col("first").alias("fb"), F.col("last").alias("lb"))
-    return a.join(b, "row").where("fa <= lb and fb <= la").select("u", "v").union(r.select(ident, ident))
+    blocks = F.explode(F.sequence(F.floor(F.col("first") / RUN_BLOCK), F.floor(F.col("last") / RUN_BLOCK)))
+    a = r.select(ident.alias("u"), (F.col("row") + 1).alias("row"), F.col("first").alias("fa"), F.col("last").alias("la"), blocks.alias("__k"))
+    b = r.select(ident.alias("v"), "row", F.col("first").alias("fb"), F.col("last").alias("lb"), blocks.alias("__k"))
+    touch = a.join(b, ["row", "__k"]).where("fa <= lb and fb <= la").where(F.floor(F.greatest("fa", "fb") / RUN_BLOCK) == F.col("__k"))
+    return touch.select("u", "v").union(r.select(ident, ident))
 
 
 def surface_faces(shape: tuple[int, int], cells: DataFrame) -> DataFrame:

@@ -22,12 +22,49 @@ def histogram(cells: DataFrame, bins: int = 40) -> DataFrame:
     return full.withColumn("cdf", F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))  # `bins` rows
 
 
+#: Accuracy of the sketch that brackets a percentile's rank; how far (as a share of the rows) a bracket goes to either side, by the least number of
+#: rows for which that covers both the sketch's error and the neighbouring ranks.
+ACCURACY, MARGINS = 100_000, ((150_000, 4e-5), (3_200, 1e-3), (110, 3e-2), (0, 1.0))
+
+
+def percentiles(cells: DataFrame, ps: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group: by, n and p, the exact linear percentiles of the values that are not null, in the order of ps.
+
+    A quantile sketch brackets each rank; then only counts below the bracket and the different values inside it are aggregated, so no task
+    holds all values, however many are different. Groups are few: their sketches are broadcast.
+    """
+    v = F.col("value")
+    rows = cells.select(*by, "value").where(v.isNotNull())
+    ends = [min(1.0, max(0.0, p + d)) for p in ps for _, m in MARGINS for d in (-m, m)]
+    end = lambda i, side: F.coalesce(*(F.when(F.col("n") >= least, F.element_at("__q", (i * len(MARGINS) + k) * 2 + side)) for k, (least, _) in enumerate(MARGINS)))
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("value", ends, ACCURACY).alias("__q"))
+    brackets = F.array(*(F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("__at"), end(i, 1).alias("__a"), end(i, 2).alias("__b")) for i, p in enumerate(ps)))
+    sketch = F.broadcast(sketch.select(*by, "n", F.inline(brackets)))
+    each = rows.join(sketch, list(by)) if by else rows.crossJoin(sketch)
+    one = [*by, "__i", "__at", "n"]
+    counted = each.where(v <= F.col("__b")).groupBy(*one, F.when(v >= F.col("__a"), v).alias("__x")).agg(F.count("*").alias("__c"))
+    up_to = F.sum("__c").over(Window.partitionBy(*by, "__i").orderBy(F.asc_nulls_first("__x")).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.col("__at") * (F.col("n") - 1)
+    holds = lambda r: F.max(F.when((F.col("__to") - F.col("__c") <= r) & (r < F.col("__to")), F.col("__x")))
+    picked = counted.withColumn("__to", up_to).groupBy(*one).agg(holds(F.floor(rank)).alias("lo"), holds(F.ceil(rank)).alias("hi"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (rank - F.floor(rank))
+    got = picked.select(*by, "n", F.struct("__i", value.alias("x")).alias("s")).groupBy(*by, "n").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return got.select(*by, "n", F.transform("s", lambda s: s["x"]).alias("p"))  # len(ps) numbers
+
+
 def percentile_clip(cells: DataFrame, low: float, high: float) -> DataFrame:
-    """Clipped to exact linear percentiles (a hash of different values; use percentile_approx for very many)."""
-    s = cells.crossJoin(F.broadcast(cells.agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("p"))))
+    """Clipped to exact linear percentiles."""
+    s = cells.crossJoin(F.broadcast(percentiles(cells, [low, high])))
     return s.select("row", "col", F.least(F.greatest("value", F.col("p")[0]), F.col("p")[1]).alias("value"))
 
 
+def robust_normalise(cells: DataFrame, sample: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Values less the sample's median, over its high percentile above it and over its low one (or the median less 1) below."""
+    x, (a, b, c) = F.col("value") - F.col("p")[1], (F.col("p")[k] for k in range(3))
+    s = cells.crossJoin(F.broadcast(percentiles(sample, [low, 0.5, high])))
+    return s.select("row", "col", F.when(x < 0, F.try_divide(x, F.greatest(a, b - 1))).otherwise(F.try_divide(x, c)).alias("value"))
+
+
 def class_areas(cells: DataFrame) -> DataFrame:
     """Cells and share by class, with the total from a rollup (class null)."""
     r = cells.rollup("class_id").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.operators import focal, raster, segment, zonal
 from gridspark.plans import fixtures as X
 from gridspark.plans.fixtures import r6, s6, sql
-from gridspark.plans.q_raster import GW, LATS, OFF, emb_shape, out, smooth_ctes
+from gridspark.plans.q_raster import GW, LATS, OFF, REFLECT, emb_shape, out, smooth_ctes
 
 Q, S = {}, {}
 
@@ -66,6 +66,12 @@ def _(spark, sf):
     return out(segment.equalise(X.emb(spark, sf)))
 
 
+def objects(cells: str, least: int) -> str:
+    """obj(k, row, col): the cells of 4-connected objects of at least so many cells, k by k."""
+    same = "x.k = y.k AND ((y.row = x.row AND abs(y.col - x.col) = 1) OR (y.col = x.col AND abs(y.row - x.row) = 1))"
+    return f", ob AS MATERIALIZED ({cells}), oe AS MATERIALIZED (SELECT x.k, x.row AS r1, x.col AS c1, y.row AS r2, y.col AS c2 FROM ob x JOIN ob y ON {same}), oc AS (SELECT k, row AS r0, col AS c0, row, col FROM ob UNION SELECT oc.k, r0, c0, r2, c2 FROM oc JOIN oe ON oe.k = oc.k AND r1 = row AND c1 = col), on_ AS (SELECT k, r0, c0, count(*) AS n FROM oc GROUP BY 1, 2, 3), obj AS (SELECT k, r0 AS row, c0 AS col FROM on_ WHERE n >= {least}) "
+
+
 DIST = ", rf(k, a, b, c) AS (VALUES " + ", ".join(f"({k + 1}, {c[0]}::DOUBLE, {c[1]}::DOUBLE, {c[2]}::DOUBLE)" for k, c in enumerate(segment.COLOURS)) + f"""), px AS (SELECT row, col, ((row * 7 + col * 3) % 256) / 255::DOUBLE AS r, ((row * 5 + col * 11) % 256) / 255::DOUBLE AS g, abs(value) / 1000 AS b0 FROM emb),
 d0 AS (SELECT k, row, col, -sqrt(pow(r - a, 2) + pow(g - b, 2) + pow(b0 - c, 2)) AS value FROM px, rf), d AS (SELECT k, row, col, greatest(value, avg(value) OVER (PARTITION BY k)) AS value FROM d0),
 gw(j, w) AS ({GW(2.0)[1:-1]}), dim AS (SELECT max(row) + 1 AS nr FROM emb),
@@ -76,15 +82,15 @@ h AS (SELECT k, row, col, greatest(d.value - b2.value, 0) AS value FROM d JOIN b
 z AS (SELECT k, row, col, (least(greatest(value, med - 3 * sd), med + 3 * sd) - least(greatest(lo, med - 3 * sd), med + 3 * sd)) / nullif(least(greatest(hi, med - 3 * sd), med + 3 * sd) - least(greatest(lo, med - 3 * sd), med + 3 * sd), 0) AS t FROM h JOIN st USING (k))"""
 
 
-@query("f10_colour_segments", DIST + "SELECT row, col, max(k) AS label FROM z WHERE t > 0.7501234 GROUP BY 1, 2")
+@query("f10_colour_segments", DIST + objects("SELECT k, row, col FROM z WHERE t > 0.7501234", 20) + "SELECT row, col, max(k) AS label FROM obj GROUP BY 1, 2")
 def _(spark, sf):
     px = X.emb(spark, sf).select("row", "col", ((F.col("row") * 7 + F.col("col") * 3) % 256 / 255.0).alias("r"), ((F.col("row") * 5 + F.col("col") * 11) % 256 / 255.0).alias("g"), (F.abs("value") / 1000).alias("b"))
-    return segment.colour_segments(px, emb_shape(spark, sf), 2.0, 1, 0.7501234)
+    return segment.colour_segments(px, emb_shape(spark, sf), 2.0, 20, 0.7501234)
 
 
-@query("f11_bright_lines", ", c AS (SELECT row, col, least(greatest(value, med - 2 * sd), med + 2 * sd) AS value FROM emb, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM emb))" + smooth_ctes(2.0, "c") + ", hp AS (SELECT row, col, c.value - g2.value AS value FROM c JOIN g2 USING (row, col))" + OFF.format(t="hp", r=1) + ", m AS (SELECT row, col, greatest(quantile_cont(value, 0.5), 0) AS value FROM nb GROUP BY 1, 2) SELECT row, col FROM m, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM m) WHERE value > med + sd")
+@query("f11_bright_lines", ", c AS (SELECT row, col, least(greatest(value, med - 2 * sd), med + 2 * sd) AS value FROM emb, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM emb))" + smooth_ctes(2.0, "c") + ", hp AS (SELECT row, col, c.value - g2.value AS value FROM c JOIN g2 USING (row, col))" + REFLECT.format(t="hp") + ", m AS (SELECT row, col, greatest(quantile_cont(value, 0.5), 0) AS value FROM nb GROUP BY 1, 2)" + objects("SELECT 1 AS k, row, col FROM m, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM m) WHERE value > med + sd", 3) + "SELECT row, col FROM obj")
 def _(spark, sf):
-    return segment.bright_lines(X.emb(spark, sf), emb_shape(spark, sf), 2.0, 1)
+    return segment.bright_lines(X.emb(spark, sf), emb_shape(spark, sf), 2.0, 3)
 
 
 @query("l3_similarity_gain", ", j0 AS (SELECT a.value AS x, b.value AS y FROM emb a JOIN emb b ON a.row = b.row AND a.col = b.col + 1), j1 AS (SELECT value AS x, value AS y FROM emb), n AS (SELECT (SELECT covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) FROM j0) AS a, (SELECT covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) FROM j1) AS b) SELECT round(a, 5) + 0::DOUBLE AS before, round(b, 5) + 0::DOUBLE AS after, round(b - a, 5) + 0::DOUBLE AS gain FROM n")

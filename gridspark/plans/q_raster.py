@@ -377,7 +377,10 @@ def _(spark, sf):
 OFF = ", nb AS (SELECT a.row, a.col, b.value, dr, dc FROM {t} a, range(-{r}, {r} + 1) x(dr), range(-{r}, {r} + 1) y(dc), {t} b WHERE b.row = a.row + dr AND b.col = a.col + dc)"
 
 
-@query("f4_median", OFF.format(t="emb", r=1) + f"SELECT row, col, {s6('quantile_cont(value, 0.5)')} AS value FROM nb GROUP BY 1, 2")
+REFLECT = ", dm AS (SELECT max(row) AS mr, max(col) AS mc FROM {t}), nb AS (SELECT a.row, a.col, b.value FROM {t} a, range(-1, 2) x(dr), range(-1, 2) y(dc), dm, {t} b WHERE b.row = least(greatest(a.row + dr, 0), mr) AND b.col = least(greatest(a.col + dc, 0), mc))"
+
+
+@query("f4_median", REFLECT.format(t="emb") + f"SELECT row, col, {s6('quantile_cont(value, 0.5)')} AS value FROM nb GROUP BY 1, 2")
 def _(spark, sf):
     return out(focal.median(X.emb(spark, sf), emb_shape(spark, sf), 3))
 
@@ -393,19 +396,22 @@ def _(spark, sf):
 
 
 MASK = ", m AS (SELECT row, col, (value > -60)::INT AS value FROM emb)"
-EROSION = MASK + OFF.format(t="m", r=1) + ", er AS (SELECT row, col, CASE WHEN count(*) = 9 THEN min(value) ELSE 0 END AS value FROM nb GROUP BY 1, 2)"
+FRAME = "ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+#: The complete grid's rows and columns give the frames; cells at the border erode to 0.
+EROSION = MASK + f", e1 AS (SELECT row, col, min(value) OVER (PARTITION BY col ORDER BY row {FRAME}) AS value FROM m), e2 AS (SELECT row, col, min(value) OVER (PARTITION BY row ORDER BY col {FRAME}) AS value FROM e1), er AS (SELECT row, col, CASE WHEN row > 0 AND row < (SELECT max(row) FROM m) AND col > 0 AND col < 63 THEN value ELSE 0 END AS value FROM e2)"
+OPENED = EROSION + f", o1 AS (SELECT row, col, max(value) OVER (PARTITION BY col ORDER BY row {FRAME}) AS value FROM er), o AS (SELECT row, col, max(value) OVER (PARTITION BY row ORDER BY col {FRAME}) AS value FROM o1) "
 
 
 def mask(spark, sf):
     return X.emb(spark, sf).select("row", "col", (F.col("value") > -60).cast("int").alias("value"))
 
 
-@query("f5_opening", EROSION + ", nb2 AS (SELECT a.row, a.col, b.value FROM er a, range(-1, 2) x(dr), range(-1, 2) y(dc), er b WHERE b.row = a.row + dr AND b.col = a.col + dc) SELECT row, col, max(value) AS value FROM nb2 GROUP BY 1, 2")
+@query("f5_opening", OPENED + "SELECT row, col, value FROM o")
 def _(spark, sf):
     return focal.opening(mask(spark, sf), emb_shape(spark, sf), 1)
 
 
-@query("f6_thin_features", EROSION + ", nb2 AS (SELECT a.row, a.col, b.value FROM er a, range(-1, 2) x(dr), range(-1, 2) y(dc), er b WHERE b.row = a.row + dr AND b.col = a.col + dc), o AS (SELECT row, col, max(value) AS value FROM nb2 GROUP BY 1, 2) SELECT m.row, m.col FROM m JOIN o USING (row, col) WHERE m.value = 1 AND o.value = 0")
+@query("f6_thin_features", OPENED + "SELECT m.row, m.col FROM m JOIN o USING (row, col) WHERE m.value = 1 AND o.value = 0")
 def _(spark, sf):
     return focal.thin_features(mask(spark, sf), emb_shape(spark, sf), 3)
 
@@ -450,9 +456,7 @@ def _(spark, sf):
 @query("a6_robust_normalise", ", p AS (SELECT quantile_cont(value, 0.01) AS l1, quantile_cont(value, 0.5) AS l2, quantile_cont(value, 0.99) AS l3 FROM emb WHERE (row * 64 + col) % 10 = 0)" + v("CASE WHEN value - l2 < 0 THEN (value - l2) / nullif(greatest(l1, l2 - 1), 0) ELSE (value - l2) / nullif(l3, 0) END") + " FROM emb, p")
 def _(spark, sf):
     e = X.emb(spark, sf)
-    p = e.where("(row * 64 + col) % 10 = 0").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("p"))
-    x, (a, b, c) = F.col("value") - F.col("p")[1], (F.col("p")[k] for k in range(3))
-    return out(e.crossJoin(F.broadcast(p)).withColumn("value", F.when(x < 0, F.try_divide(x, F.greatest(a, b - 1))).otherwise(F.try_divide(x, c))))
+    return out(zonal.robust_normalise(e, e.where("(row * 64 + col) % 10 = 0")))
 
 
 @query("a8_class_areas", f"SELECT class_id, count(*) AS n, {s6('count(*) / (SELECT count(*) FROM cover)')} AS share FROM cover GROUP BY ROLLUP (class_id)")

@@ -72,9 +72,9 @@ def _(spark, sf):
     return scan.ordered_pairs(o, "a", "b").select("k", "north", "south")
 
 
-@query("s7_unique_names", ", x AS (SELECT o_orderkey AS k, o_orderpriority AS base, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 50 = 0) SELECT k, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS name FROM x")
+@query("s7_unique_names", ", x AS (SELECT o_orderkey AS k, o_orderpriority AS base, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders) SELECT k, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS name FROM x")
 def _(spark, sf):
-    o = X.table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("base"))
+    o = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("base"))
     return scan.unique_names(o, "base", "k").select("k", "name")
 
 
@@ -252,9 +252,9 @@ def _(spark, sf):
     return registry.by_continent(r).select("continent", F.array_join("names", ",").alias("names"), "position")
 
 
-@query("a14_cache_status", ", r AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY cached_at DESC, event_id DESC) AS n FROM req) SELECT namespace, count(*) AS entries, sum(size_bytes)::BIGINT AS bytes, string_agg(event_id, ',' ORDER BY n) FILTER (n <= 5) AS recent FROM r GROUP BY namespace")
+@query("a14_cache_status", ", r AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY cached_at DESC, event_id DESC) AS n FROM req) SELECT namespace, count(*) AS entries, sum(size_bytes)::BIGINT AS bytes, string_agg(event_id, ',' ORDER BY n) FILTER (n <= 5) AS recent, string_agg((floor(epoch(TIMESTAMP '2024-01-31 00:00:00'))::BIGINT - floor(epoch(cached_at))::BIGINT)::VARCHAR, ',' ORDER BY n) FILTER (n <= 5) AS ages FROM r GROUP BY namespace")
 def _(spark, sf):
-    return registry.cache_status(X.requests(spark, sf), 5)
+    return registry.cache_status(X.requests(spark, sf), 5, F.lit("2024-01-31 00:00:00"))
 
 
 @query("a15_hit_rate", f"SELECT namespace, count(*) FILTER (hit) AS hits, {s6('count(*) FILTER (hit) / count(*)')} AS rate FROM req GROUP BY namespace")
