@@ -162,8 +162,14 @@ def crop(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> Data
     return inside.withColumn("row", F.col("row") - rows[0]).withColumn("col", F.col("col") - cols[0])
 
 
-def cross_section(cells: DataFrame, row: int, height: float, base: float) -> DataFrame:
-    return model_height(cells.where(F.col("row") == row), height, base)
+def cross_section(cells: DataFrame, at: int, height: float, base: float, axis: str = "row") -> DataFrame:
+    """One row or column as model heights, stretched over its own range."""
+    return model_height(cells.where(F.col(axis) == at), height, base)
+
+
+def row_at(latitude: float, box: tuple, rows: int) -> int:
+    """The row of a latitude in a box (north, south, ...), truncated and kept within the grid."""
+    return min(max(int((box[0] - latitude) / (box[0] - box[1]) * rows), 0), rows - 1)
 
 
 def clean_numbers(v: Column) -> Column:
@@ -209,17 +215,25 @@ def is_categorical(cells: DataFrame, corner: int = 10, most: int = 20) -> DataFr
     return c.agg((F.coalesce(F.bool_and(F.col("value") == F.floor("value")), F.lit(False)) & (F.count_distinct("value") <= most)).alias("categorical"))
 
 
-def gather_rows(cells: DataFrame, rowmap: DataFrame) -> DataFrame:
+def gather_rows(cells: DataFrame, rowmap: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Output rows as weighted sums of source rows: rowmap(row, src, w) is small (two entries a row) and broadcast."""
-    return cells.withColumnRenamed("row", "src").join(F.broadcast(rowmap), "src").groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return cells.withColumnRenamed("row", "src").join(F.broadcast(rowmap), "src").groupBy(*by, "row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def _two(at: Column, nearest: bool) -> Column:
+    """The places (src, w) that a position reads: two with their shares, or the nearest one."""
+    if nearest:
+        return F.array(F.struct(F.bround(at, 0).cast("int").alias("src"), F.lit(1.0).alias("w")))
+    lo = F.floor(at).cast("int")
+    return F.array(F.struct(lo.alias("src"), (1 - (at - lo)).alias("w")), F.struct((lo + 1).alias("src"), (at - lo).alias("w")))
 
 
 def _latitude(i: Column, box: tuple, n: int) -> Column:
     return box[0] - i * ((box[0] - box[1]) / (n - 1))
 
 
-def row_projection(cells: DataFrame, box: tuple, shape: tuple[int, int], kind: str) -> DataFrame:
-    """Mercator and Lambert equal-area: the columns stay, output rows are interpolated between two source rows."""
+def row_projection(cells: DataFrame, box: tuple, shape: tuple[int, int], kind: str, nearest: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mercator and Lambert equal-area: the columns stay, output rows are interpolated between two source rows, or are the nearest one."""
     north, south = box[:2]
     rows = cells.sparkSession.range(shape[0]).select(F.col("id").cast("int").alias("row"))
     if kind == "mercator":
@@ -231,13 +245,18 @@ def row_projection(cells: DataFrame, box: tuple, shape: tuple[int, int], kind: s
         at = y(north) + F.col("row") * ((y(south) - y(north)) / (shape[0] - 1))
         lat = F.degrees(F.asin(F.least(F.greatest(at, F.lit(-1.0)), F.lit(1.0))))
     src = F.round((north - lat) / (north - south) * (shape[0] - 1), 9)
-    lo = F.floor(src).cast("int")
-    two = F.array(F.struct(lo.alias("src"), (1 - (src - lo)).alias("w")), F.struct((lo + 1).alias("src"), (src - lo).alias("w")))
     # A position outside the grid has no value, not a partial one.
-    return gather_rows(cells, rows.where((src >= 0) & (src <= shape[0] - 1)).select("row", F.inline(two)).where("w > 0"))
+    return gather_rows(cells, rows.where((src >= 0) & (src <= shape[0] - 1)).select("row", F.inline(_two(src, nearest))).where("w > 0"), by)
+
 
+def _gather_columns(keys: DataFrame, at: Column, cells: DataFrame, nearest: bool, by: tuple[str, ...]) -> DataFrame:
+    """Output cells (row, col) of keys, each from the places `at` along its own row."""
+    e = keys.select("row", "col", F.inline(_two(at, nearest))).where("w > 0")
+    source = cells.select(*by, "row", F.col("col").alias("src"), "value")
+    return e.join(source, ["row", "src"]).groupBy(*by, "row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
-def cosine(cells: DataFrame, box: tuple, shape: tuple[int, int], nearest: bool = False) -> DataFrame:
+
+def cosine(cells: DataFrame, box: tuple, shape: tuple[int, int], nearest: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Each row shrinks or grows to int(n cos(lat) / mean cos) columns, centred; what is wider than the grid is cropped."""
     m, n = shape
     rows = cells.sparkSession.range(m).select(F.col("id").cast("int").alias("row")).withColumn("c", F.cos(F.radians(_latitude(F.col("row"), box, m))))
@@ -246,19 +265,19 @@ def cosine(cells: DataFrame, box: tuple, shape: tuple[int, int], nearest: bool =
     r = r.withColumn("start", F.floor((n - F.col("width")) / 2).cast("int"))
     keys = r.withColumn("col", F.explode(F.sequence(F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("width"), F.lit(n)) - 1)))
     at = F.when(F.col("width") > 1, (F.col("col") - F.col("start")) / F.nullif(F.col("width") - 1, F.lit(0)) * (n - 1)).otherwise(0.0)
-    at = F.round(at, 9)
-    source = cells.select("row", F.col("col").alias("src"), "value")
-    if nearest:  # classes are picked, never mixed
-        return keys.select("row", "col", F.bround(at, 0).cast("int").alias("src")).join(source, ["row", "src"]).select(*KEY, "value")
-    lo = F.floor(at).cast("int")
-    e = keys.select("row", "col", F.inline(F.array(F.struct(lo.alias("src"), (1 - (at - lo)).alias("w")), F.struct((lo + 1).alias("src"), (at - lo).alias("w"))))).where("w > 0")
-    return e.join(source, ["row", "src"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return _gather_columns(keys, F.round(at, 9), cells, nearest, by)
 
 
-def aligned(mask: DataFrame, classes: DataFrame, box: tuple, shape: tuple[int, int]) -> DataFrame:
-    """(row, col, water, class_id): a mask projected bilinearly and cut at one half, classes projected to the nearest, both on the mask's cells."""
-    m = cosine(mask, box, shape).select(*KEY, (F.col("value") > 0.5 + 1e-9).cast("int").alias("water"))
-    return m.join(cosine(classes, box, shape, nearest=True).withColumnRenamed("value", "class_id"), KEY, "left")
+def aligned(mask: DataFrame, classes: DataFrame, box: tuple, shape: tuple[int, int], projection: str = "cosine", close: bool = False) -> DataFrame:
+    """(row, col, water, class_id): a mask projected bilinearly and cut at one half, classes projected to the nearest, both on the mask's cells.
+
+    close: rows and columns in which the projected mask has no value go, from both alike; a cell without a class has class 0."""
+    m = project(mask, box, shape, projection).select(*KEY, (F.col("value") > 0.5 + 1e-9).cast("int").alias("value"))
+    c = project(classes, box, shape, projection, nearest=True).withColumnRenamed("value", "class_id")
+    if not close:
+        return m.withColumnRenamed("value", "water").join(c, KEY, "left")
+    both = m.join(c, KEY, "left").withColumn("class_id", F.coalesce("class_id", F.lit(0)))
+    return close_up(both, keep=("class_id",)).withColumnRenamed("value", "water")
 
 
 def rotate(cells: DataFrame, shape: tuple[int, int], degrees: float) -> DataFrame:
@@ -273,27 +292,42 @@ def rotate(cells: DataFrame, shape: tuple[int, int], degrees: float) -> DataFram
     return e.join(cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), "value"), ["__r", "__c"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def sinusoidal(cells: DataFrame, box: tuple, shape: tuple[int, int]) -> DataFrame:
+def sinusoidal(cells: DataFrame, box: tuple, shape: tuple[int, int], nearest: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Row-wise: column x of [-1, 1] comes from longitude x * half / cos(lat) about the centre; outside there is no value."""
     m, n = shape
     keys = _keys(cells, shape).withColumn("c", F.cos(F.radians(_latitude(F.col("row"), box, m)))).where("c >= 0.01")
     at = F.round(((F.col("col") * (2.0 / (n - 1)) - 1) / F.col("c") + 1) / 2 * (n - 1), 9)
-    lo = F.floor(at).cast("int")
-    e = keys.where((at >= 0) & (at <= n - 1)).select("row", "col", F.inline(F.array(F.struct(lo.alias("src"), (1 - (at - lo)).alias("w")), F.struct((lo + 1).alias("src"), (at - lo).alias("w"))))).where("w > 0")
-    return e.join(cells.select("row", F.col("col").alias("src"), "value"), ["row", "src"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return _gather_columns(keys.where((at >= 0) & (at <= n - 1)), at, cells, nearest, by)
+
+
+def true_aspect(cells: DataFrame, box: tuple, shape: tuple[int, int], nearest: bool = False) -> tuple[DataFrame, tuple[int, int]]:
+    """Equidistant cylindrical in its true proportions, (cells, shape): as many rows, and columns by the box's width at its middle latitude."""
+    n, s, e, w = box
+    target = (shape[0], max(1, int(shape[0] * ((e - w) * math.cos(math.radians((n + s) / 2)) / (n - s)))))
+    return (resample_nearest if nearest else resample_bilinear)(cells, shape, target), target
 
 
-def project(cells: DataFrame, box: tuple, shape: tuple[int, int], projection: str) -> DataFrame:
-    """none, cosine (alias equidistant), mercator, lambert (alias equal_area), sinusoidal; another name is an error."""
+#: What project() knows: the projections and how each handles the grid.
+PROJECTIONS = {
+    "none": "unchanged", "cosine": "rows shrink by the cosine of their latitude", "equidistant": "as cosine where the shape stays", "mercator": "rows by the mercator ordinate",
+    "lambert": "rows by the sine of their latitude", "equal_area": "as lambert", "sinusoidal": "rows shrink about the central meridian",
+}
+
+
+def project(cells: DataFrame, box: tuple, shape: tuple[int, int], projection: str, nearest: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """The grid under one of PROJECTIONS on the same shape; another name is an error. nearest: classes are picked, never mixed. by: columns that keep several
+    grids (bands) apart in one plan."""
+    if projection not in PROJECTIONS:
+        raise ValueError(f"unknown projection {projection}")
     if projection == "none":
         return cells
     if projection in ("cosine", "equidistant"):
-        return cosine(cells, box, shape)
-    if projection in ("mercator", "lambert", "equal_area"):
-        return row_projection(cells, box, shape, "mercator" if projection == "mercator" else "lambert")
-    if projection == "sinusoidal":
-        return sinusoidal(cells, box, shape)
-    raise ValueError(f"unknown projection {projection}")
+        out = cosine(cells, box, shape, nearest, by)
+    elif projection == "sinusoidal":
+        out = sinusoidal(cells, box, shape, nearest, by)
+    else:
+        out = row_projection(cells, box, shape, "mercator" if projection == "mercator" else "lambert", nearest, by)
+    return out.withColumn("value", F.col("value").cast(cells.schema["value"].dataType)) if nearest else out
 
 
 def scatter_cosine(cells: DataFrame, box: tuple, shape: tuple[int, int]) -> DataFrame:
@@ -307,11 +341,11 @@ def scatter_cosine(cells: DataFrame, box: tuple, shape: tuple[int, int]) -> Data
     return close_up(out.withColumnRenamed("__c", "col"))
 
 
-def close_up(cells: DataFrame) -> DataFrame:
+def close_up(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows and columns without a value go and the rest are numbered anew; ranks run over different rows and columns only."""
     from pyspark.sql import Window
 
-    have = cells.where("value is not null and not isnan(value)")
+    have = cells.select(*KEY, "value", *keep).where("value is not null and not isnan(value)")
     for c in KEY:
         seen = have.select(c).distinct()
         rank = seen.withColumn("__n", F.row_number().over(Window.orderBy(c)) - 1)

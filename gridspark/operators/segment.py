@@ -13,15 +13,20 @@ from gridspark.operators import components, focal, raster, vector, zonal
 COLOURS = ((0.2, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 0.0, 0.0), (0.5, 0.5, 0.5))
 
 
-def large_objects(mask: DataFrame, width: int, least: int) -> DataFrame:
-    """Cells of the 4-connected objects of at least `least` cells."""
-    if least <= 1:
-        return mask.select("row", "col")
-    r = vector.runs(mask.select("row", "col"))
-    c = components.label(vector.run_links(r, width))
-    r = r.join(c, (F.col("row").cast("long") * width + F.col("first")) == F.col("node"))
+def large_objects(mask: DataFrame, shape: tuple[int, int], least: int, by: str | None = None) -> DataFrame:
+    """Cells (by, row, col) of the 4-connected objects of at least `least` cells; `by`, a whole number, keeps several masks apart.
+
+    Masks lie under one another in one grid, with an empty row between them, so that all are labelled together."""
+    keep = [by] if by else []
+    at = F.col("row").cast("long") + (F.col(by) * (shape[0] + 1) if by else 0)
+    r = components.saved(vector.runs(mask.select(at.alias("row"), "col")))  # read four times
+    c = components.label(vector.run_links(r, shape[1]))
+    r = r.join(c, (F.col("row") * shape[1] + F.col("first")) == F.col("node"))
     big = r.groupBy("root").agg(F.sum("n").alias("__area")).where(F.col("__area") >= least)
-    return r.join(big, "root", "left_semi").select("row", F.explode(F.sequence("first", "last")).alias("col"))
+    cells = r.join(big, "root", "left_semi").select("row", F.explode(F.sequence("first", "last")).alias("col"))
+    if by:
+        cells = cells.withColumn(by, F.floor(F.col("row") / (shape[0] + 1)).cast("int")).withColumn("row", F.col("row") % (shape[0] + 1))
+    return cells.select(*keep, F.col("row").cast("int").alias("row"), "col")
 
 
 def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: int, cut: float = 0.75) -> DataFrame:
@@ -33,18 +38,14 @@ def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float, lea
     d = d.join(F.broadcast(d.groupBy("k").agg(F.avg("value").alias("m"))), "k").select("k", "row", "col", F.greatest("value", "m").alias("value"))
     s = focal.smooth(d, shape, sigma, by=("k",)).withColumnRenamed("value", "__s")
     h = d.join(s, ["k", "row", "col"]).select("k", "row", "col", F.greatest(F.col("value") - F.col("__s"), F.lit(0.0)).alias("value"))
+    h = components.saved(h)
     stats = h.groupBy("k").agg(F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     middle = zonal.percentiles(h, [0.5], by=("k",)).select("k", F.col("p")[0].alias("med"))
     c = h.join(F.broadcast(stats), "k").join(F.broadcast(middle), "k")
     top, bottom = F.col("med") + 3 * F.col("sd"), F.col("med") - 3 * F.col("sd")
     clip = lambda x: F.least(F.greatest(x, bottom), top)
     t = F.try_divide(clip(F.col("value")) - clip(F.col("lo")), F.nullif(clip(F.col("hi")) - clip(F.col("lo")), F.lit(0.0)))
-    hits = c.where(t > cut).select("k", "row", "col")
-    if least > 1:
-        parts = [large_objects(hits.where(F.col("k") == k + 1), shape[1], least).select("row", "col", F.lit(k + 1).alias("k")) for k in range(len(COLOURS))]
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
+    hits = large_objects(c.where(t > cut).select("k", "row", "col"), shape, least, by="k")
     return hits.groupBy("row", "col").agg(F.max("k").alias("label"))
 
 
@@ -54,9 +55,9 @@ def bright_lines(cells: DataFrame, shape: tuple[int, int], sigma: float, least:
     middle = lambda df: df.crossJoin(F.broadcast(zonal.percentiles(df, [0.5]).select(F.col("p")[0].alias("med"))))
     s = raster.with_stats(middle(cells), sd=F.stddev_pop("value"))
     c = s.select("row", "col", F.least(F.greatest("value", F.col("med") - 2 * F.col("sd")), F.col("med") + 2 * F.col("sd")).alias("value"))
-    m = raster.clip(focal.median(focal.high_pass(c, shape, sigma), shape, 3), low=0)
+    m = components.saved(raster.clip(focal.median(focal.high_pass(components.saved(c), shape, sigma), shape, 3), low=0))
     t = raster.with_stats(middle(m), sd=F.stddev_pop("value"))
-    return large_objects(t.where("value > med + sd"), shape[1], least)
+    return large_objects(t.where("value > med + sd"), shape, least)
 
 
 def equalise(cells: DataFrame, knots: int = 15) -> DataFrame:

@@ -40,13 +40,10 @@ def _(spark, sf):
 
 @query("g15_rgb_projection", COS + ", px AS (SELECT row, col, unnest(['r', 'g', 'b']) AS band, unnest([(row * 7 + col) % 256, (row + col * 5) % 256, class_id % 256]) AS v FROM cover) SELECT band, e.row, e.col, " + s6("least(255, greatest(0, sum(w * v)))") + " AS value FROM e JOIN px ON px.row = e.row AND px.col = src WHERE w > 0 GROUP BY 1, 2, 3")
 def _(spark, sf):
-    px = X.cover(spark, sf).select("row", "col", ((F.col("row") * 7 + F.col("col")) % 256).alias("r"), ((F.col("row") + F.col("col") * 5) % 256).alias("g"), (F.col("class_id") % 256).alias("b"))
-    done = None
-    for band in "rgb":
-        one = raster.project(px.select("row", "col", F.col(band).cast("double").alias("value")), X.WORLD, (128, 128), "cosine")
-        one = one.select(F.lit(band).alias("band"), "row", "col", r6(F.least(F.lit(255.0), F.greatest(F.lit(0.0), "value"))).alias("value"))
-        done = one if done is None else done.union(one)
-    return done
+    bands = ((F.col("row") * 7 + F.col("col")) % 256, (F.col("row") + F.col("col") * 5) % 256, F.col("class_id") % 256)
+    px = X.cover(spark, sf).select("row", "col", F.inline(F.array(*(F.struct(F.lit(n).alias("band"), v.cast("double").alias("value")) for n, v in zip("rgb", bands, strict=True)))))
+    done = raster.project(px, X.WORLD, (128, 128), "cosine", by=("band",))
+    return done.select("band", "row", "col", r6(F.least(F.lit(255.0), F.greatest(F.lit(0.0), "value"))).alias("value"))
 
 
 COS30, SIN30 = repr(math.cos(math.radians(30))), repr(math.sin(math.radians(30)))

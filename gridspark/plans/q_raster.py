@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import focal, raster, zonal
+from gridspark.operators import focal, raster, terrain, zonal
 from gridspark.plans import fixtures as X
 from gridspark.plans.fixtures import r6, s6, sql
 
@@ -163,12 +163,9 @@ for name, points in raster.CURVES.items():
     Q[f"r15_curve_{name.replace('-', '_')}"], S[f"r15_curve_{name.replace('-', '_')}"] = _curve, sql(NORM + v(curve_sql(points)) + " FROM nn")
 
 
-@query("r16_curve_rescale", ", p(i, x, y) AS (VALUES (0, 0, 0), (1, 0.25, 0.1), (2, 0.5, 0.5), (3, 0.75, 0.9), (4, 1, 1)), q AS (SELECT i, round(least(1, greatest(0, (lo + x * (hi - lo) + 300) / 700)), 6)::DOUBLE AS x, y::DOUBLE AS y FROM p, (SELECT min(value) lo, max(value) hi FROM li)) SELECT x + 0::DOUBLE AS x, arg_min(y, i) AS y FROM q GROUP BY x")
+@query("r16_curve_rescale", ", p(i, x, y) AS (VALUES (0, 0, 0), (1, 0.25, 0.1), (2, 0.5, 0.5), (3, 0.75, 0.9), (4, 1, 1)), q AS (SELECT i, CASE i WHEN 0 THEN 0 WHEN 4 THEN 1 ELSE round(least(1, greatest(0, (lo + x * (hi - lo) + 300) / 700)), 6) END::DOUBLE AS x, y::DOUBLE AS y FROM p, (SELECT min(value) lo, max(value) hi FROM li)) SELECT x + 0::DOUBLE AS x, arg_min(y, i) AS y FROM q GROUP BY x")
 def _(spark, sf):
-    s = X.li(spark, sf).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    pts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(raster.CURVES["s-curve"])))
-    q = s.select("lo", "hi", F.inline(pts)).withColumn("x", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("lo") + F.col("x") * (F.col("hi") - F.col("lo")) + 300) / 700)), 6) + F.lit(0.0))
-    return q.groupBy("x").agg(F.min_by("y", "i").alias("y"))
+    return terrain.rescale_curve(X.li(spark, sf).agg(F.min("value").alias("lo"), F.max("value").alias("hi")), raster.CURVES["s-curve"], -300, 400)
 
 
 RGB = ", px AS (SELECT row, col, (row * 7 + col) % 256 AS r, (row + col * 5) % 256 AS g, class_id % 256 AS b FROM cover)"
@@ -180,13 +177,12 @@ def rgb(spark, sf):
 
 @query("r17_greenness", RGB + v("CASE WHEN (g - r) / (g + r + 1)::DOUBLE > 0.1 THEN (g - r) / (g + r + 1)::DOUBLE * 4 ELSE 0 END") + " FROM px")
 def _(spark, sf):
-    x = (F.col("g") - F.col("r")) / (F.col("g") + F.col("r") + 1)
-    return out(rgb(spark, sf).withColumn("value", F.when(x > 0.1, x * 4.0).otherwise(0.0)))
+    return out(rgb(spark, sf).withColumn("value", terrain.greenness(F.col("r"), F.col("g"))))
 
 
 @query("r18_luminance", RGB + v("0.299 * r + 0.587 * g + 0.114 * b") + " FROM px")
 def _(spark, sf):
-    return out(rgb(spark, sf).withColumn("value", 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")))
+    return out(rgb(spark, sf).withColumn("value", terrain.luminance(F.col("r"), F.col("g"), F.col("b"))))
 
 
 @query("r19_composite", RIVER + LAYER + f", c AS (SELECT li.row, li.col, li.value - 3 * ((class_id = 80)::INT) + 0.5 * coalesce(ly.value, 0) + 2 * coalesce({CASES(raster.COVER_HEIGHT)}, 0) AS value FROM li LEFT JOIN cover USING (row, col) LEFT JOIN ly USING (row, col)) SELECT {s6('min(value)')} AS lo, {s6('max(value)')} AS hi, {s6('avg(value)')} AS mean, count(*) AS n FROM c")
@@ -237,13 +233,12 @@ def _(spark, sf):
 
 @query("r29_spherical_factor", "SELECT pid, " + s6("cos(radians(lat)) * cos(radians(lon)) * 128 / 180 * 180 / pi()") + " AS f FROM pts")
 def _(spark, sf):
-    return X.points(spark, sf).select("pid", r6(F.cos(F.radians("lat")) * F.cos(F.radians("lon")) * 128 / 180 * 180 / F.pi()).alias("f"))
+    return X.points(spark, sf).select("pid", r6(terrain.spherical_factor(F.col("lat"), F.col("lon"), 128, 180)).alias("f"))
 
 
 @query("r30_stretch", v("CASE WHEN value > 0 THEN pow(value / hi, 0.7) * hi ELSE greatest(value - 0.02 * (hi - lo), -400) END") + " FROM li, (SELECT min(value) lo, max(value) hi FROM li)")
 def _(spark, sf):
-    s = raster.with_stats(X.li(spark, sf), lo=F.min("value"), hi=F.max("value"))
-    return out(s.withColumn("value", F.when(F.col("value") > 0, F.pow(F.col("value") / F.col("hi"), F.lit(0.7)) * F.col("hi")).otherwise(F.greatest(F.col("value") - 0.02 * (F.col("hi") - F.col("lo")), F.lit(-400.0)))))
+    return out(terrain.stretch(X.li(spark, sf)))
 
 
 @query("g1_nearest", ", k AS (SELECT r::INT AS row, c::INT AS col, least(floor(r * 128 / 50::DOUBLE), 127)::INT AS a, least(floor(c * 128 / 77::DOUBLE), 127)::INT AS b FROM range(50) x(r), range(77) y(c))" + v("li.value").replace("row, col", "k.row, k.col") + " FROM k JOIN li ON li.row = a AND li.col = b")
@@ -276,9 +271,8 @@ def _(spark, sf):
 
 @query("g4_fit_to_dim", "SELECT name, (h * least(1, 600 / greatest(h, w)))::INT AS height, (w * least(1, 600 / greatest(h, w)))::INT AS width FROM (SELECT name, (north - south) * 20 AS h, (east - west) * 20 AS w FROM reg)")
 def _(spark, sf):
-    h, w = (F.col("north") - F.col("south")) * 20, (F.col("east") - F.col("west")) * 20
-    k = F.least(F.lit(1.0), 600 / F.greatest(h, w))
-    return X.regions(spark, sf).select("name", F.round(h * k).cast("int").alias("height"), F.round(w * k).cast("int").alias("width"))
+    h, w = terrain.fit_columns((F.col("north") - F.col("south")) * 20, (F.col("east") - F.col("west")) * 20, 600)
+    return X.regions(spark, sf).select("name", h.alias("height"), w.alias("width"))
 
 
 @query("g5_strided", v("value") + " FROM emb WHERE row % 4 = 0 AND col % 4 = 0")
@@ -336,10 +330,10 @@ GW = lambda sigma: "(VALUES " + ", ".join(f"({k - len(focal.gaussian_weights(sig
 FOLD = "CASE WHEN (({i}) % (2 * n) + 2 * n) % (2 * n) < n THEN (({i}) % (2 * n) + 2 * n) % (2 * n) ELSE 2 * n - 1 - (({i}) % (2 * n) + 2 * n) % (2 * n) END"
 
 
-def smooth_ctes(sigma, src="emb"):
-    return f""", gw(k, w) AS ({GW(sigma)[1:-1]}), dim AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM {src}),
-g1 AS (SELECT t.row, s.col, sum(w * value) AS value FROM (SELECT DISTINCT row FROM {src}) t, gw, (SELECT nr AS n FROM dim), {src} s WHERE s.row = {FOLD.format(i='t.row + k')} GROUP BY 1, 2),
-g2 AS (SELECT s.row, t.col, sum(w * value) AS value FROM (SELECT DISTINCT col FROM {src}) t, gw, (SELECT nc AS n FROM dim), g1 s WHERE s.col = {FOLD.format(i='t.col + k')} GROUP BY 1, 2)"""
+def smooth_ctes(sigma, src="emb", tag=""):
+    return f""", gw{tag}(k, w) AS ({GW(sigma)[1:-1]}), dim{tag} AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM {src}),
+g1{tag} AS (SELECT t.row, s.col, sum(w * value) AS value FROM (SELECT DISTINCT row FROM {src}) t, gw{tag}, (SELECT nr AS n FROM dim{tag}), {src} s WHERE s.row = {FOLD.format(i='t.row + k')} GROUP BY 1, 2),
+g2{tag} AS (SELECT s.row, t.col, sum(w * value) AS value FROM (SELECT DISTINCT col FROM {src}) t, gw{tag}, (SELECT nc AS n FROM dim{tag}), g1{tag} s WHERE s.col = {FOLD.format(i='t.col + k')} GROUP BY 1, 2)"""
 
 
 @query("f2_gaussian", smooth_ctes(2.0) + f"SELECT row, col, {s6('value')} AS value FROM g2")
@@ -377,7 +371,7 @@ def _(spark, sf):
 OFF = ", nb AS (SELECT a.row, a.col, b.value, dr, dc FROM {t} a, range(-{r}, {r} + 1) x(dr), range(-{r}, {r} + 1) y(dc), {t} b WHERE b.row = a.row + dr AND b.col = a.col + dc)"
 
 
-REFLECT = ", dm AS (SELECT max(row) AS mr, max(col) AS mc FROM {t}), nb AS (SELECT a.row, a.col, b.value FROM {t} a, range(-1, 2) x(dr), range(-1, 2) y(dc), dm, {t} b WHERE b.row = least(greatest(a.row + dr, 0), mr) AND b.col = least(greatest(a.col + dc, 0), mc))"
+REFLECT = ", dm AS (SELECT max(row) AS mr, max(col) AS mc FROM {t}), na AS (SELECT row, col, least(greatest(row + dr, 0), mr) AS r2, least(greatest(col + dc, 0), mc) AS c2 FROM {t}, range(-1, 2) x(dr), range(-1, 2) y(dc), dm), nb AS (SELECT na.row, na.col, b.value FROM na JOIN {t} b ON b.row = r2 AND b.col = c2)"
 
 
 @query("f4_median", REFLECT.format(t="emb") + f"SELECT row, col, {s6('quantile_cont(value, 0.5)')} AS value FROM nb GROUP BY 1, 2")
