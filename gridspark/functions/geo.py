@@ -117,3 +117,11 @@ def river_depth(base: float, order: Column, exponent: float) -> Column:
 
 def river_buffer(pixel: float, order: Column) -> Column:
     return F.greatest(F.lit(0.6 * pixel), 0.6 * pixel * order / 3)
+
+
+def tile_pixel(lon: Column, lat: Column, n: Column, side: int = 256) -> tuple[Column, Column]:
+    """The pixel within its mercator tile (n tiles a side), truncated; latitudes are kept within 85.05 degrees."""
+    low = F.radians(F.least(F.greatest(lat, F.lit(-85.05)), F.lit(85.05)))
+    x, y = (lon + 180) / 360 * n, (1 - F.ln(F.tan(low) + 1 / F.cos(low)) / F.pi()) / 2 * n
+    part = lambda v: F.floor((v - F.floor(v)) * side).cast("int")
+    return part(x), part(y)

@@ -49,6 +49,30 @@ def violations(df: DataFrame, rules: list[tuple], name: str) -> DataFrame:
     return df.select(name, F.explode(F.array_compact(F.array(*bad))).alias("violation"))
 
 
+def layers_by_rules(features: DataFrame, rules: list[tuple[str, str, str | None, tuple[str, ...]]]) -> DataFrame:
+    """(feature_id, layer): rules are (layer, key, value or None for any, geometry types). A feature belongs to a layer if a tag and its geom_type meet one of its rules."""
+    t = _rows(features, [(a, k, v, list(g)) for a, k, v, g in rules], "layer string, __k string, __v string, __g array<string>")
+    tags = features.select("feature_id", "geom_type", F.explode("props").alias("__tk", "__tv"))
+    met = (F.col("__tk") == F.col("__k")) & (F.col("__v").isNull() | (F.col("__tv") == F.col("__v"))) & F.array_contains("__g", F.col("geom_type"))
+    return tags.join(t, met).select("feature_id", "layer").distinct()
+
+
+def parameter_violations(df: DataFrame, name: str, ranges: list[tuple] = (), allowed: dict[str, tuple] | None = None, whole: dict[str, int] | None = None) -> DataFrame:
+    """(name, violation) of all rules that a row breaks: ranges as in violations(), allowed values by column, and columns that must be whole and at least a
+    number. A null breaks no rule."""
+    bad = [df.select(name, F.lit(None).cast("string").alias("violation")).where("false")]
+    if ranges:
+        bad.append(violations(df, list(ranges), name))
+    more = [F.when(~F.col(c).isin(*v), F.lit(f"{c} not allowed")) for c, v in (allowed or {}).items()]
+    more += [F.when((F.col(c) != F.floor(c)) | (F.col(c) < least), F.lit(f"{c} not whole or below {least}")) for c, least in (whole or {}).items()]
+    if more:
+        bad.append(df.select(name, F.explode(F.array_compact(F.array(*more))).alias("violation")))
+    out = bad[0]
+    for b in bad[1:]:
+        out = out.unionByName(b)
+    return out
+
+
 def overlay(ids: DataFrame, saved: DataFrame, defaults: list[tuple[str, str, str]], key: str) -> DataFrame:
     """Defaults (group, key, value) overlaid for each id by its saved (key, value); unknown saved keys are left out."""
     d = _rows(ids, defaults, "grp string, key string, __d string")

@@ -83,10 +83,40 @@ def unique_names(df: DataFrame, base: str, order: str) -> DataFrame:
     return named.withColumn("__at", n).select(*df.columns, F.when(F.col("__at") == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), "__at")).alias("name"))
 
 
+#: Old settings' defaults by name, with their kind. Fixed values.
+LEGACY = {"dim": ("int", 600), "depth_scale": ("double", 0.5), "water_scale": ("double", 0.05), "height": ("double", 25.0), "base": ("double", 5.0), "subtract_water": ("boolean", True), "sat_scale": ("int", 500)}
+
+
 def legacy_regions(df: DataFrame, json: str) -> DataFrame:
-    """Old JSON settings with defaults: params.x first, then x."""
-    get = lambda *paths, kind, default: F.coalesce(*(F.get_json_object(json, p).try_cast(kind) for p in paths), F.lit(default).cast(kind))
-    return df.withColumn("dim", get("$.params.dim", "$.k", kind="int", default=600)).withColumn("height", get("$.params.height", "$.height", kind="double", default=25)).withColumn("base", get("$.params.base", "$.base", kind="double", default=5))
+    """Old JSON settings with defaults: params.x first, then x; the label is the continent where there is none."""
+
+    def get(name: str) -> Column:
+        kind, default = LEGACY[name]
+        paths = [f"$.params.{name}", *(["$.k"] if name == "dim" else []), f"$.{name}"]
+        return F.coalesce(*(F.get_json_object(json, p).try_cast(kind) for p in paths), F.lit(default).cast(kind))
+
+    out = df.withColumns({name: get(name) for name in LEGACY})
+    return out.withColumn("label", F.coalesce(F.nullif(F.get_json_object(json, "$.label"), F.lit("")), F.get_json_object(json, "$.continent")))
+
+
+def convert_tile_index(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Reads a tile index (CSV with a header: name, a, b, and other texts), keeps rows whose latitudes are numbers, writes regions (name, north, south) as CSV and
+    returns them as read back."""
+    rows = spark.read.csv(source, header=True, schema="name string, a string, b string")
+    ordered_pairs(rows, "a", "b").select("name", "north", "south").write.mode("errorifexists").csv(target, header=True)
+    return spark.read.csv(target, header=True, schema="name string, north double, south double")
+
+
+def write_arrays(cells: DataFrame, meta: DataFrame, path: str) -> None:
+    """Cells (namespace, key, row, col, value) as 32-bit floats by namespace, and a table of metadata (namespace, key, ...) beside them."""
+    cells.withColumn("value", F.col("value").cast("float")).write.mode("errorifexists").partitionBy("namespace").parquet(f"{path}/arrays")
+    meta.write.mode("errorifexists").parquet(f"{path}/meta")
+
+
+def read_arrays(spark: SparkSession, path: str, namespace: str) -> DataFrame:
+    """The cells of a namespace with their arrays' metadata; only its partition is read."""
+    meta = spark.read.parquet(f"{path}/meta").where(F.col("namespace") == namespace)
+    return spark.read.parquet(f"{path}/arrays").where(F.col("namespace") == namespace).join(meta, ["namespace", "key"])
 
 
 FEATURES = "struct<type:string,features:array<struct<id:bigint,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>>>"
@@ -99,6 +129,22 @@ def geojson_polygons(df: DataFrame, json: str) -> DataFrame:
     return f.select(F.col("f.id").alias("feature_id"), F.col("f.geometry.type").alias("geom_type"), parts.alias("parts"), F.col("f.properties").alias("props"))
 
 
+#: How deep the coordinates of each geometry are nested above one point. Fixed values.
+DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
+
+
+def geojson_features(df: DataFrame, json: str) -> DataFrame:
+    """Features of any geometry as (feature_id, geom_type, parts, props): parts are lists of points, the rings of all polygons, the lines, or one list of the
+    points. Another geometry has no parts."""
+    raw = "struct<type:string,features:array<struct<id:bigint,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
+    f = df.select(F.explode(F.from_json(json, raw)["features"]).alias("f")).select(F.col("f.id").alias("feature_id"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("__c"), F.col("f.properties").alias("props"))
+    nested = lambda d: F.from_json("__c", "array<" * (d + 1) + "double" + ">" * (d + 1))
+    flat = {0: F.array(F.array(nested(0))), 1: F.array(nested(1)), 2: nested(2), 3: F.flatten(nested(3))}
+    parts = F.coalesce(*(F.when(F.col("geom_type").isin(*(k for k, d in DEPTH.items() if d == depth)), x) for depth, x in flat.items()), F.array().cast("array<array<array<double>>>"))
+    points = F.transform(parts, lambda line: F.transform(line, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))))
+    return f.select("feature_id", "geom_type", points.alias("parts"), "props")
+
+
 def with_cover(reaches: DataFrame) -> DataFrame:
     """Reaches plus flat covering columns (pushed down to row groups when stored) and their order tier."""
     return reaches.select("*", F.when(F.col("ord_stra") >= 3, 1).otherwise(0).alias("tier"), F.least("x1", "xm", "x2").alias("min_x"), F.greatest("x1", "xm", "x2").alias("max_x"), F.least("y1", "ym", "y2").alias("min_y"), F.greatest("y1", "ym", "y2").alias("max_y"))
@@ -132,6 +178,12 @@ def source_catalog(spark: SparkSession, has_key: bool) -> DataFrame:
     return spark.createDataFrame([(n, m, has_key) for n, m in DATASETS] + [("local", 90, True)], "dataset string, resolution_m int, available boolean")
 
 
+def available_sources(uses: DataFrame, key: str, spark: SparkSession, has_key: bool) -> DataFrame:
+    """uses plus the resolution and availability of the data set they name; unknown names have none and are not available."""
+    c = F.broadcast(source_catalog(spark, has_key).withColumnRenamed("dataset", key))  # seven rows
+    return uses.join(c, key, "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
 def optimal_zoom(boxes: DataFrame, dim: int, low: int = 6, high: int = 18, tiles: int = 64) -> DataFrame:
     """boxes plus zoom: nearest to dim pixels over the diagonal, lowered until at most `tiles` tiles span a side."""
     n, s, e, w = (F.col(c) for c in ("north", "south", "east", "west"))

@@ -245,3 +245,135 @@ def triangle_max(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
     s = [side(1, 2), side(2, 3), side(3, 1)]
     inside = ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
     return t.where(inside).groupBy("row", "col").agg(F.max("z").alias("value"))
+
+
+def ring_area(points: str) -> Column:
+    """Square metres of a ring of longitudes and latitudes (closed or not) on the mercator plane, by the shoelace rule about the ring's first point."""
+    radius = 6378137.0
+    first = F.get(points, F.lit(0))
+    up = lambda lat: F.ln(F.tan(F.pi() / 4 + F.radians(lat) / 2))
+    flat = F.transform(points, lambda p: F.struct(F.radians(p["x"] - first["x"]).alias("x"), (up(p["y"]) - up(first["y"])).alias("y")))
+    after = lambda a, i: F.get(a, (i + 1) % F.size(a))
+    cross = lambda a: F.transform(a, lambda p, i: p["x"] * after(a, i)["y"] - after(a, i)["x"] * p["y"])
+    return F.abs(F.aggregate(F.get(F.transform(F.array(flat), cross), F.lit(0)), F.lit(0.0), lambda t, x: t + x)) / 2 * radius * radius
+
+
+def intersecting_polygons(df: DataFrame, key: str, points: str, cell: float, equal: str) -> DataFrame:
+    """(u, v), u < v: polygons (closed rings) that share a point and are equal in a column. Bounding boxes meet on bins first; then an edge of one must cross or
+    touch an edge of the other, or one must hold the other's first corner."""
+    ends = lambda f, c: f(F.transform(points, lambda p: p[c]))
+    boxes = df.select(key, equal, ends(F.array_min, "x").alias("x0"), ends(F.array_max, "x").alias("x1"), ends(F.array_min, "y").alias("y0"), ends(F.array_max, "y").alias("y1"))
+    pairs = overlapping_pairs(boxes, key, cell, equal)
+    of = lambda c, p: df.select(F.col(key).alias(c), F.col(points).alias(p))
+    j = pairs.join(of("u", "__p"), "u").join(of("v", "__q"), "v")
+    sides = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda a, i: F.struct(a.alias("a"), F.get(p, i + 1).alias("b")))
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    over = lambda a, b, c, d, k: (F.least(a[k], b[k]) <= F.greatest(c[k], d[k])) & (F.least(c[k], d[k]) <= F.greatest(a[k], b[k]))
+
+    def meet(s: Column, t: Column) -> Column:
+        a, b, c, d = s["a"], s["b"], t["a"], t["b"]
+        return over(a, b, c, d, "x") & over(a, b, c, d, "y") & (turn(a, b, c) * turn(a, b, d) <= 0) & (turn(c, d, a) * turn(c, d, b) <= 0)
+
+    def holds(p: str, c: Column) -> Column:
+        crossed = F.filter(sides(F.col(p)), lambda s: ((s["a"]["y"] <= c["y"]) != (s["b"]["y"] <= c["y"])) & (c["x"] < s["a"]["x"] + (c["y"] - s["a"]["y"]) / F.nullif(s["b"]["y"] - s["a"]["y"], F.lit(0.0)) * (s["b"]["x"] - s["a"]["x"])))
+        return F.size(crossed) % 2 == 1
+
+    touch = F.exists(sides(F.col("__p")), lambda s: F.exists(sides(F.col("__q")), lambda t: meet(s, t)))
+    return j.where(touch | holds("__p", F.get("__q", F.lit(0))) | holds("__q", F.get("__p", F.lit(0)))).select("u", "v")
+
+
+#: Water bodies that don't count as open water. Fixed values.
+SMALL_WATER = ("pond", "reservoir", "basin", "river", "lake", "canal", "wastewater")
+
+
+def open_water(df: DataFrame, tag: str, names: tuple[str, ...] = SMALL_WATER) -> DataFrame:
+    """Features whose tag is none of the names; without a tag they stay."""
+    return df.where(F.coalesce(~F.col(tag).isin(*names), F.lit(True)))
+
+
+def network_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, points): each edge's own geometry, or the straight line between its nodes (id, x, y); without geometry and a node there is no line."""
+    of = lambda c: nodes.select(F.col("id").alias(c), F.struct("x", "y").alias(f"__{c}"))
+    j = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    straight = F.when(F.col("__u").isNotNull() & F.col("__v").isNotNull(), F.array("__u", "__v"))
+    return j.select("u", "v", F.coalesce("geometry", straight).alias("points"))
+
+
+def city_stack(layers: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(row, col, one column per band): layers are (cells with value, how) with how sum or max; a cell that a band lacks counts 0."""
+    every = None
+    for name, (cells, _) in layers.items():
+        part = cells.select("row", "col", *(F.col("value").cast("double").alias(n) if n == name else F.lit(None).cast("double").alias(n) for n in layers))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("row", "col").agg(*(F.coalesce((F.sum if how == "sum" else F.max)(name), F.lit(0.0)).alias(name) for name, (_, how) in layers.items()))
+
+
+def city_height(buildings: DataFrame, roads: DataFrame, waterways: DataFrame, road: float = -0.5, water: float = -2.0) -> DataFrame:
+    """(row, col, height): the highest building, else a road, else a waterway."""
+    rank = lambda df, k, v: df.select("row", "col", F.lit(k).alias("k"), v.cast("double").alias("h"))
+    every = rank(buildings, 2, F.col("value")).unionByName(rank(roads, 1, F.lit(road))).unionByName(rank(waterways, 0, F.lit(water)))
+    return every.groupBy("row", "col").agg(F.max(F.struct("k", "h"))["h"].alias("height"))
+
+
+def worth_drawing(triangles: DataFrame, shape: tuple[int, int], least_z: float, least_area: float) -> DataFrame:
+    """Triangles (x1..y3, z) that are high and large enough and not wholly off the grid."""
+    c = {n: F.col(n) for n in ("x1", "y1", "x2", "y2", "x3", "y3")}
+    area = F.abs((c["x2"] - c["x1"]) * (c["y3"] - c["y1"]) - (c["x3"] - c["x1"]) * (c["y2"] - c["y1"])) / 2
+    on = (F.greatest("x1", "x2", "x3") > 0) & (F.least("x1", "x2", "x3") < shape[1]) & (F.greatest("y1", "y2", "y3") > 0) & (F.least("y1", "y2", "y3") < shape[0])
+    return triangles.where((F.col("z") >= least_z) & (area >= least_area) & on)
+
+
+def simplification(df: DataFrame, layer: str, before: str, after: str) -> DataFrame:
+    """Per layer: features, vertices and mercator areas of rings before and after, and the percent that went."""
+    n = lambda c: F.sum(F.size(c))
+    area = lambda c: F.sum(ring_area(c))
+    gone = lambda a, b: F.coalesce(F.try_divide(100.0 * (a - b), F.nullif(a, F.lit(0.0))), F.lit(0.0))
+    g = df.groupBy(layer).agg(F.count("*").alias("features"), n(before).alias("vertices_before"), n(after).alias("vertices_after"), area(before).alias("area_before"), area(after).alias("area_after"))
+    return g.withColumn("vertices_gone", gone(F.col("vertices_before").cast("double"), F.col("vertices_after"))).withColumn("area_gone", gone(F.col("area_before"), F.col("area_after")))
+
+
+def ring_prisms(df: DataFrame, key: str, points: str) -> DataFrame:
+    """(key, part, a, b, c, convex) of prisms over open rings of any number of corners: two wall triangles an edge, and fan caps where the ring is convex (others
+    get none and are flagged). Vertex ids are local: corners below, then above."""
+    n = F.size(points)
+    at = lambda i: F.get(points, i % n)
+    bend = lambda i: (at(i + 1)["x"] - at(i)["x"]) * (at(i + 2)["y"] - at(i + 1)["y"]) - (at(i + 1)["y"] - at(i)["y"]) * (at(i + 2)["x"] - at(i + 1)["x"])
+    bends = F.transform(F.sequence(F.lit(0), n - 1), bend)
+    convex = F.forall(bends, lambda x: x >= 0) | F.forall(bends, lambda x: x <= 0)
+    tri = lambda part, a, b, c: F.struct(F.lit(part).alias("part"), a.cast("int").alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"))
+    nxt = lambda i: (i + 1) % n
+    walls = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(tri("wall", i, nxt(i), i + n), tri("wall", nxt(i), nxt(i) + n, i + n))))
+    caps = F.flatten(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.array(tri("roof", n, n + i, n + i + 1), tri("floor", F.lit(0), i + 1, i))))
+    rows = df.where(n >= 3).withColumn("convex", convex)
+    return rows.select(key, F.explode(F.when(F.col("convex"), F.concat(walls, caps)).otherwise(walls)).alias("f"), "convex").select(key, "f.part", "f.a", "f.b", "f.c", "convex")
+
+
+def concatenated(vertices: DataFrame, faces: DataFrame, mesh: str) -> tuple[DataFrame, DataFrame]:
+    """Meshes joined into one: (offsets, faces). vertices (mesh, id, x, y, z) count from 0 in each mesh; faces (mesh, a, b, c) get their mesh's offset, the number of
+    vertices of the meshes before it; offsets also have each mesh's extent and centroid. Only one row a mesh is ordered in one place."""
+    size = vertices.groupBy(mesh).agg(F.count("*").alias("vertices"), *(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))))
+    before = F.coalesce(F.sum("vertices").over(Window.orderBy(mesh).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = size.withColumn("first_vertex", before)
+    moved = faces.join(offsets.select(mesh, "first_vertex"), mesh)
+    return offsets, moved.select(mesh, *((F.col(c) + F.col("first_vertex")).alias(c) for c in "abc"))
+
+
+def split_faces(faces: DataFrame, vertices: DataFrame, n: int, m: int) -> DataFrame:
+    """Faces (fid, a, b, c) with the piece (px, py) of n by m that holds their centroid; vertices are (id, x, y)."""
+    box = vertices.agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))
+    corner = faces.select("fid", F.explode(F.array("a", "b", "c")).alias("id")).join(vertices.select("id", "x", "y"), "id").groupBy("fid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    at = lambda v, lo, hi, k: F.least(F.floor((F.col(v) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0)) * k), F.lit(k - 1)).cast("int")
+    return corner.crossJoin(F.broadcast(box)).select("fid", at("x", "w", "e", n).alias("px"), at("y", "s", "n", m).alias("py"))
+
+
+def model_size(north: Column, south: Column, east: Column, west: Column, width_mm: float = 150.0) -> tuple[Column, Column]:
+    """Width and height in millimetres in true proportion at the middle latitude."""
+    aspect = (east - west) * F.cos(F.radians((north + south) / 2)) / F.nullif(north - south, F.lit(0.0))
+    return F.lit(width_mm), F.coalesce(width_mm / F.nullif(aspect, F.lit(0.0)), F.lit(width_mm))
+
+
+def model_z(cells: DataFrame, base_mm: float, height_mm: float) -> DataFrame:
+    """Elevations as millimetres above the plate's base, spread over height_mm; a flat grid lies on the base."""
+    s = cells.crossJoin(F.broadcast(cells.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))))
+    t = F.coalesce(F.try_divide(F.col("value") - F.col("__lo"), F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))), F.lit(0.0))
+    return s.select("row", "col", (base_mm + t * height_mm).alias("value"))

@@ -6,6 +6,7 @@ are dropped and state is bounded.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,27 @@ def first_requests(df: DataFrame, ts: str = "cached_at") -> DataFrame:
     return df.groupBy("key", "namespace").agg(F.min(ts).alias("first"))
 
 
+def misses_within(df: DataFrame, ttl_seconds: int, ts: str = "cached_at") -> DataFrame:
+    """(key, namespace, at): the requests of a table that no stored answer serves, a key's first and each that comes at least the ttl after the last such one.
+
+    Rows stream through each task in order of key and time, and a task holds one key's last miss only. A null time takes no part."""
+    rows = df.select("key", "namespace", F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("t is not null")
+
+    def walked(batches):
+        key = last = None
+        for b in batches:
+            keep = []
+            for i, (*k, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if k != key or t - last >= ttl_seconds * 1_000_000:
+                    key, last = k, t
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.repartition(parts, "key", "namespace").sortWithinPartitions("key", "namespace", "t").mapInArrow(walked, rows.schema)
+    return out.select("key", "namespace", F.timestamp_micros("t").alias("at"))
+
+
 def misses(df: DataFrame) -> DataFrame:
     """On a watermarked stream: the first request per key and namespace within the watermark."""
     return df.dropDuplicatesWithinWatermark(["key", "namespace"])
