@@ -40,7 +40,7 @@ HELD_KEYS, STAR = 1 << 20, 4
 #: Rows in an Arrow batch of keys.
 ROWS = 1 << 17
 #: Of the buckets that a member shares with others, it carries so many least keys.
-LOW = 8
+LOW = 4
 #: Members of one bucket are held for comparison in blocks of about so many shingles (8 bytes each).
 BLOCK = 1 << 19
 #: So many ids at most are broadcast to pick candidates' texts; with more the texts are joined by a shuffle.
@@ -154,11 +154,11 @@ def band(n: int) -> int:
 def bucket_keys(s: np.ndarray, common: np.ndarray, tiers: np.ndarray) -> np.ndarray:
     """The keys of the buckets that the set joins: for its own band, and for that of the largest set it may be linked with.
 
-    Of the n // 3 + 1 words (the symmetric difference with a set of up to 4 n / 3 shingles is at most n / 3) in part order all
-    are non-empty. A set with fewer non-empty parts adds each shingle as a key of its own: two such sets meet there.
+    Two sets of n and m shingles that link differ in (n + m) // 7 at most; in a band m is at most 4 n / 3 and the band's largest size. Of
+    the words in part order one more than that are taken, all non-empty. A set with fewer non-empty parts adds each shingle as a
+    key of its own: two such sets meet there.
     """
     n = len(s)
-    need = n // 3 + 1
     # The part is the hash's leading bits below the shingle's tier, so that parts of rare shingles come first.
     tier = np.zeros(n, np.uint64)
     if len(common):
@@ -168,6 +168,7 @@ def bucket_keys(s: np.ndarray, common: np.ndarray, tiers: np.ndarray) -> np.ndar
     s, late = s[order], tier[order] << np.uint64(50)
     keys = []
     for b in range(band(n), band(n * DEN // NUM) + 1):
+        need = (n + min(1 << b, n * DEN // NUM)) * (DEN - NUM) // (DEN + NUM) + 1
         part = (s >> np.uint64(64 - b) if b else np.zeros(n, np.uint64)) | late
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         word = np.bitwise_xor.reduceat(s, first)[:need]
