@@ -19,13 +19,21 @@ MIX_BLOCK = 512
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters most of which one language covers."""
+    """Documents with letters most of which one language covers.
+
+    A null, empty or letterless text goes; a null lang only takes no part in learning; where no row has one, no language is known and all go. Very long texts are
+    judged whole, repeated rows alike, ties between languages by code point. Other columns pass through; `__language` is taken.
+    """
     out = langid.identify(docs, langid.fit(docs), out="__language")
     return out.where((F.col("__language.lang") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SHARE)).drop("__language")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id; rows without a doc_id, and texts without words, stay."""
+    """One document of each group of near duplicates, the one with the least doc_id; rows without a doc_id, and texts without words, stay.
+
+    Of rows that repeat the doc_id and link, one stays, the least by its text's hash; very long texts are compared whole; an empty table stays empty. Other columns
+    pass through; names that begin with __ are taken.
+    """
     found = cut(ngram_join.grouped(docs))
     # Of the rows that share the least doc_id of a component, those of its least class stay.
     stay = found.where("component_id = doc_id and class is not null")
@@ -44,17 +52,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs.
+
+    Null and wordless texts have no window and stay; very long texts are searched whole; repeated rows stay or go together; an empty table or benchmark
+    changes nothing. Other columns pass through; `__hits` is taken.
+    """
     return decontam.find_overlaps(docs, table(spark, sf_dir, "benchmark"), out="__hits").where(F.size("__hits.spans") == 0).drop("__hits")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: runs of documents' words, as often as the mix takes them."""
+    """The mixture: runs of documents' words, as often as the mix takes them.
+
+    Null and wordless texts take no room and go; a null source is a source of its own; rows that repeat in full each take their own room, and ties in a stream's
+    order occur among them alone; very long texts are cut where blocks end; an empty table gives an empty one. Other columns pass through; names that
+    begin with __ are taken.
+    """
     return mixing.mix_documents(docs, block=MIX_BLOCK)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture in shards: docs' columns plus shard and slot."""
+    """The mixture in shards: docs' columns plus shard and slot.
+
+    Every row gets a slot, whatever is null, empty, very long or repeated in it; rows that repeat in full are interchangeable. An empty table gives an empty
+    one. Columns named shard or slot are replaced; names that begin with __ are taken.
+    """
     keyed = docs.withColumn("__t", F.xxhash64("text"))
     return sharding.shuffle_into_shards(keyed, ["doc_id", "n_chars", "__t"]).drop("__t")
 
