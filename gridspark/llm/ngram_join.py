@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.llm.common import cut, table
-from gridspark.llm.graph import components
+from gridspark.operators.components import label as components
 
 WIDTH = 5
 #: Similarity of at least NUM / DEN: the symmetric difference is at most (DEN - NUM) / (DEN + NUM) of both sizes' sum.

@@ -57,3 +57,17 @@ def test_one_row_of_a_component_with_repeated_ids(spark, sf):
     assert len([t for i, t in got if i == 1 and t.lower().startswith("v")]) == 1
     assert got.count((1, "")) == 2 and (None, text) in got and len(got) == 5
     assert sorted(got, key=str) == sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs.orderBy(F.desc("text")), sf).collect()), key=str)
+
+
+def test_stages_with_long_texts_and_clashing_columns(spark, sf):
+    long = " ".join(f"word{i} und der" for i in range(30_000))
+    rows = [(1, long, "de", "a", len(long)), (2, "the cat and the dog sit here " * 3, "en", "b", 87), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(("n", "h", "key", "count", "root", "class", "component_id", "size", "target", "shard", "slot", "kind", "items"))})
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        assert set(out.columns) == set(docs.columns), name
+        assert any(r["doc_id"] == 1 for r in got), name
+        if name != "mixing":
+            assert next(r["text"] for r in got if r["doc_id"] == 1) == long
