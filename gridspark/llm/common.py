@@ -13,6 +13,19 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of texts in an Arrow batch, at most: with Spark's default of 10,000, long texts would take much of an executor's memory.
+TEXT_ROWS = 1_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df as it is; its session's Arrow batches are from now on of TEXT_ROWS rows at most. A smaller setting stays."""
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH)) > TEXT_ROWS or int(spark.conf.get(BATCH)) <= 0:
+        spark.conf.set(BATCH, TEXT_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import cut, folded_table, table
+from gridspark.llm.common import cut, folded_table, table, text_batches
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass holds in each worker; a larger benchmark is searched for in several passes.
@@ -99,7 +99,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Texts of any length are searched whole, one at a time. Input columns pass through; one named like `out` is replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop(out)
+    docs = text_batches(docs).drop(out)
     picked = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
     size = picked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-size // PASS_BYTES))

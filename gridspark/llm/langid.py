@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import table
+from gridspark.llm.common import table, text_batches
 
 #: About so many labelled documents are learnt from (a documented bound); all are when there are fewer.
 FIT_DOCS = 20_000
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int =
     language and labels everything `und`. Texts without letters and empty ones add nothing, texts of any length count whole, copies count
     as often as they are drawn; other columns don't matter.
     """
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
+    rows = text_batches(docs).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
     n = rows.count()
     if n > fit_docs:
         rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / n))
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     language first in code-point order; an empty table stays empty. Texts of any length are read whole, one at a time. Other columns
     pass through; one named like `out` is replaced.
     """
-    docs = docs.drop(out)
+    docs = text_batches(docs).drop(out)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import cut, table
+from gridspark.llm.common import cut, table, text_batches
 from gridspark.operators.components import label as components
 
 WIDTH = 5
@@ -36,9 +36,9 @@ COMMON, COMMON_MOST = 12, 2_000_000
 #: Leaders tried in large buckets.
 LEADERS = 4
 #: Keys that a map task holds before it makes stars, and members of a bucket from which it does.
-HELD_KEYS, STAR = 1 << 20, 4
+HELD_KEYS, STAR = 1 << 18, 4
 #: Rows in an Arrow batch of keys.
-ROWS = 1 << 17
+ROWS = 1 << 16
 #: Of the buckets that a member shares with others, it carries so many least keys.
 LOW = 4
 #: Members of one bucket are held for comparison in blocks of about so many shingles (8 bytes each).
@@ -588,7 +588,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """near_duplicates with root, a class that stands for the component: components whose least doc_id is the same differ in it."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t"))
+    rows = text_batches(docs).select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t"))
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     narrow = cut(_narrow(rows))
@@ -640,6 +640,7 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str
     if gone.sparkSession is not docs.sparkSession:
         raise ValueError("both tables must belong to one session")
     gone = cut(gone)
+    text_batches(docs)
     listed = gone.groupBy(doc_id).agg(F.collect_set("__class").alias("__gone"))
     marked = docs.join(F.broadcast(listed) if gone.count() <= PICK_ROWS else listed, doc_id, "left")
     at_text, at_gone = marked.columns.index(text), marked.columns.index("__gone")
@@ -657,7 +658,7 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str
 
 def with_class(docs: DataFrame, text: str = "text", out: str = "__class") -> DataFrame:
     """docs plus the class of each row's text as near_duplicates gives it; null for a text without words."""
-    at = docs.columns.index(text)
+    at = text_batches(docs).columns.index(text)
 
     def mapped(batches):
         make = Shingler()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import cut, folded_table, table
+from gridspark.llm.common import cut, folded_table, table, text_batches
 
 #: About so many labelled documents are learnt from (a documented bound); all are when there are fewer.
 FIT_DOCS = 20_000
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", fit_docs:
     is bounded by the sample. Without both classes the model finds nothing and every score is the base rate. Texts are read whole,
     one at a time; other columns don't matter.
     """
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("t is not null and y in (0, 1)")
+    rows = text_batches(labelled).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("t is not null and y in (0, 1)")
     size = rows.count()
     if size > fit_docs:
         rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / size))
@@ -231,7 +231,7 @@ def find_toxic(docs: DataFrame, model: Model, text: str = "text", out: str = "to
     results, also where passages tie; an empty table stays empty. Texts of any length are searched whole, one at a time. Other columns pass through;
     one named like `out` is replaced.
     """
-    docs = docs.drop(out)
+    docs = text_batches(docs).drop(out)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p", pa.float64())])
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(passage))])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut, fresh_path, table
+from gridspark.llm.common import cut, fresh_path, table, text_batches
 
 STEP = 64 << 10
 LEVEL = 3
@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     is the response (rows that repeat it are responses too) and the others revisit it; a null page_id counts as smallest. A very long
     payload is a record like others. An empty table gives archives without records; other columns are not stored."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("i"), F.col(url).cast("string").alias("u"), body.alias("p")).withColumn("h", F.sha1("p"))
+    rows = text_batches(pages).select(F.col(page_id).cast("long").alias("i"), F.col(url).cast("string").alias("u"), body.alias("p")).withColumn("h", F.sha1("p"))
     again = cut(rows.groupBy("h").agg(F.max("i").alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first", F.lit(True).alias("again")))
     typed = rows.join(F.broadcast(again) if again.count() <= PICK_ROWS else again, "h", "left")
     response = F.col("again").isNull() | F.col("i").eqNullSafe(F.col("first"))
