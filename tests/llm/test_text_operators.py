@@ -63,12 +63,21 @@ def test_quality_rules_by_line(spark):
     good = "\n".join("The " + " ".join(f"w{i}" for i in rng.integers(0, 10**6, 9)) + " ends here." for _ in range(6))
     menu = "\n".join(["Home | About | Contact | Login"] * 1 + [f"Shop {x} | Cart | News {x}" for x in "abcdefgh"])
     signs = "\n".join(f"wow$$$ buy&&& now*** cheap### {x}%%%" for x in "abcdefgh")
-    notice = good + "\nAll rights reserved."
-    df = spark.createDataFrame([(1, good), (2, menu), (3, signs), (4, notice)], "doc_id long, text string")
+    prose = lambda: "\n".join("Der " + " ".join(f"w{i}" for i in rng.integers(0, 10**6, 9)) + " und Schluss." for _ in range(6))
+    notices = [(100 + i, prose() + "\nAlle Rechte vorbehalten.\n" + prose()) for i in range(quality.PLACES)]
+    notice = good + "\n ALLE Rechte vorbehalten."
+    # In many copies, nearly always between the same lines.
+    copies = [(200 + i, f"{good}\n{prose() if i % 3 == 0 else good}\n{menu}") for i in range(4 * quality.PLACES)]
+    bare = "\n".join(" ".join(f"w{i}" for i in rng.integers(0, 10**6, 9)) for _ in range(6))
+    thai = "\n".join("\u0e20\u0e32\u0e29\u0e32 " * 10 for _ in range(3))
+    df = spark.createDataFrame([(1, good), (2, menu), (3, signs), (4, notice), (5, bare), (6, thai), *notices, *copies], "doc_id long, text string")
     got = {r["doc_id"]: r["quality"] for r in quality.clean_lines(df).collect()}
     assert got[1]["kept"] and got[1]["cleaned_text"] == good
     assert not got[2]["kept"] and not got[3]["kept"]
     assert got[4]["kept"] and got[4]["cleaned_text"] == good
+    assert not got[5]["kept"] and got[5]["cleaned_text"] == "" and got[6]["cleaned_text"] == thai
+    assert all(got[i]["cleaned_text"] == t.replace("\nAlle Rechte vorbehalten.", "") for i, t in notices)
+    assert got[201]["cleaned_text"] == f"{good}\n{good}"
 
 
 # 2 ---------------------------------------------------------------------------------------------
