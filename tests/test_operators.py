@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions import geo
-from gridspark.operators import components, focal, raster, registry, scan, vector, zonal
+from gridspark.operators import components, focal, raster, registry, scan, terrain, vector, zonal
+from gridspark.streaming import requests
 
 G3 = [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]]
 
@@ -171,3 +173,70 @@ def test_unique_names_of_all_orders_in_ranges(spark, sf):
     odd = spark.createDataFrame([("b", None), (None, 1), (None, 2), ("b", 5)], "base string, k long")
     assert sorted((r["k"] or 0, r["name"]) for r in scan.unique_names(odd, "base", "k").where("base = 'b'").collect()) == [(0, "b"), (5, "b_2")]
     assert scan.unique_names(odd, "base", "k").count() == 4 and scan.unique_names(odd.where("false"), "base", "k").count() == 0
+
+
+def test_components_by_rounds_and_in_one_task_agree(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(7000, 7000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    one = sorted(map(tuple, components.label(df).select("node", "root").collect()))
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert sorted(map(tuple, components.label(df).select("node", "root").collect())) == one
+    assert (1040, 1000) in one and (7000, 7000) in one
+    assert components.label(df.where("false")).count() == 0
+
+
+def test_percentiles_are_exact_by_group(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x)) for x in rng.normal(0, 1, 5000)] + [("b", float(x)) for x in rng.integers(0, 3, 400)] + [("c", 5.0), ("a", None)]
+    ps = [0.0, 0.013, 0.5, 0.98, 1.0]
+    got = {r["g"]: r for r in zonal.percentiles(spark.createDataFrame(rows, "g string, value double"), ps, by=("g",)).collect()}
+    for g in "abc":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g]["n"] == len(v) and np.allclose(got[g]["p"], np.quantile(v, ps), atol=1e-12)
+
+
+def test_tiles_equal_whole_array(spark, monkeypatch):
+    monkeypatch.setattr(focal, "TILE", 8)
+    rng = np.random.default_rng(2)
+    a = rng.normal(0, 1, (30, 21))
+    df = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(30) for j in range(21)], "row int, col int, value double")
+    w = np.array(focal.gaussian_weights(1.0))
+    pad = np.pad(a, len(w) // 2, mode="symmetric")
+    want = focal.along(focal.along(pad, w).T, w).T
+    for r in focal.smooth(df, (30, 21), 1.0).collect():
+        assert abs(r["value"] - want[r["row"], r["col"]]) < 1e-12
+    pad = np.pad(a, 1, mode="symmetric")
+    got = focal.median(df, (30, 21), 3).collect()
+    assert len(got) == a.size and all(abs(r["value"] - np.median(pad[r["row"] : r["row"] + 3, r["col"] : r["col"] + 3])) < 1e-12 for r in got)
+
+
+def test_terrain_shapes_and_rules(spark):
+    c = spark.createDataFrame([(0, 0, 80), (0, 1, 10)], "row int, col int, class_id int")
+    low = spark.createDataFrame([(0, 0, 5.0), (0, 1, -9.0)], "row int, col int, value double")
+    wet = lambda box: {r["col"]: r["water"] for r in terrain.water_mask(c, box, elevation=low).collect()}
+    assert wet((40.0, 39.9, -75.1, -75.2)) == {0: 1, 1: 0} and wet((41.0, 39.0, -74.0, -76.0)) == {0: 1, 1: 1}
+    assert terrain.fit((100, 50), 600) == (600, 300) and terrain.fit((50, 100), 60) == (30, 60)
+    assert terrain.shrink(low, (1, 2), 2)[1] == (1, 2) and raster.row_at(-90, (90.0, -90.0), 10) == 9
+    flat = spark.createDataFrame([(0, 0, 3.0), (0, 1, 3.0)], "row int, col int, value double")
+    assert {r["value"] for r in terrain.standardise(flat).collect()} == {0.0}
+    with pytest.raises(ValueError):
+        raster.project(low, (90.0, -90.0, 180.0, -180.0), (1, 2), "robinson")
+
+
+def test_polygons_that_hold_or_only_near_each_other(spark):
+    ring = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in (*xy, xy[0])]
+    rows = [
+        (1, 1, ring((0, 0), (10, 0), (10, 10), (0, 10))), (2, 1, ring((4, 4), (5, 4), (5, 5))), (3, 1, ring((10, 10), (12, 10), (12, 12))), (4, 1, ring((20, 0), (30, 0), (20, 10))),
+        (5, 1, ring((29, 9), (30, 9), (30, 10))), (6, 2, ring((0, 0), (1, 0), (1, 1))),
+    ]
+    df = spark.createDataFrame(rows, "id long, h int, p array<struct<x:double,y:double>>")
+    # One holds another, two touch at a corner; two have bounding boxes that overlap and nothing more; one has another height.
+    assert sorted(map(tuple, vector.intersecting_polygons(df, "id", "p", 5.0, "h").collect())) == [(1, 2), (1, 3)]
+
+
+def test_requests_that_miss(spark):
+    rows = [("k", "n", t) for t in (0, 5, 10, 14, 21, 100, None)] + [("j", None, 3)]
+    df = spark.createDataFrame(rows, "key string, namespace string, t long").withColumn("cached_at", F.timestamp_seconds("t"))
+    got = requests.misses_within(df, 10).select("key", F.unix_seconds("at")).collect()
+    assert sorted(map(tuple, got)) == [("j", 3), ("k", 0), ("k", 10), ("k", 21), ("k", 100)]
