@@ -88,15 +88,6 @@ def _(spark, sf):
     return scan.read_arrays(spark, path, "dem").select("row", "col", F.col("value").cast("double").alias("value"), "source", "cells")
 
 
-SETS = [name for name, _ in scan.DATASETS] + ["local", "unknown"]
-
-
-@query("s12_sources_of_requests", f", u AS (SELECT {SETS}[(key % 8 + 1)::INT] AS dataset FROM req), c(dataset, resolution_m, available) AS (VALUES " + ", ".join(f"('{n}', {m}, false)" for n, m in scan.DATASETS) + ", ('local', 90, true)) SELECT dataset, resolution_m, coalesce(available, false) AS available, count(*) AS requests FROM u LEFT JOIN c USING (dataset) GROUP BY ALL")
-def _(spark, sf):
-    uses = X.requests(spark, sf).select(F.element_at(F.array(*map(F.lit, SETS)), (F.col("key") % 8 + 1).cast("int")).alias("dataset"))
-    return scan.available_sources(uses, "dataset", spark, has_key=False).groupBy("dataset", "resolution_m", "available").agg(F.count("*").alias("requests"))
-
-
 # Rules -------------------------------------------------------------------------------------------
 
 RULES = [("pois", "amenity", None, ("Point",)), ("walls", "barrier", "wall", ("LineString", "Polygon")), ("walls", "barrier", "city_wall", ("LineString", "Polygon")), ("towers", "man_made", "tower", ("Point", "Polygon")), ("water", "natural", "water", ("Polygon",))]

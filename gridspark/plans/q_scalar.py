@@ -89,7 +89,8 @@ def _(spark, sf):
     ring = F.array(*(F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), geometry.alias("geometry"), F.struct(F.col("height_tag").alias("height")).alias("properties"))
-    docs = b.groupBy((F.col("feature_id") % 7).alias("doc")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("json"))
+    docs = b.groupBy(F.floor(F.col("feature_id") / 1000).alias("doc"))  # 1,000 features a document at most
+    docs = docs.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("json"))
     return scan.geojson_polygons(docs, "json").select("feature_id", "geom_type", F.size(F.flatten("parts")).alias("n_points"), F.col("props.height").alias("height_tag"))
 
 
@@ -103,9 +104,13 @@ def _(spark, sf):
     return X.li(spark, sf).select("row", "col", F.col("value").cast("float").cast("double").alias("value"))
 
 
-@query("s12_source_catalog", "SELECT * FROM (VALUES ('SRTMGL1', 30, false), ('SRTMGL3', 90, false), ('AW3D30', 30, false), ('COP30', 30, false), ('COP90', 90, false), ('SRTM15Plus', 500, false), ('local', 90, true)) t(dataset, resolution_m, available), (SELECT count(*) AS n_regions FROM reg)")
+SETS = [name for name, _ in scan.DATASETS] + ["local", "unknown"]
+
+
+@query("s12_source_catalog", f", u AS (SELECT {SETS}[(key % 8 + 1)::INT] AS dataset FROM req), c(dataset, resolution_m, available) AS (VALUES " + ", ".join(f"('{n}', {m}, false)" for n, m in scan.DATASETS) + ", ('local', 90, true)) SELECT dataset, resolution_m, coalesce(available, false) AS available, count(*) AS requests FROM u LEFT JOIN c USING (dataset) GROUP BY ALL")
 def _(spark, sf):
-    return scan.source_catalog(spark, has_key=False).crossJoin(F.broadcast(X.regions(spark, sf).agg(F.count("*").alias("n_regions"))))
+    uses = X.requests(spark, sf).select(F.element_at(F.array(*map(F.lit, SETS)), (F.col("key") % 8 + 1).cast("int")).alias("dataset"))
+    return scan.available_sources(uses, "dataset", spark, has_key=False).groupBy("dataset", "resolution_m", "available").agg(F.count("*").alias("requests"))
 
 
 @query("p1_box_validation", "SELECT reach_id, CASE WHEN x2 IS NULL THEN 'missing' WHEN y2 <= y1 THEN 'north<=south' WHEN x2 <= x1 THEN 'east<=west' END AS reason FROM riv")
