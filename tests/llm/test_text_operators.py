@@ -278,6 +278,59 @@ def test_toxicity_fit_counts_all_segments(spark):
     assert model.k == pytest.approx(len(high) / sum(n for _, n in found) * np.exp(model.lam))
 
 
+def test_toxicity_score_equals_brute_force(spark):
+    """find_toxic against scores from every segment of the text, tried one by one."""
+    rng = np.random.default_rng(9)
+    odds = {f"bad{i}".encode(): (float(rng.uniform(0.5, 3)), 5.0) for i in range(6)} | {f"ok{i}".encode(): (-float(rng.uniform(0.5, 3)), 5.0) for i in range(6)}
+    m = toxicity.Model({}, 0.0)
+    letters = "abcdefghijkl"
+    m.odds = {letters[k].encode() * 4: v for k, v in enumerate(odds.values())}
+    m.lam, m.k, m.cal = 0.9, 0.05, (-2.0, 0.7, 0.05)
+    docs = [(i, " ".join(rng.choice([*(c * 4 for c in letters), "zz"], int(rng.integers(0, 30))))) for i in range(60)]
+
+    def brute(text):
+        v = [m.odds.get(w.encode(), (0.0, 0.0))[0] or -m.step for w in text.split()]
+        total = lambda a, b: sum(v[a:b])
+        found, open_ = [], [(0, len(v))]
+        while open_:  # the best segment first, then what lies before and after it
+            lo, hi = open_.pop()
+            best = max(((total(a, b), -(b - a), -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=None)
+            if best and best[0] > 1e-12:
+                found.append(best)
+                open_ += [(lo, best[3]), (best[4], hi)]
+        bits = []
+        for s, *_ in found:
+            p = -math.expm1(-m.k * len(v) * math.exp(-m.lam * s))
+            if p <= toxicity.ALPHA:
+                bits.append(min(-math.log(max(p, 1e-300)), 60.0))
+        a, b, c = m.cal
+        return 1 / (1 + math.exp(-(a + b * max(bits, default=0.0) + c * min(sum(bits), 200.0))))
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    text = dict(docs)
+    for r in toxicity.find_toxic(df, m).collect():
+        assert r["toxicity"]["score"] == pytest.approx(brute(text[r["doc_id"]]))
+
+
+def test_language_of_every_letter_and_code_point_spans(spark):
+    docs = [(1, "\U00010400\U00010401 \U00010402", None), (2, "\u0130 der und", None), (3, "123 !?", None), (4, "word " * 40_000 + "ende", None)] + [(10 + i, "der und die", "de") for i in range(5)] + [(20 + i, "the and of", "en") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["langid"] for r in langid.identify(df, langid.fit(df)).collect()}
+    assert got[1]["lang"] in ("de", "en") and [(s["start"], s["end"]) for s in got[1]["spans"]] == [(0, 4)]
+    assert got[2]["lang"] == "de" and got[2]["spans"][-1]["end"] == 9 and got[3]["lang"] == "und"
+    assert got[4]["spans"][-1]["end"] == 5 * 40_000 + 4
+
+
+def test_language_scores_in_chunks_equal_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    m = langid.Model(["a", "b"], rng.integers(0, 9, (langid.CELLS, 2)).astype(float), np.ones((len(langid.SCRIPTS), 2)), np.ones(2))
+    t = langid.Text(" ".join("".join(rng.choice(list("abcdef"), int(rng.integers(1, 9)))) for _ in range(200)))
+    whole = m.words(t)
+    path = m.path(whole)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    assert np.allclose(m.words(t), whole) and (m.path(whole) == path).all()
+
+
 def test_toxicity_edges_and_held_out(spark, sf, edge):
     none = toxicity.fit(spark.createDataFrame([], "text string, label int"))
     assert all(0 <= r["toxicity"]["score"] < 0.5 for r in toxicity.find_toxic(edge, none).collect())
