@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from gridspark.llm import decontam, langid, merkle, mixing, ngram_join, pii, quality, sharding, toxicity, urls, warc
+from gridspark.llm import conversations, decontam, langid, merkle, mixing, ngram_join, pii, quality, sharding, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_sharding": sharding.op8,
     "op9_warc": warc.op9,
     "op10_ngram_jaccard_join": ngram_join.op10,
+    "op11_conversation_repair": conversations.op11,
     "op13_merkle_manifest": merkle.op13,
 }
 ORACLE = {
@@ -21,5 +22,6 @@ ORACLE = {
     "op7_benchmark_decontamination": decontam.SQL,
     "op9_warc": warc.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
+    "op11_conversation_repair": conversations.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
