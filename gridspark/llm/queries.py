@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from gridspark.llm import conversations, decontam, langid, merkle, mixing, ngram_join, pii, quality, sharding, toxicity, urls, warc
+from gridspark.llm import conversations, decontam, langid, merkle, mixing, ngram_join, pii, quality, sharding, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_warc": warc.op9,
     "op10_ngram_jaccard_join": ngram_join.op10,
     "op11_conversation_repair": conversations.op11,
+    "op12_suffix_dedup": suffixes.op12,
     "op13_merkle_manifest": merkle.op13,
 }
 ORACLE = {
@@ -23,5 +24,6 @@ ORACLE = {
     "op9_warc": warc.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
     "op11_conversation_repair": conversations.SQL,
+    "op12_suffix_dedup": suffixes.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
