@@ -122,3 +122,12 @@ def sql(body: str) -> str:
     return FIX + body
 
 
+
+
+def tall(spark, sf) -> DataFrame:
+    """A gappy grid 64 columns wide whose rows grow with the orders: cells(row, col, value)."""
+    x = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("int").alias("row"), (F.col("l_partkey") % 64).cast("int").alias("col"))
+    return x.agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / (F.count("*") * 10000) - 500).alias("value"))
+
+
+TALL = ", tall AS (SELECT l_orderkey::INT AS row, (l_partkey % 64)::INT AS col, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (count(*) * 10000) - 500 AS value FROM lineitem GROUP BY 1, 2)"
