@@ -219,6 +219,20 @@ def as_long(h) -> np.ndarray:
     return np.asarray(h, np.uint64).view(np.int64)
 
 
+def combined(gram: np.ndarray, whole: np.ndarray, th: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, whole, times) for the shuffle. Of stretches that are equal in whole within a piece the first stands for all; the others, repeated for certain, get keys of their own that
+    meet nothing, so that a passage which stands everywhere sends a row a piece to its gram's task."""
+    key = mixed(gram) ^ whole
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    later, times = order[1:][same], times.copy()
+    times[order[:-1][same]] = times[later] = 2
+    own = mixed(th[later].view(np.uint64) ^ mixed(place[later].view(np.uint64)))
+    gram, whole = gram.copy(), whole.copy()
+    gram[later] = whole[later] = own
+    return gram, whole, times
+
+
 def text_stretches(texts: DataFrame) -> DataFrame:
     """All stretches of texts (th, times, text as binary): th, gram, whole (a second hash, of all bytes of its windows), place, times."""
 
@@ -238,7 +252,9 @@ def text_stretches(texts: DataFrame) -> DataFrame:
                 view = memoryview(part)
                 whole = np.array([xxhash.xxh64_intdigest(view[x : y + WIDTH], s) for x, y, s in zip(first.tolist(), last.tolist(), ((anchor - first) << 8 | (last - first)).tolist(), strict=True)], np.uint64)
                 shift = (a - offsets[k] - starts)[text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th[k[text]], as_long(gram), as_long(whole), pack(anchor + shift, first + shift, last + shift), times[k[text]])], schema=STRETCH)
+                of, place = th[k[text]], pack(anchor + shift, first + shift, last + shift)
+                gram, whole, twice = combined(gram, whole, of, place, times[k[text]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of, as_long(gram), as_long(whole), place, twice)], schema=STRETCH)
 
     return text_batches(texts).mapInArrow(cutting, STRETCH_DDL)
 
