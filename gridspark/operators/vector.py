@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.operators import quadtree
+
 #: layer: default height, least, most. Fixed values.
 HEIGHTS = {"buildings": (10.0, 3.0, 300.0), "walls": (8.0, 2.0, 30.0), "towers": (20.0, 5.0, 200.0), "churches": (15.0, 3.0, 150.0), "fortifications": (12.0, 3.0, 60.0)}
 
@@ -121,44 +123,46 @@ def embed_lines(seg: DataFrame, keep: list[str]) -> DataFrame:
     return s.select(*keep, at("y1", "y2").alias("row"), at("x1", "x2").alias("col")).distinct()
 
 
-def points_in_polygons(points: DataFrame, seg: DataFrame, poly: str, side: float) -> DataFrame:
-    """(point columns, poly) where the point lies inside, by counting crossings. Points first meet the polygons whose bounding boxes hold them, on bins
-    of both axes; only such pairs meet the polygon's edges on the point's band of y."""
-    band = lambda c: F.floor(c / side)
-    steps = lambda lo, hi: F.explode(F.sequence(band(F.col(lo)), band(F.col(hi))))
+#: Rows in a leaf of the quadtree: boxes that meet boxes (each pair of a leaf is tried), and points that meet boxes.
+BOXES_A_LEAF, POINTS_A_LEAF = 256, 20_000
+
+
+def points_in_polygons(points: DataFrame, seg: DataFrame, poly: str, most: int = POINTS_A_LEAF) -> DataFrame:
+    """(point columns, poly) where the point (x, y) lies inside, by counting crossings of all of a polygon's edges to the right, holes and several rings included.
+
+    Points lie on leaves of a quadtree of their own density. Polygons meet the leaves of their bounding boxes, and an edge those on its left within the polygon's box, so a point meets the
+    edges that lie beside its leaf only, and a crowded polygon is as many tasks as it has leaves."""
     low, high = (lambda c: F.min(F.least(f"{c}1", f"{c}2"))), (lambda c: F.max(F.greatest(f"{c}1", f"{c}2")))
     boxes = seg.groupBy(poly).agg(low("x").alias("__x0"), high("x").alias("__x1"), low("y").alias("__y0"), high("y").alias("__y1"))
-    boxes = boxes.withColumn("__bx", steps("__x0", "__x1")).withColumn("__b", steps("__y0", "__y1"))
-    near = points.withColumn("__bx", band(F.col("x"))).withColumn("__b", band(F.col("y"))).join(boxes, ["__bx", "__b"])
-    near = near.where("x between __x0 and __x1 and y between __y0 and __y1").select(*points.columns, poly, "__b")
-    e = seg.withColumn("__b", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
-    j = near.join(e, [poly, "__b"])
-    cross = ((F.col("y1") <= F.col("y")) & (F.col("y") < F.col("y2"))) | ((F.col("y2") <= F.col("y")) & (F.col("y") < F.col("y1")))
-    right = F.col("x") < F.col("x1") + F.try_divide(F.col("y") - F.col("y1"), F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))) * (F.col("x2") - F.col("x1"))
-    return j.where(cross & right).groupBy(*points.columns, poly).agg(F.count("*").alias("__n")).where("__n % 2 = 1").drop("__n")
-
-
-def overlapping_pairs(df: DataFrame, key: str, cell: float, equal: str) -> DataFrame:
-    """(u, v), u < v: boxes x0, y0, x1, y1 that touch or overlap and are equal in a column. A pair is found in one bin only:
-    the one that holds the lower corner of the two boxes' intersection."""
-    b = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    e = df.withColumn("__bx", b("x0", "x1")).withColumn("__by", b("y0", "y1"))
-    o = e.select(*(F.col(c).alias(f"o_{c}") for c in (key, "x0", "y0", "x1", "y1")), "__bx", "__by", equal)
-    j = e.join(o, ["__bx", "__by", equal]).where((F.col(key) < F.col(f"o_{key}")) & (F.col("x0") <= F.col("o_x1")) & (F.col("o_x0") <= F.col("x1")) & (F.col("y0") <= F.col("o_y1")) & (F.col("o_y0") <= F.col("y1")))
-    home = (F.floor(F.greatest("x0", "o_x0") / cell) == F.col("__bx")) & (F.floor(F.greatest("y0", "o_y0") / cell) == F.col("__by"))
-    return j.where(home).select(F.col(key).alias("u"), F.col(f"o_{key}").alias("v"))
-
-
-def box_intersections(a: DataFrame, b: DataFrame, degrees: float) -> DataFrame:
-    """Pairs of boxes that overlap strictly, with the clipped box; both sides meet on bins."""
-    def bins(df, p):
-        s = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / degrees), F.floor(F.col(hi) / degrees)))
-        return df.withColumn("__by", s("south", "north")).withColumn("__bx", s("west", "east")).select("__bx", "__by", *(F.col(c).alias(p + c) for c in df.columns))
-
-    j = bins(a, "a_").join(bins(b, "b_"), ["__bx", "__by"])
+    tree = quadtree.grow(points, most)
+    at = quadtree.on_leaves(points, tree, "x", "x", "y", "y").select(*points.columns, F.col("__leaf").alias("__at"))
+    left = boxes.select(F.col(poly).alias("__poly"), "__x0", "__x1", "__y0", "__y1")
+    edges = seg.select(F.col(poly).alias("__of"), "x1", "y1", "x2", "y2").join(left, F.col("__of") == F.col("__poly"))
+    edges = edges.withColumns({"__ex": F.greatest("x1", "x2"), "__ey0": F.least("y1", "y2"), "__ey1": F.greatest("y1", "y2")}).where("__ey0 < __ey1")
+    edges = quadtree.on_leaves(edges, tree, "__x0", "__ex", "__ey0", "__ey1").select("__poly", *(F.col(c).alias(f"__{c}_") for c in ("x1", "y1", "x2", "y2")), "__x0", "__x1", "__y0", "__y1", "__leaf")
+    j = at.join(edges, F.col("__at") == F.col("__leaf")).where("x between __x0 and __x1 and y between __y0 and __y1")
+    cross = ((F.col("__y1_") <= F.col("y")) & (F.col("y") < F.col("__y2_"))) | ((F.col("__y2_") <= F.col("y")) & (F.col("y") < F.col("__y1_")))
+    right = F.col("x") < F.col("__x1_") + F.try_divide(F.col("y") - F.col("__y1_"), F.nullif(F.col("__y2_") - F.col("__y1_"), F.lit(0.0))) * (F.col("__x2_") - F.col("__x1_"))
+    return j.where(cross & right).groupBy(*points.columns, F.col("__poly").alias(poly)).agg(F.count("*").alias("__n")).where("__n % 2 = 1").drop("__n")
+
+
+def overlapping_pairs(df: DataFrame, key: str, equal: str, most: int = BOXES_A_LEAF) -> DataFrame:
+    """(u, v), u < v: boxes x0, y0, x1, y1 that touch or overlap and are equal in a column."""
+    a = df.select(F.col(key).alias("u"), F.col(equal).alias("__e"), "x0", "x1", "y0", "y1")
+    b = df.select(F.col(key).alias("v"), F.col(equal).alias("__f"), *(F.col(c).alias(f"o_{c}") for c in ("x0", "x1", "y0", "y1")))
+    tree = quadtree.grow(a, most, ("x0", "x1"), ("y0", "y1"))
+    j = quadtree.met(a, b, tree, ("x0", "x1", "y0", "y1"), ("o_x0", "o_x1", "o_y0", "o_y1"), [("__e", "__f")])
+    return j.where("u < v").select("u", "v")
+
+
+def box_intersections(a: DataFrame, b: DataFrame, most: int = BOXES_A_LEAF) -> DataFrame:
+    """Pairs of boxes (north, south, east, west) that overlap strictly, with the clipped box; columns are prefixed a_ and b_."""
+    p, q = (df.select(*(F.col(c).alias(k + c) for c in df.columns)) for df, k in ((a, "a_"), (b, "b_")))
+    side = lambda k: (f"{k}west", f"{k}east", f"{k}south", f"{k}north")
+    tree = quadtree.grow(p, most, ("a_west", "a_east"), ("a_south", "a_north"))
+    j = quadtree.met(p, q, tree, side("a_"), side("b_"))
     n, s, e, w = F.least("a_north", "b_north"), F.greatest("a_south", "b_south"), F.least("a_east", "b_east"), F.greatest("a_west", "b_west")
-    j = j.withColumn("north", n).withColumn("south", s).withColumn("east", e).withColumn("west", w).where("north > south and east > west")
-    return j.where((F.floor(F.col("west") / degrees) == F.col("__bx")) & (F.floor(F.col("south") / degrees) == F.col("__by"))).drop("__bx", "__by")
+    return j.withColumn("north", n).withColumn("south", s).withColumn("east", e).withColumn("west", w).where("north > south and east > west")
 
 
 def runs(cells: DataFrame) -> DataFrame:
@@ -258,28 +262,31 @@ def ring_area(points: str) -> Column:
     return F.abs(F.aggregate(F.get(F.transform(F.array(flat), cross), F.lit(0)), F.lit(0.0), lambda t, x: t + x)) / 2 * radius * radius
 
 
-def intersecting_polygons(df: DataFrame, key: str, points: str, cell: float, equal: str) -> DataFrame:
-    """(u, v), u < v: polygons (closed rings) that share a point and are equal in a column. Bounding boxes meet on bins first; then an edge of one must cross or
-    touch an edge of the other, or one must hold the other's first corner."""
-    ends = lambda f, c: f(F.transform(points, lambda p: p[c]))
-    boxes = df.select(key, equal, ends(F.array_min, "x").alias("x0"), ends(F.array_max, "x").alias("x1"), ends(F.array_min, "y").alias("y0"), ends(F.array_max, "y").alias("y1"))
-    pairs = overlapping_pairs(boxes, key, cell, equal)
-    of = lambda c, p: df.select(F.col(key).alias(c), F.col(points).alias(p))
-    j = pairs.join(of("u", "__p"), "u").join(of("v", "__q"), "v")
-    sides = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda a, i: F.struct(a.alias("a"), F.get(p, i + 1).alias("b")))
-    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-    over = lambda a, b, c, d, k: (F.least(a[k], b[k]) <= F.greatest(c[k], d[k])) & (F.least(c[k], d[k]) <= F.greatest(a[k], b[k]))
-
-    def meet(s: Column, t: Column) -> Column:
-        a, b, c, d = s["a"], s["b"], t["a"], t["b"]
-        return over(a, b, c, d, "x") & over(a, b, c, d, "y") & (turn(a, b, c) * turn(a, b, d) <= 0) & (turn(c, d, a) * turn(c, d, b) <= 0)
-
-    def holds(p: str, c: Column) -> Column:
-        crossed = F.filter(sides(F.col(p)), lambda s: ((s["a"]["y"] <= c["y"]) != (s["b"]["y"] <= c["y"])) & (c["x"] < s["a"]["x"] + (c["y"] - s["a"]["y"]) / F.nullif(s["b"]["y"] - s["a"]["y"], F.lit(0.0)) * (s["b"]["x"] - s["a"]["x"])))
-        return F.size(crossed) % 2 == 1
-
-    touch = F.exists(sides(F.col("__p")), lambda s: F.exists(sides(F.col("__q")), lambda t: meet(s, t)))
-    return j.where(touch | holds("__p", F.get("__q", F.lit(0))) | holds("__q", F.get("__p", F.lit(0)))).select("u", "v")
+def ring_segments(df: DataFrame, parts: str, keep: list[str]) -> DataFrame:
+    """(keep, ring, x1, y1, x2, y2): the edges of all rings of an array of rings; a ring that isn't closed is closed."""
+    r = df.select(*keep, F.posexplode(parts).alias("ring", "__p")).where("size(__p) > 1")
+    a = r.select(*keep, "ring", "__p", F.posexplode("__p").alias("__i", "a")).withColumn("b", F.get("__p", (F.col("__i") + 1) % F.size("__p")))
+    return a.where("a <> b").select(*keep, "ring", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+
+
+def intersecting_polygons(df: DataFrame, key: str, parts: str, equal: str, most: int = BOXES_A_LEAF) -> DataFrame:
+    """(u, v), u < v: polygons (arrays of rings; inside is where a ray crosses an odd number of edges) that share a point and are equal in a column.
+
+    Edges meet edges on the leaves of a quadtree over all edges, whatever polygon they belong to, and must cross or touch; or a ring's first corner lies inside the other polygon. No
+    polygon is held in one row or task, so its number of corners is free."""
+    seg = ring_segments(df, parts, [key, equal])
+    box = {"__x0": F.least("x1", "x2"), "__x1": F.greatest("x1", "x2"), "__y0": F.least("y1", "y2"), "__y1": F.greatest("y1", "y2")}
+    a = seg.drop("ring").withColumns(box)
+    b = a.select(*(F.col(c).alias(f"o_{c}") for c in a.columns))
+    names = ("__x0", "__x1", "__y0", "__y1")
+    near = quadtree.met(a, b, quadtree.grow(a, most, names[:2], names[2:]), names, tuple(f"o_{c}" for c in names), [(equal, f"o_{equal}")]).where(F.col(key) < F.col(f"o_{key}"))
+    turn = lambda p, q, r: (F.col(f"{q[0]}") - F.col(p[0])) * (F.col(r[1]) - F.col(p[1])) - (F.col(q[1]) - F.col(p[1])) * (F.col(r[0]) - F.col(p[0]))
+    p, q, r, s = ("x1", "y1"), ("x2", "y2"), ("o_x1", "o_y1"), ("o_x2", "o_y2")
+    touch = near.where((turn(p, q, r) * turn(p, q, s) <= 0) & (turn(r, s, p) * turn(r, s, q) <= 0)).select(F.col(key).alias("u"), F.col(f"o_{key}").alias("v"))
+    starts = df.select(F.col(key).alias("__own"), F.col(equal).alias("__same"), F.explode(parts).alias("__p")).where("size(__p) > 0").select("__own", "__same", F.col("__p")[0]["x"].alias("x"), F.col("__p")[0]["y"].alias("y"))
+    of = df.select(F.col(key).alias("__k"), F.col(equal).alias("__e"))
+    inside = points_in_polygons(starts, seg, key).join(of, F.col(key) == F.col("__k")).where((F.col("__same") == F.col("__e")) & (F.col(key) != F.col("__own")))
+    return touch.union(inside.select(F.least(key, "__own"), F.greatest(key, "__own"))).distinct()
 
 
 #: Water bodies that don't count as open water. Fixed values.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.operators import quadtree
+
 
 def summary(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     v = F.col("value")
@@ -71,15 +73,18 @@ def class_areas(cells: DataFrame) -> DataFrame:
     return r.crossJoin(F.broadcast(cells.agg(F.count("*").alias("__t")))).select("class_id", "n", F.try_divide("n", "__t").alias("share"))
 
 
-def zones(cells: DataFrame, regions: DataFrame, box: tuple, shape: tuple[int, int], bin_degrees: float = 5.0) -> DataFrame:
-    """Cells with the regions that hold their centre: both sides meet on bins of a few degrees, then the box decides."""
+#: Cells in a leaf on which they meet regions.
+CELLS_A_LEAF = 20_000
+
+
+def zones(cells: DataFrame, regions: DataFrame, box: tuple, shape: tuple[int, int], most: int = CELLS_A_LEAF) -> DataFrame:
+    """Cells with the regions that hold their centre (south and west edges included): cells lie on the leaves of a quadtree of their density, regions meet those leaves."""
     n, s, e, w = box
     lat, lon = n - (F.col("row") + 0.5) * ((n - s) / shape[0]), w + (F.col("col") + 0.5) * ((e - w) / shape[1])
-    c = cells.withColumn("__lat", lat).withColumn("__lon", lon).withColumn("__by", F.floor(F.col("__lat") / bin_degrees)).withColumn("__bx", F.floor(F.col("__lon") / bin_degrees))
-    b = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bin_degrees), F.floor(F.col(hi) / bin_degrees)))
-    r = regions.withColumn("__by", b("south", "north")).withColumn("__bx", b("west", "east"))
-    j = c.join(r, ["__by", "__bx"]).where((F.col("__lat") >= F.col("south")) & (F.col("__lat") < F.col("north")) & (F.col("__lon") >= F.col("west")) & (F.col("__lon") < F.col("east")))
-    return j.drop("__by", "__bx", "__lat", "__lon")
+    c = cells.withColumn("__lat", lat).withColumn("__lon", lon)
+    tree = quadtree.grow(c, most, "__lon", "__lat")
+    j = quadtree.on_leaves(c, tree, "__lon", "__lon", "__lat", "__lat").select(*c.columns, "__leaf").join(quadtree.on_leaves(regions, tree, "west", "east", "south", "north").select(*regions.columns, "__leaf"), "__leaf")
+    return j.where((F.col("__lat") >= F.col("south")) & (F.col("__lat") < F.col("north")) & (F.col("__lon") >= F.col("west")) & (F.col("__lon") < F.col("east"))).drop("__leaf", "__lat", "__lon")
 
 
 def similarity(a: DataFrame, b: DataFrame) -> DataFrame:

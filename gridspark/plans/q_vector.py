@@ -154,7 +154,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = X.points(spark, sf).select("pid", (F.lit(-75.17) + (F.col("lon") + 180) / 360 * 0.03).alias("x"), (F.lit(39.95) + (F.col("lat") + 90) / 180 * 0.01).alias("y"))
     seg = vector.segments(X.buildings(spark, sf).withColumn("p", vector.ring("x0", "y0", "x1", "y1")), "p", ["feature_id"])
-    return vector.points_in_polygons(p, seg, "feature_id", 0.0002).select("pid", "feature_id")
+    return vector.points_in_polygons(p, seg, "feature_id").select("pid", "feature_id")
 
 
 @query("r23_mask_by_polygon", f"SELECT row, col, {s6('CASE WHEN col + 0.5 >= 20.2 AND col + 0.5 < 90.7 AND row + 0.5 >= 15.3 AND row + 0.5 < 70.9 THEN value ELSE -1 END')} AS value FROM li")
@@ -213,7 +213,7 @@ def _(spark, sf):
 @query("j1_box_intersections", "SELECT a.name AS a_name, b.name AS b_name, least(a.north, b.north) AS north, greatest(a.south, b.south) AS south, least(a.east, b.east) AS east, greatest(a.west, b.west) AS west FROM reg a, reg b WHERE least(a.north, b.north) > greatest(a.south, b.south) AND least(a.east, b.east) > greatest(a.west, b.west)")
 def _(spark, sf):
     r = X.regions(spark, sf).select("name", "north", "south", "east", "west")
-    return vector.box_intersections(r, r, 5.0).select("a_name", "b_name", "north", "south", "east", "west")
+    return vector.box_intersections(r, r).select("a_name", "b_name", "north", "south", "east", "west")
 
 
 SAMPLE = "least(greatest(round_even((90 - {lat}) / 180 * 127, 0), 0), 127)::INT AS row, least(greatest(round_even(({lon} + 180) / 360 * 127, 0), 0), 127)::INT AS col"
@@ -234,7 +234,7 @@ def _(spark, sf):
 
 @query("j5_touching_pairs", f", b AS (SELECT *, {HEIGHT} AS h FROM bld) SELECT a.feature_id AS u, b.feature_id AS v FROM b a JOIN b ON a.h = b.h AND a.feature_id < b.feature_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
 def _(spark, sf):
-    return vector.overlapping_pairs(houses(spark, sf), "feature_id", 0.001, "h")
+    return vector.overlapping_pairs(houses(spark, sf), "feature_id", "h")
 
 
 @query("j10_viewport_cull", "SELECT reach_id FROM riv WHERE greatest(x1, xm, x2) >= 0 AND least(x1, xm, x2) <= 20 AND greatest(y1, ym, y2) >= 40 AND least(y1, ym, y2) <= 60")
@@ -259,7 +259,7 @@ def recursive(ctes: str, edges: str, nodes: str, tail: str) -> str:
 @query("c1_dissolve_touching", recursive(f", b AS (SELECT *, {HEIGHT} AS h FROM bld), pr AS (SELECT a.feature_id AS u, b.feature_id AS v FROM b a JOIN b ON a.h = b.h AND a.feature_id < b.feature_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)", "pr", "(SELECT feature_id AS n FROM b)", "SELECT root, count(*) AS members, min(h) AS h FROM cc JOIN b ON feature_id = node GROUP BY root"))
 def _(spark, sf):
     b = houses(spark, sf)
-    pairs = vector.overlapping_pairs(b, "feature_id", 0.001, "h").union(b.select("feature_id", "feature_id"))
+    pairs = vector.overlapping_pairs(b, "feature_id", "h").union(b.select("feature_id", "feature_id"))
     c = components.label(pairs)
     return c.join(b.select(F.col("feature_id").alias("node"), "h"), "node").groupBy("root").agg(F.count("*").alias("members"), F.min("h").alias("h"))
 

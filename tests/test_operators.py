@@ -232,7 +232,7 @@ def test_polygons_that_hold_or_only_near_each_other(spark):
     ]
     df = spark.createDataFrame(rows, "id long, h int, p array<struct<x:double,y:double>>")
     # One holds another, two touch at a corner; two have bounding boxes that overlap and nothing more; one has another height.
-    assert sorted(map(tuple, vector.intersecting_polygons(df, "id", "p", 5.0, "h").collect())) == [(1, 2), (1, 3)]
+    assert sorted(map(tuple, vector.intersecting_polygons(df.withColumn("parts", F.array("p")), "id", "parts", "h").collect())) == [(1, 2), (1, 3)]
 
 
 def test_requests_that_miss(spark):
