@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridspark.functions import geo
-from gridspark.operators import registry, scan
+from gridspark.operators import names, registry, scan
 from gridspark.plans import fixtures as X
 from gridspark.plans.fixtures import r6, s6, sql
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 @query("s7_unique_names", ", x AS (SELECT o_orderkey AS k, o_orderpriority AS base, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders) SELECT k, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS name FROM x")
 def _(spark, sf):
     o = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("base"))
-    return scan.unique_names(o, "base", "k").select("k", "name")
+    return names.unique_names(o, "base", "k").select("k", "name")
 
 
 @query("s8_legacy_regions", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.params.dim') AS INT), try_cast(json_extract_string(props, '$.k') AS INT), 600) AS dim, 25::DOUBLE AS height, 5::DOUBLE AS base FROM req")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import store
+from gridspark.operators import names, store
 from gridspark.plans import fixtures as X
 from gridspark.plans.fixtures import TALL, r6, s6, sql
 from gridspark.plans.q_features import fresh
@@ -81,3 +81,24 @@ def _(spark, sf):
 
 
 
+
+
+# Names held before: every third number of a priority, and the third priority itself.
+HELD = ", held AS (SELECT o_orderpriority || '_' || (3 * (o_orderkey % 200) + 2) AS name FROM orders UNION SELECT '3-MEDIUM'), bases AS (SELECT DISTINCT o_orderpriority AS b FROM orders)"
+IMPORT = HELD + """, src AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 31 = 0 THEN '  ' ELSE o_orderpriority END AS base, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE (o_custkey % 90)::DOUBLE END AS north, (o_orderkey % 90)::DOUBLE AS south,
+  CASE WHEN o_orderkey % 23 = 0 THEN 1.5 ELSE 0 END::DOUBLE AS rotation FROM orders), ok AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY k) AS r FROM src WHERE trim(base) <> '' AND north > south),
+top AS (SELECT base, max(r) AS m FROM ok GROUP BY base), num AS (SELECT base, i, row_number() OVER (PARTITION BY base ORDER BY i) AS r FROM top, unnest(range(1, 2 * m + 700)) u(i)
+  WHERE CASE WHEN i = 1 THEN base ELSE base || '_' || i END NOT IN (SELECT name FROM held))"""
+
+
+@query("s7_import_names", IMPORT + """ SELECT k, CASE WHEN i = 1 THEN base ELSE base || '_' || i END AS name, north, CASE WHEN rotation <> 0 THEN '{"rotation": 1.5}' ELSE '{}' END AS settings FROM ok JOIN num USING (base, r)""")
+def _(spark, sf):
+    o = X.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    held = o.select(F.concat("o_orderpriority", F.lit("_"), 3 * (k % 200) + 2).alias("name")).union(spark.range(1).select(F.lit("3-MEDIUM")))
+    text = lambda c: c.cast("string")
+    rows = o.select(
+        k.alias("k"), F.when(k % 31 == 0, "  ").otherwise(F.concat(F.lit(" "), "o_orderpriority", F.lit("\t"))).alias("name"), F.when(k % 29 == 0, "x1").otherwise(text(F.col("o_custkey") % 90)).alias("north"),
+        text(k % 90).alias("south"), F.lit("10").alias("east"), F.lit(" -1.5").alias("west"), F.when(k % 23 == 0, "1.5").otherwise("").alias("rotation"),
+    )
+    return names.import_regions(rows, "k", held).select("k", "name", "north", "settings")
