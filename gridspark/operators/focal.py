@@ -1,8 +1,8 @@
 """Neighbourhood operators.
 
-Wide kernels work on tiles with halos: a cell goes to its tile and to those within the kernel's radius, once, and each tile is convolved
-as an array in Arrow batches; the grid's borders are reflected. Small ones scatter and aggregate: each cell is sent to the keys that
-need it, with a weight.
+Kernels work on tiles with halos: a cell goes to its tile and to those within the kernel's radius, once, and each tile is worked on as an array in Arrow batches, so one exchange
+serves any radius and any chain of steps. Extremes run in two scans a line, whatever the radius. Single passes along one axis can also scatter and aggregate: each cell
+is sent to the keys that need it, with a weight.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ from pyspark.sql import types as T
 TILE = 256
 
 
-def tiled(cells: DataFrame, shape: tuple[int, int], r: int, apply, by: tuple[str, ...] = ()) -> DataFrame:
+#: How a grid goes on beyond its borders: numpy's names, and zero.
+BORDERS = {"reflect": {"mode": "symmetric"}, "reflect101": {"mode": "reflect"}, "zero": {"mode": "constant", "constant_values": 0.0}}
+
+
+def tiled(cells: DataFrame, shape: tuple[int, int], r: int, apply, by: tuple[str, ...] = (), border: str = "reflect") -> DataFrame:
     """(by, row, col, value): apply(array) gives the inner part of a tile from the tile and r cells around it, where cells without a value are NaN and
-    the grid's borders are reflected (d c b a | a b c d). Values that come out as NaN are left out."""
+    the grid's borders are reflected (d c b a | a b c d; reflect101 leaves the edge out) or zero. Values that come out as NaN are left out."""
     side = max(TILE, 4 * r)
     own = lambda c, n: F.sequence(F.floor(F.greatest(F.col(c) - r, F.lit(0)) / side).cast("int"), F.floor(F.least(F.col(c) + r, F.lit(n - 1)) / side).cast("int"))
     spread = cells.select(*by, "row", "col", F.col("value").cast("double").alias("value"), F.explode(own("row", shape[0])).alias("__tr"), own("col", shape[1]).alias("__tcs")).withColumn("__tc", F.explode("__tcs")).drop("__tcs")
@@ -35,7 +39,7 @@ def tiled(cells: DataFrame, shape: tuple[int, int], r: int, apply, by: tuple[str
         grid = np.full([b - a for a, b in zip(lo, hi, strict=True)], np.nan)
         grid[table["row"].to_numpy() - lo[0], table["col"].to_numpy() - lo[1]] = table["value"].to_numpy()
         # Reflection may run over a short grid more than once; numpy pads it as often as it takes.
-        grid = np.pad(grid, [(r - (a - b), r - (d - c)) for a, b, c, d in zip(at, lo, end, hi, strict=True)], mode="symmetric")
+        grid = np.pad(grid, [(r - (a - b), r - (d - c)) for a, b, c, d in zip(at, lo, end, hi, strict=True)], **BORDERS[border])
         out = apply(grid)
         i, j = np.nonzero(~np.isnan(out))
         columns = [*(pa.array([k.as_py()] * len(i), table.schema.field(c).type) for k, c in zip(key, by, strict=False)), pa.array((i + at[0]).astype(np.int32)), pa.array((j + at[1]).astype(np.int32)), pa.array(out[i, j])]
@@ -83,17 +87,29 @@ def smooth(cells: DataFrame, shape: tuple[int, int], sigma: float, by: tuple[str
     return tiled(cells, shape, len(w) // 2, lambda grid: along(along(grid, w).T, w).T, by)
 
 
+def medians(grid: np.ndarray, size: int) -> np.ndarray:
+    """Medians of a padded array's size x size windows, in slices of rows, so that at most some MEDIAN_CELLS values are sorted at once."""
+    r, wide = size // 2, grid.shape[1] - size + 1
+    step, parts = max(1, MEDIAN_CELLS // (wide * size * size)), []
+    for top in range(0, grid.shape[0] - size + 1, step):
+        windows = np.lib.stride_tricks.sliding_window_view(grid[top : top + step + size - 1], (size, size))
+        flat = np.sort(windows.reshape(*windows.shape[:2], -1), axis=2)  # NaN comes last
+        n = (~np.isnan(flat)).sum(2)
+        pick = lambda k, flat=flat: np.take_along_axis(flat, np.clip(k, 0, size * size - 1)[..., None], 2)[..., 0]
+        out = (pick((n - 1) // 2) + pick(n // 2)) / 2
+        parts.append(np.where((n > 0) & ~np.isnan(grid[top + r : top + r + out.shape[0], r : r + out.shape[1]]), out, np.nan))
+    return np.concatenate(parts)
+
+
+MEDIAN_CELLS = 4_000_000
+
+
 def median(cells: DataFrame, shape: tuple[int, int], size: int) -> DataFrame:
     """Median of the size x size neighbourhood of every cell, borders reflected, cells without a value left out."""
     r = size // 2
 
     def middle(grid: np.ndarray) -> np.ndarray:
-        windows = np.lib.stride_tricks.sliding_window_view(grid, (size, size))
-        flat = np.sort(windows.reshape(*windows.shape[:2], -1), axis=2)  # NaN comes last
-        n = (~np.isnan(flat)).sum(2)
-        pick = lambda k: np.take_along_axis(flat, np.clip(k, 0, size * size - 1)[..., None], 2)[..., 0]
-        out = (pick((n - 1) // 2) + pick(n // 2)) / 2
-        return np.where((n > 0) & ~np.isnan(grid[r : r + out.shape[0], r : r + out.shape[1]]), out, np.nan)
+        return medians(grid, size)
 
     return tiled(cells, shape, r, middle)
 
@@ -120,41 +136,70 @@ def square(r: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
 
 
-def _extreme(cells: DataFrame, shape: tuple[int, int], r: int, how: str) -> DataFrame:
-    rows = neighbours(cells, shape, [(k, 0) for k in range(-r, r + 1)], [])
-    f = F.min if how == "min" else F.max
-    step = rows.groupBy("row", "col").agg(f("value").alias("value"))
-    return neighbours(step, shape, [(0, k) for k in range(-r, r + 1)], []).groupBy("row", "col").agg(f("value").alias("value"))
+def running(grid: np.ndarray, r: int, least: bool) -> np.ndarray:
+    """The least or greatest of 2r + 1 cells down each column of a padded array: runs forward and back within blocks of that length, and one comparison."""
+    w = 2 * r + 1
+    n = len(grid) - w + 1
+    far = np.inf if least else -np.inf
+    rows = np.concatenate([grid, np.full((-len(grid) % w, grid.shape[1]), far)]).reshape(-1, w, grid.shape[1])
+    f = np.minimum if least else np.maximum
+    ahead = f.accumulate(rows, axis=1).reshape(-1, grid.shape[1])
+    back = f.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1, grid.shape[1])
+    return f(back[:n], ahead[w - 1 : w - 1 + n])
+
+
+def square_extreme(grid: np.ndarray, r: int, least: bool) -> np.ndarray:
+    return running(running(grid, r, least).T, r, least).T
+
+
+def _bits(cells: DataFrame) -> DataFrame:
+    return cells.select("row", "col", F.col("value").cast("int").alias("value"))
 
 
 def erode(mask: DataFrame, shape: tuple[int, int], r: int) -> DataFrame:
-    """Binary erosion of a complete 0/1 grid by a square; outside counts 0, so cells within r of the border become 0."""
-    e = _extreme(mask, shape, r, "min")
-    inside = F.col("row").between(r, shape[0] - 1 - r) & F.col("col").between(r, shape[1] - 1 - r)
-    return e.withColumn("value", F.when(inside, F.col("value")).otherwise(0))
+    """Binary erosion of a 0/1 grid by a square of side 2r + 1; what lies outside or is missing counts 0."""
+    return _bits(tiled(mask, shape, r, lambda g: square_extreme(np.nan_to_num(g), r, True), border="zero"))
 
 
 def dilate(mask: DataFrame, shape: tuple[int, int], r: int) -> DataFrame:
-    return _extreme(mask, shape, r, "max")
+    return _bits(tiled(mask, shape, r, lambda g: square_extreme(np.nan_to_num(g), r, False), border="zero"))
+
+
+def opened(grid: np.ndarray, r: int) -> np.ndarray:
+    """Opening of a 0/1 array with 2r cells around it."""
+    return square_extreme(square_extreme(np.nan_to_num(grid), r, True), r, False)
 
 
 def opening(mask: DataFrame, shape: tuple[int, int], r: int) -> DataFrame:
-    return dilate(erode(mask, shape, r), shape, r)
+    """Erosion and dilation on the same tiles."""
+    return _bits(tiled(mask, shape, 2 * r, lambda g: opened(g, r), border="zero"))
 
 
 def thin_features(mask: DataFrame, shape: tuple[int, int], width: int) -> DataFrame:
     """Cells of the mask that an opening with a square of side 2 max(1, width // 2) + 1 removes."""
-    kept = opening(mask, shape, max(1, width // 2)).where("value = 1").select("row", "col")
-    return mask.where("value = 1").select("row", "col").join(kept, ["row", "col"], "left_anti")
-
-
-def disk(r: int) -> list[tuple[int, int]]:
-    return [(a, b) for a, b in square(r) if a * a + b * b <= r * r]
+    r = max(1, width // 2)
+    inner = lambda g: g[2 * r : g.shape[0] - 2 * r, 2 * r : g.shape[1] - 2 * r]
+    return tiled(mask, shape, 2 * r, lambda g: np.where((inner(g) == 1) & (opened(g, r) == 0), 1.0, np.nan), border="zero").select("row", "col")
+
+
+def near_set(grid: np.ndarray, r: int) -> np.ndarray:
+    """Whether a set cell of a padded boolean array lies within distance r of each inner cell: exact distances down the columns by two scans, then for each column offset
+    what may be left of r."""
+    n = len(grid) - 2 * r
+    place = np.arange(len(grid))[:, None]
+    far = len(grid) + r + 1
+    above = place - np.maximum.accumulate(np.where(grid, place, -far), axis=0)
+    below = np.minimum.accumulate(np.where(grid, place, 2 * far)[::-1], axis=0)[::-1] - place
+    down = np.minimum(above, below)[r : r + n]
+    out = np.zeros((n, grid.shape[1] - 2 * r), bool)
+    for dx in range(-r, r + 1):
+        out |= down[:, r + dx : r + dx + out.shape[1]] <= math.isqrt(r * r - dx * dx)
+    return out
 
 
 def dilate_disk(mask: DataFrame, shape: tuple[int, int], r: int) -> DataFrame:
     """Keys of the cells within distance r of a set cell."""
-    return neighbours(mask.where("value = 1"), shape, disk(r), []).select("row", "col").distinct()
+    return tiled(mask.where("value = 1"), shape, r, lambda g: np.where(near_set(g == 1, r), 1.0, np.nan), border="zero").select("row", "col")
 
 
 SOBEL = [(a, b, float(-a * (2 - abs(b))), float(-b * (2 - abs(a)))) for a, b in square(1)]
@@ -172,6 +217,18 @@ def morphological_gradient(cells: DataFrame, shape: tuple[int, int]) -> DataFram
 
 
 def shoreline(cells: DataFrame, shape: tuple[int, int], r: int = 2) -> DataFrame:
-    """Keys within distance r of land that are not land (value > 0)."""
-    land = cells.select("row", "col", (F.col("value") > 0).cast("int").alias("value"))
-    return dilate_disk(land, shape, r).join(land.where("value = 1").select("row", "col"), ["row", "col"], "left_anti")
+    """Keys of cells within distance r of land (value > 0) that are not land; a cell without a value is not land."""
+
+    def ring(g: np.ndarray) -> np.ndarray:
+        land = g > 0
+        inner = land[r : len(g) - r, r : g.shape[1] - r]
+        return np.where(near_set(land, r) & ~inner, 1.0, np.nan)
+
+    return tiled(cells, shape, r, ring, border="zero").select("row", "col")
+
+
+def carve_shoreline(cells: DataFrame, shape: tuple[int, int], r: int = 2, share: float = 0.01) -> DataFrame:
+    """Cells whose shoreline lies lower by a share of the relief, greatest less least value."""
+    ptp = cells.agg((F.max("value") - F.min("value")).alias("__ptp"))
+    ring = shoreline(cells, shape, r).withColumn("__ring", F.lit(1))
+    return cells.join(ring, ["row", "col"], "left").crossJoin(F.broadcast(ptp)).select("row", "col", (F.col("value") - F.coalesce("__ring", F.lit(0)) * F.col("__ptp") * share).alias("value"))

@@ -139,11 +139,9 @@ def lookup(want: DataFrame, entries: DataFrame, since: Column) -> tuple[DataFram
 
 
 def best_at_most(want: DataFrame, have: DataFrame, key: str, limit: str, scale: str, by: list[str]) -> DataFrame:
-    """The largest scale within the limit for the same key: an as-of match, by one sort over both tables' rows per key."""
-    a = want.select(key, F.col(limit).alias("__at"), F.lit(None).cast("long").alias("__s"), F.lit(1).alias("__w"), *by)
-    b = have.select(key, F.col(scale).alias("__at"), F.col(scale).cast("long").alias("__s"), F.lit(0).alias("__w"), *(F.lit(None).cast(dict(want.dtypes)[c]).alias(c) for c in by))
-    w = Window.partitionBy(key).orderBy("__at", "__w").rowsBetween(Window.unboundedPreceding, 0)
-    return a.union(b).withColumn("best", F.last("__s", ignorenulls=True).over(w)).where("__w = 1 and best is not null").select(*by, key, "best")
+    """The finest (least) scale of the same key where it is within the limit: (by, key, best). A row a key is kept of what there is, so a frequent key costs nothing."""
+    finest = have.groupBy(key).agg(F.min(scale).alias("best"))
+    return want.join(finest, key).where(F.col("best") <= F.col(limit)).select(*by, key, "best")
 
 
 def road_width(roads: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def large_objects(mask: DataFrame, shape: tuple[int, int], least: int, by: str |
     return cells.select(*keep, F.col("row").cast("int").alias("row"), "col")
 
 
-def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: int, cut: float = 0.75) -> DataFrame:
+def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float = 20.0, least: int = 20, cut: float = 0.75) -> DataFrame:
     """(row, col, label): closeness to each reference colour, floored at its mean, high-passed, clipped to three standard
     deviations about the median, stretched and cut; where colours compete the last one wins. pixels: r, g, b in 0..1."""
     refs = F.array(*(F.struct(F.lit(k + 1).alias("k"), *(F.lit(v).alias(f"__{n}") for v, n in zip(c, "rgb", strict=True))) for k, c in enumerate(COLOURS)))
@@ -49,13 +50,23 @@ def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float, lea
     return hits.groupBy("row", "col").agg(F.max("k").alias("label"))
 
 
-def bright_lines(cells: DataFrame, shape: tuple[int, int], sigma: float, least: int) -> DataFrame:
-    """Cells of bright lines: clipped to two standard deviations about the median, high-passed, median filtered, above the
-    median by one standard deviation, in objects of at least `least` cells."""
+def bright_lines(pixels: DataFrame, shape: tuple[int, int], sigma: float = 31.0, least: int = 100, size: int = 3) -> DataFrame:
+    """Cells of bright lines of an image (r, g, b in 0..1): the bands' norm, clipped to two standard deviations about the median, high-passed, median filtered, above the
+    median by one standard deviation, in objects of at least `least` cells.
+
+    The high-pass and the median run on the same tiles: the reflected grid's high-pass is the reflected high-pass."""
     middle = lambda df: df.crossJoin(F.broadcast(zonal.percentiles(df, [0.5]).select(F.col("p")[0].alias("med"))))
-    s = raster.with_stats(middle(cells), sd=F.stddev_pop("value"))
+    norm = components.saved(pixels.select("row", "col", F.sqrt(sum(F.pow(F.col(c), F.lit(2)) for c in "rgb")).alias("value")))
+    s = raster.with_stats(middle(norm), sd=F.stddev_pop("value"))
     c = s.select("row", "col", F.least(F.greatest("value", F.col("med") - 2 * F.col("sd")), F.col("med") + 2 * F.col("sd")).alias("value"))
-    m = components.saved(raster.clip(focal.median(focal.high_pass(components.saved(c), shape, sigma), shape, 3), low=0))
+    w = np.array(focal.gaussian_weights(sigma))
+    r = len(w) // 2
+
+    def lines(g: np.ndarray) -> np.ndarray:
+        low = focal.along(focal.along(g, w).T, w).T
+        return np.maximum(focal.medians(g[r : r + low.shape[0], r : r + low.shape[1]] - low, size), 0.0)
+
+    m = components.saved(focal.tiled(c, shape, r + size // 2, lines))
     t = raster.with_stats(middle(m), sd=F.stddev_pop("value"))
     return large_objects(t.where("value > med + sd"), shape, least)
 

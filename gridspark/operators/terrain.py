@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,36 +152,74 @@ def standardise(cells: DataFrame) -> DataFrame:
 
 
 def edge_map(grey: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """Stretched to 0 to 255, Sobel magnitude, a 5 x 5 Gaussian of deviation 1, standardised. grey is complete; borders are mirrored about the edge cells."""
+    """Stretched to 0 to 255, Sobel magnitude, a 5 x 5 Gaussian of deviation 1, standardised. grey is complete; borders are mirrored about the edge cells.
+
+    Both kernels run on the same tiles: the mirrored grid's magnitudes are the mirrored magnitudes."""
+    k = np.array([math.exp(-x * x / 2) for x in (-2, -1, 0, 1, 2)])
+    k /= k.sum()
+    step, soft = np.array([-1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
+
+    def edges(g: np.ndarray) -> np.ndarray:
+        gx, gy = focal.along(focal.along(g, soft).T, step).T, focal.along(focal.along(g, step).T, soft).T
+        return focal.along(focal.along(np.sqrt(gx * gx + gy * gy), k).T, k).T
+
     n = raster.normalise(grey).select(*KEY, (F.col("value") * 255).alias("value"))
-    side = lambda a, w, b: focal.pass_along(focal.pass_along(n, a, shape[a == "col"], w, "reflect101"), b, shape[b == "col"], [1.0, 2.0, 1.0], "reflect101")
-    gx, gy = side("col", [-1.0, 0.0, 1.0], "row"), side("row", [-1.0, 0.0, 1.0], "col")
-    mag = gx.join(gy.withColumnRenamed("value", "__y"), KEY).select(*KEY, F.sqrt(F.col("value") * F.col("value") + F.col("__y") * F.col("__y")).alias("value"))
-    k = [math.exp(-x * x / 2) for x in (-2, -1, 0, 1, 2)]
-    k = [x / sum(k) for x in k]
-    mag = focal.pass_along(focal.pass_along(components.saved(mag), "row", shape[0], k, "reflect101"), "col", shape[1], k, "reflect101")
-    return standardise(components.saved(mag))
-
-
-def edge_coverage(edges: DataFrame, water_percent: float | None = None, strong: float = 0.5, least: float = 0.02, least_feature: float = 5.0) -> DataFrame:
-    """One row: share of strong edges, and whether that is too low for registration; for a water mask also when water or land is under 5 percent."""
-    share = F.avg((F.abs("value") > strong).cast("double"))
-    low = share < least
-    if water_percent is not None:
-        low = low | F.lit(min(water_percent, 100.0 - water_percent) < least_feature)
-    return edges.agg(share.alias("coverage"), low.alias("low"))
-
-
-def register(a: DataFrame, b: DataFrame, reach: int, coverage: DataFrame, least_shift: float = 2.0) -> DataFrame:
-    """One row: the whole shift (dr, dc) within reach that makes a most like b, its score, and whether it is applied: not when it is shorter than
-    least_shift or the coverage (one row) is low."""
-    shifts = F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in focal.square(reach)))
-    p = a.select(*KEY, F.col("value").alias("x"), F.inline(shifts)).select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "dr", "dc", "x")
-    j = p.join(b.select(*KEY, F.col("value").alias("y")), KEY).groupBy("dr", "dc").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    s = j.select("dr", "dc", F.coalesce(F.try_divide("c", F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0))), F.lit(0.0)).alias("ncc"))
-    best = s.agg(F.max_by(F.struct("dr", "dc", "ncc"), F.struct("ncc", -F.abs("dr"), -F.abs("dc"), "dr", "dc")).alias("b")).select("b.*")
+    return standardise(components.saved(focal.tiled(n, shape, 3, edges, border="reflect101")))
+
+
+def edge_coverage(edges: DataFrame, water: DataFrame | None = None, strong: float = 0.5, least: float = 0.02, least_feature: float = 5.0) -> DataFrame:
+    """One row: share of strong edges, and whether that is too low for registration; for a water mask (one row with percent) also when water or land is under 5 percent."""
+    share = edges.agg(F.avg((F.abs("value") > strong).cast("double")).alias("coverage"))
+    if water is None:
+        return share.select("coverage", (F.col("coverage") < least).alias("low"))
+    p = F.col("percent")
+    return share.crossJoin(F.broadcast(water.select("percent"))).select("coverage", ((F.col("coverage") < least) | (F.least(p, 100.0 - p) < least_feature)).alias("low"))
+
+
+#: Shifts that share less than this part of the smaller layer aren't scored.
+LEAST_OVERLAP = 0.25
+
+
+def shift_scores(a: DataFrame, b: DataFrame, shifts: list[tuple[int, int]]) -> DataFrame:
+    """(dr, dc, n, ncc): the cross-correlation of a, moved by each shift, with b over the n cells that both have; 0 where one is constant there."""
+    each = F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in shifts))
+    p = a.select(*KEY, F.col("value").alias("x"), F.inline(each)).select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "dr", "dc", "x")
+    j = p.join(b.select(*KEY, F.col("value").alias("y")), KEY).groupBy("dr", "dc").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    return j.select("dr", "dc", "n", F.coalesce(F.try_divide("c", F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0))), F.lit(0.0)).alias("ncc"))
+
+
+def halved(cells: DataFrame) -> DataFrame:
+    """Area averages of 2 x 2 cells; where some are missing, of the others."""
+    return cells.groupBy(F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")).agg(F.avg("value").alias("value"))
+
+
+def best_shift(a: DataFrame, b: DataFrame, shape: tuple[int, int], reach: int) -> DataFrame:
+    """One row (dr, dc, ncc): the whole shift within reach that makes a most like b, from coarse to fine.
+
+    Both layers are halved until the reach is 2 cells or a side has 16; there all shifts are scored, and on each finer level the 25 about twice the best: averages can be off by a cell. A reach of 3 or
+    less is searched in full. One row a level goes to the driver."""
+    pyramid, left = [(a, b)], reach
+    while left > 3 and min(shape) >> len(pyramid) >= 16:
+        pyramid.append(tuple(components.saved(halved(x)) for x in pyramid[-1]))
+        left = -(-left // 2)
+    at, window = (0, 0), left
+    for level in range(len(pyramid) - 1, -1, -1):
+        x, y = pyramid[level]
+        limit = -(-reach // (1 << level))
+        shifts = [(at[0] + i, at[1] + j) for i, j in focal.square(window) if max(abs(at[0] + i), abs(at[1] + j)) <= limit]
+        s = shift_scores(x, y, shifts)
+        s = s.crossJoin(F.broadcast(s.agg(F.max("n").alias("__most")))).where(F.col("n") >= F.col("__most") * LEAST_OVERLAP)
+        best = s.agg(F.max_by(F.struct("dr", "dc", "ncc"), F.struct("ncc", -F.abs("dr"), -F.abs("dc"), "dr", "dc")).alias("b")).select("b.*")
+        if level:
+            found = best.first()
+            at, window = ((found["dr"] or 0) * 2, (found["dc"] or 0) * 2), 2
+    return best
+
+
+def register(a: DataFrame, b: DataFrame, shape: tuple[int, int], reach: int, coverage: DataFrame, least_shift: float = 2.0) -> DataFrame:
+    """One row: best_shift, its score and distance, and whether it is applied: not when it is shorter than least_shift or the coverage (one row) is low."""
     far = F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double"))
-    return best.crossJoin(F.broadcast(coverage)).select("dr", "dc", "ncc", far.alias("distance"), "low", ((far >= least_shift) & ~F.col("low")).alias("applied"))
+    return best_shift(a, b, shape, reach).crossJoin(F.broadcast(coverage)).select("dr", "dc", "ncc", far.alias("distance"), "low", ((far >= least_shift) & ~F.col("low")).alias("applied"))
 
 
 def flat(cells: DataFrame, shape: tuple[int, int], steep: float = 0.001, high: float = 3.0, low: float = 0.15) -> DataFrame:

@@ -27,10 +27,11 @@ def line(*xy: tuple[str, str]) -> Column:
 
 
 def fill_height(tag: Column, levels: Column, layer: str = "buildings") -> Column:
-    """First number of the height tag, else 4 m per level, else the layer's default; clipped, one decimal."""
+    """First number of the height tag, else for buildings 4 m a level, of which 3 are taken where none are given, else the layer's default; clipped, one decimal."""
     default, low, high = HEIGHTS[layer]
     first = F.regexp_extract(tag, r"([\d.]+)", 1).try_cast("double")
-    h = F.coalesce(first, levels.try_cast("double") * 4, F.lit(default))
+    storeys = F.coalesce(levels.try_cast("double"), F.lit(3.0)) * 4 if layer == "buildings" else F.lit(None).cast("double")
+    h = F.coalesce(first, storeys, F.lit(default))
     return F.bround(F.least(F.greatest(h, F.lit(low)), F.lit(high)), 1)
 
 

@@ -67,6 +67,12 @@ def robust_normalise(cells: DataFrame, sample: DataFrame, low: float = 0.01, hig
     return s.select("row", "col", F.when(x < 0, F.try_divide(x, F.greatest(a, b - 1))).otherwise(F.try_divide(x, c)).alias("value"))
 
 
+def water_coverage(cover: DataFrame, water: int = 80) -> DataFrame:
+    """One row: cells of the water class, all cells, and the percent."""
+    w = F.count_if(F.col("class_id") == water)
+    return cover.agg(w.alias("water"), F.count("*").alias("total"), F.coalesce(F.try_divide(100 * w, F.count("*")), F.lit(0.0)).alias("percent"))
+
+
 def class_areas(cells: DataFrame) -> DataFrame:
     """Cells and share by class, with the total from a rollup (class null)."""
     r = cells.rollup("class_id").agg(F.count("*").alias("n"))

@@ -71,7 +71,7 @@ def objects(cells: str, least: int) -> str:
 
 DIST = ", rf(k, a, b, c) AS (VALUES " + ", ".join(f"({k + 1}, {c[0]}::DOUBLE, {c[1]}::DOUBLE, {c[2]}::DOUBLE)" for k, c in enumerate(segment.COLOURS)) + f"""), px AS (SELECT row, col, ((row * 7 + col * 3) % 256) / 255::DOUBLE AS r, ((row * 5 + col * 11) % 256) / 255::DOUBLE AS g, abs(value) / 1000 AS b0 FROM emb),
 d0 AS (SELECT k, row, col, -sqrt(pow(r - a, 2) + pow(g - b, 2) + pow(b0 - c, 2)) AS value FROM px, rf), d AS (SELECT k, row, col, greatest(value, avg(value) OVER (PARTITION BY k)) AS value FROM d0),
-gw(j, w) AS ({GW(2.0)[1:-1]}), dim AS (SELECT max(row) + 1 AS nr FROM emb),
+gw(j, w) AS ({GW(20.0)[1:-1]}), dim AS (SELECT max(row) + 1 AS nr FROM emb),
 o1 AS (SELECT t.row, j, w, CASE WHEN ((t.row + j) % (2 * nr) + 2 * nr) % (2 * nr) < nr THEN ((t.row + j) % (2 * nr) + 2 * nr) % (2 * nr) ELSE 2 * nr - 1 - ((t.row + j) % (2 * nr) + 2 * nr) % (2 * nr) END AS src FROM (SELECT DISTINCT row FROM emb) t, gw, dim),
 o2 AS (SELECT t.col, j, w, CASE WHEN ((t.col + j) % 128 + 128) % 128 < 64 THEN ((t.col + j) % 128 + 128) % 128 ELSE 127 - ((t.col + j) % 128 + 128) % 128 END AS src FROM (SELECT DISTINCT col FROM emb) t, gw),
 b1 AS (SELECT k, o1.row, d.col, sum(w * value) AS value FROM d JOIN o1 ON d.row = src GROUP BY 1, 2, 3), b2 AS (SELECT k, b1.row, o2.col, sum(w * value) AS value FROM b1 JOIN o2 ON b1.col = src GROUP BY 1, 2, 3),
@@ -82,12 +82,18 @@ z AS (SELECT k, row, col, (least(greatest(value, med - 3 * sd), med + 3 * sd) -
 @query("f10_colour_segments", DIST + objects("SELECT k, row, col FROM z WHERE t > 0.7501234", 20) + "SELECT row, col, max(k) AS label FROM obj GROUP BY 1, 2")
 def _(spark, sf):
     px = X.emb(spark, sf).select("row", "col", ((F.col("row") * 7 + F.col("col") * 3) % 256 / 255.0).alias("r"), ((F.col("row") * 5 + F.col("col") * 11) % 256 / 255.0).alias("g"), (F.abs("value") / 1000).alias("b"))
-    return segment.colour_segments(px, emb_shape(spark, sf), 2.0, 20, 0.7501234)
+    return segment.colour_segments(px, emb_shape(spark, sf), cut=0.7501234)
 
 
-@query("f11_bright_lines", ", c AS (SELECT row, col, least(greatest(value, med - 2 * sd), med + 2 * sd) AS value FROM emb, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM emb))" + smooth_ctes(2.0, "c") + ", hp AS (SELECT row, col, c.value - g2.value AS value FROM c JOIN g2 USING (row, col))" + REFLECT.format(t="hp") + ", m AS (SELECT row, col, greatest(quantile_cont(value, 0.5), 0) AS value FROM nb GROUP BY 1, 2)" + objects("SELECT 1 AS k, row, col FROM m, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM m) WHERE value > med + sd", 3) + "SELECT row, col FROM obj")
+#: Bright diagonal lines, five cells wide, over a noisy ground.
+LINES = ", px AS (SELECT row, col, value, CASE WHEN (row + col) % 40 < 5 THEN 0.6 ELSE 0.1 END AS b FROM emb), nm AS (SELECT row, col, sqrt(pow(b, 2) + pow(b * 0.9, 2) + pow(b + abs(value) / 4000, 2)) AS value FROM px)"
+
+
+@query("f11_bright_lines", LINES + ", c AS (SELECT row, col, least(greatest(value, med - 2 * sd), med + 2 * sd) AS value FROM nm, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM nm))" + smooth_ctes(31.0, "c") + ", hp AS (SELECT row, col, c.value - g2.value AS value FROM c JOIN g2 USING (row, col))" + REFLECT.format(t="hp") + ", m AS (SELECT row, col, greatest(quantile_cont(value, 0.5), 0) AS value FROM nb GROUP BY 1, 2)" + objects("SELECT 1 AS k, row, col FROM m, (SELECT quantile_cont(value, 0.5) AS med, stddev_pop(value) AS sd FROM m) WHERE value > med + sd", 100) + "SELECT row, col FROM obj")
 def _(spark, sf):
-    return segment.bright_lines(X.emb(spark, sf), emb_shape(spark, sf), 2.0, 3)
+    b = F.when((F.col("row") + F.col("col")) % 40 < 5, 0.6).otherwise(0.1)
+    px = X.emb(spark, sf).select("row", "col", b.alias("r"), (b * 0.9).alias("g"), (b + F.abs("value") / 4000).alias("b"))
+    return segment.bright_lines(px, emb_shape(spark, sf))
 
 
 @query("l3_similarity_gain", ", j0 AS (SELECT a.value AS x, b.value AS y FROM emb a JOIN emb b ON a.row = b.row AND a.col = b.col + 1), j1 AS (SELECT value AS x, value AS y FROM emb), n AS (SELECT (SELECT covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) FROM j0) AS a, (SELECT covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) FROM j1) AS b) SELECT round(a, 5) + 0::DOUBLE AS before, round(b, 5) + 0::DOUBLE AS after, round(b - a, 5) + 0::DOUBLE AS gain FROM n")

@@ -424,6 +424,11 @@ def _(spark, sf):
     return focal.shoreline(X.emb(spark, sf).withColumn("value", F.col("value") - 200), emb_shape(spark, sf))
 
 
+@query("f13_carved_shore", HIGH + OFF.format(t="m", r=2) + f", ring AS (SELECT DISTINCT nb.row, nb.col, 1 AS k FROM nb JOIN m ON m.row = nb.row AND m.col = nb.col WHERE nb.value = 1 AND dr * dr + dc * dc <= 4 AND m.value = 0) SELECT row, col, {s6('value - 200 - coalesce(k, 0) * (hi - lo) * 0.01')} AS value FROM emb LEFT JOIN ring USING (row, col), (SELECT min(value) lo, max(value) hi FROM emb)")
+def _(spark, sf):
+    return out(focal.carve_shoreline(X.emb(spark, sf).withColumn("value", F.col("value") - 200), emb_shape(spark, sf)))
+
+
 @query("f9_edge_score", OFF.format(t="emb", r=1) + f", d AS (SELECT max(row) AS mr FROM emb), g AS (SELECT row, col, sqrt(pow(sum(-dc * (2 - abs(dr)) * value), 2) + pow(sum(-dr * (2 - abs(dc)) * value), 2)) AS value FROM nb, d WHERE row > 0 AND row < mr AND col > 0 AND col < 63 GROUP BY 1, 2) SELECT row, col, {s6('(value - m) / s')} AS value FROM g, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM g)")
 def _(spark, sf):
     g = focal.sobel(X.emb(spark, sf), emb_shape(spark, sf))
@@ -433,8 +438,7 @@ def _(spark, sf):
 
 @query("a2_water_coverage", f"SELECT count(*) FILTER (class_id = 80) AS water, count(*) AS total, {s6('100 * count(*) FILTER (class_id = 80) / count(*)')} AS percent FROM cover")
 def _(spark, sf):
-    w = F.count_if(F.col("class_id") == 80)
-    return X.cover(spark, sf).agg(w.alias("water"), F.count("*").alias("total"), r6(F.try_divide(100 * w, F.count("*"))).alias("percent"))
+    return zonal.water_coverage(X.cover(spark, sf)).withColumn("percent", r6("percent"))
 
 
 @query("a3_a4_histogram_cdf", ", h AS (SELECT least(39, floor((value - lo) / (hi - lo) * 40))::INT AS bin, count(*) AS n FROM emb, (SELECT min(value) lo, max(value) hi FROM emb) GROUP BY 1) SELECT b::INT AS bin, coalesce(n, 0)::BIGINT AS n, (sum(coalesce(n, 0)) OVER (ORDER BY b))::BIGINT AS cdf FROM range(40) t(b) LEFT JOIN h ON bin = b")
@@ -497,11 +501,8 @@ SHIFTS = ", o AS (SELECT dr, dc FROM range(-2, 3) a(dr), range(-2, 3) b(dc)), j
 @query("l2_registration_shift", SHIFTS + f", s AS (SELECT dr, dc, covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) AS n FROM j GROUP BY 1, 2) SELECT dr::INT AS dr, dc::INT AS dc, round(n, 4) + 0::DOUBLE AS ncc, n = (SELECT max(n) FROM s) AS best FROM s")
 def _(spark, sf):
     e = X.emb(spark, sf)
-    shifts = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in focal.square(2)))
-    p = e.select("row", "col", F.col("value").alias("x"), F.inline(shifts)).select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "dr", "dc", "x")
-    j = p.join(e.withColumnRenamed("value", "y"), ["row", "col"]).groupBy("dr", "dc").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("a"), F.stddev_pop("y").alias("b"))
-    s = j.select("dr", "dc", F.coalesce(F.try_divide("c", F.nullif(F.col("a") * F.col("b"), F.lit(0.0))), F.lit(0.0)).alias("n"))
-    return s.crossJoin(F.broadcast(s.agg(F.max("n").alias("top")))).select("dr", "dc", (F.round("n", 4) + F.lit(0.0)).alias("ncc"), (F.col("n") == F.col("top")).alias("best"))
+    s = terrain.shift_scores(e, e, focal.square(2))
+    return s.crossJoin(F.broadcast(s.agg(F.max("ncc").alias("top")))).select("dr", "dc", (F.round("ncc", 4) + F.lit(0.0)).alias("ncc"), (F.col("ncc") == F.col("top")).alias("best"))
 
 
 @query("flagship_region_report", RIVER + f""", dem AS (SELECT li.row, li.col, CASE WHEN coalesce(rr.value, 0) <> 0 THEN least(li.value, rr.value) ELSE li.value END AS value, (class_id = 80)::INT AS water FROM li LEFT JOIN rr USING (row, col) JOIN cover USING (row, col)),

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import raster, terrain
+from gridspark.operators import raster, terrain, zonal
 from gridspark.plans import fixtures as X
 from gridspark.plans.fixtures import r6, s6, sql
 from gridspark.plans.q_more import COS
@@ -204,21 +204,40 @@ def _(spark, sf):
     return out(terrain.edge_map(grey(spark, sf), emb_shape(spark, sf)))
 
 
-@query("a17_edge_coverage_water", EDGES + f", k AS (SELECT avg((abs(value) > 0.5)::INT) AS c FROM ed) SELECT {s6('c')} AS coverage, c < 0.02 OR true AS low FROM k")
+@query("a17_edge_coverage_water", EDGES + f", k AS (SELECT avg((abs(value) > 0.5)::INT) AS c FROM ed), w AS (SELECT 100 * count(*) FILTER (class_id = 80) / count(*)::DOUBLE AS p FROM cover) SELECT {s6('c')} AS coverage, c < 0.02 OR least(p, 100 - p) < 5 AS low FROM k, w")
 def _(spark, sf):
     e = terrain.edge_map(grey(spark, sf), emb_shape(spark, sf))
-    return terrain.edge_coverage(e, water_percent=97.0).select(r6("coverage").alias("coverage"), "low")
+    return terrain.edge_coverage(e, zonal.water_coverage(X.cover(spark, sf))).select(r6("coverage").alias("coverage"), "low")
 
 
-@query("l2_registration", ", mv AS (SELECT row + 2 AS row, col - 1 AS col, value FROM emb), o AS (SELECT dr, dc FROM range(-3, 4) a(dr), range(-3, 4) b(dc)), p AS (SELECT row + dr AS row, col + dc AS col, dr, dc, value AS x FROM emb, o), s AS (SELECT dr, dc, covar_pop(x, mv.value) / (stddev_pop(x) * stddev_pop(mv.value)) AS n FROM p JOIN mv USING (row, col) GROUP BY 1, 2), b AS (SELECT * FROM s ORDER BY n DESC LIMIT 1) SELECT dr::INT AS dr, dc::INT AS dc, round(n, 4) AS ncc, " + s6("sqrt(dr * dr + dc * dc)") + " AS distance, false AS low, sqrt(dr * dr + dc * dc) >= 2 AS applied FROM b")
+REGISTERED = ", o AS (SELECT dr, dc FROM range(-3, 4) a(dr), range(-3, 4) b(dc)), p AS (SELECT row + dr AS row, col + dc AS col, dr, dc, value AS x FROM emb, o), s AS (SELECT dr, dc, covar_pop(x, mv.value) / (stddev_pop(x) * stddev_pop(mv.value)) AS n FROM p JOIN mv USING (row, col) GROUP BY 1, 2), b AS (SELECT * FROM s ORDER BY n DESC LIMIT 1), k AS (SELECT avg((abs(value) > 0.5)::INT) AS c FROM ed) SELECT dr::INT AS dr, dc::INT AS dc, round(n, 4) AS ncc, " + s6("sqrt(dr * dr + dc * dc)") + " AS distance, c < 0.02 AS low, sqrt(dr * dr + dc * dc) >= 2 AND c >= 0.02 AS applied FROM b, k"
+
+
+@query("l2_registration", EDGES + ", mv AS (SELECT row + 2 AS row, col - 1 AS col, value FROM emb)" + REGISTERED)
 def _(spark, sf):
-    e = X.emb(spark, sf)
+    e, shape = X.emb(spark, sf), emb_shape(spark, sf)
     moved = e.select((F.col("row") + 2).alias("row"), (F.col("col") - 1).alias("col"), "value")
-    r = terrain.register(e, moved, 3, terrain.edge_coverage(terrain.standardise(e)))
+    r = terrain.register(e, moved, shape, 3, terrain.edge_coverage(terrain.edge_map(grey(spark, sf), shape)))
     return r.select("dr", "dc", F.round("ncc", 4).alias("ncc"), r6("distance").alias("distance"), "low", "applied")
 
 
-@query("f12_flat_water", ", fl AS (SELECT row, col, floor(value / 400) AS value FROM emb), na AS (SELECT row, col, row + dr AS r2, col + dc AS c2 FROM fl, range(-1, 2) a(dr), range(-1, 2) b(dc)), g AS (SELECT na.row, na.col, max(fl.value) - min(fl.value) AS g FROM na JOIN fl ON fl.row = r2 AND fl.col = c2 GROUP BY 1, 2) SELECT row, col, (g < 0.001)::INT + (least(greatest(value, 0), 3) < 0.15)::INT AS value FROM fl JOIN g USING (row, col)")
+SMOOTH2 = ", sm AS (SELECT row, col, sin(row / 37.0) * 300 + cos(row / 11.0 + col / 9.0) * 200 + value / 20 AS value FROM emb), mv AS (SELECT row + 40 AS row, col + 3 AS col, value FROM sm)"
+
+
+@query("l2_registration_far", SMOOTH2 + " SELECT 40 AS dr, 3 AS dc, " + s6("sqrt(1609)") + " AS distance, count(*) > 0 AS applied FROM sm")
+def _(spark, sf):
+    # Found through a pyramid of halved layers: forty cells are a few on the coarsest.
+    wave = F.sin(F.col("row") / 37.0) * 300 + F.cos(F.col("row") / 11.0 + F.col("col") / 9.0) * 200 + F.col("value") / 20
+    e, shape = X.emb(spark, sf).select("row", "col", wave.alias("value")), emb_shape(spark, sf)
+    moved = e.select((F.col("row") + 40).alias("row"), (F.col("col") + 3).alias("col"), "value")
+    r = terrain.register(e, moved, shape, 48, terrain.edge_coverage(terrain.edge_map(grey(spark, sf), shape)))
+    return r.select("dr", "dc", r6("distance").alias("distance"), "applied")
+
+
+FLAT = "ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+
+
+@query("f12_flat_water", f", fl AS (SELECT row, col, floor(value / 400) AS value FROM emb), g1 AS (SELECT row, col, value, max(value) OVER (PARTITION BY col ORDER BY row {FLAT}) AS hi, min(value) OVER (PARTITION BY col ORDER BY row {FLAT}) AS lo FROM fl), g AS (SELECT row, col, value, max(hi) OVER (PARTITION BY row ORDER BY col {FLAT}) - min(lo) OVER (PARTITION BY row ORDER BY col {FLAT}) AS g FROM g1) SELECT row, col, (g < 0.001)::INT + (least(greatest(value, 0), 3) < 0.15)::INT AS value FROM g")
 def _(spark, sf):
     steps = X.emb(spark, sf).select("row", "col", F.floor(F.col("value") / 400).cast("double").alias("value"))
     return terrain.flat(steps, emb_shape(spark, sf))

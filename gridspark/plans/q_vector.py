@@ -34,7 +34,7 @@ def gy(y: str) -> str:
     return f"((39.961::DOUBLE - {y}) / (39.961::DOUBLE - 39.949::DOUBLE) * {SIDE})"
 
 
-HEIGHT = "round_even(least(greatest(coalesce(try_cast(height_tag AS DOUBLE), try_cast(levels_tag AS DOUBLE) * 4, 10), 3), 300), 1)"
+HEIGHT = "round_even(least(greatest(coalesce(try_cast(height_tag AS DOUBLE), coalesce(try_cast(levels_tag AS DOUBLE), 3) * 4), 3), 300), 1)"
 
 
 def houses(spark, sf):
