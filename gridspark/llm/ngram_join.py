@@ -361,22 +361,23 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """(a, b): links of members of one bucket that join different components.
 
-    In each bucket, members outside its most frequent component are held in blocks of about BLOCK shingles while all its members stream
+    In each bucket, members outside its most frequent component are held in blocks of about BLOCK shingles, compared with each other, while its other members stream
     past. The first pass keeps the members with a partner in another component that sizes and sketches allow; the second holds
     their sets, compares them and joins components as it goes, so a block gives fewer links than it has members. Two that meet in many
     buckets count in one: each carries its LOW least keys, and the first of these that both have is theirs (where they have none
     in common, every bucket is).
     """
     member = big.select("key", F.col("b").alias("h")).union(big.select("key", F.col("a").alias("h")).distinct())
-    known = cut(member.join(root.select(F.col("node").alias("h"), "root"), "h").join(classes.select("h", "n"), "h"))
+    known = member.join(root.select(F.col("node").alias("h"), "root"), "h").join(classes.select("h", "n"), "h").repartition(parts, "key")
     most = known.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("key").agg(F.max_by(F.struct("root", "n"), F.struct("c", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("n"))
     most = most.where("roots > 1").select("key", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
-    placed = known.join(most, "key").withColumn("odd", F.col("root") != F.col("main"))
-    held = placed.where("odd").select("key", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "h", "root", "n")
-    every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "h", "root", "n")
+    # Members by their hash, for their least keys and sketches; then each once into every block of its bucket, on side 0 where it is held.
+    placed = cut(known.join(most, "key").select("key", "h", "root", "n", "blocks", (F.col("root") != F.col("main")).alias("odd"))).repartition(parts, "h")
     none = F.array_repeat(F.lit(2**63 - 1), LOW)
     low = placed.groupBy("h").agg(F.slice(F.concat(F.array_sort(F.collect_set("key")), none), 1, LOW).alias("low"))
-    rows = held.unionByName(every).join(classes.select("h", "k").join(low, "h"), "h").select("key", "block", "side", "h", "root", "n", "k", "low")
+    own = F.col("odd") & (F.col("block") == F.pmod(F.xxhash64("h"), F.col("blocks")))
+    every = placed.join(low, "h").join(classes.select("h", "k"), "h").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = every.select("key", "block", F.when(own, 0).otherwise(1).alias("side"), "h", "root", "n", "k", "low")
     names = ["key", "block", "side", "h", "root"]
 
     def plausible(batches):
@@ -386,7 +387,26 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
             n = len(h)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(n, key), np.full(n, block), np.full(n, side), h, root_)], names=names)
 
+        def pairs(y):
+            """Rows of y with a plausible partner in held, which is marked."""
+            yes = np.zeros(len(y.h), bool)
+            for a, _, near in held.plausible(y):
+                p, q = np.nonzero(near)
+                if len(p):
+                    first = held.first(at[0], y, p + a, q)
+                    yes[p[first] + a] = True
+                    held.marked[q[first]] = True
+            return yes
+
+        def close():
+            """The held members of a block are all there: they meet each other."""
+            nonlocal held, parts_
+            if held is None and parts_:
+                held, parts_ = Block.joined(parts_), []
+                pairs(held)
+
         def marked():
+            close()
             if held is not None and held.marked.any():
                 yield batch(*at, 0, held.h[held.marked], held.root[held.marked])
 
@@ -404,17 +424,11 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
                     parts_.append(rows(i, m))
                 if m == j:
                     continue
-                if held is None:
-                    held = Block.joined(parts_)
+                close()
+                if held is None:  # a block that got no member
+                    continue
                 y = rows(m, j)
-                yes = np.zeros(j - m, bool)
-                for a, z, near in held.plausible(y):
-                    p, q = np.nonzero(near)
-                    if len(p):
-                        first = held.first(at[0], y, p + a, q)
-                        p, q = p[first], q[first]
-                        yes[p + a] = True
-                        held.marked[q] = True
+                yes = pairs(y)
                 if yes.any():
                     yield batch(*at, 1, y.h[yes], y.root[yes])
         yield from marked()
@@ -431,28 +445,42 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
                 x = top[x]
             return x
 
+        def meet(row):
+            """Links of a row with held ones of other components, which it joins."""
+            own = row[1]
+            ((_, _, near),) = held.plausible(Block.of([row]))
+            for i in np.flatnonzero(near[0]):
+                other = int(held.root[i])
+                if other != own and similar(held.s[i], row[4]):
+                    out.append((row[0], int(held.h[i])))
+                    top[other] = own
+                    held.root[held.root == other] = own
+
+        def close():
+            nonlocal held
+            if held is None and rows:
+                held = Block.of(rows)
+                for row in rows:
+                    meet((row[0], find(row[1]), *row[2:]))
+
+        out = []
         with np.errstate(over="ignore"):
             for b in batches:
-                out = []
                 for key, block, side, h, root_, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if (key, block) != at:
+                        close()
                         at, rows, held, top = (key, block), [], None, {}
                     s = np.frombuffer(s, np.uint64)
                     row = (h, find(root_), len(s), np.frombuffer(sketch(s), np.uint8), s)
                     if not side:
                         rows.append(row)
                         continue
-                    if held is None:
-                        held = Block.of(rows)
-                    own = row[1]
-                    ((_, _, near),) = held.plausible(Block.of([row]))
-                    for i in np.flatnonzero(near[0]):
-                        other = int(held.root[i])
-                        if other != own and similar(held.s[i], s):
-                            out.append((h, int(held.h[i])))
-                            top[other] = own
-                            held.root[held.root == other] = own
+                    close()
+                    meet(row)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(2)], names=["a", "b"])
+                out = []
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(2)], names=["a", "b"])
 
     return dealt(few.join(sets, "h").select(*names, "s")).mapInArrow(linked, "a long, b long")
 
@@ -602,9 +630,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     root = _grow(classes.select(F.col("h").alias("node"), F.col("h").alias("root")), _verified(best, rows))
     root = _grow(root, _verified(_apart(root, pairs).select("a", "b", "ra", "rb"), rows))
     # In larger buckets, members of different components are compared.
-    # First in one of eight buckets, which finds most links once instead of many times; then in all that are not yet one component.
-    big = stars.where("key is not null")
-    for some in (big.where(F.col("key").bitwiseAND(F.lit(7)) == 0), big):
+    # First in one of eight buckets, which finds most links once instead of many times; then in the others that are not yet one component.
+    big, eighth = stars.where("key is not null"), F.col("key").bitwiseAND(F.lit(7)) == 0
+    for some in (big.where(eighth), big.where(~eighth)):
         root = _grow(root, _far_links(some, root, classes, rows, parts))
     final = classes.join(root.withColumnRenamed("node", "h"), "h").select("h", "rep", "root")
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
