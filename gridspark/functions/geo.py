@@ -30,6 +30,15 @@ def box_problem(north: Column, south: Column, east: Column, west: Column) -> Col
     return F.when(missing, "missing").when(north <= south, "north<=south").when(east <= west, "east<=west")
 
 
+#: Pixels along a grid's longer side, at most. Fixed value.
+MAX_DIM = 2000
+
+
+def dim_problem(dim: Column, most: int = MAX_DIM) -> Column:
+    """Null for a size of 1 to `most`, or for none; else the reason."""
+    return F.when((dim < 1) | (dim > most), f"dim not in 1..{most}")
+
+
 def diagonal_km(north: Column, south: Column, east: Column, west: Column) -> Column:
     mid = F.radians((north + south) / 2)
     return EARTH_KM * F.sqrt(F.pow(F.radians(north - south), 2) + F.pow(F.radians(east - west) * F.cos(mid), 2))
@@ -107,6 +116,18 @@ def cache_key(namespace: Column, box: tuple[Column, Column, Column, Column], par
     return F.md5(F.concat(namespace, F.lit(":N"), n, F.lit("_S"), s, F.lit("_E"), e, F.lit("_W"), w, F.lit(":"), params))
 
 
+def sorted_json(params: Column) -> Column:
+    """A JSON object of a map from names to JSON texts, sorted by name, without spaces; of a null or empty map {}."""
+    parts = F.transform(F.array_sort(F.map_keys(params)), lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.element_at(params, k)))
+    return F.concat(F.lit("{"), F.coalesce(F.array_join(parts, ","), F.lit("")), F.lit("}"))
+
+
+def vector_cache_key(box: tuple[Column, Column, Column, Column], tolerance: Column, least_area: Column) -> Column:
+    """The key of vector data by box, simplification tolerance and least area (both as text)."""
+    n, s, e, w = (F.format_string("%.4f", x) for x in box)
+    return F.md5(F.concat(n, F.lit("_"), s, F.lit("_"), e, F.lit("_"), w, F.lit("_t"), tolerance, F.lit("_a"), least_area))
+
+
 def mercator_xy(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * MERCATOR_R, F.ln(F.tan(F.pi() / 4 + F.radians(lat) / 2)) * MERCATOR_R
 

@@ -119,6 +119,62 @@ def hot(t: Column) -> list[Column]:
     return [F.least(F.lit(1.0), F.greatest(F.lit(0.0), 3 * t - k)) for k in (0, 1, 2)]
 
 
+def gray(t: Column) -> list[Column]:
+    return [t, t, t]
+
+
+def hsl(h: Column, s: Column, v: Column) -> list[Column]:
+    """Red, green and blue of hue, saturation and lightness, all 0 to 1."""
+    a = s * F.least(v, 1 - v)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + h * 12, F.lit(12.0))
+        return v - a * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+
+    return [channel(n) for n in (0, 8, 4)]
+
+
+def viridis(t: Column) -> list[Column]:
+    return hsl(0.7 - 0.7 * t, F.lit(0.9), F.lit(0.5))
+
+
+#: Colours by their place, between which a ramp is linear. Fixed values.
+STOPS = ((0.00, (0.10, 0.22, 0.50)), (0.30, (0.20, 0.50, 0.85)), (0.45, (0.20, 0.70, 0.30)), (0.60, (0.75, 0.70, 0.35)), (0.80, (0.55, 0.35, 0.20)), (1.00, (1.00, 1.00, 1.00)))
+#: The default ramp's pieces: from, to, colour at either end. They don't meet at 0.4. Fixed values.
+TERRAIN = ((0.0, 0.4, (0.0, 0.3, 0.0), (0.4, 0.7, 0.0)), (0.4, 0.8, (0.4, 0.6, 0.2), (0.55, 0.45, 0.15)), (0.8, 1.0, (0.55, 0.45, 0.15), (0.9, 0.9, 0.9)))
+
+
+def pieces(t: Column, table: tuple) -> list[Column]:
+    """Colours of a table of pieces (from, to, first, last), each linear; a place on a border belongs to the piece that begins there."""
+    out = []
+    for c in range(3):
+        x = F.lit(float(table[-1][3][c]))
+        for a, b, first, last in reversed(table):
+            f = (t - a) / (b - a)
+            inside = t < b if (a, b) != table[-1][:2] else F.lit(True)
+            x = F.when(inside, first[c] * (1 - f) + last[c] * f).otherwise(x)
+        out.append(x)
+    return out
+
+
+def terrain_ramp(t: Column) -> list[Column]:
+    """The default: green lowlands, brown, white."""
+    return pieces(t, TERRAIN)
+
+
+def stops(t: Column, table: tuple = STOPS) -> list[Column]:
+    return pieces(t, tuple((a, b, c, d) for (a, c), (b, d) in zip(table, table[1:], strict=False)))
+
+
+RAMPS = {"jet": jet, "rainbow": rainbow, "raindow": rainbow, "viridis": viridis, "hot": hot, "gray": gray, "terrain": terrain_ramp, "stops": stops}
+
+
+def ramp(cells: DataFrame, name: str = "terrain") -> DataFrame:
+    """(row, col, r, g, b), 0 to 1, of values in 0..1, which are clamped; a name that is none of RAMPS gives the default."""
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "value"))
+    return cells.select(*KEY, *(x.alias(c) for x, c in zip(RAMPS.get(name, terrain_ramp)(t), "rgb", strict=True)))
+
+
 def sea_colour(cells: DataFrame) -> DataFrame:
     """Blue by depth for values below 0: (r, g, b) truncated to whole numbers; land is left out."""
     s = with_stats(cells.where("value < 0"), deep=F.max(F.abs("value")))

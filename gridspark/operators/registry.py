@@ -145,5 +145,34 @@ def best_at_most(want: DataFrame, have: DataFrame, key: str, limit: str, scale:
 
 
 def road_width(roads: DataFrame) -> DataFrame:
-    t = _rows(roads, list(HIGHWAY_WIDTH.items()), "highway string, width_m double")
-    return roads.join(t, "highway", "left").withColumn("width_m", F.coalesce("width_m", F.lit(3.0)))
+    """roads plus width_m by their highway tag, or by the first one of a list of tags; an empty list counts as unclassified, unknown tags are 3 m wide."""
+    listed = roads.schema["highway"].dataType.typeName() == "array"
+    tag = F.when(F.size("highway") > 0, F.get("highway", F.lit(0))).when(F.col("highway").isNotNull(), "unclassified") if listed else F.col("highway")
+    t = _rows(roads, list(HIGHWAY_WIDTH.items()), "__tag string, width_m double")
+    return roads.join(t, tag == F.col("__tag"), "left").withColumn("width_m", F.coalesce("width_m", F.lit(3.0))).drop("__tag")
+
+
+def settings_of(saved: Column, defaults: dict[str, dict[str, str]]) -> Column:
+    """Settings as a map of groups to maps, values as JSON texts: defaults (group, key, JSON text) under a saved JSON object.
+
+    An object whose first value is an object itself is grouped: each of the defaults' groups takes all of its keys. Another is flat: each key goes to the first group that has
+    it, and keys that no group has are left out. A null or unreadable text changes nothing.
+    """
+    text = "map<string,string>"
+    entry = lambda m: F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*map(F.lit, m.values())))
+    base = F.map_from_arrays(F.array(*map(F.lit, defaults)), F.array(*(entry(m) for m in defaults.values())))
+    flat = F.coalesce(F.from_json(saved, text), F.create_map().cast(text))
+    over = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
+    is_object = lambda v: F.coalesce(F.startswith(F.ltrim(v), F.lit("{")), F.lit(False))
+    grouped = F.transform_values(F.map_filter(flat, lambda g, v: F.array_contains(F.map_keys(base), g) & is_object(v)), lambda g, v: F.from_json(v, text))
+    owner = {k: g for g, m in reversed(defaults.items()) for k in m}
+    own = F.map_from_arrays(F.array(*map(F.lit, owner)), F.array(*map(F.lit, owner.values())))
+    routed = lambda g: F.map_filter(flat, lambda k, v: F.try_element_at(own, k) == g)
+    by_group = F.map_zip_with(base, grouped, lambda g, a, b: F.when(b.isNull(), a).otherwise(over(a, b)))
+    by_key = F.transform_values(base, lambda g, a: over(a, routed(g)))
+    return F.when(is_object(F.get(F.map_values(flat), F.lit(0))), by_group).otherwise(by_key)
+
+
+def setting(settings: Column, group: str, key: str, kind: str) -> Column:
+    """One setting by its type; null if it is missing or of another kind."""
+    return F.try_variant_get(F.try_parse_json(F.try_element_at(F.try_element_at(settings, F.lit(group)), F.lit(key))), "$", kind)

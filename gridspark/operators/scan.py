@@ -105,16 +105,16 @@ def geojson_polygons(df: DataFrame, json: str) -> DataFrame:
 DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
 
 
-def geojson_features(df: DataFrame, json: str) -> DataFrame:
+def geojson_features(df: DataFrame, json: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Features of any geometry as (feature_id, geom_type, parts, props): parts are lists of points, the rings of all polygons, the lines, or one list of the
     points. Another geometry has no parts."""
     raw = "struct<type:string,features:array<struct<id:bigint,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
-    f = df.select(F.explode(F.from_json(json, raw)["features"]).alias("f")).select(F.col("f.id").alias("feature_id"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("__c"), F.col("f.properties").alias("props"))
+    f = df.select(*keep, F.explode(F.from_json(json, raw)["features"]).alias("f")).select(*keep, F.col("f.id").alias("feature_id"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("__c"), F.col("f.properties").alias("props"))
     nested = lambda d: F.from_json("__c", "array<" * (d + 1) + "double" + ">" * (d + 1))
     flat = {0: F.array(F.array(nested(0))), 1: F.array(nested(1)), 2: nested(2), 3: F.flatten(nested(3))}
     parts = F.coalesce(*(F.when(F.col("geom_type").isin(*(k for k, d in DEPTH.items() if d == depth)), x) for depth, x in flat.items()), F.array().cast("array<array<array<double>>>"))
     points = F.transform(parts, lambda line: F.transform(line, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))))
-    return f.select("feature_id", "geom_type", points.alias("parts"), "props")
+    return f.select(*keep, "feature_id", "geom_type", points.alias("parts"), "props")
 
 
 def with_cover(reaches: DataFrame) -> DataFrame:
@@ -164,3 +164,26 @@ def covering_tiles(boxes: DataFrame, zoom: int) -> DataFrame:
     xa, ya = geo.mercator_tile(F.col("west"), F.col("north"), n)
     xb, yb = geo.mercator_tile(F.col("east"), F.col("south"), n)
     return boxes.withColumn("x", F.explode(F.sequence(xa, xb))).withColumn("y", F.explode(F.sequence(ya, yb)))
+
+
+def geojson_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, layer, feature_id, geom_type, parts, props) of all GeoJSON files under a path, plain or gzip, one document a file.
+
+    A document is a FeatureCollection, whose layer is null, or an object of them by layer. Others give no rows. A file is read by one task; files are many."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("__j"))
+    by_layer = F.map_filter(F.from_json("__j", "map<string,string>"), lambda k, v: F.coalesce(F.get_json_object(v, "$.type") == "FeatureCollection", F.lit(False)))
+    one = F.coalesce(F.get_json_object("__j", "$.type") == "FeatureCollection", F.lit(False))
+    docs = whole.where(one).select("file", F.lit(None).cast("string").alias("layer"), "__j").unionByName(whole.where(~one).select("file", F.explode(by_layer).alias("layer", "__j")))
+    return geojson_features(docs, "__j", ("file", "layer"))
+
+
+#: Geometries that a box filter knows. Fixed values.
+LINES = ("LineString", "MultiLineString")
+
+
+def parts_in_box(features: DataFrame, box: tuple, kinds: tuple[str, ...] = LINES) -> DataFrame:
+    """Features (geom_type, parts) of known kinds one of whose parts has an extent that overlaps the box, edges included; features of other kinds go."""
+    n, s, e, w = box
+    least, most = (lambda p, c: F.array_min(F.transform(p, lambda q: q[c]))), (lambda p, c: F.array_max(F.transform(p, lambda q: q[c])))
+    near = F.exists("parts", lambda p: (most(p, "x") >= w) & (least(p, "x") <= e) & (most(p, "y") >= s) & (least(p, "y") <= n))
+    return features.where(F.col("geom_type").isin(*kinds) & near)

@@ -64,6 +64,23 @@ def turn_removal(points: str, low: float = 175.0) -> Column:
     return F.filter(points, stays)
 
 
+def ring_turns(points: str, low: float = 175.0, high: float = 185.0) -> Column:
+    """The corners of a ring (closed or not) whose turning angle, 0 to 360 degrees, lies outside low to high. The first corner is judged like any other, between the last and the second."""
+    p = F.when(F.get(points, F.lit(0)) == F.get(points, F.size(points) - 1), F.slice(points, 1, F.size(points) - 1)).otherwise(F.col(points))
+    at = lambda q, i: F.get(q, F.pmod(i, F.size(q)))
+
+    def bent(q: Column) -> Column:
+        def stays(x: Column, i: Column) -> Column:
+            a, b = at(q, i - 1), at(q, i + 1)
+            ux, uy, vx, vy = b["x"] - x["x"], b["y"] - x["y"], a["x"] - x["x"], a["y"] - x["y"]
+            angle = F.pmod(F.degrees(F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)), F.lit(360.0))
+            return (angle < low) | (angle > high)
+
+        return F.filter(q, stays)
+
+    return F.get(F.transform(F.array(p), bent), F.lit(0))
+
+
 def to_grid(df: DataFrame, box: tuple, shape: tuple[int, int], columns: list[tuple[str, str]]) -> DataFrame:
     """Longitudes and latitudes as fractional columns and rows of a grid."""
     n, s, e, w = box
@@ -218,6 +235,42 @@ def skirt_faces(shape: tuple[int, int], cells: DataFrame) -> DataFrame:
     return out.union(plate)
 
 
+def surface_vertices(cells: DataFrame, shape: tuple[int, int], size_mm: tuple[float, float], base_mm: float, height_mm: float, solid: bool = False) -> DataFrame:
+    """(id, x, y, z) of a surface's vertices, row * columns + column, in millimetres: the first row is the north edge. solid adds the plate's at z 0, shifted by rows * columns."""
+    h, w = shape
+    s = model_z(cells, base_mm, height_mm)
+    x = F.col("col") / max(1, w - 1) * size_mm[0]
+    y = size_mm[1] - F.col("row") / max(1, h - 1) * size_mm[1]
+    top = s.select((F.col("row").cast("long") * w + F.col("col")).alias("id"), x.alias("x"), y.alias("y"), F.col("value").alias("z"))
+    return top.union(top.select(F.col("id") + h * w, "x", "y", F.lit(0.0))) if solid else top
+
+
+def prism_vertices(df: DataFrame, key: str, points: str, box: tuple, size_mm: tuple[float, float], base_mm: float, height_mm: float, terrain: DataFrame, scale: float) -> DataFrame:
+    """(key, id, x, y, z) of prisms over open rings that stand on the terrain, ids as in ring_prisms: corners below, then above.
+
+    df has terrain_z and height_m; without a height, or with 0, a building is 10 m high, and without ground, or at 0, it stands on the lowest. terrain is one row (lo, hi).
+    The foot is at the model's height of the ground, the roof height_m * scale above it."""
+    n, s, e, w = box
+    t = df.crossJoin(F.broadcast(terrain.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))))
+    ground = F.coalesce(F.nullif("terrain_z", F.lit(0.0)), "__lo")
+    span = F.coalesce(F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)), F.lit(1.0))
+    foot = base_mm + (ground - F.col("__lo")) / span * height_mm
+    roof = foot + F.coalesce(F.nullif("height_m", F.lit(0.0)), F.lit(10.0)) * scale
+    at = lambda z, shift: F.transform(points, lambda p, i: F.struct((i + shift).cast("int").alias("id"), ((p["x"] - w) / (e - w) * size_mm[0]).alias("x"), ((p["y"] - s) / (n - s) * size_mm[1]).alias("y"), z.alias("z")))
+    return t.select(key, F.inline(F.concat(at(foot, F.lit(0)), at(roof, F.size(points)))))
+
+
+def mesh_report(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """mesh_health's row plus vertices, least and greatest z, and holes: the closed loops that boundary edges form."""
+    from gridspark.operators import components
+
+    pairs = F.array(*(F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")) for a, b in (("a", "b"), ("b", "c"), ("c", "a"))))
+    border = faces.select(F.inline(pairs)).groupBy("u", "v").agg(F.count("*").alias("n")).where("n = 1")
+    holes = components.label(border.select("u", "v")).agg(F.count_distinct("root").alias("holes"))
+    size = vertices.agg(F.count("*").alias("vertices"), F.min("z").alias("z_low"), F.max("z").alias("z_high"))
+    return mesh_health(faces).crossJoin(F.broadcast(size)).crossJoin(F.broadcast(holes))
+
+
 def mesh_health(faces: DataFrame) -> DataFrame:
     """One row: faces, edges, boundary edges, edges of over two faces, edges wound alike twice, watertight."""
     pairs = F.array(*(F.struct(F.col(a).alias("s"), F.col(b).alias("t")) for a, b in (("a", "b"), ("b", "c"), ("c", "a"))))
