@@ -7,7 +7,8 @@ tokens with a digit or an @ that are of another kind or of none. Tokens of the k
 instance is worth the noisy-or of its patterns of one width, the best width of a side, and the noisy-or of both sides; instances above
 the threshold become trusted. A pattern counts once it has LEAST_SEEDS different trusted instances, seeds or discovered ones, and rounds go
 on until no instance is newly trusted and worth no longer grows. A trusted instance is extracted where a pattern of at least HALF stands
-beside it, and elsewhere only when two different such patterns agree on it. DataFrame expressions only.
+beside it, and elsewhere only when two different such patterns agree on it. An instance is a token with a digit or an @, or a run of up to five of them that has a
+kind's shape, such as a number in groups. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ SHAPES = {
     "card": r"^[0-9](-?[0-9]){11,18}$",
     "phone": r"^\(?[0-9]{2,4}\)?[-.][0-9]{2,4}([-.][0-9]{2,4}){1,3}$",
 }
+#: Shapes of instances that run over several tokens, parted by single spaces, and the digits that they may have.
+RUNS = {"phone": (r"^\+?\(?[0-9]{1,4}\)?( \(?[0-9]{2,4}\)?| [0-9]{2,4}([-.][0-9]{2,4})*){1,4}$", 8, 15), "card": (r"^[0-9]{4}( [0-9]{4}){2,3}( [0-9]{1,3})?$", 12, 19)}
+#: Tokens in an instance, at most.
+LONGEST = 5
 TRUST, LEAST_SEEDS, SMOOTH, HALF = 0.9, 3, 2.0, 0.5
 #: Words in a pattern, at most.
 WIDTH = 3
@@ -117,6 +122,46 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def bare(value: Column) -> tuple[Column, Column]:
+    """How many signs stand before a token's first letter, digit or bracket, and the token without the signs at its ends."""
+    return F.length(F.regexp_extract(value, r"^[^\p{L}\p{N}(+]*", 0)), F.regexp_extract(value, r"^[^\p{L}\p{N}(+]*(.*?)[^\p{L}\p{N}]*$", 1)
+
+
+def runs(tokens: Column) -> Column:
+    """For each of some tokens (in order) a struct: run, the longest run of two to LONGEST tokens from there on that stand one space apart and together have a shape of RUNS (start, end, value, left,
+    right, kind), or null where there is none or it ends within one that began before; and inside, whether the token lies in a run. A token looks at its LONGEST neighbours only."""
+    last = F.size(tokens) - 1
+
+    def built(k: Column, m: Column) -> Column:
+        part = F.slice(tokens, k + 1, m + 1)
+        near = F.forall(F.sequence(F.lit(1), m), lambda j: F.get(part, j)["start"] == F.get(part, j - 1)["end"] + 1)
+        value = F.array_join(F.transform(part, lambda x: x["value"]), " ")
+
+        def told(v: Column) -> Column:
+            lead, core = bare(v)
+
+            def shaped(c: Column) -> Column:
+                n = F.length(digits(c))
+                kind = F.coalesce(*(F.when(F.rlike(c, F.lit(p)) & n.between(lo, hi), k_) for k_, (p, lo, hi) in RUNS.items()))
+                start = F.get(part, F.lit(0))["start"] + lead
+                return F.struct(start.alias("start"), (start + F.length(c)).alias("end"), c.alias("value"), F.get(part, F.lit(0))["left"].alias("left"), F.get(part, m)["right"].alias("right"), kind.alias("kind"), m.alias("m"))
+
+            return let(core, shaped)
+
+        return F.when(near, let(value, told))
+
+    def longest(k: Column) -> Column:
+        found = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST - 1), last - k)), lambda m: built(k, m)), lambda r: r["kind"].isNotNull())
+        return F.when(k < last, let(found, lambda f: F.get(f, F.size(f) - 1)))
+
+    def marked(b: Column) -> Column:
+        back = lambda k, lo, test: F.coalesce(F.exists(F.sequence(F.lit(lo), F.lit(LONGEST - 1)), lambda j: F.coalesce(test(F.get(b, k - j), j), F.lit(False))), F.lit(False))
+        own = lambda x, k: F.when(~back(k, 1, lambda o, j: o["end"] >= x["end"]), x)
+        return F.transform(b, lambda x, k: F.struct(own(x, k).alias("run"), back(k, 0, lambda o, j: o["m"] >= j).alias("inside")))
+
+    return let(F.transform(F.sequence(F.lit(0), last), longest), marked)
+
+
 def score(graph: DataFrame, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) from the graph (kind, value, seed, side, width, ctx) of different rows: patterns have kind, ctx, side, width and p;
     instances are the untrusted ones (kind, value) that became trusted, with how many different patterns of one word agree on them.
@@ -162,19 +207,24 @@ def extract(docs: DataFrame, text: str = "text", trust: float = TRUST) -> DataFr
     edges = lambda df, seed: df.select("kind", "value", F.lit(seed).alias("seed"), F.explode(beside).alias("c")).select("kind", "value", "seed", "c.side", "c.width", "c.ctx")
     seeds = reduce(DataFrame.union, (rows.select(F.lit(k).alias("kind"), F.explode(f"__base.{k}").alias("s")).select("kind", "s.value", "s.left", "s.right") for k in KINDS))
     every = F.concat(*(F.transform(f"__base.{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
-    tok = rows.where(F.size("__tokens") > 0).withColumn("__every", every).withColumn("s", F.explode("__tokens")).where(~F.exists("__every", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start"))))
-    # The token's edges without punctuation; the rest must have the shape of a kind.
-    lead = F.length(F.regexp_extract("s.value", r"^[^\p{L}\p{N}(]*", 0))
-    core = F.regexp_extract("s.value", r"^[^\p{L}\p{N}(]*(.*?)[^\p{L}\p{N}]*$", 1)
+    tok = rows.where(F.size("__tokens") > 0).withColumn("__every", every).withColumn("__free", F.filter("__tokens", lambda s: ~F.exists("__every", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))))
+    tok = tok.where(F.size("__free") > 0)
+    # The token's edges without punctuation; the rest must have the shape of a kind. Runs of tokens have one.
+    one = tok.select("__row", F.explode(F.arrays_zip(F.col("__free").alias("s"), runs(F.col("__free")).alias("i"))).alias("z")).select("__row", "z.s", "z.i")
+    lead, core = bare(F.col("s.value"))
     shape = F.expr("CASE " + " ".join(f"WHEN value RLIKE r'{p}' THEN '{k}'" for k, p in SHAPES.items()) + f" ELSE '{NONE}' END")
-    others = tok.select("__row", (F.col("s.start") + lead).alias("start"), core.alias("value"), "s.left", "s.right").withColumn("kind", shape)
-    others = cut(others.withColumn("end", F.col("start") + F.length("value")).distinct())
+    # A token of a run is no instance of its own and contradicts nothing.
+    single = one.where(~F.col("i.inside")).select("__row", (F.col("s.start") + lead).alias("start"), core.alias("value"), "s.left", "s.right").withColumn("kind", shape).withColumn("end", F.col("start") + F.length("value"))
+    several = one.where(F.col("i.run").isNotNull()).select("__row", "i.run.start", "i.run.value", "i.run.left", "i.run.right", "i.run.kind", "i.run.end")
+    others = cut(single.unionByName(several).distinct())
     patterns, trusted = score(edges(seeds, 1).unionByName(edges(others, 0)), trust)
     shaped = others.where(F.col("kind") != NONE).join(trusted, ["kind", "value"])
     place = ["__row", "kind", "start", "end"]
     alone = shaped.where("agree >= 2").select(*place)
     near = shaped.where("agree < 2").select(*place, F.explode(beside).alias("c")).select(*place, "c.side", "c.width", "c.ctx").join(patterns.where(F.col("p") >= HALF), ["kind", "side", "width", "ctx"]).select(*place).distinct()
-    learnt = alone.union(near).groupBy("__row").agg(F.collect_set(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("__learnt"))  # one text's spans
+    # Of spans in one another the longest stays.
+    inside = lambda a: F.filter(a, lambda s: ~F.exists(a, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
+    learnt = alone.union(near).groupBy("__row").agg(F.collect_set(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("__learnt")).withColumn("__learnt", let(F.col("__learnt"), inside))  # one text's spans
     learnt = cut(learnt)  # so that both sides of the join are plain exchanges, whose skewed partitions Spark can split
     out = rows.drop("__tokens").join(learnt, "__row", "left")
     order = lambda k: F.array_position(F.array(*(F.lit(x) for x in KINDS)), k)
