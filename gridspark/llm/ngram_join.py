@@ -369,8 +369,9 @@ def _far_links(big: DataFrame, root: DataFrame, classes: DataFrame, docs: DataFr
     """
     member = big.select("key", F.col("b").alias("h")).union(big.select("key", F.col("a").alias("h")).distinct())
     known = member.join(root.select(F.col("node").alias("h"), "root"), "h").join(classes.select("h", "n"), "h").repartition(parts, "key")
-    most = known.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("key").agg(F.max_by(F.struct("root", "n"), F.struct("c", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+    most = known.groupBy("key", "root").agg(F.count("h").alias("c"), F.sum("n").alias("n")).groupBy("key").agg(F.max_by(F.struct("root", "n"), F.struct("c", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("n"))
     most = most.where("roots > 1").select("key", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
+    # (Counting h keeps all of known's columns, so that both uses read one exchange.)
     # Members by their hash, for their least keys and sketches; then each once into every block of its bucket, on side 0 where it is held.
     placed = cut(known.join(most, "key").select("key", "h", "root", "n", "blocks", (F.col("root") != F.col("main")).alias("odd"))).repartition(parts, "h")
     none = F.array_repeat(F.lit(2**63 - 1), LOW)
