@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,11 +75,19 @@ def blend(base: DataFrame, layer: DataFrame, mode: str, weight: float = 1.0) ->
 
 
 def merge_layers(layers: list[tuple[DataFrame, str, float]]) -> DataFrame:
-    """Layers blended in order onto the first; missing values count 0. All join on the cell key, so one partitioning serves all."""
-    out = layers[0][0].withColumn("value", F.coalesce("value", F.lit(0.0)))
-    for df, mode, w in layers[1:]:
-        out = blend(out, df, mode, w)
-    return out
+    """Layers blended in order onto the first; missing values of the base count 0, where it has no cell there is none.
+
+    All are united and meet in one aggregation by cell, one exchange for any number of layers; a layer has a cell once at most. An unknown mode is an error."""
+    for _, mode, _ in layers[1:]:
+        if mode not in MODES:
+            raise ValueError(f"unknown blend mode {mode}")
+    names = [f"__{k}" for k in range(len(layers))]
+    parts = [df.select(*KEY, *((F.col("value") if j == k else F.lit(None)).cast("double").alias(n) for j, n in enumerate(names)), F.lit(k == 0).alias("__base")) for k, (df, *_) in enumerate(layers)]
+    cells = reduce(DataFrame.union, parts).groupBy(*KEY).agg(*(F.max(n).alias(n) for n in names), F.max("__base").alias("__base")).where("__base")
+    value = F.coalesce(F.col(names[0]), F.lit(0.0))
+    for n, (_, mode, w) in zip(names[1:], layers[1:], strict=True):
+        value = F.when(F.col(n).isNull(), value).otherwise(MODES[mode](value, F.col(n), w))
+    return cells.select(*KEY, value.alias("value"))
 
 
 def merge_rivers(dem: DataFrame, river: DataFrame, mode: str = "absolute") -> DataFrame:

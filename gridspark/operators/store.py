@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,19 +93,3 @@ def merge_stored(spark: SparkSession, base: str, layers: list[tuple[str, str, fl
         out = out.join(spark.table(table).select(*KEY, F.col("value").alias("__l")).hint("merge"), KEY, "left")
         out = out.select(*KEY, F.when(F.col("__l").isNull(), F.col("value")).otherwise(raster.MODES[mode](F.col("value"), F.col("__l"), w)).alias("value"))
     return out
-
-
-def merge_united(layers: list[tuple[DataFrame, str, float]]) -> DataFrame:
-    """Like raster.merge_layers, for layers that lie anywhere: all are united and meet in one aggregation by cell, one exchange for any number of layers.
-
-    A layer has a cell once at most; where the base has no cell there is none.
-    """
-    names = [f"__{k}" for k in range(len(layers))]
-    parts = [df.select("row", "col", *((F.col("value") if j == k else F.lit(None)).cast("double").alias(n) for j, n in enumerate(names)), F.lit(k == 0).alias("__base")) for k, (df, *_) in enumerate(layers)]
-    cells = reduce(DataFrame.union, parts).groupBy("row", "col").agg(*(F.max(n).alias(n) for n in names), F.max("__base").alias("__base")).where("__base")
-    value = F.coalesce(F.col(names[0]), F.lit(0.0))
-    for n, (_, mode, w) in zip(names[1:], layers[1:], strict=True):
-        if mode not in raster.MODES:
-            raise ValueError(f"unknown blend mode {mode}")
-        value = F.when(F.col(n).isNull(), value).otherwise(raster.MODES[mode](value, F.col(n), w))
-    return cells.select("row", "col", value.alias("value"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import names, store
+from gridspark.operators import names, raster, store
 from gridspark.plans import fixtures as X
 from gridspark.plans.fixtures import TALL, r6, s6, sql
 from gridspark.plans.q_features import fresh
@@ -60,7 +60,7 @@ def _(spark, sf):
 @query("r8_united_layers", MERGED)
 def _(spark, sf):
     base, a, b = two_layers(spark, sf)
-    return out(store.merge_united([(base, "base", 1.0), (a, "blend", 0.5), (b, "min", 1.0)]))
+    return out(raster.merge_layers([(base, "base", 1.0), (a, "blend", 0.5), (b, "min", 1.0)]))
 
 
 @query("s5_tile_source", ", g AS (SELECT r::INT AS row, c::INT AS col FROM range(100, 150) a(r), range(100, 150) b(c)) SELECT row, col, greatest(coalesce(value, 0), 0)::DOUBLE AS value FROM g LEFT JOIN li USING (row, col)")

@@ -66,13 +66,13 @@ def test_bucketed_layers_merge_without_an_exchange(spark, tmp_path):
         store.write_layer(df, f"layer_test_{k}", f"{tmp_path}/{k}", 4)
     got = store.merge_stored(spark, "layer_test_0", [("layer_test_1", "max", 1.0), ("layer_test_2", "blend", 0.5)])
     assert "Exchange" not in plan(got).split("== Physical Plan ==")[1]
-    want = raster.merge_layers([(layers[0], "base", 1.0), (layers[1], "max", 1.0), (layers[2], "blend", 0.5)])
-    united = store.merge_united([(layers[0], "base", 1.0), (layers[1], "max", 1.0), (layers[2], "blend", 0.5)])
+    want = raster.blend(raster.blend(layers[0], layers[1], "max"), layers[2], "blend", 0.5)
+    united = raster.merge_layers([(layers[0], "base", 1.0), (layers[1], "max", 1.0), (layers[2], "blend", 0.5)])
     assert plan(united).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(got) == rows(want) == rows(united)
     with pytest.raises(ValueError):
-        store.merge_united([(layers[0], "base", 1.0), (layers[1], "odd", 1.0)])
+        raster.merge_layers([(layers[0], "base", 1.0), (layers[1], "odd", 1.0)])
     for k in range(3):
         spark.sql(f"DROP TABLE layer_test_{k}")
 
