@@ -152,7 +152,7 @@ def _(spark, sf):
 @query("c1_dissolve_polygons", recursive(PAIRS, "pr", "(SELECT feature_id AS n FROM b)", "SELECT root, count(*) AS members, min(h) AS h FROM cc JOIN b ON feature_id = node GROUP BY root"))
 def _(spark, sf):
     b = cut_rings(houses(spark, sf))
-    pairs = vector.intersecting_polygons(b.withColumn("parts", F.array("p")), "feature_id", "parts", "h").union(b.select("feature_id", "feature_id"))
+    pairs = vector.intersecting_links(b.withColumn("parts", F.array("p")), "feature_id", "parts", "h").union(b.select("feature_id", "feature_id"))
     c = components.label(pairs)
     return c.join(b.select(F.col("feature_id").alias("node"), "h"), "node").groupBy("root").agg(F.count("*").alias("members"), F.min("h").alias("h"))
 
