@@ -259,7 +259,7 @@ def recursive(ctes: str, edges: str, nodes: str, tail: str) -> str:
 @query("c1_dissolve_touching", recursive(f", b AS (SELECT *, {HEIGHT} AS h FROM bld), pr AS (SELECT a.feature_id AS u, b.feature_id AS v FROM b a JOIN b ON a.h = b.h AND a.feature_id < b.feature_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)", "pr", "(SELECT feature_id AS n FROM b)", "SELECT root, count(*) AS members, min(h) AS h FROM cc JOIN b ON feature_id = node GROUP BY root"))
 def _(spark, sf):
     b = houses(spark, sf)
-    pairs = vector.overlapping_pairs(b, "feature_id", "h").union(b.select("feature_id", "feature_id"))
+    pairs = vector.overlapping_links(b, "feature_id", "h").union(b.select("feature_id", "feature_id"))
     c = components.label(pairs)
     return c.join(b.select(F.col("feature_id").alias("node"), "h"), "node").groupBy("root").agg(F.count("*").alias("members"), F.min("h").alias("h"))
 
