@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import focal, terrain, vector
+from gridspark.operators import components, focal, terrain, vector
 
 SHAPE = (70, 90)
 
@@ -118,3 +118,27 @@ def test_bright_lines_need_a_hundred_cells(spark):
     assert {r["col"] for r in cells.collect()} <= {38, 39, 40, 41, 42} and cells.count() >= 300
 
 
+
+
+def test_shift_scores_send_a_cell_once(spark, monkeypatch):
+    """Scores on tiles with gaps equal plain ones, and what is exchanged doesn't grow with the number of shifts."""
+    rng = np.random.default_rng(8)
+    grids = [np.where(rng.random(SHAPE) < 0.8, rng.random(SHAPE) + 50, np.nan) for _ in "ab"]
+    a, b = (spark.createDataFrame([(int(r), int(c) - 1, float(v)) for (r, c), v in np.ndenumerate(g) if not np.isnan(v)], "row int, col int, value double") for g in grids)
+    monkeypatch.setattr(focal, "TILE", 16)
+    shifts = [(-3, 0), (0, 0), (5, 2), (20, -33), (500, 0)]
+    got = {(r["dr"], r["dc"]): (r["n"], r["ncc"]) for r in terrain.shift_scores(a, b, shifts).collect()}
+    assert set(got) == set(shifts[:-1])
+    for dr, dc in shifts[:-1]:
+        x = np.full(SHAPE, np.nan)
+        x[max(dr, 0) : SHAPE[0] + min(dr, 0), max(dc, 0) : SHAPE[1] + min(dc, 0)] = grids[0][max(-dr, 0) : SHAPE[0] + min(-dr, 0), max(-dc, 0) : SHAPE[1] + min(-dc, 0)]
+        both = ~np.isnan(x) & ~np.isnan(grids[1])
+        assert got[dr, dc][0] == both.sum() and np.isclose(got[dr, dc][1], np.corrcoef(x[both], grids[1][both])[0, 1])
+    flat = a.withColumn("value", F.lit(0.1))
+    assert {r["ncc"] for r in terrain.shift_scores(flat, b, shifts).collect()} == {0.0}
+    monkeypatch.setattr(focal, "TILE", 256)
+    sent = []
+    shown = components.saved
+    monkeypatch.setattr(components, "saved", lambda df: sent.append(df._jdf.queryExecution().optimizedPlan().toString()) or shown(df))
+    terrain.shift_scores(a, b, focal.square(10))
+    assert len(sent) == 1 and "FlatMapGroupsInArrow" in sent[0] and "inline" not in sent[0] and "Join" not in sent[0]
