@@ -124,14 +124,14 @@ def _(spark, sf):
 @query("v12_city_bands", BG + near_sql("road", "feature_id", "0.73") + f"SELECT row, col, {s6('sum(b)')} AS buildings, max(r)::INT AS roads FROM (SELECT row, col, h AS b, 0 AS r FROM bc UNION ALL SELECT row, col, 0, 1 FROM near) GROUP BY 1, 2")
 def _(spark, sf):
     b = vector.burn_polygons(house_segments(spark, sf, ("feature_id", "h")), GRID, ["feature_id", "h"]).select("row", "col", F.col("h").alias("b"), F.lit(0).alias("r"))
-    r = vector.burn_lines(road_segments(spark, sf), GRID, F.lit(0.73), ["feature_id"]).select("row", "col", F.lit(0.0), F.lit(1))
+    r = vector.burn_lines(road_segments(spark, sf), GRID, F.lit(0.73), []).select("row", "col", F.lit(0.0), F.lit(1))
     return b.union(r).groupBy("row", "col").agg(r6(F.sum("b")).alias("buildings"), F.max("r").alias("roads"))
 
 
 @query("v13_city_height", BG + near_sql("road", "feature_id", "0.73") + "SELECT row, col, coalesce(max(h), -0.5)::DOUBLE AS height FROM (SELECT row, col, h FROM bc UNION ALL SELECT row, col, NULL FROM near) GROUP BY 1, 2")
 def _(spark, sf):
     b = vector.burn_polygons(house_segments(spark, sf, ("feature_id", "h")), GRID, ["feature_id", "h"]).select("row", "col", "h")
-    r = vector.burn_lines(road_segments(spark, sf), GRID, F.lit(0.73), ["feature_id"]).select("row", "col", F.lit(None).cast("double"))
+    r = vector.burn_lines(road_segments(spark, sf), GRID, F.lit(0.73), []).select("row", "col", F.lit(None).cast("double"))
     return b.union(r).groupBy("row", "col").agg(F.coalesce(F.max("h"), F.lit(-0.5)).alias("height"))
 
 
