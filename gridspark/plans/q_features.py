@@ -179,7 +179,7 @@ BANDS = BG + near_sql("road", "feature_id", "0.73") + near_sql(WATER_ROADS, "fea
 
 def bands(spark, sf):
     b = vector.burn_polygons(house_segments(spark, sf, ("feature_id", "h")), GRID, ["feature_id", "h"]).select("feature_id", "row", "col", F.col("h").alias("value"))
-    one = lambda df, d: vector.burn_lines(df, GRID, F.lit(d), ["feature_id"]).select("row", "col", F.lit(1.0).alias("value"))
+    one = lambda df, d: vector.burn_lines(df, GRID, F.lit(d), []).select("row", "col", F.lit(1.0).alias("value"))
     roads = road_segments(spark, sf)
     return b, one(roads, 0.73), one(roads.where("highway = 'service'"), 1.13)
 
