@@ -1,12 +1,11 @@
 """Near-duplicate join on word shingles by parity sketches.
 
-A document's set of shingles is XOR-hashed two ways. A bit sketch (two to four parities per shingle) has a Hamming distance that never exceeds the
+A bit sketch of a document's set of shingles (two to four parities per shingle) has a Hamming distance that never exceeds the
 size of the symmetric difference, so pairs beyond the distance that the similarity allows are dropped unread. For candidates,
-each size band deals the universe of shingles into parts; a part's word is the XOR of its shingles' hashes. Sets that differ
-in at most D shingles differ in at most D parts, so by the pigeonhole principle the first D + 1 non-empty words of either
-one hold a common word: documents meet in a join on (band, part, word). Shingles found in very many documents go to parts of their
-own that come last, so passages shared by many documents seldom make words. A bucket first makes a star of its members, within
-each map task and then over the tasks' least members, and sketches and exact sets verify the star's links. Only buckets whose members are still in
+all shingles have one order: two sets that link hold the first shingle that they share among the first quarter of both, and the smaller one
+among its first seventh, so documents meet in buckets of these shingles, and buckets that are in no member's first seventh are dropped. Shingles found in very many
+documents come last in the order, so passages shared by many documents seldom make buckets. A bucket first makes a star of its members, within
+each map task and then over the tasks' leading members, and sketches and exact sets verify the star's links. Only buckets whose members are still in
 different components are read again: in blocks of bounded size, members with a plausible partner are found by sketches, then
 compared by their sets where they lie, and a block gives no more links than join its components.
 """
@@ -146,36 +145,22 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
 
 
-def band(n: int) -> int:
-    """Sets of 2^(b-1) < n <= 2^b shingles are in band b, which has 2^b parts."""
-    return (n - 1).bit_length()
-
-
 def bucket_keys(s: np.ndarray, common: np.ndarray, tiers: np.ndarray) -> np.ndarray:
-    """The keys of the buckets that the set joins: for its own band, and for that of the largest set it may be linked with.
+    """The keys of the buckets that the set joins: its first shingles in one order of all shingles, the common ones last.
 
-    Two sets of n and m shingles that link differ in (n + m) // 7 at most; in a band m is at most 4 n / 3 and the band's largest size. Of
-    the words in part order one more than that are taken, all non-empty. A set with fewer non-empty parts adds each shingle as a
-    key of its own: two such sets meet there.
+    A set of n shingles shares at least 3 n / 4 of them with a set that it links with, so that the first of the shared ones is among the first n // 4 + 1 of both sets;
+    with one that is no smaller it shares 6 n / 7, so that it is among the smaller one's `leading(n)`.
     """
     n = len(s)
-    # The part is the hash's leading bits below the shingle's tier, so that parts of rare shingles come first.
-    tier = np.zeros(n, np.uint64)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        tier = np.where(common[at] == s, tiers[at], np.uint64(0))
-    order = np.argsort(tier, kind="stable")
-    s, late = s[order], tier[order] << np.uint64(50)
-    keys = []
-    for b in range(band(n), band(n * DEN // NUM) + 1):
-        need = (n + min(1 << b, n * DEN // NUM)) * (DEN - NUM) // (DEN + NUM) + 1
-        part = (s >> np.uint64(64 - b) if b else np.zeros(n, np.uint64)) | late
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        word = np.bitwise_xor.reduceat(s, first)[:need]
-        keys.append(mix(word ^ mix(part[first[:need]] + np.uint64(b + 1) * FACTORS[3])))
-        if len(first) < need:
-            keys.append(mix(s + np.uint64(b + 1) * FACTORS[4]))
-    return np.concatenate(keys).view(np.int64)
+        s = s[np.argsort(np.where(common[at] == s, tiers[at], np.uint64(0)), kind="stable")]
+    return mix(s[: n * (DEN - NUM) // DEN + 1] + FACTORS[4]).view(np.int64)
+
+
+def leading(n: int) -> int:
+    """So many first keys of a set of n shingles are those by which it is found from sets that are no smaller."""
+    return n * (DEN - NUM) // (DEN + NUM) + 1
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -228,27 +213,30 @@ def _common(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _buckets(docs: DataFrame, common) -> DataFrame:
-    """(key, h, lead) of every different set in a task: copies within the task are left out before anything is shuffled.
+    """(key, h, lead, first) of every different set in a task: copies within the task are left out before anything is shuffled. first: the key is one of the set's leading ones.
 
-    A bucket with STAR members or more in one task sends on only its least one, with lead = h; each other member's row is a
+    A bucket with STAR members or more in one task sends on only its least one (of those with first, if there are any), with lead = h; each other member's row is a
     pair with lead as its partner. In all other rows lead is null.
     """
+    far = np.int64(2**63 - 1)
 
-    def stars(k: np.ndarray, h: np.ndarray):
+    def stars(k: np.ndarray, h: np.ndarray, f: np.ndarray):
         order = np.argsort(k)
         by = k[order]
         at = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
         n = np.diff(np.concatenate((at, [len(k)])))
         # Rows stay in the texts' order, which compresses better than that of the keys.
         lead, none = np.empty(len(k), np.int64), np.empty(len(k), bool)
-        lead[order], none[order] = np.repeat(np.minimum.reduceat(h[order], at), n), np.repeat(n < STAR, n)
+        least = np.minimum.reduceat(np.where(f, h, far)[order], at)
+        least = np.where(least < far, least, np.minimum.reduceat(h[order], at))
+        lead[order], none[order] = np.repeat(least, n), np.repeat(n < STAR, n)
         for i in range(0, len(k), ROWS):
             j = slice(i, i + ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(k[j]), pa.array(h[j]), pa.array(lead[j], mask=none[j])], names=["key", "h", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[j]), pa.array(h[j]), pa.array(lead[j], mask=none[j]), pa.array(f[j])], names=["key", "h", "lead", "first"])
 
     def mapped(batches):
         make, seen, often = Shingler(), set(), common.value  # hashes in order, and their tiers
-        ks, hs, held = [], [], 0
+        ks, hs, fs, held = [], [], [], 0
         with np.errstate(over="ignore"):
             for b in batches:
                 for t in b.column(0):
@@ -258,21 +246,23 @@ def _buckets(docs: DataFrame, common) -> DataFrame:
                     seen.add(h)
                     ks.append(bucket_keys(s, *often))
                     hs.append(np.full(len(ks[-1]), h))
+                    fs.append(np.arange(len(ks[-1])) < leading(len(s)))
                     held += len(ks[-1])
                     if held >= HELD_KEYS:
-                        yield from stars(np.concatenate(ks), np.concatenate(hs))
-                        ks, hs, held = [], [], 0
+                        yield from stars(np.concatenate(ks), np.concatenate(hs), np.concatenate(fs))
+                        ks, hs, fs, held = [], [], [], 0
             if held:
-                yield from stars(np.concatenate(ks), np.concatenate(hs))
+                yield from stars(np.concatenate(ks), np.concatenate(hs), np.concatenate(fs))
 
-    return docs.select("t").mapInArrow(mapped, "key long, h long, lead long")
+    return docs.select("t").mapInArrow(mapped, "key long, h long, lead long, first boolean")
 
 
 def _stars(buckets: DataFrame, parts: int) -> DataFrame:
-    """(key, a, b): in every bucket the least member a with each other member b, or a member's lead with it; key is null where the
+    """(key, a, b): in every bucket the first member a with each other member b, or a member's lead with it; key is null where the
     bucket has only these two.
 
-    Rows of a bucket meet in order of (key, h), at most a few from each map task; of a bucket that is still open two rows at most are held.
+    Rows of a bucket meet in order of (key, first, h), at most a few from each map task; of a bucket that is still open two rows at most are held. A bucket whose
+    first row is none of its set's leading ones has no such row and makes no pair.
     Pairs that the map tasks made pass through, spread by their member.
     """
     none = np.empty(0, np.int64)
@@ -281,45 +271,49 @@ def _stars(buckets: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64(), mask=~known), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
 
     def mapped(batches):
-        held_k = held_h = held_w = none
-        opened = None  # key, least member and last member of a large bucket that may go on
+        held_k = held_h = held_w = held_f = none
+        opened = None  # key, first member and last member of a large bucket that may go on
         for rows in batches:
             k, h, lead = (rows.column(c).fill_null(0).to_numpy() for c in range(3))
+            f = np.array(rows.column(3)).astype(np.int64)
             leads = np.array(rows.column(2).is_valid())
             pair = leads & (lead != h)
             if pair.any():
                 yield batch(k[pair], lead[pair], h[pair], np.ones(int(pair.sum()), bool))
             k, h, w = np.concatenate((held_k, k[~pair])), np.concatenate((held_h, h[~pair])), np.concatenate((held_w, 1 + leads[~pair].astype(np.int64)))
+            f = np.concatenate((held_f, f[~pair]))
             if not len(k):
                 continue
             new = np.concatenate(([not (opened and (k[0], h[0]) == (opened[0], opened[2]))], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
-            k, h, w = k[new], h[new], w[new]
+            k, h, w, f = k[new], h[new], w[new], f[new]
             if not len(k):
                 continue
             start = np.concatenate(([True], k[1:] != k[:-1]))
             at, of = np.flatnonzero(start), np.cumsum(start) - 1
             # A lead stands for others too, so that its bucket is large with one more row.
             lead, big, member = h[at], np.add.reduceat(w, at) >= 3, ~start
+            meets = f[at] > 0
             if opened and k[0] == opened[0]:
-                lead[0], big[0], member[0] = opened[1], True, True
-            held_k = held_h = held_w = none
+                lead[0], big[0], member[0], meets[0] = opened[1], True, True, True
+            member &= meets[of]
+            held_k = held_h = held_w = held_f = none
             last = slice(at[-1], None)
-            opened = (k[-1], lead[-1], h[-1]) if big[-1] else None
-            if not opened:
-                held_k, held_h, held_w, member[last] = k[last], h[last], w[last], False
+            opened = (k[-1], lead[-1], h[-1]) if big[-1] and meets[-1] else None
+            if not opened and meets[-1]:
+                held_k, held_h, held_w, held_f, member[last] = k[last], h[last], w[last], f[last], False
             i = np.flatnonzero(member)
             yield batch(k[i], lead[of[i]], h[i], big[of[i]])
             # In one of eight large buckets the next few members lead as well, for links within large groups of near copies.
             rank = np.arange(len(k)) - at[of]
             for nth in range(1, LEADERS):
-                j = np.flatnonzero(big[of] & (rank > nth) & (k & 7 == 0))
+                j = np.flatnonzero((big & meets)[of] & (rank > nth) & (k & 7 == 0))
                 if len(j):
                     yield batch(k[j], h[at[of[j]] + nth], h[j], np.zeros(len(j), bool))
         if len(held_k) == 2:
             yield batch(held_k[:1], held_h[:1], held_h[1:], np.array([False]))
 
     place = F.when(F.col("lead").isNull() | (F.col("lead") == F.col("h")), F.col("key")).otherwise(F.col("h"))
-    return buckets.repartition(parts, place).sortWithinPartitions(F.col("key"), F.col("h"), F.col("lead").desc()).mapInArrow(mapped, "key long, a long, b long")
+    return buckets.repartition(parts, place).sortWithinPartitions(F.col("key"), F.col("first").desc(), F.col("h"), F.col("lead").desc()).mapInArrow(mapped, "key long, a long, b long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -658,3 +658,17 @@ def test_every_linked_pair_shares_a_bucket():
                     tiers = rng.integers(3, 9, len(common)).astype(np.uint64)
                     assert np.intersect1d(ngram_join.bucket_keys(a, common, tiers), ngram_join.bucket_keys(b, common, tiers)).size
                     assert ngram_join.distance(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(a) + len(b) - 2 * same
+
+
+def test_buckets_are_the_first_quarter_and_its_leading_keys_find_sets_no_smaller():
+    rng = np.random.default_rng(6)
+    none = np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        for n in [*range(1, 40), 200, 333]:
+            for _ in range(10):
+                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+                b = np.unique(np.concatenate((a[int(rng.integers(0, n // 8 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64))))
+                small, large = sorted((a, b), key=len)
+                assert len(ngram_join.bucket_keys(a, none, none)) == len(a) // 4 + 1
+                if ngram_join.similar(a, b):
+                    assert np.intersect1d(ngram_join.bucket_keys(small, none, none)[: ngram_join.leading(len(small))], ngram_join.bucket_keys(large, none, none)).size
