@@ -37,9 +37,7 @@ def colour_segments(pixels: DataFrame, shape: tuple[int, int], sigma: float = 20
     d = pixels.select("row", "col", "r", "g", "b", F.inline(refs))
     d = d.select("k", "row", "col", (-F.sqrt(sum(F.pow(F.col(n) - F.col(f"__{n}"), F.lit(2)) for n in "rgb"))).alias("value"))
     d = d.join(F.broadcast(d.groupBy("k").agg(F.avg("value").alias("m"))), "k").select("k", "row", "col", F.greatest("value", "m").alias("value"))
-    s = focal.smooth(d, shape, sigma, by=("k",)).withColumnRenamed("value", "__s")
-    h = d.join(s, ["k", "row", "col"]).select("k", "row", "col", F.greatest(F.col("value") - F.col("__s"), F.lit(0.0)).alias("value"))
-    h = components.saved(h)
+    h = components.saved(focal.above_smooth(d, shape, sigma, by=("k",)))
     stats = h.groupBy("k").agg(F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     middle = zonal.percentiles(h, [0.5], by=("k",)).select("k", F.col("p")[0].alias("med"))
     c = h.join(F.broadcast(stats), "k").join(F.broadcast(middle), "k")

@@ -142,3 +142,24 @@ def test_shift_scores_send_a_cell_once(spark, monkeypatch):
     monkeypatch.setattr(components, "saved", lambda df: sent.append(df._jdf.queryExecution().optimizedPlan().toString()) or shown(df))
     terrain.shift_scores(a, b, focal.square(10))
     assert len(sent) == 1 and "FlatMapGroupsInArrow" in sent[0] and "inline" not in sent[0] and "Join" not in sent[0]
+
+
+def test_a_wide_kernel_is_one_product():
+    rng = np.random.default_rng(8)
+    w = np.array(focal.gaussian_weights(5.0))
+    for rows in (len(w), 60, 300):
+        g = rng.random((rows, 30))
+        n = rows - len(w) + 1
+        taps = sum(x * g[k : k + n] for k, x in enumerate(w))
+        assert np.allclose(focal.along(g, w), taps, rtol=0, atol=1e-13)
+        g[n // 2, 3] = np.nan
+        assert (np.isnan(focal.along(g, w)) == np.isnan(sum(x * g[k : k + n] for k, x in enumerate(w)))).all()
+
+
+def test_values_above_their_smoothing_need_no_join(spark):
+    rng = np.random.default_rng(9)
+    grid = rng.random(SHAPE)
+    df = spark.createDataFrame([(7, int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(grid)], "k int, row int, col int, value double")
+    got = focal.above_smooth(df, SHAPE, 6.0, by=("k",))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert np.allclose(grid_of(got), np.maximum(grid - grid_of(focal.smooth(df, SHAPE, 6.0, by=("k",))), 0), rtol=0, atol=1e-12)
