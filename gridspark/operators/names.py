@@ -6,42 +6,67 @@ ranks come from counts of ranges, only the explicitly numbered names are walked,
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right, insort
 from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.operators.components import saved
 
 #: Keys drawn for each range.
 RANGE_SAMPLE = 50
+#: Of the keys, every such one by its hash is enough for ranges if it leaves LEAST_DRAWN a range.
+DRAWN, LEAST_DRAWN = 512, 5
 NUMBERED = r"^(.*)_([1-9][0-9]*)$"
 FAMILY = "(_[1-9][0-9]*)+$"
 
 
-def in_ranges(df: DataFrame, order: str) -> Column:
-    """A range number of the order column, whose bounds come from a bounded number of keys, drawn by their hash. Nulls come first."""
+def bounds_of(df: DataFrame, order: str) -> list:
+    """Values of the order column that part it into ranges, from a bounded number of keys that are drawn by their hash: of every DRAWN-th if these suffice, else of all."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(F.col(order).alias("k")).where("k is not null").distinct()
-    drawn = [r["k"] for r in keys.orderBy(F.xxhash64("k")).limit(parts * RANGE_SAMPLE).orderBy("k").collect()]
-    bounds = sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
+    keys = df.select(F.col(order).alias("k")).where("k is not null")
+    for every in (DRAWN, 1):
+        some = keys.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).distinct()
+        drawn = [r["k"] for r in some.orderBy(F.xxhash64("k")).limit(parts * RANGE_SAMPLE).orderBy("k").collect()]
+        if len(drawn) >= parts * LEAST_DRAWN:
+            break
+    return sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
+
+
+def in_ranges(df: DataFrame, order: str, bounds: list) -> DataFrame:
+    """df plus __range, the number of bounds below the order column (0 for nulls). A row is compared with every n-th bound, then with those after the last one below it."""
+    if not bounds:
+        return df.withColumn("__range", F.lit(0))
+    n = math.isqrt(len(bounds)) + 1
     kind = df.schema[order].dataType
-    return reduce(lambda t, b: t + F.coalesce((F.col(order) > F.lit(b).cast(kind)).cast("int"), F.lit(0)), bounds, F.lit(0))
+    lit = lambda b: F.lit(b).cast(kind)
+    above = lambda bs: reduce(lambda t, b: t + F.coalesce((F.col(order) > b).cast("int"), F.lit(0)), bs, F.lit(0))
+    df = df.withColumn("__block", above([lit(b) for b in bounds[n - 1 :: n]]))
+    inner = above([F.get(F.array(*map(lit, bounds[j::n])), F.col("__block")) for j in range(n - 1)])
+    return df.withColumn("__range", F.col("__block") * n + inner).drop("__block")
 
 
-def ranked(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """rows (with __row true for those that count) plus __rank: how many rows of the base come up to and with this one, and __lo, __hi, the ranks of its range."""
-    rows = rows.withColumn("__range", in_ranges(rows.where("__row"), order))
-    n = F.sum(F.col("__row").cast("long"))
-    counts = rows.groupBy(F.col(base).alias("__base"), F.col("__range").alias("__of")).agg(n.alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__base").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
-    counts = counts.select("__base", "__of", before.alias("__lo"), (before + F.col("__n")).alias("__hi"))
-    j = rows.join(counts, F.col(base).eqNullSafe(F.col("__base")) & (F.col("__range") == F.col("__of"))).drop("__base", "__of")
-    inner = n.over(Window.partitionBy(base, "__range").orderBy(F.asc_nulls_first(order), F.desc("__row")).rowsBetween(Window.unboundedPreceding, 0))
-    return j.withColumn("__rank", inner + F.col("__lo"))
+def counted(rows: DataFrame, base: str) -> DataFrame:
+    """(b, r, n): rows of each base in each range, saved; a base that is null is left out. Rows whose __row is false count 0."""
+    return saved(rows.where(F.col(base).isNotNull()).groupBy(F.col(base).alias("b"), F.col("__range").alias("r")).agg(F.sum(F.col("__row").cast("long")).alias("n")))
+
+
+def ranks(counts: DataFrame) -> DataFrame:
+    """(b, r, lo, hi): the ranks before and at the end of each base's range."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    return counts.select("b", "r", before.alias("lo"), (before + F.col("n")).alias("hi"))
+
+
+def ranked(rows: DataFrame, base: str, order: str, info: DataFrame) -> DataFrame:
+    """rows (with __row true for those that count) plus __rank, how many rows of the base come up to and with this one, and the columns of info (b, r, lo, ...)."""
+    w = Window.partitionBy(base, "__range").orderBy(F.asc_nulls_first(order), F.desc("__row")).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("__inner", F.sum(F.col("__row").cast("long")).over(w))
+    info = info.select(*(F.col(c).alias(f"__{c}") for c in info.columns))
+    return inner.join(info, (F.col(base) == F.col("__b")) & (F.col("__range") == F.col("__r")), "left").withColumn("__rank", F.col("__inner") + F.col("__lo"))
 
 
 def taken(held: dict[str, list[int]], claims: dict[str, list[tuple[int, int, str]]]) -> dict[str, list[int]]:
@@ -71,33 +96,35 @@ def unique_names(df: DataFrame, base: str, order: str, existing: DataFrame | Non
     """
     spark = df.sparkSession
     existing = existing if existing is not None else spark.createDataFrame([], "name string")
-    rows = df.withColumn("__row", F.lit(True)).withColumn("__name", F.lit(None).cast("string"))
-    first = df.where(F.col(base).isNotNull()).groupBy(F.col(base).alias("b")).agg(F.min_by(F.struct(order), F.struct(F.col(order).isNotNull(), F.col(order))).alias("t"))
-    bases = first.select("b")
+    bounds = bounds_of(df, order)
+    rows = in_ranges(df.withColumn("__row", F.lit(True)).withColumn("__name", F.lit(None).cast("string")), order, bounds)
+    counts = counted(rows, base)
+    bases = counts.select("b").distinct()
     parent, number = F.regexp_extract("b", NUMBERED, 1), F.regexp_extract("b", NUMBERED, 2).try_cast("long")
-    claims = first.where(number >= 2).select("b", "t", parent.alias("p"), number.alias("k")).join(bases.select(F.col("b").alias("p")), "p", "left_semi")
+    claims = saved(bases.where(number >= 2).select("b", parent.alias("p"), number.alias("k")).join(bases.select(F.col("b").alias("p")), "p", "left_semi"))
     # What existing names hold: a base itself, or a number of one.
-    names = existing.select(F.col("name").alias("b")).where("b is not null").distinct()
+    names = saved(existing.select(F.col("name").alias("b")).where("b is not null").distinct())
     own = names.join(bases, "b", "left_semi").select("b", F.lit(1).cast("long").alias("k"))
     held = names.select(parent.alias("b"), number.alias("k")).where("k >= 2").join(bases, "b", "left_semi").union(own)
-    claims = saved(claims)
+    told = None
     if not claims.isEmpty():
         # Claims stand in their base's order before the row that makes them would take a number.
-        marks = claims.select(*(F.col("t")[order].alias(c) if c == order else F.col("p").alias(c) if c == base else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns), F.lit(False).alias("__row"), F.col("b").alias("__name"))
-        every = ranked(rows.unionByName(marks), base, order)
-        told = every.where(~F.col("__row")).select(F.col(base).alias("b"), F.regexp_extract("__name", NUMBERED, 2).cast("long").alias("k"), F.col("__rank").alias("m"), F.col("__name").alias("c"))
-        every = every.where("__row")
-    else:
-        told, every = None, ranked(rows, base, order)
+        first = df.select(F.col(base).alias("b"), F.struct(order).alias("t")).join(claims.select("b"), "b", "left_semi").groupBy("b").agg(F.min_by("t", F.struct(F.col(f"t.{order}").isNotNull(), f"t.{order}")).alias("t"))
+        made = claims.join(first, "b")
+        marks = made.select(*(F.col("t")[order].alias(c) if c == order else F.col("p").alias(c) if c == base else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns), F.lit(False).alias("__row"), F.col("b").alias("__name"))
+        marks = saved(in_ranges(marks, order, bounds))
+        rows = rows.unionByName(marks)
+        counts = saved(counts.union(marks.select(F.col(base), "__range", F.lit(0).cast("long"))).groupBy("b", "r").agg(F.sum("n").alias("n")))
+        asked = rows.join(claims.select(F.col("p").alias(base)).distinct(), base, "left_semi")
+        told = ranked(asked, base, order, ranks(counts)).where(~F.col("__row")).select(F.col(base).alias("b"), F.regexp_extract("__name", NUMBERED, 2).cast("long").alias("k"), F.col("__rank").alias("m"), F.col("__name").alias("c"))
     blocked = held.select("b", "k") if told is None else _walked(held, told)
-    blocked = blocked.distinct()
     # The rank after which each number is jumped over.
-    w = Window.partitionBy("b").orderBy("k")
-    limits = saved(blocked.withColumn("f", F.col("k") - F.row_number().over(w)))
-    ranges = every.select(F.col(base).alias("b"), "__range", "__lo", "__hi").distinct()
-    jumps = ranges.join(limits, "b").groupBy(F.col("b").alias("__b"), F.col("__range").alias("__r"))
-    jumps = jumps.agg(F.count_if(F.col("f") <= F.col("__lo")).alias("__past"), F.collect_list(F.when((F.col("f") > F.col("__lo")) & (F.col("f") < F.col("__hi")), F.col("f"))).alias("__fs"))
-    j = every.join(jumps, (F.col(base) == F.col("__b")) & (F.col("__range") == F.col("__r")), "left")
+    limits = blocked.distinct().withColumn("f", F.col("k") - F.row_number().over(Window.partitionBy("b").orderBy("k"))).select("b", "f")
+    info = ranks(counts)
+    jumps = info.join(limits, "b").groupBy("b", "r").agg(F.count_if(F.col("f") <= F.col("lo")).alias("past"), F.collect_list(F.when((F.col("f") > F.col("lo")) & (F.col("f") < F.col("hi")), F.col("f"))).alias("fs"))
+    # A row a base and range, with few numbers: rows meet it once, where they are ranked.
+    info = saved(info.select("b", "r", "lo").join(jumps, ["b", "r"], "left"))
+    j = ranked(rows, base, order, info).where("__row")
     n = F.col("__rank") + F.coalesce(F.col("__past") + F.size(F.filter("__fs", lambda f: f < F.col("__rank"))), F.lit(0))
     return j.withColumn("__at", n).select(*df.columns, F.when(F.col("__at") == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), F.col("__at").cast("string"))).alias("name"))
 

@@ -63,3 +63,20 @@ def test_import_filters(spark):
     rows = [(1, " a ", "2", "1", "3", "0", None), (2, "", "2", "1", "3", "0", ""), (3, "a", "x", "1", "3", "0", ""), (4, "a", "1", "1", "3", "0", ""), (5, "a", "2", "1", "3", "0", "15"), (6, "b", "2", "1", None, "0", ""), (7, "b", "2", "1", "3", "0", "left"), (8, None, "2", "1", "3", "0", "")]
     got = names.import_regions(spark.createDataFrame(rows, cols), "k", spark.createDataFrame([("a",)], "name string")).collect()
     assert sorted((r["k"], r["name"], r["settings"]) for r in got) == [(1, "a_2", "{}"), (5, "a_3", '{"rotation": 15.0}')]
+
+
+def test_ranges_count_the_bounds_below_a_key(spark):
+    bounds = list(range(0, 330, 3))
+    rows = spark.createDataFrame([(k,) for k in range(-5, 340)] + [(None,)], "k long")
+    got = {r["k"]: r["__range"] for r in names.in_ranges(rows, "k", bounds).collect()}
+    assert got == {k: 0 if k is None else sum(k > b for b in bounds) for k in got}
+
+
+def test_rows_are_exchanged_and_ranked_once(spark):
+    """Frequent bases in many ranges, each read once for its rank; keys that repeat and nulls stay apart."""
+    rows = [(["x", "y", "x_2", None][k % 4], None if k % 50 == 7 else k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "base string, k long")
+    out = names.unique_names(df, "base", "k")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+    got = [r["name"] for r in out.collect()]
+    assert got.count(None) == sum(b is None for b, _ in rows) and len(set(got)) == 1 + sum(b is not None for b, _ in rows)
