@@ -31,6 +31,19 @@ def test_ttl_stream_gives_the_batch_rows_over_restarts(spark, sf, tmp_path):
     assert rows(got) == rows(live.misses_within(df, TTL))
 
 
+def test_ttl_states_are_no_more_than_buckets(spark, tmp_path, monkeypatch):
+    """Keys that share a state keep their own last miss."""
+    state.use_rocksdb(spark)
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    df = spark.range(120).selectExpr("id % 40 AS key", "CASE WHEN id % 3 > 0 THEN 'n' END AS namespace", "timestamp_seconds(1704067200 + id * 1500) AS cached_at")
+    df.write.parquet(f"{tmp_path}/in")
+    spark.sql("SELECT -1L AS key, 'end' AS namespace, timestamp'2030-01-01' AS cached_at").write.mode("append").parquet(f"{tmp_path}/in")
+    stream = state.misses_within_ttl(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), TTL)
+    state.run_to_files(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(live.misses_within(df, TTL))
+    assert spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/checkpoint").count() <= 2
+
+
 @pytest.fixture
 def kept(spark, tmp_path):
     r = merge.registry_at(spark, str(tmp_path), parts=4)
