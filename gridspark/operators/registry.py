@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.geo import CONTINENT_ORDER, continent_case
+from gridspark.operators import names
 
 #: code: west, south, east, north. Fixed values.
 RIVER_REGIONS = {"af": (-20, -35, 55, 38), "ar": (-180, 60, 180, 90), "as": (57, -5, 180, 60), "au": (112, -48, 180, -5), "eu": (-25, 35, 65, 72), "na": (-170, -10, -35, 85), "sa": (-82, -56, -28, 15), "si": (50, 47, 180, 75)}
@@ -139,9 +140,22 @@ def lookup(want: DataFrame, entries: DataFrame, since: Column) -> tuple[DataFram
 
 
 def best_at_most(want: DataFrame, have: DataFrame, key: str, limit: str, scale: str, by: list[str]) -> DataFrame:
-    """The finest (least) scale of the same key where it is within the limit: (by, key, best). A row a key is kept of what there is, so a frequent key costs nothing."""
-    finest = have.groupBy(key).agg(F.min(scale).alias("best"))
-    return want.join(finest, key).where(F.col("best") <= F.col(limit)).select(*by, key, "best")
+    """(by, key, best, nearest): of the same key's scales within the limit the finest (least) and the one nearest the limit. Rows with none are left out.
+
+    The nearest one is an as-of match by a sort of both tables' rows within ranges of scales, so that a frequent key is many tasks; what lies before a range is an entry of the key's array."""
+    both = have.select(F.col(scale).alias("__at")).union(want.select(limit))
+    at = lambda c: F.col(c).cast(both.schema["__at"].dataType).alias("__at")
+    bounds = names.bounds_of(both, "__at")
+    scales = names.in_ranges(have.select(key, at(scale)).where(F.col(key).isNotNull() & F.col("__at").isNotNull()).distinct(), "__at", bounds)
+    ends = scales.groupBy(key, "__range").agg(F.min("__at").alias("least"), F.max("__at").alias("most"))
+    keys = ends.groupBy(key).agg(F.min("least").alias("best"), F.min("__range").alias("__first"), F.array_sort(F.collect_list(F.struct("__range", "most"))).alias("__ends"))  # an entry a range
+    until = lambda a, b: F.array_repeat(a["most"], F.coalesce(b["__range"], F.lit(len(bounds) + 1)) - a["__range"])
+    keys = keys.withColumn("__most", F.flatten(F.zip_with("__ends", F.slice("__ends", 2, len(bounds) + 1), until))).drop("__ends")  # from the range after the first one on
+    met = names.in_ranges(want.select(key, at(limit), *by).join(keys, key).where(F.col("best") <= F.col("__at")), "__at", bounds)
+    met = met.withColumn("__before", F.get("__most", F.col("__range") - F.col("__first") - 1)).drop("__most", "__first")
+    w = Window.partitionBy(key, "__range").orderBy("__at", F.asc_nulls_last("__scale")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = met.unionByName(scales.withColumn("__scale", F.col("__at")), allowMissingColumns=True)
+    return rows.withColumn("__in", F.last("__scale", ignorenulls=True).over(w)).where("best is not null").select(*by, key, "best", F.coalesce("__in", "__before").alias("nearest"))
 
 
 def road_width(roads: DataFrame) -> DataFrame:

@@ -291,11 +291,11 @@ def _(spark, sf):
     return have.select("key", F.lit(True).alias("cached")).union(miss.select("key", F.lit(False)))
 
 
-@query("j8_best_resolution", ", c AS (SELECT key, min(size_bytes) AS scale, event_id FROM req WHERE namespace = 'satellite' GROUP BY key, event_id) SELECT o_orderkey, min(c.scale) AS best FROM (SELECT o_orderkey, o_custkey AS key, (o_orderkey * 97 % 60000) AS want FROM orders) o JOIN c ON c.key = o.key AND c.scale <= o.want GROUP BY 1")
+@query("j8_best_resolution", ", c AS (SELECT key, min(size_bytes) AS scale, event_id FROM req WHERE namespace = 'satellite' GROUP BY key, event_id) SELECT o_orderkey, min(c.scale) AS best, max(c.scale) AS nearest FROM (SELECT o_orderkey, o_custkey AS key, (o_orderkey * 97 % 60000) AS want FROM orders) o JOIN c ON c.key = o.key AND c.scale <= o.want GROUP BY 1")
 def _(spark, sf):
-    have = X.requests(spark, sf).where("namespace = 'satellite'").select("key", F.col("size_bytes").alias("scale"))
+    have = X.requests(spark, sf).where("namespace = 'satellite'").groupBy("key", "event_id").agg(F.min("size_bytes").alias("scale"))
     want = X.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 97 % 60000).alias("want"))
-    return registry.best_at_most(want, have, "key", "want", "scale", ["o_orderkey"]).select("o_orderkey", "best")
+    return registry.best_at_most(want, have, "key", "want", "scale", ["o_orderkey"]).groupBy("o_orderkey").agg(F.min("best").alias("best"), F.max("nearest").alias("nearest"))
 
 
 @query("j9_highway_width", "SELECT feature_id, coalesce(w, 3)::DOUBLE AS width_m FROM road LEFT JOIN (VALUES ('motorway', 12), ('residential', 4), ('service', 2), ('primary', 8)) t(h, w) ON highway = h")
